@@ -40,6 +40,12 @@ def rnd(c, digits: int = 6) -> Column:
     return F.round(_col(c).cast("double"), digits) + F.lit(0.0)
 
 
+def half_even(c, digits: int) -> Column:
+    """Decimal rounding the way array libraries do it: scale, round half to even, scale back."""
+    scale = F.lit(float(10**digits))
+    return F.rint(_col(c) * scale) / scale
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.quantiles import bin_right_closed, melt, quantiles, quantiles_wide
 from quarrylens.functions.ranks import sequence_index
-from quarrylens.functions.scalars import one_row, safe_div
+from quarrylens.functions.scalars import half_even, one_row, safe_div
 from quarrylens.operators.create import days_between
 from quarrylens.session import cut_lineage
 
@@ -100,15 +100,15 @@ def clv(df: DataFrame, customer: str, amount: str, date: str) -> DataFrame:
     rows = df.select(customer, F.col(amount).cast("double").alias("_a"),
                      F.col(date).cast("timestamp_ntz").alias("_d")).dropna(subset=["_a", "_d"])
     t = rows.groupBy(customer).agg(
-        F.sum("_a").alias("total_spend"), F.count(F.lit(1)).alias("purchase_count"),
+        F.round(F.sum("_a"), 2).alias("total_spend"), F.count(F.lit(1)).alias("purchase_count"),
         F.min("_d").alias("_first"), F.max("_d").alias("_last"))
     t = t.withColumn("customer_lifespan_days", F.greatest(days_between("_first", "_last"), F.lit(1)))
     t = t.withColumns({
-        "avg_order_value": F.round(F.col("total_spend") / F.col("purchase_count"), 2),
-        "purchase_frequency": F.round(
+        "avg_order_value": half_even(F.col("total_spend") / F.col("purchase_count"), 2),
+        "purchase_frequency": half_even(
             F.col("purchase_count") / (F.col("customer_lifespan_days") / F.lit(30.0)), 3)})
     return t.withColumn(
-        "clv_estimate", F.round(F.col("avg_order_value") * F.col("purchase_frequency") * 12, 2)
+        "clv_estimate", half_even(F.col("avg_order_value") * F.col("purchase_frequency") * 12, 2)
     ).drop("_first", "_last")
 
 

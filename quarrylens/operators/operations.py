@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -248,5 +248,5 @@ def cost_threshold(df: DataFrame, label: str, score: str, false_negative: float,
     from quarrylens.operators.finance import ranked_scores
 
     r = ranked_scores(df, label, score)
-    cost: Column = false_negative * (F.col("pos_total") - F.col("tp")) + false_positive * F.col("fp")
+    cost = float(false_negative) * (F.col("pos_total") - F.col("tp")) + float(false_positive) * F.col("fp")
     return r.select(F.col("score").alias("threshold"), cost.alias("cost")).orderBy("cost", F.desc("threshold")).limit(1)
