@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions import dist
 from quarrylens.functions.quantiles import bin_left_closed, melt, quantiles_of_counts
 from quarrylens.functions.ranks import running_totals
-from quarrylens.functions.scalars import numeric_columns
+from quarrylens.functions.scalars import numeric_columns, one_row
 from quarrylens.operators.profile import text_melt
 from quarrylens.operators.stats_tests import chi_square_from_cells
 
@@ -40,11 +40,14 @@ def drift_numeric(reference: DataFrame, current: DataFrame, columns: Sequence[st
     edges = quantiles_of_counts(
         counts.where(F.col("e") > 0).select("column", "value", F.col("e").alias("n")), "value",
         [i / bins for i in range(bins + 1)], ["column"])
-    edges = edges.groupBy("column").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
-    table = edges.agg(F.map_from_entries(F.collect_list(F.struct("column", "edges")))).scalar()
-    binned = counts.withColumn("_edges", table).withColumn("_edges", F.try_element_at("_edges", F.col("column")))
-    binned = binned.withColumn("bin", bin_left_closed(F.col("value"), F.col("_edges"))).where(F.col("bin").isNotNull())
-    cells = binned.groupBy("column", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    table = edges.agg(*[
+        F.array_sort(F.collect_set(F.when(F.col("column") == c, F.col("quantile")))).alias(c) for c in columns])
+    mine = F.coalesce(*[F.when(F.col("column") == c, F.col(f"_t.`{c}`")) for c in columns])
+    binned = counts.withColumn("_t", one_row(table)).withColumn("_edges", mine)
+    binned = binned.withColumn("bin", bin_left_closed(F.col("value"), F.col("_edges")))
+    # values outside the reference range keep a NULL bin and weigh nothing
+    inside = lambda c: F.sum(F.when(F.col("bin").isNotNull(), F.col(c)).otherwise(0)).alias(c)
+    cells = binned.groupBy("column", "bin").agg(inside("e"), inside("a"))
     sums = cells.groupBy("column").agg(F.sum("e").alias("_es"), F.sum("a").alias("_as"))
     share = lambda c, s: F.when(F.col(c) == 0, 1e-6).otherwise(F.col(c) / F.greatest(F.col(s), F.lit(1)))
     pe, pa = share("e", "_es"), share("a", "_as")

@@ -42,7 +42,7 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, score: st
     t = class_metrics(df, label, prediction, by)
     total = F.sum("support")
     weighted = lambda c: F.sum(F.col(c) * F.col("support")) / total
-    binary = lambda c: F.max(F.when(F.col("cls") == positive, F.col(c)))
+    binary = lambda c: F.max(F.when(F.col("cls").cast("string") == str(positive), F.col(c)))
     classes = F.count(F.when(F.col("support") > 0, 1))
     use_binary = (classes == 2) if average == "auto" else F.lit(average == "binary")
     out = t.groupBy(*by).agg(

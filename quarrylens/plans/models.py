@@ -143,7 +143,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, algorithm
     """
     problem = problem or problem_type(df, label)
     metric = "f1" if problem == "classification" else "r2"
-    cut = fold_ids(df.select(key, *features, label).dropna(), key, folds,
+    cut = fold_ids(df.select(*dict.fromkeys([key, *features, label])).dropna(), key, folds,
                    label if problem == "classification" else None).persist()
     out = []
     try:
