@@ -41,15 +41,32 @@ def _count_not_above(splits: Column, key: Column, upper: int) -> Column:
     )
 
 
-def with_bucket(df: DataFrame, key: Column, name: str = "_bucket") -> DataFrame:
-    """Add an order-preserving range bucket of ``key`` (balanced for unique keys)."""
+def _hash_sample(keys: DataFrame, size: int) -> DataFrame:
+    """About ``size`` keys with the smallest hashes, the same ones in every evaluation.
+
+    Larger samples are drawn per hash shard: every task passes on at most ``size`` keys
+    and the merge is spread over the shards instead of one task.
+    """
+    if size <= 512:
+        return keys.orderBy(F.xxhash64("_key"), "_key").limit(size)
+    shards = size // 512
+    w = W.partitionBy("_shard").orderBy("_h", "_key")
+    ranked = keys.select("_key", F.xxhash64("_key").alias("_h")).withColumn(
+        "_shard", F.pmod(F.xxhash64("_h"), F.lit(shards)))
+    return ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 512).select("_key")
+
+
+def with_bucket(df: DataFrame, key: Column, name: str = "_bucket",
+                shared: Sequence[str] = ()) -> DataFrame:
+    """Add an order-preserving range bucket of ``key`` (balanced for unique keys).
+
+    ``shared`` names aggregate columns of ``df``.  The sample reads them too, which
+    keeps its plan below the shuffle equal to the main branch, so that Spark runs the
+    aggregation once and reuses the exchange.
+    """
     target = bucket_target(df.sparkSession)
-    sample = (
-        df.select(key.alias("_key"))
-        .where(F.col("_key").isNotNull())
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(target * _OVERSAMPLE)
-    )
+    source = df.where(F.xxhash64(*shared) != F.lit(0)) if shared else df
+    sample = _hash_sample(source.select(key.alias("_key")).where(F.col("_key").isNotNull()), target * _OVERSAMPLE)
     cuts = sample.agg(F.array_sort(F.collect_list("_key")).alias("_all")).select(
         F.transform(
             F.sequence(F.lit(1), F.lit(target - 1)),
@@ -88,7 +105,7 @@ def running_totals(
     value repeated a billion times is one row here.
     """
     by = list(by)
-    rows = with_bucket(counts, F.col(value))
+    rows = with_bucket(counts, F.col(value), shared=sums)
     totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     whole = W.partitionBy(*_by(by))
     ahead = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
 from quarrylens.functions.quantiles import quantiles, quantiles_of_counts, widen
-from quarrylens.functions.ranks import value_counts
+from quarrylens.functions.ranks import sequence_index, value_counts
 from quarrylens.functions.scalars import one_row, safe_div, sample_skew
 from quarrylens.operators.correlation import correlation_matrix, pearson_pairs
 from quarrylens.operators.sampling import sample_random
+from quarrylens.operators.sequence import running
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
@@ -111,15 +112,14 @@ def bar(df: DataFrame, column: str, value: str | None = None) -> DataFrame:
     """Counts (or sums of ``value``) and shares per category."""
     size = F.sum(value) if value else F.count(F.lit(1))
     t = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("category")).agg(size.alias("total"))
-    return t.withColumn("share", F.col("total") / F.sum("total").over(W.partitionBy(F.lit(0))) * 100)
+    return t.withColumn("share", F.col("total") / t.agg(F.sum("total")).scalar() * 100)
 
 
 def pie(df: DataFrame, column: str, value: str | None = None) -> DataFrame:
     """As :func:`bar`, with the rank of the slice and the share covered so far."""
-    t = bar(df, column, value)
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("total"), "category")
-    return t.withColumns({"rank": F.row_number().over(w),
-                          "cumulative_share": F.sum("share").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    t = sequence_index(bar(df, column, value), ["total", "category"], descending=["total"])
+    t = running(t, {"cumulative_share": F.col("share")}, ["_index"])
+    return t.withColumn("rank", (F.col("_index") + 1).cast("int")).drop("_index")
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
 from quarrylens.functions.ranks import running_totals
-from quarrylens.functions.scalars import no_nan, numeric_columns
+from quarrylens.functions.scalars import no_nan, numeric_columns, one_row
 
 
 def pair_columns(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -34,18 +35,56 @@ def _both_ways(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select("col1", "col2", "r").unionByName(flipped).unionByName(ones)
 
 
+JVM_PAIRS = 10
+
+
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r and pair count for all ``pairs`` in one aggregation (pairwise complete)."""
+    """Pearson r and pair count for all ``pairs`` in one pass (pairwise complete).
+
+    Up to ``JVM_PAIRS`` pairs are plain aggregates; more would outgrow generated code,
+    so each task then sums cross products of Arrow batches as matrices.
+    """
+    if len(pairs) > JVM_PAIRS:
+        return _pearson_matrix(df, pairs)
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)).cast("double"), F.when(both, F.col(b)).cast("double")
-        ok = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-        aggs += [F.when(ok, no_nan(F.corr(x, y))).alias(f"{i}|r"),
-                 F.count(F.when(both, 1)).alias(f"{i}|n")]
+        aggs += [no_nan(F.corr(x, y)).alias(f"{i}|r"), F.count(F.when(both, 1)).alias(f"{i}|n")]
     return _long_pairs(df.agg(*aggs), pairs)
 
 
+def _pearson_matrix(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    k = len(columns)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+    centred = df.withColumn("_m", one_row(means)).select(
+        *[(F.col(c).cast("double") - F.col(f"_m.`{c}`")).alias(c) for c in columns])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64", na_value=np.nan)
+            known = ~np.isnan(x)
+            x, w = np.where(known, x, 0.0), known.astype("float64")
+            sums += np.stack([w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x])
+        i, j = np.triu_indices(k, 1)
+        yield pd.DataFrame({
+            "i": i.astype("int32"), "j": j.astype("int32"), "n": sums[0][i, j], "sx": sums[1][i, j], "sy": sums[1][j, i],
+            "sxx": sums[2][i, j], "syy": sums[2][j, i], "sxy": sums[3][i, j]})
+
+    parts = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    t = centred.mapInPandas(products, "i int, j int, " + ", ".join(f"{p} double" for p in parts)).groupBy("i", "j").agg(
+        *[F.sum(p).alias(p) for p in parts])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    r = F.when((vx > 0) & (vy > 0), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    at = {c: i for i, c in enumerate(columns)}
+    wanted = df.sparkSession.createDataFrame(
+        [(min(at[a], at[b]), max(at[a], at[b]), a, b) for a, b in pairs], "i int, j int, col1 string, col2 string")
+    return wanted.join(t, ["i", "j"], "left").select("col1", "col2", r.alias("r"), F.col("n").cast("bigint").alias("n"))
+
+
 def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return (
         df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))

@@ -16,8 +16,8 @@ def confusion(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
     """Cells of the confusion matrix with their share."""
     cells = df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).groupBy(
         *by, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("count"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return cells.withColumn("pct", F.col("count") / F.sum("count").over(w) * 100)
+    total = F.sum("count").over(W.partitionBy(*by)) if by else cells.agg(F.sum("count")).scalar()
+    return cells.withColumn("pct", F.col("count") / total * 100)
 
 
 def class_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
@@ -160,13 +159,12 @@ def attrition_features(df: DataFrame, hired: str | None = None, department: str
 def diversity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of every value (NULL included) and Simpson's index per column."""
     counts = text_melt(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    share = F.col("count") / F.sum("count").over(W.partitionBy("column"))
-    rows = counts.withColumn("_p", share)
-    w = W.partitionBy("column")
-    return rows.select(
-        "column", "value", "count", (F.col("_p") * 100).alias("percentage"),
-        (1 - F.sum(F.col("_p") * F.col("_p")).over(w)).alias("simpson_index"),
-        F.count(F.lit(1)).over(w).alias("unique_groups"))
+    c = F.col("count").cast("double")
+    per_column = counts.groupBy("column").agg(
+        F.sum(c).alias("_n"), F.sum(c * c).alias("_s"), F.count(F.lit(1)).alias("unique_groups"))
+    return counts.join(per_column, "column").select(
+        "column", "value", "count", (F.col("count") / F.col("_n") * 100).alias("percentage"),
+        (1 - F.col("_s") / (F.col("_n") * F.col("_n"))).alias("simpson_index"), "unique_groups")
 
 
 def pay_gap(df: DataFrame, salary: str, group: str) -> DataFrame:
@@ -176,7 +174,7 @@ def pay_gap(df: DataFrame, salary: str, group: str) -> DataFrame:
     med = quantiles_wide(rows, "s", {"median": 0.5}, ["group"])
     t = rows.groupBy("group").agg(
         F.round(F.avg("s"), 2).alias("mean"), F.count("s").alias("count"), F.stddev_samp("s").alias("std")).join(med, "group")
-    top = F.max("mean").over(W.partitionBy(F.lit(0)))
+    top = t.agg(F.max("mean")).scalar()
     return t.select("group", "mean", "median", "count", F.coalesce("std", F.lit(0.0)).alias("std"),
                     (top - F.col("mean")).alias("absolute_gap"),
                     F.when(top > 0, (top - F.col("mean")) / top * 100).otherwise(0.0).alias("percentage_gap"),
@@ -187,8 +185,7 @@ def pay_gap_by_role(df: DataFrame, salary: str, group: str, role: str) -> DataFr
     """Gap of every group to the best-paid group of the same role."""
     t = df.where(F.col(group).isNotNull() & F.col(role).isNotNull()).groupBy(
         F.col(role).alias("role"), F.col(group).alias("group")).agg(F.avg(F.col(salary).cast("double")).alias("mean"))
-    top = F.max("mean").over(W.partitionBy("role"))
-    rows = t.withColumn("_top", top)
+    rows = t.join(t.groupBy("role").agg(F.max("mean").alias("_top")), "role")
     return rows.where(F.col("mean") < F.col("_top")).select(
         "role", "group", ((F.col("_top") - F.col("mean")) / F.col("_top") * 100).alias("gap_pct"))
 
@@ -234,7 +231,7 @@ def attribution(df: DataFrame, channel: str, conversion: str, revenue: str | Non
     if revenue:
         aggs.append(F.sum(F.coalesce(F.col(revenue).try_cast("double"), F.lit(0.0))).alias("revenue"))
     t = df.where(F.col(channel).isNotNull()).groupBy(F.col(channel).alias("channel")).agg(*aggs)
-    total = F.sum("conversions").over(W.partitionBy(F.lit(0)))
+    total = t.agg(F.sum("conversions")).scalar()
     out = t.withColumns({
         "conversion_rate": F.col("conversions") / F.col("touches"),
         "attribution_share": F.when(total > 0, F.col("conversions") / total).otherwise(0.0)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from quarrylens.functions.quantiles import melt, quantiles, quantiles_of_counts, widen
 from quarrylens.functions.ranks import running_totals, value_counts
 from quarrylens.functions.scalars import (
+    no_nan,
     numeric_columns,
     one_row,
     safe_div,
@@ -19,17 +20,19 @@ from quarrylens.functions.scalars import (
     sample_skew,
     string_columns,
 )
+from quarrylens.session import cut_lineage
 
-# Date layouts accepted when a string column is tested for dates.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "yyyy/M/d",
-    "M-d-yyyy",
-    "d-M-yyyy",
-)
+# Date layouts accepted when a string column is tested for dates, with the
+# shape a value must have before it is parsed (parsing misses are slow).
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+}
 
 
 def missing(c: str, df: DataFrame) -> Column:
@@ -59,8 +62,11 @@ def text_melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 
 def unique_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact distinct non-null values per column, pre-aggregated before the shuffle by column."""
-    counts = value_counts(text_melt(df, columns), "value", ["column"])
-    seen = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    # 128 bits of hash stand for a value, so that long texts are not shuffled
+    pair = F.when(F.col("value").isNotNull(), F.struct(
+        F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), F.col("value")).alias("b")))
+    counts = value_counts(text_melt(df, columns).withColumn("value", pair), "value", ["column"])
+    seen = counts.groupBy("column").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("unique"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(seen, "column", "left").select(
         "column", F.coalesce("unique", F.lit(0)).alias("unique")
@@ -68,63 +74,55 @@ def unique_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, missing, unique, moments, quartiles, shape and most frequent value per column."""
+    """Count, missing, unique, moments, quartiles, shape and most frequent value per column.
+
+    Works on unpivoted rows: a handful of aggregates per column key instead of one very
+    wide aggregate, and one value-count table for distinct counts, quartiles and tops.
+    """
     columns = list(columns or df.columns)
     nums = [c for c in columns if c in set(numeric_columns(df))]
     others = [c for c in columns if c not in nums]
-    fields = ["count", "missing", "missing_pct", "mean", "std", "min", "max", "skew", "kurtosis",
-              "zeros", "negatives"]
-    aggs = []
-    for c in columns:
-        gap = missing(c, df)
-        x = F.when(~gap, F.col(c)).cast("double") if c in nums else F.lit(None).cast("double")
-        aggs += [
-            F.sum(F.when(gap, 0).otherwise(1)).alias(f"{c}|count"),
-            F.sum(F.when(gap, 1).otherwise(0)).alias(f"{c}|missing"),
-            (F.avg(F.when(gap, 1.0).otherwise(0.0)) * 100).alias(f"{c}|missing_pct"),
-            F.avg(x).alias(f"{c}|mean"),
-            F.stddev_samp(x).alias(f"{c}|std"),
-            F.min(x).alias(f"{c}|min"),
-            F.max(x).alias(f"{c}|max"),
-            sample_skew(x).alias(f"{c}|skew"),
-            sample_kurtosis(x).alias(f"{c}|kurtosis"),
-            F.sum(F.when(x == 0, 1).otherwise(0)).alias(f"{c}|zeros"),
-            F.sum(F.when(x < 0, 1).otherwise(0)).alias(f"{c}|negatives"),
-        ]
-    base = _rows_from(df.agg(*aggs), columns, fields)
-    extra = None
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    fields = ["count", "mean", "std", "min", "max", "skew", "kurtosis", "zeros", "negatives", "unique",
+              "q25", "median", "q75", "top", "top_freq"]
+    distinct = F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("unique")
+    parts = []
     if nums:
-        counts = value_counts(melt(df, nums), "value", ["column"])
+        x = F.col("value")
+        rows = melt(df, nums).withColumn("value", no_nan(x)).where(x.isNotNull())
+        moments = rows.groupBy("column").agg(
+            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+            F.max(x).alias("max"), sample_skew(x).alias("skew"), sample_kurtosis(x).alias("kurtosis"),
+            F.count(F.when(x == 0, 1)).alias("zeros"), F.count(F.when(x < 0, 1)).alias("negatives"))
+        counts = value_counts(rows, "value", ["column"])
         named = {"q25": 0.25, "median": 0.5, "q75": 0.75}
         quart = widen(
-            quantiles_of_counts(counts, "value", [0.25, 0.5, 0.75], ["column"]), named, ["column"]
-        )
-        extra = (
-            counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
-            .join(quart, "column", "left")
-            .select("column", "unique", "q25", "median", "q75",
-                    F.lit(None).cast("string").alias("top"),
-                    F.lit(None).cast("bigint").alias("top_freq"))
-        )
+            quantiles_of_counts(counts, "value", [0.25, 0.5, 0.75], ["column"]), named, ["column"])
+        parts.append(
+            moments.join(counts.groupBy("column").agg(distinct), "column").join(quart, "column")
+            .withColumns({"top": F.lit(None).cast("string"), "top_freq": F.lit(None).cast("bigint")}))
     if others:
         counts = value_counts(text_melt(df, others), "value", ["column"])
         best = counts.groupBy("column").agg(
-            F.count(F.lit(1)).alias("unique"),
-            F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("_b"),
-        ).select(
-            "column", "unique",
-            *[F.lit(None).cast("double").alias(q) for q in ("q25", "median", "q75")],
-            F.col("_b.value").alias("top"), (-F.col("_b.neg")).alias("top_freq"),
-        )
-        extra = best if extra is None else extra.unionByName(best)
+            distinct, F.sum("n").alias("count"),
+            F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("_b"))
+        empty = {f: F.lit(None).cast("double") for f in fields if f in (
+            "mean", "std", "min", "max", "skew", "kurtosis", "q25", "median", "q75")}
+        parts.append(best.withColumns({
+            **empty, "zeros": F.lit(0).cast("bigint"), "negatives": F.lit(0).cast("bigint"),
+            "top": F.col("_b.value"), "top_freq": -F.col("_b.neg")}))
+    found = parts[0].select("column", *fields)
+    for p in parts[1:]:
+        found = found.unionByName(p.select("column", *fields))
     dtypes = dict(df.dtypes)
-    names = df.sparkSession.createDataFrame(
-        [(c, dtypes[c]) for c in columns], "column string, dtype string"
-    )
-    return (
-        names.join(base, "column", "left").join(extra, "column", "left")
-        .withColumn("unique", F.coalesce("unique", F.lit(0)))
-    )
+    names = df.sparkSession.createDataFrame([(c, dtypes[c]) for c in columns], "column string, dtype string")
+    t = names.join(found, "column", "left").withColumn("_n", n)
+    for f in ("count", "zeros", "negatives", "unique"):
+        t = t.withColumn(f, F.coalesce(f, F.lit(0)))
+    lost = F.col("_n") - F.col("count")
+    return t.select(
+        "column", "dtype", "count", lost.alias("missing"),
+        F.coalesce(safe_div(lost * 100, F.col("_n")), F.lit(0.0)).alias("missing_pct"), *fields[1:])
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
@@ -134,13 +132,19 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def parse_date(c: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def parse_date(c: str, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
     """First layout that parses, else NULL."""
-    return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats])
+    return F.coalesce(*[
+        F.when(F.col(c).rlike(shape), F.try_to_timestamp(F.col(c), F.lit(f))) for f, shape in formats.items()])
+
 
+def detect_column_types(df: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    """Semantic type per column: numeric, categorical, datetime, text, boolean or id.
 
-def detect_column_types(df: DataFrame) -> DataFrame:
-    """Semantic type per column: numeric, categorical, datetime, text, boolean or id."""
+    ``unique`` may bring distinct counts (``column``, ``unique``) that are already known.
+    """
+    if unique is None:
+        unique = unique_counts(df, df.columns)
     strings = string_columns(df)
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in strings:
@@ -168,7 +172,7 @@ def detect_column_types(df: DataFrame) -> DataFrame:
                 (F.col(f"`{c}|dates`") if is_str else F.lit(0)).cast("bigint").alias("dates"),
             )
         )
-    facts = shape.select(F.inline(F.array(*rows))).join(unique_counts(df, df.columns), "column")
+    facts = shape.select(F.inline(F.array(*rows))).join(unique.select("column", "unique"), "column")
     u, n = F.col("unique"), F.col("n")
     semantic = (
         F.when(F.col("is_bool"), "boolean")
@@ -219,9 +223,13 @@ def missing_summary(df: DataFrame) -> DataFrame:
     return totals.select(F.inline(F.array(*rows)))
 
 
-def profile_warnings(df: DataFrame) -> DataFrame:
+def profile_warnings(df: DataFrame, stats: DataFrame | None = None, types: DataFrame | None = None,
+                     gaps: DataFrame | None = None) -> DataFrame:
     """High missing share, constants, wide categoricals, strong skew, few complete rows."""
-    facts = column_stats(df).join(detect_column_types(df).select("column", "semantic_type"), "column")
+    stats = cut_lineage(column_stats(df)) if stats is None else stats
+    types = detect_column_types(df, stats) if types is None else types
+    gaps = missing_summary(df) if gaps is None else gaps
+    facts = stats.join(types.select("column", "semantic_type"), "column")
     m, u, s = F.col("missing_pct"), F.col("unique"), F.col("skew")
 
     def finding(cond: Column, kind: str, severity: str, value: Column) -> Column:
@@ -242,7 +250,7 @@ def profile_warnings(df: DataFrame) -> DataFrame:
         "column", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("f")
     ).select("column", "f.type", "f.severity", "f.value")
     low = (
-        missing_summary(df).select("complete_rows_pct").limit(1)
+        gaps.select("complete_rows_pct").limit(1)
         .where(F.col("complete_rows_pct") < 50)
         .select(F.lit(None).cast("string").alias("column"), F.lit("low_completeness").alias("type"),
                 F.lit("high").alias("severity"), F.col("complete_rows_pct").alias("value"))
@@ -359,16 +367,20 @@ def profile(df: DataFrame) -> DataFrame:
             F.lit(section).alias("section"), item.alias("item"), F.explode(packed).alias("m")
         ).select("section", "item", "m.metric", "m.value").where(F.col("value").isNotNull())
 
+    # one small row per column: computed once, then shared by all sections
+    stats = cut_lineage(column_stats(df))
+    types = cut_lineage(detect_column_types(df, stats))
+    gaps = cut_lineage(missing_summary(df))
     shape = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
     parts = [
         long(shape, "shape", F.lit("table"), ["rows", "columns"]),
-        long(detect_column_types(df), "type", F.col("column"), ["dtype", "semantic_type", "cardinality"]),
-        long(column_stats(df), "stats", F.col("column"),
+        long(types, "type", F.col("column"), ["dtype", "semantic_type", "cardinality"]),
+        long(stats, "stats", F.col("column"),
              ["count", "missing", "missing_pct", "unique", "mean", "std", "min", "q25", "median",
               "q75", "max", "skew", "kurtosis", "zeros", "negatives", "top", "top_freq"]),
-        long(missing_summary(df), "missing", F.col("column"),
+        long(gaps, "missing", F.col("column"),
              ["missing", "missing_pct", "total_missing", "overall_pct", "complete_rows_pct"]),
-        long(profile_warnings(df), "warning", F.coalesce("column", F.lit("table")),
+        long(profile_warnings(df, stats, types, gaps), "warning", F.coalesce("column", F.lit("table")),
              ["type", "severity", "value"]),
     ]
     nums = numeric_columns(df)

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 DELIMITERS = (",", ";", "\t", "|")
 
 
+# Spark's names of encodings that have another usual name.
+CHARSETS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "utf-8-sig": "utf-8", "ascii": "us-ascii"}
+
+
 def drop_empty(df: DataFrame) -> DataFrame:
     """Drop rows and columns that hold no value at all."""
     rows = df.dropna("all")
@@ -26,8 +30,14 @@ def drop_empty(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path, *, delimiter: str | None = None, encoding: str = "utf-8", header: bool = True,
              nrows: int | None = None, na_values: str | None = None, schema: str | None = None,
              timestamp_format: str | None = None, infer: bool = True) -> DataFrame:
-    """Delimited text; malformed lines are dropped, header names stripped, empty rows and columns removed."""
-    options = {"sep": delimiter or detect_delimiter(spark, path), "encoding": encoding, "header": header,
+    """Delimited text; malformed lines are dropped, header names stripped, empty rows and columns removed.
+
+    ``encoding="auto"`` scans for bytes that are not UTF-8 and falls back to latin-1.
+    """
+    if encoding == "auto":
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
+        encoding = "utf-8" if broken.isEmpty() else "latin-1"
+    options = {"sep": delimiter or detect_delimiter(spark, path), "encoding": CHARSETS.get(encoding, encoding), "header": header,
                "mode": "DROPMALFORMED", "inferSchema": infer and schema is None}
     if na_values is not None:
         options["nullValue"] = na_values
