@@ -165,10 +165,12 @@ def residual_points(df: DataFrame, label: str, prediction: str, key: str) -> Dat
                      (F.col(label).cast("double") - F.col(prediction)).alias("residual"))
 
 
-def waterfall(contributions: DataFrame, key: str, row, top: int = 15) -> DataFrame:
-    """Largest contributions of one row."""
-    t = contributions.where(F.col(key) == row).orderBy(F.desc(F.abs(F.col("impact"))), "feature").limit(top)
-    return t.select("feature", "impact")
+def waterfall(contributions: DataFrame, key: str, top: int = 15) -> DataFrame:
+    """Largest contributions of every row, with the sum of all its contributions."""
+    w = W.partitionBy(key).orderBy(F.desc(F.abs(F.col("impact"))), "feature")
+    ranked = contributions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    whole = contributions.groupBy(key).agg(F.sum("impact").alias("total_impact"))
+    return ranked.select(key, "feature", "impact", "rank").join(whole, key)
 
 
 def importance(table: DataFrame, top: int = 20) -> DataFrame:

@@ -59,15 +59,19 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, qk: str, ik: str, vector:
         gap = np.abs(queries[column].to_numpy()[:, None] - items[column].to_numpy()[None, :])
         d = np.where(gap <= queries[margin].to_numpy()[:, None], np.inf, d)
     keys = items[ik].to_numpy()
-    parts = []
-    for i, q in enumerate(queries[qk].to_numpy()):
-        order = np.lexsort((keys, d[i]))[: k]
-        order = order[np.isfinite(d[i][order])]
-        part = items.iloc[order][[ik, *payload]].copy()
-        part.insert(0, qk, q)
-        part["distance"] = d[i][order]
-        parts.append(part)
-    return pd.concat(parts, ignore_index=True)[[qk, ik, "distance", *payload]]
+    picked, owners = [], []
+    for i in range(len(queries)):
+        row = d[i]
+        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+        near = near[np.isfinite(row[near])]
+        best = near[np.lexsort((keys[near], row[near]))[:k]]
+        picked.append(best)
+        owners.append(np.full(len(best), i))
+    at, who = np.concatenate(picked), np.concatenate(owners)
+    out = items.iloc[at][[ik, *payload]].reset_index(drop=True)
+    out.insert(0, qk, queries[qk].to_numpy()[who])
+    out["distance"] = d[who, at]
+    return out[[qk, ik, "distance", *payload]]
 
 
 def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: str, vector: str,
@@ -122,10 +126,13 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
 
 
 def knn_predict(train: DataFrame, queries: DataFrame, *, query_key: str, item_key: str,
-                vector: str, label: str, k: int = 5) -> DataFrame:
-    """Majority label of the k nearest training rows (smallest label on ties)."""
+                vector: str, label: str, k: int = 5, differ_on: str | None = None) -> DataFrame:
+    """Majority label of the k nearest training rows (smallest label on ties).
+
+    ``differ_on`` names a row id on both sides, for leave-one-out prediction.
+    """
     found = nearest(queries, train, query_key=query_key, item_key=item_key, vector=vector, k=k,
-                    payload=[label])
+                    payload=[label], differ_on=differ_on)
     votes = found.groupBy(query_key, label).agg(F.count(F.lit(1)).alias("votes"))
     best = F.min(F.struct((-F.col("votes")).alias("k"), F.col(label).alias("label"))).alias("b")
     return votes.groupBy(query_key).agg(best).select(

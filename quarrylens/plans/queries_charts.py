@@ -119,19 +119,18 @@ def _(t):
 
 
 _TS = f"""cal AS (SELECT unnest(range(date_trunc('hour', (SELECT min(ts) FROM events)), (SELECT max(ts) FROM events), INTERVAL 1 HOUR)) AS period),
-    v AS (SELECT date_trunc('hour', ts) AS period, avg(value) AS value FROM events WHERE user_id < 20 GROUP BY 1)"""
-_TS = _TS.replace("(SELECT min(ts) FROM events)", "(SELECT min(ts) FROM events WHERE user_id < 20)").replace("(SELECT max(ts) FROM events)", "(SELECT max(ts) FROM events WHERE user_id < 20)")
+    v AS (SELECT date_trunc('hour', ts) AS period, avg(value) AS value FROM events GROUP BY 1)"""
 
 
 @query("time_series", f"WITH {_TS} SELECT cal.period, {r('v.value')} AS value FROM cal LEFT JOIN v ON v.period = cal.period")
 def _(t):
-    return tidy(G.time_series(t.events.where("user_id < 20"), "ts", "value", "hour"))
+    return tidy(G.time_series(t.events, "ts", "value", "hour"))
 
 
 @query("time_series_change", f"""WITH {_TS} SELECT {r('arg_min(value, period)')} AS first, {r('arg_max(value, period)')} AS last, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std, count(*) AS n,
     {r('(arg_max(value, period) - arg_min(value, period)) / abs(arg_min(value, period)) * 100', 4)} AS overall_change_pct FROM v""")
 def _(t):
-    return tidy(G.time_series_change(G.time_series(t.events.where("user_id < 20"), "ts", "value", "hour")), overall_change_pct=4)
+    return tidy(G.time_series_change(G.time_series(t.events, "ts", "value", "hour")), overall_change_pct=4)
 
 
 @query("chart_funnel", f"""WITH {_FUNNEL}, d AS (SELECT *, lag(stage) OVER (ORDER BY position) AS ps, (pc - c) * 100.0 / pc AS dr FROM p)

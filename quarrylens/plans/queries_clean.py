@@ -247,10 +247,10 @@ def _(t):
 
 
 @query("merge_outer", f"""SELECT coalesce(c_custkey, o_custkey) AS k, c_mktsegment, {r('o_totalprice', 2)} AS o_totalprice
-    FROM customer FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 490000) ON c_custkey = o_custkey""")
+    FROM customer FULL JOIN orders ON c_custkey = o_custkey""")
 def _(t):
     left = t.customer.select(F.col("c_custkey").alias("k"), "c_mktsegment")
-    right = t.orders.where("o_totalprice > 490000").select(F.col("o_custkey").alias("k"), "o_totalprice")
+    right = t.orders.select(F.col("o_custkey").alias("k"), "o_totalprice")
     return tidy(J.merge(left, right, "k", "outer"), 2)
 
 

@@ -175,7 +175,8 @@ def _(t):
 
 @query("compare_models")
 def _(t):
-    return tidy(C.compare_models(fold_scores(t).where("experiment = 'A'")))
+    runs = fold_scores(t).withColumn("fold", F.concat_ws("-", "experiment", "fold"))
+    return tidy(C.compare_models(runs.drop("experiment")))
 
 
 # ---- training, validation, scoring -----------------------------------------------------
@@ -226,12 +227,13 @@ def _(t):
 
 
 @query("knn_predict", f"""WITH d AS (SELECT q.vec_id AS q, i.label, list_sum(list_transform(list_zip(q.embedding, i.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d, i.vec_id AS i
-      FROM embeddings q JOIN embeddings i ON q.vec_id % 10 = 0 AND i.vec_id % 10 <> 0), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, i) <= 5),
+      FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, i) <= 5),
     v AS (SELECT q, label, count(*) AS votes FROM k GROUP BY 1, 2)
     SELECT q AS vec_id, label AS prediction, votes FROM v QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, label) = 1""")
 def _(t):
-    train = t.embeddings.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "item")
-    return N.knn_predict(train, t.embeddings.where("vec_id % 10 = 0"), query_key="vec_id", item_key="item", vector="embedding", label="label")
+    rows = t.embeddings.withColumn("self", F.col("vec_id"))
+    return N.knn_predict(rows.withColumnRenamed("vec_id", "item"), rows, query_key="vec_id", item_key="item", vector="embedding",
+                         label="label", differ_on="self")
 
 
 @query("cross_validate")
@@ -306,9 +308,10 @@ def _(t):
     return tidy(X.mean_abs_impact(X.linear_contributions(suppliers(t), "s_suppkey", _W)), 4)
 
 
-@query("shap_force", f"WITH {_SUPP}, {_CONTRIB} SELECT feature, {r('impact', 4)} AS impact FROM c WHERE s_suppkey = 7 ORDER BY abs(c.impact) DESC LIMIT 15")
+@query("shap_force", f"""WITH {_SUPP}, {_CONTRIB} SELECT s_suppkey, feature, {r('impact', 4)} AS impact,
+    (row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(c.impact) DESC, feature))::INTEGER AS rank, {r('sum(c.impact) OVER (PARTITION BY s_suppkey)', 4)} AS total_impact FROM c""")
 def _(t):
-    return tidy(G.waterfall(X.linear_contributions(suppliers(t), "s_suppkey", _W), "s_suppkey", 7), 4)
+    return tidy(G.waterfall(X.linear_contributions(suppliers(t), "s_suppkey", _W), "s_suppkey"), 4)
 
 
 @query("chart_importance", f"""WITH {_SUPP}, {_CONTRIB}, i AS (SELECT feature, avg(abs(impact)) AS importance FROM c GROUP BY 1)
@@ -351,7 +354,7 @@ def _(t):
     return tidy(X.what_if_sweep(suppliers(t), linear, "l_quantity", [10.0, 20.0, 30.0], "s_suppkey"), 4)
 
 
-_CF = """d AS (SELECT q.c_custkey AS k, i.c_custkey AS j, abs(q.c_acctbal - i.c_acctbal) AS d, q.{p} AS op, i.{p} AS np, q.c_acctbal AS ov, i.c_acctbal AS nv FROM cust q JOIN cust i ON q.c_custkey < 40 AND {cond}),
+_CF = """d AS (SELECT q.c_custkey AS k, i.c_custkey AS j, abs(q.c_acctbal - i.c_acctbal) AS d, q.{p} AS op, i.{p} AS np, q.c_acctbal AS ov, i.c_acctbal AS nv FROM cust q JOIN cust i ON {cond}),
     n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, j) AS rank FROM d QUALIFY rank <= 3)
     SELECT k AS c_custkey, j AS cf_key, rank::INTEGER AS rank, {d} AS distance, op::DOUBLE AS original_pred, np::DOUBLE AS new_pred, 'c_acctbal' AS feature, {o} AS original, {c} AS counterfactual FROM n"""
 
@@ -360,19 +363,30 @@ _CF = """d AS (SELECT q.c_custkey AS k, i.c_custkey AS j, abs(q.c_acctbal - i.c_
        + _CF.format(p="p", cond="q.p <> i.p", d=r("d", 4), o=r("ov", 4), c=r("nv", 4)))
 def _(t):
     rows = t.customer.select("c_custkey", "c_acctbal", (F.col("c_nationkey") % 3).alias("prediction"))
-    return tidy(X.counterfactual(rows.where("c_custkey < 40"), rows, ["c_acctbal"], "c_custkey"), 4)
+    return tidy(X.counterfactual(rows, rows, ["c_acctbal"], "c_custkey"), 4)
 
 
 @query("counterfactual_regression", "WITH cust AS (SELECT c_custkey, c_acctbal, c_nationkey * 10.0 + 5 AS p FROM customer), "
        + _CF.format(p="p", cond="abs(q.p - i.p) > greatest(0.1 * abs(q.p), 0.5 * (SELECT stddev_pop(p) FROM cust))", d=r("d", 4), o=r("ov", 4), c=r("nv", 4)))
 def _(t):
     rows = t.customer.select("c_custkey", "c_acctbal", (F.col("c_nationkey") * 10.0 + 5).alias("prediction"))
-    return tidy(X.counterfactual(rows.where("c_custkey < 40"), rows, ["c_acctbal"], "c_custkey", regression=True), 4)
+    return tidy(X.counterfactual(rows, rows, ["c_acctbal"], "c_custkey", regression=True), 4)
 
 
-@query("vector_search", f"""WITH d AS (SELECT q.vec_id AS query, i.vec_id AS item, 1 - list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings i ON q.vec_id % 25 = 0 AND i.label < 8)
-    SELECT query, item, {r('d')} AS distance, (row_number() OVER (PARTITION BY query ORDER BY d, item))::INTEGER AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, item) <= 5""")
+_SEARCH = """WITH d AS (SELECT q.vec_id AS query, i.vec_id AS item, 1 - list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings i ON {cond})
+    SELECT query, item, {d} AS distance, (row_number() OVER (PARTITION BY query ORDER BY d, item))::INTEGER AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, item) <= 5"""
+
+
+def search(t, where=None):
+    q = t.embeddings.select(F.col("vec_id").alias("query"), "embedding")
+    return N.vector_search(q, t.embeddings.withColumnRenamed("vec_id", "item"), query_key="query", item_key="item", where=where)
+
+
+@query("vector_search", _SEARCH.format(cond="TRUE", d=r("d")))
+def _(t):
+    return tidy(search(t))
+
+
+@query("vector_search_filtered", _SEARCH.format(cond="i.label < 8", d=r("d")))
 def _(t):
-    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), "embedding")
-    items = t.embeddings.withColumnRenamed("vec_id", "item")
-    return tidy(N.vector_search(q, items, query_key="query", item_key="item", where="label < 8"))
+    return tidy(search(t, "label < 8"))
