@@ -56,17 +56,10 @@ def _hash_sample(keys: DataFrame, size: int) -> DataFrame:
     return ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 512).select("_key")
 
 
-def with_bucket(df: DataFrame, key: Column, name: str = "_bucket",
-                shared: Sequence[str] = ()) -> DataFrame:
-    """Add an order-preserving range bucket of ``key`` (balanced for unique keys).
-
-    ``shared`` names aggregate columns of ``df``.  The sample reads them too, which
-    keeps its plan below the shuffle equal to the main branch, so that Spark runs the
-    aggregation once and reuses the exchange.
-    """
+def with_bucket(df: DataFrame, key: Column, name: str = "_bucket") -> DataFrame:
+    """Add an order-preserving range bucket of ``key`` (balanced for unique keys)."""
     target = bucket_target(df.sparkSession)
-    source = df.where(F.xxhash64(*shared) != F.lit(0)) if shared else df
-    sample = _hash_sample(source.select(key.alias("_key")).where(F.col("_key").isNotNull()), target * _OVERSAMPLE)
+    sample = _hash_sample(df.select(key.alias("_key")).where(F.col("_key").isNotNull()), target * _OVERSAMPLE)
     cuts = sample.agg(F.array_sort(F.collect_list("_key")).alias("_all")).select(
         F.transform(
             F.sequence(F.lit(1), F.lit(target - 1)),
@@ -105,7 +98,11 @@ def running_totals(
     value repeated a billion times is one row here.
     """
     by = list(by)
-    rows = with_bucket(counts, F.col(value), shared=sums)
+    rest = [c for c in counts.columns if c != value and c not in by]
+    # The condition always holds.  It reads every column, so that the branches below (sample,
+    # bucket totals, rows) keep equal plans under the shuffle and Spark reuses its exchange.
+    counts = counts.where(F.xxhash64(*rest) >= F.lit(-(2**63)))
+    rows = with_bucket(counts, F.col(value))
     totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     whole = W.partitionBy(*_by(by))
     ahead = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -43,9 +43,15 @@ def _rank_bin(index: str, total: str, bins: int = 5) -> Column:
 def rfm(df: DataFrame, customer: str, date: str, amount: str) -> DataFrame:
     """Quintile scores 1-5 per customer: recency by value, frequency and money by rank."""
     base = cut_lineage(_customers(df, customer, date, amount, 1))
-    rows = sequence_index(base, ["frequency", customer], name="_f", total="_n")
-    rows = sequence_index(rows, ["monetary", customer], name="_m")
-    rows = sequence_index(rows, ["recency_days", customer], name="_r")
+    measures = ["recency_days", "frequency", "monetary"]
+    # the three rankings share one pass over unpivoted (measure, value) rows
+    ranked = sequence_index(melt(base, measures, [customer]), ["value", customer], ["column"], total="_n")
+    at = lambda c: F.max(F.when(F.col("column") == c, F.col("_index")))
+    value = lambda c: F.max(F.when(F.col("column") == c, F.col("value")))
+    rows = ranked.groupBy(customer).agg(
+        value("recency_days").cast("bigint").alias("recency_days"), value("frequency").cast("bigint").alias("frequency"),
+        value("monetary").alias("monetary"), at("recency_days").alias("_r"), at("frequency").alias("_f"),
+        at("monetary").alias("_m"), F.max("_n").alias("_n"))
     rows = rows.withColumn("_e", one_row(_edges(base, ["recency_days"], 5)))
     distinct = base.select("recency_days").distinct().limit(5).agg(F.count(F.lit(1))).scalar()
     by_value = 6 - bin_right_closed(F.col("recency_days").cast("double"), F.col("_e.recency_days"))

@@ -13,6 +13,7 @@ from quarrylens.functions.quantiles import quantiles
 from quarrylens.functions.ranks import running_totals
 from quarrylens.functions.scalars import rnd, safe_div
 from quarrylens.operators.correlation import dominance_counts
+from quarrylens.session import cut_lineage
 
 MAX_GROUPS = 50
 
@@ -36,11 +37,12 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = N
         *by, "time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored"),
         F.when(alive, F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0).alias("_log"),
         F.when(alive, 0).otherwise(1).alias("_dead"))
+    steps = cut_lineage(steps)  # one row per distinct time; ranked a second time below
     cum = running_totals(steps, "time", ["_log", "_dead"], by)
     surv = F.when(F.col("_dead_before") + F.col("_dead") > 0, 0.0).otherwise(
         F.exp(F.col("_log_before") + F.col("_log")))
     curve = cum.select(*by, "time", "at_risk", "events", "censored", surv.alias("survival"))
-    start = ranked.groupBy(*by).agg(F.max("n_total").alias("at_risk"), F.min("time").alias("_t0")).where(
+    start = steps.groupBy(*by).agg(F.max("at_risk").alias("at_risk"), F.min("time").alias("_t0")).where(
         F.col("_t0") > 0).select(
         *by, F.lit(0.0).alias("time"), "at_risk", F.lit(0).cast("bigint").alias("events"),
         F.lit(0).cast("bigint").alias("censored"), F.lit(1.0).alias("survival"))
