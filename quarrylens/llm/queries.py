@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import chat, decontaminate, exact_dedup, language_id, mixing, pii, simhash
+from quarrylens.llm import (
+    chat, context_mixing, decontaminate, exact_dedup, language_id, mixing, pii, simhash, token_shards)
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,6 +36,16 @@ def op2(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+@query("op3_context_mixing")
+def op3(spark, folder):
+    return context_mixing.text_scores(_table(spark, folder, "documents"))
+
+
+@query("op4_token_shards")
+def op4(spark, folder):
+    return token_shards.write_shards(_table(spark, folder, "documents"))
+
+
 @query("op5_mixing")
 def op5(spark, folder):
     return mixing.mix_plan(_table(spark, folder, "documents"))
