@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (
-    chat, context_mixing, decontaminate, exact_dedup, language_id, mixing, pii, simhash, token_shards)
+    chat, context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, pii, simhash, token_shards)
 
 QUERIES, ORACLES = {}, {}
 
@@ -96,6 +96,21 @@ def op8(spark, folder):
     return pii.pii_report(_table(spark, folder, "documents"))
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """``documents`` laid out as a tree ``source/4096s/256s/16s``: the first of each folder is its LICENSE file."""
+    part = [F.floor(F.col("doc_id") / n).cast("string") for n in (4096, 256, 16)]
+    folder = F.when(F.col("doc_id") % 4096 == 0, F.concat_ws("/", part[0], F.lit("LICENSE"))).when(
+        F.col("doc_id") % 256 == 0, F.concat_ws("/", *part[:2], F.lit("LICENSE"))).when(
+        F.col("doc_id") % 16 == 0, F.concat_ws("/", *part, F.lit("LICENSE"))).otherwise(
+        F.concat_ws("/", *part, F.concat("doc_id", F.lit(".txt"))))
+    return docs.select("doc_id", folder.alias("path"), "text")
+
+
+@query("op9_license_scan")
+def op9(spark, folder):
+    return licenses.scan_licenses(document_paths(_table(spark, folder, "documents")))
+
+
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<', '\l'), '>', '\g')"
 
 
