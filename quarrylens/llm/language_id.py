@@ -146,11 +146,14 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row per label
+    if not counts:
+        return {}
+    n = F.element_at(F.create_map(*[F.lit(x) for row in counts for x in row]), F.col("lang"))
     share = F.shiftrightunsigned("h", 11) * F.lit(2.0 ** -53)
-    piece = F.greatest(F.lit(256), (F.lit(size) / F.least("n", F.lit(pieces))).cast("int"))
+    piece = F.greatest(F.lit(256), (F.lit(size) / F.least(n, F.lit(pieces))).cast("int"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - piece)).cast("int") + 1
-    drawn = rows.join(counts, "lang").where(share * F.col("n") <= 4 * pieces).select(
+    drawn = rows.where(share * n <= 4 * pieces).select(
         "lang", "h", F.substring(F.col("text"), start, piece).alias("piece"))
     drawn = drawn.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     ranked = drawn.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "piece"))), 1, pieces).alias("all"))
