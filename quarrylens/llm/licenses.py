@@ -160,7 +160,8 @@ def with_license(docs: DataFrame, name: str, text_col: str = "text", templates:
 
 
 def _parent(path):
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
+    """The folder of a path, empty for the topmost one, null for a null path."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def nearest_licenses(folders: DataFrame, licensed: DataFrame) -> DataFrame:
