@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.ranks import running_totals, value_counts
+from quarrylens.functions.scalars import no_nan
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Numeric columns as ``(keep..., column, value)`` rows with double values."""
-    wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    """Numeric columns as ``(keep..., column, value)`` rows with double values, NaN as NULL."""
+    wide = df.select(*keep, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
     return wide.unpivot(list(keep), list(columns), "column", "value")
 
 

@@ -79,14 +79,14 @@ def _by(keys: Sequence[str]) -> list:
     return list(keys) if keys else [F.lit(0)]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` treating NULL keys as equal; keeps the left columns."""
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` treating NULL keys as equal; keeps the left columns."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = None
     for k in keys:
         term = left[k].eqNullSafe(renamed[f"_r_{k}"])
         cond = term if cond is None else cond & term
-    return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running_totals(
@@ -125,9 +125,12 @@ def running_totals(
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "n") -> DataFrame:
-    """Rows per distinct ``(by, value)``, NULL values left out."""
+    """Rows per distinct ``(by, value)``, NULL and NaN left out."""
+    known = F.col(value).isNotNull()
+    if dict(df.dtypes)[value] in ("double", "float"):
+        known = known & ~F.isnan(value)
     return (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias(name))
+        df.where(known).groupBy(*by, value).agg(F.count(F.lit(1)).alias(name))
     )
 
 

@@ -24,12 +24,15 @@ def tidy_name(name: str) -> str:
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
-    """Number repeated names: c, c_1, c_2 ..."""
-    seen: dict[str, int] = {}
-    out = []
+    """Number repeated names: c, c_1, c_2 ..., skipping names that are taken."""
+    taken, given, out = set(names), set(), []
     for n in names:
-        out.append(f"{n}_{seen[n]}" if n in seen else n)
-        seen[n] = seen.get(n, 0) + 1
+        new, i = n, 0
+        while new in given or (i and new in taken):
+            i += 1
+            new = f"{n}_{i}"
+        given.add(new)
+        out.append(new)
     return out
 
 

@@ -35,31 +35,17 @@ def _both_ways(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select("col1", "col2", "r").unionByName(flipped).unionByName(ones)
 
 
-JVM_PAIRS = 10
-
-
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r and pair count for all ``pairs`` in one pass (pairwise complete).
+    """Pearson r and pair count for all ``pairs`` in one pass (pairwise complete, NaN is missing).
 
-    Up to ``JVM_PAIRS`` pairs are plain aggregates; more would outgrow generated code,
-    so each task then sums cross products of Arrow batches as matrices.
+    Each task sums cross products of Arrow batches as matrices, whatever the number of pairs.
     """
-    if len(pairs) > JVM_PAIRS:
-        return _pearson_matrix(df, pairs)
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)).cast("double"), F.when(both, F.col(b)).cast("double")
-        aggs += [no_nan(F.corr(x, y)).alias(f"{i}|r"), F.count(F.when(both, 1)).alias(f"{i}|n")]
-    return _long_pairs(df.agg(*aggs), pairs)
-
-
-def _pearson_matrix(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     columns = list(dict.fromkeys(c for p in pairs for c in p))
     k = len(columns)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-    centred = df.withColumn("_m", one_row(means)).select(
-        *[(F.col(c).cast("double") - F.col(f"_m.`{c}`")).alias(c) for c in columns])
+    known_only = df.select(*[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
+    means = known_only.agg(*[F.avg(c).alias(c) for c in columns])
+    centred = known_only.withColumn("_m", one_row(means)).select(
+        *[(F.col(c) - F.col(f"_m.`{c}`")).alias(c) for c in columns])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((4, k, k))

@@ -161,23 +161,45 @@ def basket_items(df: DataFrame, transaction: str, item: str, top: int = 50) -> D
     return best.withColumn("support", F.col("count") / total)
 
 
-def basket_pairs(df: DataFrame, transaction: str, item: str, top: int = 30, max_items: int = 50) -> DataFrame:
-    """Most frequent item pairs inside a transaction.
+#: Items of a basket that are listed together; pairs of larger baskets come from pairs of such lists.
+BASKET_BLOCK = 64
 
-    The definition looks at the first ``max_items`` distinct items of a basket (string
-    order), so a basket yields a bounded list and no basket is ever gathered whole.
+
+def _pairs_of(lines: DataFrame) -> DataFrame:
+    """``item_a, item_b, count`` over whole baskets; ``lines`` holds distinct ``_t, _i`` and the basket's size ``_n``.
+
+    A basket's items are dealt into blocks by hash, and every two blocks meet in a cell of their own, so a basket of any
+    size is spread over many rows and no list grows with it.
+    """
+    blocks = F.ceil(F.col("_n") / BASKET_BLOCK)
+    rows = lines.withColumn("_k", F.pmod(F.xxhash64("_i"), blocks)).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cells = rows.groupBy("_t", F.least("_k", "_j").alias("_a"), F.greatest("_k", "_j").alias("_b")).agg(
+        F.collect_list(F.when(F.col("_k") == F.least("_k", "_j"), F.col("_i"))).alias("_x"),
+        F.collect_list(F.when(F.col("_k") == F.greatest("_k", "_j"), F.col("_i"))).alias("_y"))
+    ordered = lambda x, y: F.struct(F.least(x, y).alias("item_a"), F.greatest(x, y).alias("item_b"))
+    own = F.col("_a") == F.col("_b")
+    pairs = cells.select(F.explode(F.flatten(F.transform("_x", lambda x: F.transform(
+        F.filter("_y", lambda y: F.when(own, x < y).otherwise(F.lit(True))), lambda y: ordered(x, y))))).alias("p"))
+    return pairs.groupBy("p.item_a", "p.item_b").agg(F.count(F.lit(1)).alias("count"))
+
+
+def basket_pairs(df: DataFrame, transaction: str, item: str, top: int = 30) -> DataFrame:
+    """Most frequent item pairs inside a transaction, over whole baskets.
+
+    The pairs among the ``BASKET_BLOCK`` most frequent items give a first bound on the count of the last pair asked for;
+    items below that count cannot be part of the answer and are left out before pairs are made.
     """
     total = df.select(transaction).distinct().agg(F.count(transaction)).scalar()
-    lines = df.where(F.col(item).isNotNull()).select(transaction, F.col(item).cast("string").alias("_i")).distinct()
-    w = W.partitionBy(transaction).orderBy("_i")
-    kept = lines.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_items)
-    baskets = kept.groupBy(transaction).agg(F.array_sort(F.collect_list("_i")).alias("_b"))
-    pairs = baskets.where(F.size("_b") > 1).select(F.explode(F.flatten(F.transform(
-        F.col("_b"),
-        lambda x, i: F.transform(
-            F.slice(F.col("_b"), i + 2, F.lit(max_items)),
-            lambda y: F.struct(x.alias("item_a"), y.alias("item_b")))))).alias("p"))
-    counts = pairs.groupBy("p.item_a", "p.item_b").agg(F.count(F.lit(1)).alias("count"))
+    lines = df.where(F.col(item).isNotNull() & F.col(transaction).isNotNull()).select(
+        F.col(transaction).alias("_t"), F.col(item).cast("string").alias("_i")).distinct()
+    sized = lambda rows: rows.join(rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "_t")
+    often = lines.groupBy("_i").agg(F.count(F.lit(1)).alias("_c"))
+    lead = often.orderBy(F.desc("_c"), "_i").limit(BASKET_BLOCK).select("_i")
+    bound = _pairs_of(sized(lines.join(lead, "_i", "left_semi"))).orderBy(F.desc("count")).limit(top).agg(
+        F.when(F.count(F.lit(1)) == top, F.min("count")).otherwise(1).alias("m"))
+    kept = often.where(F.col("_c") >= bound.scalar()).select("_i")
+    counts = _pairs_of(sized(lines.join(kept, "_i", "left_semi")))
     best = counts.orderBy(F.desc("count"), "item_a", "item_b").limit(top)
     return best.withColumn("support", F.col("count") / total)
 

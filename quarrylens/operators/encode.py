@@ -20,18 +20,17 @@ def _attach(df: DataFrame, column: str, table: DataFrame, value: str, default=No
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
-            max_categories: int = 20) -> DataFrame:
-    """0/1 column per category in sorted order; columns with too many categories are left alone."""
-    done, new = [], []
+            max_categories: int | None = None) -> DataFrame:
+    """0/1 column per category in sorted order; more than ``max_categories``, where given, are an error."""
+    new = []
     for c in columns:
-        values = sorted(r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct()
-                        .limit(max_categories + 1).collect())
-        if len(values) > max_categories:
-            continue
-        done.append(c)
+        found = df.where(F.col(c).isNotNull()).select(c).distinct()
+        values = sorted(r[0] for r in (found.limit(max_categories + 1) if max_categories else found).collect())
+        if max_categories and len(values) > max_categories:
+            raise ValueError(f"{c} has more than {max_categories} categories")
         new += [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}")
                 for v in values[1 if drop_first else 0:]]
-    return df.select(*[c for c in df.columns if c not in done], *new)
+    return df.select(*[c for c in df.columns if c not in columns], *new)
 
 
 def target_encode(df: DataFrame, columns: Sequence[str], target: str, smoothing: float = 10) -> DataFrame:

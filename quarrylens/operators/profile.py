@@ -56,7 +56,7 @@ def _rows_from(stats: DataFrame, columns: Sequence[str], fields: Sequence[str])
 
 def text_melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Columns rendered as strings in ``(keep..., column, value)`` rows."""
-    wide = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns])
+    wide = df.select(*keep, *[F.when(~missing(c, df), F.col(c).cast("string")).alias(c) for c in columns])
     return wide.unpivot(list(keep), list(columns), "column", "value")
 
 
@@ -99,7 +99,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         quart = widen(
             quantiles_of_counts(counts, "value", [0.25, 0.5, 0.75], ["column"]), named, ["column"])
         parts.append(
-            moments.join(counts.groupBy("column").agg(distinct), "column").join(quart, "column")
+            moments.join(unique_counts(df, nums), "column").join(quart, "column")
             .withColumns({"top": F.lit(None).cast("string"), "top_freq": F.lit(None).cast("bigint")}))
     if others:
         counts = value_counts(text_melt(df, others), "value", ["column"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.functions.ranks import sequence_index
+from quarrylens.functions.ranks import _same, sequence_index
 
 
 def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -18,18 +18,35 @@ def _rows(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+def _cuts(df: DataFrame, key: str, seed: int, quota, by: Sequence[str] = ()) -> DataFrame:
+    """Per stratum, the last (hash, key) that belongs to its first ``quota(rows)`` rows in hash order.
+
+    Only hashes, keys and strata are ranked; the rows themselves are filtered where they are.
+    """
+    keys = _shuffled(df.select(*dict.fromkeys([*by, key])), key, seed)
+    ranked = sequence_index(keys, ["_h", key], list(by), total="_rows")
+    inside = ranked.where(F.col("_index") < quota(F.col("_rows")))
+    return inside.groupBy(*by).agg(F.max(F.struct("_h", F.col(key).alias("_k"))).alias("_cut"))
+
+
+def _within(df: DataFrame, cuts: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``_in``: whether a row lies at or before the cut of its stratum."""
+    rows = _shuffled(df, key, seed)
+    rows = _same(rows, cuts, by, "left") if by else rows.withColumn("_cut", cuts.select("_cut").scalar())
+    return rows.withColumn("_in", F.coalesce(F.struct("_h", F.col(key).alias("_k")) <= F.col("_cut"), F.lit(False)))
+
+
 def sample_random(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows, chosen by the hash order of a unique ``key``."""
-    ranked = sequence_index(_shuffled(df, key, seed), ["_h", key])
-    return ranked.where(F.col("_index") < n).select(*df.columns)
+    """Exactly ``n`` rows (or all), chosen by the hash order of a unique ``key``."""
+    cuts = _cuts(df, key, seed, lambda rows: F.lit(n))
+    return _within(df, cuts, key, seed).where("_in").select(*df.columns)
 
 
 def sample_stratified(df: DataFrame, n: int, target: str, key: str, seed: int = 42) -> DataFrame:
     """About ``n`` rows in class proportion (each class gets its rounded quota, at least one)."""
-    rows = _shuffled(df, key, seed)
-    ranked = sequence_index(rows, ["_h", key], [target], total="_class").withColumn("_n", _rows(df))
-    quota = F.greatest(F.round(F.lit(float(n)) * F.col("_class") / F.col("_n")), F.lit(1.0))
-    return ranked.where(F.col("_index") < quota).select(*df.columns)
+    all_rows = _rows(df)
+    cuts = _cuts(df, key, seed, lambda rows: F.greatest(F.round(F.lit(float(n)) * rows / all_rows), F.lit(1.0)), [target])
+    return _within(df, cuts, key, seed, [target]).where("_in").select(*df.columns)
 
 
 def sample_systematic(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
@@ -42,14 +59,10 @@ def sample_systematic(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFra
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, stratify: str | None = None,
                      seed: int = 42, name: str = "split") -> DataFrame:
-    """Add ``split`` = train / test, exact share per stratum (one stratum beyond 50 classes)."""
-    by: list[str] = []
-    if stratify and df.select(stratify).distinct().limit(51).count() <= 50:
-        by = [stratify]
-    ranked = sequence_index(_shuffled(df, key, seed), ["_h", key], by, total="_n")
-    test_rows = F.round(F.lit(test_size) * F.col("_n"))
-    return ranked.select(
-        *df.columns, F.when(F.col("_index") < test_rows, "test").otherwise("train").alias(name))
+    """Add ``split`` = train / test, exact share per stratum."""
+    by = [stratify] if stratify else []
+    cuts = _cuts(df, key, seed, lambda rows: F.round(F.lit(test_size) * rows), by)
+    return _within(df, cuts, key, seed, by).select(*df.columns, F.when(F.col("_in"), "test").otherwise("train").alias(name))
 
 
 def fold_ids(df: DataFrame, key: str, folds: int = 5, stratify: str | None = None,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.quantiles import melt, quantiles
-from quarrylens.functions.scalars import one_row
+from quarrylens.functions.scalars import no_nan, one_row
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,12 +95,15 @@ def _box_cox(x: Column, lam: float) -> Column:
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
 
 
-def box_cox_lambda(df: DataFrame, column: str) -> tuple[float, float]:
-    """Maximum-likelihood lambda and the shift that makes the column positive."""
-    row = df.agg(F.min(column).alias("lo")).first()
+def box_cox_lambda(df: DataFrame, column: str) -> tuple[float, float] | None:
+    """Maximum-likelihood lambda and the shift that makes the column positive; None for a column without values."""
+    x = no_nan(F.col(column).cast("double"))
+    row = df.agg(F.min(x).alias("lo")).first()
+    if row["lo"] is None:
+        return None
     shift = 0.0 if row["lo"] > 0 else abs(float(row["lo"])) + 1.0
-    centre = df.agg(F.avg(F.log(F.col(column) + shift)).alias("g")).first()["g"]
-    rows = df.select((F.log(F.col(column) + shift) - centre).alias("u")).where(F.col("u").isNotNull())
+    centre = df.agg(F.avg(F.log(x + shift)).alias("g")).first()["g"]
+    rows = df.select((F.log(x + shift) - centre).alias("u")).where(F.col("u").isNotNull())
 
     def curve(lam: float) -> Column:
         z = F.col("u") if abs(lam) < 1e-12 else F.exp(F.col("u") * lam) / lam
@@ -110,10 +113,12 @@ def box_cox_lambda(df: DataFrame, column: str) -> tuple[float, float]:
 
 
 def box_cox(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns without any value stay as they are."""
     new = {}
     for c in columns:
-        lam, shift = box_cox_lambda(df, c)
-        new[c] = _box_cox(F.col(c) + shift, lam)
+        found = box_cox_lambda(df, c)
+        if found:
+            new[c] = _box_cox(F.col(c) + found[1], found[0])
     return df.withColumns(new)
 
 

@@ -12,9 +12,6 @@ from quarrylens.functions.scalars import numeric_columns, string_columns
 from quarrylens.operators.correlation import pair_columns, pearson_pairs
 from quarrylens.operators.stats_tests import anova_from_moments, chi_square_from_cells, group_moments, welch_from_moments
 
-MAX_NUMERIC = 5
-MAX_PAIRS = 5
-
 
 def test_battery(df: DataFrame, target: str | None = None, numerics: Sequence[str] | None = None,
                  categories: Sequence[str] | None = None) -> DataFrame:
@@ -23,7 +20,7 @@ def test_battery(df: DataFrame, target: str | None = None, numerics: Sequence[st
     All group comparisons share one (column, group) aggregation and all chi-square
     pairs share one pass over unpivoted pairs.
     """
-    nums = list(numerics or numeric_columns(df))[:MAX_NUMERIC]
+    nums = list(numerics or numeric_columns(df))
     cats = list(categories or string_columns(df))
     out = None
 
@@ -43,7 +40,7 @@ def test_battery(df: DataFrame, target: str | None = None, numerics: Sequence[st
             p = dist.f_p(F.col("f_statistic"), F.col("k") - 1, F.col("n") - F.col("k"))
             add(a.select(F.lit("anova").alias("test"), F.col("numeric").alias("a"), F.col("grouping").alias("b"),
                          F.col("f_statistic").alias("statistic"), p.alias("p_value"), F.col("eta_squared").alias("effect_size")))
-    pairs = pair_columns(cats)[:MAX_PAIRS]
+    pairs = pair_columns(cats)
     if pairs:
         listed = F.array(*[F.struct(F.lit(x).alias("first"), F.lit(y).alias("second"), F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])
         cells = df.select(F.inline(listed)).where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("first", "second", "a", "b").agg(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import json
 import random
-import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -66,7 +65,7 @@ def pipeline(df: DataFrame, features: Sequence[str], label: str, algorithm: str,
     stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
     classes = 2
     if problem == "classification":
-        classes = df.select(label).distinct().limit(1001).count()
+        classes = df.where(F.col(label).isNotNull()).select(label).distinct().count()
         stages.append(StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"))
         target = "label_index"
     else:
@@ -177,19 +176,18 @@ def tune(df: DataFrame, features: Sequence[str], label: str, algorithm: str, gri
     return out.orderBy(F.desc("score"), "params")
 
 
-def automl(df: DataFrame, features: Sequence[str], label: str, key: str, seconds: float = 60.0,
+CANDIDATES = {
+    "classification": ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting"),
+    "regression": ("linear_regression", "decision_tree", "random_forest", "gradient_boosting"),
+}
+
+
+def automl(df: DataFrame, features: Sequence[str], label: str, key: str, algorithms: Sequence[str] | None = None,
            problem: str | None = None, folds: int = 3) -> DataFrame:
-    """Try candidate algorithms in turn until the time is used up; scores per model."""
+    """Cross-validated scores of all candidate algorithms, best first."""
     problem = problem or problem_type(df, label)
-    names = (["logistic_regression", "decision_tree", "random_forest", "gradient_boosting"]
-             if problem == "classification" else ["linear_regression", "decision_tree", "random_forest", "gradient_boosting"])
-    stop, out = time.monotonic() + seconds, None
-    for n in names:
-        if out is not None and time.monotonic() > stop:
-            break
-        one = cv_summary(cross_validate(df, features, label, [n], key, folds, None, problem))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("mean"), "model")
+    scores = cross_validate(df, features, label, list(algorithms or CANDIDATES[problem]), key, folds, None, problem)
+    return cv_summary(scores).orderBy(F.desc("mean"), "model")
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str]):

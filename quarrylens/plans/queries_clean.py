@@ -156,7 +156,7 @@ def _domain_sql():
     from quarrylens.operators.classify import DOMAIN_KEYWORDS, KEYWORD_WEIGHT
 
     words = ", ".join(f"('{d}', {i}, '{k}', {KEYWORD_WEIGHT[lv]}, '{lv}')" for i, (d, levels) in enumerate(DOMAIN_KEYWORDS.items())
-                      for lv, ks in levels.items() for k in ks.split())
+                      for lv, ks in levels.items() for k in ks)
     return f"""WITH kw(domain, pos, word, weight, level) AS (VALUES {words}),
       cat AS (SELECT DISTINCT source AS table_name, unnest(string_split_regex(lower(text), '\\s+')) AS column_name FROM documents),
       hit AS (SELECT DISTINCT table_name, domain, pos, level, word, weight FROM cat, kw WHERE contains(replace(column_name, '-', '_'), word)),

@@ -24,7 +24,7 @@ def icd(t):
 
 
 def _charlson_sql():
-    rows = ", ".join(f"('{p}', '{c}', {w})" for c, (w, ps) in H.CHARLSON.items() for p in ps.split())
+    rows = ", ".join(f"('{p}', '{c}', {w})" for c, (w, ps) in H.CHARLSON.items() for p in ps)
     return f"""WITH {_ICD}, {_ONE}, m(prefix, category, weight) AS (VALUES {rows}),
       c AS (SELECT o_orderkey, category, max(weight) AS w FROM one JOIN m ON starts_with(code, prefix) GROUP BY 1, 2)
       SELECT icd.o_orderkey, coalesce(sum(w), 0)::INTEGER AS charlson_score FROM icd LEFT JOIN c ON c.o_orderkey = icd.o_orderkey GROUP BY 1"""
@@ -42,7 +42,7 @@ def _(t):
     return tidy(H.charlson_summary(icd(t), "codes"), 4)
 
 
-_ELIX = ", ".join(f"('{p}', '{c}')" for c, ps in H.ELIXHAUSER.items() for p in ps.split())
+_ELIX = ", ".join(f"('{p}', '{c}')" for c, ps in H.ELIXHAUSER.items() for p in ps)
 
 
 @query("elixhauser", f"""WITH {_ICD}, {_ONE}, m(prefix, category) AS (VALUES {_ELIX}),

@@ -104,7 +104,7 @@ def _(t):
 
 @query("profile")
 def _(t):
-    return P.profile(t.customer.drop("c_name"))
+    return P.profile(t.customer)
 
 
 @query("profile_warnings", f"""WITH {_GAPPY_SQL}, f AS (

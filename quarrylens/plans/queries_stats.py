@@ -184,24 +184,24 @@ def _(t):
     return tidy(K.vif(t.lineitem, ["l_quantity", "l_extendedprice"]))
 
 
-# ---- survival: days from order to shipping, received lines are events ------------------
+# ---- survival: days between order and shipping, both counted, so every line has a duration; received lines are events ----
 
-_SURV = """surv AS (SELECT l_orderkey, date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS days, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS event,
+_SURV = """surv AS (SELECT l_orderkey, abs(date_diff('day', o_orderdate, l_shipdate))::DOUBLE + 1 AS days, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS event,
     l_linestatus AS grp, l_returnflag AS grp3, l_quantity, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def surv(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select("l_orderkey", F.date_diff("l_shipdate", "o_orderdate").cast("double").alias("days"),
+    return rows.select("l_orderkey", (F.abs(F.date_diff("l_shipdate", "o_orderdate")) + 1).cast("double").alias("days"),
                        F.when(F.col("l_returnflag") == "A", 0).otherwise(1).alias("event"), F.col("l_linestatus").alias("grp"),
-                       F.col("l_returnflag").alias("grp3"), "l_quantity", "l_discount").where("days > 0")
+                       F.col("l_returnflag").alias("grp3"), "l_quantity", "l_discount")
 
 
 def _km_sql(by):
     part = "PARTITION BY grp " if by else ""
     g = "grp, " if by else ""
     name = 'grp AS "group", ' if by else ""
-    return f"""WITH {_SURV}, d AS (SELECT {g}days AS time, count(*) AS n, sum(event)::BIGINT AS events FROM surv WHERE days > 0 GROUP BY {g}days),
+    return f"""WITH {_SURV}, d AS (SELECT {g}days AS time, count(*) AS n, sum(event)::BIGINT AS events FROM surv GROUP BY {g}days),
       k AS (SELECT *, (sum(n) OVER ({part}ORDER BY time DESC))::BIGINT AS at_risk FROM d),
       s AS (SELECT {name}time, at_risk, events, n - events AS censored,
         CASE WHEN bool_or(events = at_risk) OVER ({part}ORDER BY time) THEN 0 ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events * 1.0 / at_risk) ELSE 0 END) OVER ({part}ORDER BY time)) END AS v FROM k)
@@ -225,7 +225,7 @@ def _(t):
 
 
 @query("log_rank", f"""WITH {_SURV}, d AS (SELECT days AS time, count(*)::DOUBLE AS n, sum(event)::DOUBLE AS d, count(*) FILTER (WHERE grp = 'F')::DOUBLE AS n1, sum(event) FILTER (WHERE grp = 'F')::DOUBLE AS d1
-      FROM surv WHERE days > 0 GROUP BY 1), k AS (SELECT time, d, coalesce(d1, 0) AS d1, sum(n) OVER (ORDER BY time DESC) AS n, sum(n1) OVER (ORDER BY time DESC) AS n1 FROM d)
+      FROM surv GROUP BY 1), k AS (SELECT time, d, coalesce(d1, 0) AS d1, sum(n) OVER (ORDER BY time DESC) AS n, sum(n1) OVER (ORDER BY time DESC) AS n1 FROM d)
     SELECT {r('sum(d1 - d * n1 / n) ** 2 / sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * (n1 / n) * (1 - n1 / n) ELSE 0 END)', 4)} AS statistic, 1 AS dof FROM k""")
 def _(t):
     return tidy(V.log_rank(surv(t), "days", "event", "grp").select("statistic", "dof"), 4)
@@ -241,7 +241,7 @@ def _(t):
     return tidy(V.cox_ph(surv(t), "days", "event", ["l_quantity", "l_discount"]), 5)
 
 
-@query("concordance_index", f"""WITH {_SURV}, p AS (SELECT days AS t, l_quantity AS q, sum(event)::DOUBLE AS e, count(*)::DOUBLE AS n FROM surv WHERE days > 0 GROUP BY 1, 2),
+@query("concordance_index", f"""WITH {_SURV}, p AS (SELECT days AS t, l_quantity AS q, sum(event)::DOUBLE AS e, count(*)::DOUBLE AS n FROM surv GROUP BY 1, 2),
     c AS (SELECT sum(a.e * b.n) FILTER (WHERE a.q > b.q) AS con, sum(a.e * b.n) FILTER (WHERE a.q < b.q) AS dis, sum(a.e * b.n) FILTER (WHERE a.q = b.q) AS tie FROM p a JOIN p b ON a.t < b.t)
     SELECT {r('(con + 0.5 * tie) / (con + dis + tie)')} AS c_index, con::BIGINT AS n_concordant, dis::BIGINT AS n_discordant, tie::BIGINT AS n_tied FROM c""")
 def _(t):
@@ -252,7 +252,7 @@ def _(t):
     {r('avg(CASE WHEN days >= 30 THEN 1.0 ELSE 0 END)', 4)} AS survival_rate_30d, {r('avg(CASE WHEN days >= 60 THEN 1.0 ELSE 0 END)', 4)} AS survival_rate_60d,
     {r('avg(CASE WHEN days >= 90 THEN 1.0 ELSE 0 END)', 4)} AS survival_rate_90d, {r('avg(CASE WHEN days >= 365 THEN 1.0 ELSE 0 END)', 4)} AS survival_rate_365d,
     {r('avg(days)', 4)} AS duration_mean, {r('stddev_samp(days)', 4)} AS duration_std, min(days) AS duration_min, max(days) AS duration_max,
-    median(days) AS duration_median, median(days) FILTER (WHERE event = 1) AS median_survival_time FROM surv WHERE days > 0""")
+    median(days) AS duration_median, median(days) FILTER (WHERE event = 1) AS median_survival_time FROM surv""")
 def _(t):
     return tidy(V.survival_summary(surv(t), "days", "event"), 4)
 

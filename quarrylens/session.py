@@ -31,15 +31,17 @@ def get_session(master: str | None = None, app: str = "quarrylens", **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only where none is set."""
+    """The shared checkpoint folder of the cluster; a temporary one only where none is set and all runs on one machine."""
     jvm_dir = spark.sparkContext.getCheckpointDir()
     if jvm_dir:
         return jvm_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarrylens-ckpt-", dir=os.environ.get("TMPDIR"))
     spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df):
