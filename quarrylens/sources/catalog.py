@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,34 @@ def register_table(df: DataFrame, name: str, persistent: bool = False) -> DataFr
 
 
 def query_table(spark: SparkSession, sql: str) -> DataFrame:
-    """Run a SELECT / WITH statement over the registered tables; stays lazy."""
-    return spark.sql(check_select(sql))
+    """Run a query over the registered tables; stays lazy.  Spark's own grammar of queries refuses every other statement."""
+    check_select(sql)
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parseQuery(sql)
+    except Exception as e:
+        raise ValueError("only SELECT or WITH queries are allowed") from e
+    return spark.sql(sql)
+
+
+def _uri(path: str, base: str = ".") -> str:
+    """A path without ``..`` as a URI; paths without a scheme are local and their links are followed."""
+    scheme, sep, rest = path.partition("://")
+    if not sep:
+        if path.startswith("file:"):
+            path = path[5:]
+        return os.path.realpath(path if os.path.isabs(path) else os.path.join(base, path))
+    host, _, tail = rest.partition("/")
+    return f"{scheme.lower()}://{host}{posixpath.normpath('/' + tail)}"
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "csv", allowed: tuple[str, ...] = ("outputs", "data"),
                  base: str = ".") -> str:
-    """Write csv, parquet or json below one of the allowed folders (as a partitioned directory)."""
-    target = os.path.realpath(path if os.path.isabs(path) else os.path.join(base, path))
-    roots = [os.path.realpath(os.path.join(base, a)) for a in allowed]
-    if not any(os.path.commonpath([target, r]) == r for r in roots):
+    """Write csv, parquet or json below one of the allowed folders (as a partitioned directory).
+
+    Folders and target may be URIs such as ``s3://bucket/folder``; they are compared as such.
+    """
+    target = _uri(path, base)
+    if not any(target == r or target.startswith(r.rstrip("/") + "/") for r in (_uri(a, base) for a in allowed)):
         raise ValueError(f"{path!r} is outside the allowed folders")
     writer = df.write.mode("overwrite")
     if fmt == "csv":

@@ -30,47 +30,62 @@ def drop_empty(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path, *, delimiter: str | None = None, encoding: str = "utf-8", header: bool = True,
              nrows: int | None = None, na_values: str | None = None, schema: str | None = None,
              timestamp_format: str | None = None, infer: bool = True) -> DataFrame:
-    """Delimited text; malformed lines are dropped, header names stripped, empty rows and columns removed.
+    """Delimited text; header names are stripped, NaN becomes NULL, empty rows and columns are removed.
 
-    ``encoding="auto"`` scans for bytes that are not UTF-8 and falls back to latin-1.
+    Lines with too few fields are filled up with NULL, lines with too many are left out, values that do not fit their
+    column become NULL.  ``encoding="auto"`` scans for bytes that are not UTF-8 and falls back to latin-1.
     """
     if encoding == "auto":
         broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
         encoding = "utf-8" if broken.isEmpty() else "latin-1"
-    options = {"sep": delimiter or detect_delimiter(spark, path), "encoding": CHARSETS.get(encoding, encoding), "header": header,
-               "mode": "DROPMALFORMED", "inferSchema": infer and schema is None}
+    sep = delimiter or detect_delimiter(spark, path)
+    options = {"sep": sep, "encoding": CHARSETS.get(encoding, encoding), "header": header}
     if na_values is not None:
         options["nullValue"] = na_values
     if timestamp_format:
         options["timestampFormat"] = timestamp_format
     reader = spark.read.options(**options)
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    df = df.toDF(*[c.strip() for c in df.columns])
-    df = drop_empty(df)
+    if schema:
+        kinds = T.StructType.fromDDL(schema)
+    else:
+        kinds = reader.option("inferSchema", infer).csv(path).schema
+    line = "_line"
+    while line in kinds.names:
+        line = "_" + line
+    df = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=line, columnPruning=False, enforceSchema=True) \
+        .schema(T.StructType([*kinds.fields, T.StructField(line, T.StringType())])).csv(path)
+    fields = F.from_csv(line, ", ".join(f"f{i} string" for i in range(len(kinds) + 1)), {"sep": sep})
+    df = df.where(F.col(f"`{line}`").isNull() | fields.getField(f"f{len(kinds)}").isNull()).drop(line)
+    df = drop_empty(nan_to_null(df.toDF(*[c.strip() for c in df.columns])))
     return df.limit(nrows) if nrows else df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns as NULL."""
+    loose = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in loose})
+
+
 def detect_delimiter(spark: SparkSession, path) -> str:
-    """Delimiter with the most even, non-zero count over the first lines of the file."""
-    head = spark.read.text(path).limit(50)
+    """Delimiter with the most even, non-zero count over all lines."""
     aggs = []
     for i, d in enumerate(DELIMITERS):
         n = F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))
         aggs += [F.avg(n).alias(f"m{i}"), F.stddev_pop(n).alias(f"s{i}")]
-    row = head.agg(*aggs).first()
+    row = spark.read.text(path).agg(*aggs).first()
     scored = [(row[f"s{i}"] / row[f"m{i}"], -row[f"m{i}"], i) for i in range(len(DELIMITERS)) if row[f"m{i}"]]
     return DELIMITERS[min(scored)[2]] if scored else ","
 
 
 def read_parquet(spark: SparkSession, path, columns: Sequence[str] | None = None, nrows: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    df = df.select(*columns) if columns else df
+    df = nan_to_null(df.select(*columns) if columns else df)
     return df.limit(nrows) if nrows else df
 
 
 def read_orc(spark: SparkSession, path, columns: Sequence[str] | None = None, nrows: int | None = None) -> DataFrame:
     df = spark.read.orc(path)
-    df = df.select(*columns) if columns else df
+    df = nan_to_null(df.select(*columns) if columns else df)
     return df.limit(nrows) if nrows else df
 
 
