@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.quantiles import melt, quantiles
 from quarrylens.functions.ranks import value_counts
-from quarrylens.functions.scalars import numeric_columns, one_row, string_columns
+from quarrylens.functions.scalars import no_nan, numeric_columns, one_row, string_columns
 from quarrylens.operators.profile import order_statistics, outlier_fences, parse_date
 
 # Fixed value: what a string must contain before a column is tried as dates.
@@ -182,7 +182,9 @@ def handle_missing(df: DataFrame, strategy: Mapping[str, str],
 
 def handle_outliers(df: DataFrame, column: str, method: str, *, detection: str = "iqr",
                     limits: tuple[float, float] = (0.05, 0.05)) -> DataFrame:
-    """clip to the IQR fences, remove rows outside them, or winsorize both tails."""
+    """clip to the IQR fences, remove rows outside them, or winsorize both tails; NaN is a missing value and becomes NULL."""
+    if dict(df.dtypes)[column] in ("double", "float"):
+        df = df.withColumn(column, no_nan(F.col(column)))
     x = F.col(column)
     if method == "winsorize":
         low, high = limits

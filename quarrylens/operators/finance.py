@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.quantiles import bin_left_closed, edge_array
 from quarrylens.functions.ranks import running_totals, sequence_index
-from quarrylens.functions.scalars import near_zero_div, safe_div
+from quarrylens.functions.scalars import no_nan, near_zero_div, safe_div
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -157,7 +157,7 @@ def psi_bins_b(expected: DataFrame, actual: DataFrame, column: str, bins: int =
                eps: float = 1e-9) -> DataFrame:
     """Quantile bins of the expected values, values outside dropped, empty bins at ``eps``."""
     e = _as_x(expected, column)
-    edges = edge_array(e, "x", bins)
+    edges = edge_array(e.withColumn("x", no_nan(F.col("x"))), "x", bins)
     return _psi_rows(e, _as_x(actual, column), bin_left_closed(F.col("x"), F.col("edges")), edges, eps, True)
 
 

@@ -273,7 +273,8 @@ def outlier_fences(df: DataFrame, columns: Sequence[str], method: str = "iqr") -
     if method == "zscore":
         out = []
         for c in columns:
-            mu, sd = F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))
+            x = no_nan(F.col(c).cast("double"))
+            mu, sd = F.avg(x), F.nullif(F.stddev_samp(x), F.lit(0.0))
             out += [(mu - 3 * sd).alias(f"{c}_lo"), (mu + 3 * sd).alias(f"{c}_hi")]
         return df.agg(*out)
     raise ValueError(f"unknown outlier method: {method}")
@@ -286,7 +287,7 @@ def detect_outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr")
     for c in columns:
         lo, hi = F.col(f"_f.`{c}_lo`"), F.col(f"_f.`{c}_hi`")
         aggs += [
-            F.sum(F.when((F.col(c) < lo) | (F.col(c) > hi), 1).otherwise(0)).alias(f"{c}|count"),
+            F.sum(F.when(~missing(c, df) & ((F.col(c) < lo) | (F.col(c) > hi)), 1).otherwise(0)).alias(f"{c}|count"),
             F.first(lo).alias(f"{c}|lower_bound"),
             F.first(hi).alias(f"{c}|upper_bound"),
         ]
