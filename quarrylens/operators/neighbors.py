@@ -1,10 +1,4 @@
-"""Exact nearest rows.
-
-Few queries: they travel with the closure and every task keeps only its best k per
-query.  Many queries: items and queries are cut into blocks of bounded size, each
-pair of blocks is one Arrow task, and only the k best per query and block survive.
-Neither way builds the full pair table.
-"""
+"""Exact nearest rows: items lie in cells around pivots, and queries visit the cells that can hold a neighbour."""
 
 from __future__ import annotations
 
@@ -15,13 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarrylens.session import cut_lineage
 
-BROADCAST_QUERIES = 2000
-ITEM_BLOCK = 50_000
+#: Pivots drawn from the items (all that reaches the driver, with one radius per cell), rows of a block of a cell.
+CELLS = 256
+QUERY_BLOCK, ITEM_BLOCK = 2_000, 50_000
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
-    return np.array([[np.nan if x is None else x for x in v] for v in series], dtype="float64")
+    try:
+        return np.stack(series.to_numpy()).astype("float64")  # arrays of one length without gaps
+    except (TypeError, ValueError):
+        return np.array([[np.nan if x is None else x for x in v] for v in series], dtype="float64")
 
 
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -74,6 +75,74 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, qk: str, ik: str, vector:
     return out[[qk, ik, "distance", *payload]]
 
 
+class _Cells:
+    """Pivots and the cells around them: items of one gap pattern whose nearest pivot is the same."""
+
+    def __init__(self, pivots: np.ndarray, metric: str):
+        self.pivots, self.metric = pivots, metric
+
+    def prepared(self, x: np.ndarray) -> np.ndarray:
+        """Vectors as they are measured: unit length for the cosine."""
+        if self.metric == "cosine":
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return x
+
+    def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        """Distance to every pivot over the coordinates that a vector has."""
+        known = ~np.isnan(x)
+        x0, p = np.where(known, x, 0.0), self.pivots
+        sq = (x0**2).sum(1)[:, None] + known.astype(float) @ (p**2).T - 2.0 * x0 @ p.T
+        return np.sqrt(np.maximum(sq, 0.0))
+
+    def assign(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Name of the cell of each vector and its distance from the pivot."""
+        x = self.prepared(x)
+        d = self.to_pivots(x)
+        near = d.argmin(1)
+        known = ~np.isnan(x)
+        if self.metric == "cosine":
+            known = known & (np.abs(x).sum(1) > 0)[:, None]  # a zero vector is in a pattern of its own
+        patterns = ["".join(r) for r in np.where(known, "1", "0")] if not known.all() else ["1" * x.shape[1]] * len(x)
+        return [f"{n}:{pattern}" for n, pattern in zip(near, patterns)], d[np.arange(len(x)), near]
+
+    def bounds(self, x: np.ndarray, cells: list[tuple[str, float]]) -> np.ndarray:
+        """Smallest possible distance of each vector to the items of each cell (name, radius)."""
+        x = self.prepared(x)
+        known = ~np.isnan(x)
+        out = np.empty((len(x), len(cells)))
+        by_pattern: dict[str, list[int]] = {}
+        for i, (name, _) in enumerate(cells):
+            by_pattern.setdefault(name.split(":")[1], []).append(i)
+        for pattern, at in by_pattern.items():
+            mask = np.array([c == "1" for c in pattern])
+            both = known & mask
+            shared = both.sum(1)
+            inside = np.where(both, x, np.nan)
+            d = self.to_pivots(inside)[:, [int(cells[i][0].split(":")[0]) for i in at]]
+            low = np.maximum(0.0, d - np.array([cells[i][1] for i in at]) - 1e-9 * (1.0 + d))
+            if self.metric == "cosine":
+                low = low**2 / 2 if mask.any() else np.zeros_like(low)
+            elif self.metric == "nan_euclidean":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    low = np.where(shared[:, None] > 0, low * np.sqrt(x.shape[1] / shared)[:, None], np.inf)
+            out[:, at] = low * (1 - 1e-9) - 1e-12
+        return out
+
+
+def _pivots(items: DataFrame, item_key: str, vector: str, metric: str) -> _Cells:
+    """At most ``CELLS`` vectors with the smallest key hashes; gaps are filled with the mean of the others."""
+    drawn = items.where(F.col(vector).isNotNull()).select(F.xxhash64(F.col(item_key)).alias("h"), vector).orderBy("h").limit(CELLS)
+    rows = drawn.toPandas()
+    if not len(rows):
+        return _Cells(np.zeros((1, 1)), metric)
+    found = _Cells(np.zeros((0, 0)), metric)
+    x = found.prepared(_matrix(rows[vector]))
+    with np.errstate(invalid="ignore"):
+        middle = np.nan_to_num(np.nanmean(x, axis=0)) if len(x) else 0.0
+    found.pivots = np.unique(np.where(np.isnan(x), middle, x), axis=0)
+    return found
+
+
 def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: str, vector: str,
             k: int, metric: str = "euclidean", payload: Sequence[str] = (),
             differ_on: str | None = None, apart: tuple[str, str] | None = None) -> DataFrame:
@@ -81,48 +150,93 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
 
     ``differ_on`` names a column present on both sides that must not be equal;
     ``apart`` = (column, margin) asks for a difference above the query row's margin.
+
+    Items lie in cells around pivots.  A query first searches the cells nearest to it that hold ``k`` items, and then
+    every other cell that may hold something nearer than the k-th found (by the triangle inequality, so the result is
+    exact).  Cells with many items or many queries are searched in blocks.
     """
     payload = list(payload)
     extra = ([differ_on] if differ_on else []) + ([apart[0]] if apart else [])
     q_cols = list(dict.fromkeys([query_key, vector, *extra, *([apart[1]] if apart else [])]))
     i_cols = list(dict.fromkeys([item_key, vector, *extra, *payload]))
-    q_side, i_side = queries.select(*q_cols), items.select(*i_cols)
+    q_side = queries.select(*q_cols).where(F.col(vector).isNotNull())
+    i_side = items.select(*i_cols).where(F.col(vector).isNotNull())
     types = dict(items.dtypes)
     schema = ", ".join([
         f"{query_key} {dict(queries.dtypes)[query_key]}", f"{item_key} {types[item_key]}",
         "distance double", *[f"{p} {types[p]}" for p in payload]])
-    few = q_side.limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(few) <= BROADCAST_QUERIES:
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
+    cells = _pivots(i_side, item_key, vector, metric)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, far = cells.assign(_matrix(batch[vector])) if len(batch) else ([], [])
+            yield batch.assign(_cell=names, _far=far)
+
+    placed = cut_lineage(i_side.mapInPandas(assign, T.StructType([
+        *i_side.schema.fields, T.StructField("_cell", T.StringType()), T.StructField("_far", T.DoubleType())])))
+    stats = placed.groupBy("_cell").agg(F.max("_far").alias("r"), F.count(F.lit(1)).alias("n")).orderBy("_cell").collect()
+    table = [(r["_cell"], r["r"]) for r in stats]
+    sizes = np.array([r["n"] for r in stats], dtype="int64")
+    if not table:
+        return _ranked(queries.sparkSession.createDataFrame([], schema), query_key, item_key, k)
+
+    def first_cells(low: np.ndarray) -> np.ndarray:
+        """Cells in order of their bound until they hold ``k`` items (one more, for rows that must differ)."""
+        order = np.argsort(low, axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        chosen = np.zeros(low.shape, bool)
+        np.put_along_axis(chosen, order, before < k + len(extra), axis=1)
+        return chosen
+
+    def visit(second: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                part = _best(few, batch, query_key, item_key, vector, k, metric, payload,
-                             differ_on, apart)
-                best = part if best is None else pd.concat([best, part], ignore_index=True)
-                best = (best.sort_values(["distance", item_key], kind="stable")
-                        .groupby(query_key, sort=False).head(k))
-            if best is not None:
-                yield best
-
-        partial = i_side.mapInPandas(scan, schema)
-    else:
-        n_items, n_queries = i_side.count(), q_side.count()
-        item_blocks = max(1, -(-n_items // ITEM_BLOCK))
-        query_blocks = max(1, -(-n_queries // BROADCAST_QUERIES))
-        left = q_side.withColumns({
-            "_qb": F.pmod(F.xxhash64(query_key), F.lit(query_blocks)).cast("int"),
-            "_ib": F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))})
-        right = i_side.withColumns({
-            "_ib": F.pmod(F.xxhash64(item_key), F.lit(item_blocks)).cast("int"),
-            "_qb": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-
-        def cell(lq: pd.DataFrame, ri: pd.DataFrame) -> pd.DataFrame:
-            return _best(lq, ri, query_key, item_key, vector, k, metric, payload, differ_on, apart)
-
-        partial = left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInPandas(
-            cell, schema)
+                if not len(batch):
+                    continue
+                low = cells.bounds(_matrix(batch[vector]), table)
+                chosen = first_cells(low)
+                if second:
+                    chosen = ~chosen & (low <= batch["_reach"].to_numpy()[:, None])
+                who, where = np.nonzero(chosen & np.isfinite(low))
+                out = batch.iloc[who].drop(columns=["_reach"]) if second else batch.iloc[who]
+                yield out.assign(_cell=[table[i][0] for i in where])
+        return run
+
+    visits = T.StructType([*q_side.schema.fields, T.StructField("_cell", T.StringType())])
+    first = _search(q_side.mapInPandas(visit(False), visits), placed, query_key, item_key, vector, k, metric, payload,
+                    differ_on, apart, schema)
+    first = cut_lineage(_ranked(first, query_key, item_key, k).drop("rank"))
+    reach = first.groupBy(query_key).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_reach")).withColumnRenamed(
+        query_key, "_q")
+    open_ = q_side.join(reach, q_side[query_key].eqNullSafe(reach["_q"]), "left").drop("_q").withColumn(
+        "_reach", F.coalesce("_reach", F.lit(float("inf"))))
+    second = _search(open_.mapInPandas(visit(True), visits), placed, query_key, item_key, vector, k, metric, payload,
+                     differ_on, apart, schema)
+    return _ranked(first.unionByName(second), query_key, item_key, k)
+
+
+def _ranked(found: DataFrame, query_key: str, item_key: str, k: int) -> DataFrame:
     w = W.partitionBy(query_key).orderBy("distance", item_key)
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _search(visits: DataFrame, placed: DataFrame, query_key: str, item_key: str, vector: str, k: int, metric: str,
+            payload: Sequence[str], differ_on: str | None, apart, schema: str) -> DataFrame:
+    """The best ``k`` per query, cell and block; only cells that are visited are read."""
+    visits = cut_lineage(visits)
+    blocks = lambda rows, size, name: rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+    plan = blocks(visits, QUERY_BLOCK, "_nq").join(blocks(placed, ITEM_BLOCK, "_ni"), "_cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = visits.join(plan, "_cell").withColumn("_qb", F.pmod(F.xxhash64(query_key), F.col("_nq"))).withColumn(
+        "_ib", each("_ni")).drop("_nq", "_ni")
+    right = placed.drop("_far").join(plan, "_cell").withColumn("_ib", F.pmod(F.xxhash64(item_key), F.col("_ni"))).withColumn(
+        "_qb", each("_nq")).drop("_nq", "_ni")
+
+    def cell(lq: pd.DataFrame, ri: pd.DataFrame) -> pd.DataFrame:
+        return _best(lq, ri, query_key, item_key, vector, k, metric, payload, differ_on, apart)
+
+    keys = ["_cell", "_qb", "_ib"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
 
 
 def knn_predict(train: DataFrame, queries: DataFrame, *, query_key: str, item_key: str,

@@ -105,17 +105,31 @@ def test_impute_knn_small(spark):
     assert got[3] == pytest.approx(15.0)
 
 
-@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
-def test_nearest_block_route_equals_broadcast_route(spark, monkeypatch, metric):
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "nan_euclidean"])
+def test_nearest_equals_all_pairs(spark, monkeypatch, metric):
+    """Cells, bounds and blocks lose no neighbour: clusters, repeated vectors, a zero vector and gaps."""
     rng = np.random.default_rng(4)
-    pdf = pd.DataFrame({"id": np.arange(300), "v": list(rng.normal(size=(300, 4)))})
-    items, queries = spark.createDataFrame(pdf), spark.createDataFrame(pdf.head(40).rename(columns={"id": "q"}))
-    run = lambda: sorted(tuple(r) for r in neighbors.nearest(
-        queries, items, query_key="q", item_key="id", vector="v", k=3, metric=metric).select("q", "id", "rank").collect())
-    few = run()
-    monkeypatch.setattr(neighbors, "BROADCAST_QUERIES", 7)
-    monkeypatch.setattr(neighbors, "ITEM_BLOCK", 50)
-    assert run() == few and len(few) == 120
+    x = rng.normal(size=(300, 4)) * 0.3 + rng.integers(-3, 4, (300, 1))
+    x[7], x[8:12] = 0.0, x[20]
+    if metric == "nan_euclidean":
+        x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r], i % 3) for i, r in enumerate(x)]
+    items = spark.createDataFrame(rows, "id int, v array<double>, g int")
+    queries = spark.createDataFrame(rows[:40], "q int, v array<double>, g int")
+    d = neighbors._distances(x[:40], x, metric)
+    for differ in (None, "g"):
+        want = []
+        for i in range(40):
+            order = sorted((float(d[i, j]), j) for j in range(300) if np.isfinite(d[i, j]) and not (differ and j % 3 == i % 3))
+            want += [(i, rank + 1, round(far, 9)) for rank, (far, _) in enumerate(order[:3])]
+        for cells, block in ((256, 50_000), (8, 20)):
+            monkeypatch.setattr(neighbors, "CELLS", cells)
+            monkeypatch.setattr(neighbors, "ITEM_BLOCK", block)
+            monkeypatch.setattr(neighbors, "QUERY_BLOCK", 7 if block == 20 else 2000)
+            found = neighbors.nearest(queries, items, query_key="q", item_key="id", vector="v", k=3, metric=metric, differ_on=differ)
+            got = [(r["q"], r["rank"], round(r["distance"], 9)) for r in found.collect()]
+            assert [(a, b) for a, b, _ in sorted(got)] == [(a, b) for a, b, _ in want]
+            assert np.allclose([c for _, _, c in sorted(got)], [c for _, _, c in want], atol=1e-7)
 
 
 def test_rfm_falls_back_when_quintiles_coincide(spark):
