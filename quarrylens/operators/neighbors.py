@@ -170,7 +170,7 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names, far = cells.assign(_matrix(batch[vector])) if len(batch) else ([], [])
-            yield batch.assign(_cell=names, _far=far)
+            yield batch.assign(_cell=np.array(names, dtype=object), _far=np.array(far, dtype="float64"))
 
     placed = cut_lineage(i_side.mapInPandas(assign, T.StructType([
         *i_side.schema.fields, T.StructField("_cell", T.StringType()), T.StructField("_far", T.DoubleType())])))
@@ -199,7 +199,7 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
                     chosen = ~chosen & (low <= batch["_reach"].to_numpy()[:, None])
                 who, where = np.nonzero(chosen & np.isfinite(low))
                 out = batch.iloc[who].drop(columns=["_reach"]) if second else batch.iloc[who]
-                yield out.assign(_cell=[table[i][0] for i in where])
+                yield out.assign(_cell=np.array([table[i][0] for i in where], dtype=object))
         return run
 
     visits = T.StructType([*q_side.schema.fields, T.StructField("_cell", T.StringType())])
