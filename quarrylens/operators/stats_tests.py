@@ -341,27 +341,41 @@ def shapiro_values(values: np.ndarray) -> tuple[float, float]:
     return w, 1.0 - dist.norm_cdf((y - mu) / sd)
 
 
-def shapiro_wilk(df: DataFrame, columns: Sequence[str], key: str, alpha: float = 0.05,
-                 seed: int = 42) -> DataFrame:
-    """Normality per column; by definition on at most 5000 values, drawn by key hash."""
-    rows = melt(df, columns, [key]).where(F.col("value").isNotNull())
-    filled = df.agg(*[F.count(c).alias(c) for c in columns])
-    mine = F.coalesce(*[F.when(F.col("column") == c, F.col(f"_n.`{c}`")) for c in columns])
-    rows = rows.withColumn("_n", one_row(filled)).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    # a hash range holding about three times the wanted rows, so that one task ranks few rows
-    share = (F.col("_h") / F.lit(2.0**63) + 1) / 2
-    near = rows.where(share * mine < 3 * SHAPIRO_ROWS)
-    w = W.partitionBy("column").orderBy("_h", key)
-    drawn = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SHAPIRO_ROWS)
+def _francia(counts: DataFrame) -> DataFrame:
+    """Shapiro-Francia W' and p per column, from distinct values and their counts: the squared correlation with normal scores."""
+    ranked = running_totals(counts, "value", ["n"], ["column"])
+    score = dist.normal_quantile((F.col("n_before") + (F.col("n") + 1) / 2 - 0.375) / (F.col("n_total") + 0.25))
+    rows = ranked.select("column", "n", F.col("value").alias("x"), score.alias("m"))
+    total = lambda e: F.sum(F.col("n") * e)
+    s = rows.groupBy("column").agg(
+        F.sum("n").alias("n"), total(F.col("x")).alias("sx"), total(F.col("m")).alias("sm"), total(F.col("x") * F.col("x")).alias("sxx"),
+        total(F.col("m") * F.col("m")).alias("smm"), total(F.col("x") * F.col("m")).alias("sxm"))
+    vx, vm = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("smm") - F.col("sm") * F.col("sm") / F.col("n")
+    w = F.when(vx * vm > 0, F.least(F.lit(1.0), F.pow(F.col("sxm") - F.col("sx") * F.col("sm") / F.col("n"), F.lit(2.0)) / (vx * vm))).otherwise(1.0)
+    u = F.log(F.col("n"))
+    mu, sd = 1.0521 * (F.log(u) - u) - 1.2725, 1.0308 - 0.26758 * (F.log(u) + 2 / u)
+    p = 1 - normal_cdf_expr((F.log(F.greatest(F.lit(1e-300), 1 - F.col("statistic"))) - mu) / sd)
+    return s.withColumn("statistic", w).select("column", "n", "statistic", p.alias("p_value"), F.lit("shapiro_francia").alias("method"))
+
+
+def shapiro_wilk(df: DataFrame, columns: Sequence[str], key: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """Normality per column over all its values.
+
+    Shapiro-Wilk is defined up to 5000 values; larger columns get the Shapiro-Francia form of it, and ``method`` says which.
+    """
+    counts = value_counts(melt(df, columns), "value", ["column"])
+    sizes = counts.groupBy("column").agg(F.sum("n").alias("_n"))
+    counts = counts.join(sizes, "column")
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
-        stat, p = shapiro_values(part["value"].to_numpy())
-        return pd.DataFrame({"column": [part["column"].iloc[0]], "n": [len(part)],
-                             "statistic": [stat], "p_value": [p]})
-
-    out = drawn.select("column", "value").groupBy("column").applyInPandas(
-        test, "column string, n bigint, statistic double, p_value double")
-    return out.withColumn("is_normal", F.col("p_value") >= alpha)
+        stat, p = shapiro_values(np.repeat(part["value"].to_numpy(), part["n"].to_numpy()))
+        return pd.DataFrame({"column": [part["column"].iloc[0]], "n": [int(part["n"].sum())],
+                             "statistic": [stat], "p_value": [p], "method": ["shapiro_wilk"]})
+
+    small = counts.where(F.col("_n") <= SHAPIRO_ROWS).select("column", "value", "n").groupBy("column").applyInPandas(
+        test, "column string, n bigint, statistic double, p_value double, method string")
+    large = _francia(counts.where(F.col("_n") > SHAPIRO_ROWS).select("column", "value", "n"))
+    return small.unionByName(large).withColumn("is_normal", F.col("p_value") >= alpha)
 
 
 def binary_rate_z(rate1: Column, n1: Column, rate0: Column, n0: Column) -> Column:

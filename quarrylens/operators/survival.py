@@ -56,17 +56,18 @@ def median_survival(curve: DataFrame) -> DataFrame:
         F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median_survival"))
 
 
-def log_rank(df: DataFrame, duration: str, event: str, group: str, alpha: float = 0.05) -> DataFrame:
+def log_rank(df: DataFrame, duration: str, event: str, group: str, alpha: float = 0.05,
+             max_groups: int = MAX_GROUPS) -> DataFrame:
     """Log-rank test for two or more groups.
 
     Risk sets come from running totals over distinct times, one column per group
-    (at most ``MAX_GROUPS``); only the k x k covariance reaches the driver.
+    (more than ``max_groups`` are an error); only the k x k covariance reaches the driver.
     """
     labels = [r[0] for r in df.where(F.col(group).isNotNull()).select(
-        F.col(group).cast("string")).distinct().limit(MAX_GROUPS + 1).collect()]
+        F.col(group).cast("string")).distinct().limit(max_groups + 1).collect()]
     labels.sort()
-    if not 2 <= len(labels) <= MAX_GROUPS:
-        raise ValueError(f"log_rank needs 2 to {MAX_GROUPS} groups")
+    if not 2 <= len(labels) <= max_groups:
+        raise ValueError(f"log_rank needs 2 to {max_groups} groups")
     rows = df.select(F.col(group).cast("string").alias("g"), F.col(duration).cast("double").alias("time"),
                      F.col(event).cast("int").alias("e")).dropna()
     k = len(labels)
@@ -115,7 +116,7 @@ def concordance_index(df: DataFrame, time: str, risk: str, event: str) -> DataFr
 
 def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
            max_iter: int = 30, tol: float = 1e-9) -> DataFrame:
-    """Cox proportional hazards (Efron ties) by Newton steps.
+    """Cox proportional hazards (Efron ties) by Newton steps; ``converged`` says whether ``max_iter`` of them were enough.
 
     Each step is one Spark job: risk-set sums per distinct time through running
     totals.  The driver sees only the gradient and the p x p Hessian.
@@ -133,7 +134,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
                                    for i in range(p)]).persist()
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     xs = [F.col(f"x{i}") for i in range(p)]
-    beta = np.zeros(p)
+    beta, converged = np.zeros(p), False
     try:
         for _ in range(max_iter):
             eta = sum((float(beta[i]) * xs[i] for i in range(1, p)), float(beta[0]) * xs[0])
@@ -153,7 +154,8 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
                 *[f"d_{a}" for a in s_names])
             chunk = 4096
             parts = at.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("d") - 1) / chunk))))
-            parts = parts.withColumn("_l", F.explode(F.sequence(
+            # tied deaths of one time are spread over the tasks in blocks
+            parts = parts.repartition(F.xxhash64("d", "_c", "s")).withColumn("_l", F.explode(F.sequence(
                 F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("d")) - 1)))
             share = F.col("_l") / F.col("d")
             z = parts.select(
@@ -172,6 +174,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
             beta = beta + step
             if np.abs(step).max() < tol:
+                converged = True
                 break
         cov = np.linalg.inv(hess)
         risk = sum((float(beta[i]) * xs[i] for i in range(1, p)), float(beta[0]) * xs[0])
@@ -182,10 +185,10 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     for i, c in enumerate(covariates):
         b, se = float(beta[i] / scale[i]), float(np.sqrt(cov[i, i]) / scale[i])
         out.append((c, b, se, float(np.exp(b)), float(np.exp(b - 1.959963984540054 * se)),
-                    float(np.exp(b + 1.959963984540054 * se)), dist.norm_two_sided(b / se), float(c_index)))
+                    float(np.exp(b + 1.959963984540054 * se)), dist.norm_two_sided(b / se), float(c_index), converged))
     return df.sparkSession.createDataFrame(
         out, "covariate string, coef double, se double, hazard_ratio double, ci_lower double, "
-             "ci_upper double, p_value double, concordance_index double")
+             "ci_upper double, p_value double, concordance_index double, converged boolean")
 
 
 def survival_summary(df: DataFrame, duration: str, event: str) -> DataFrame:

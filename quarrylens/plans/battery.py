@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
 from quarrylens.functions.scalars import numeric_columns, string_columns
-from quarrylens.operators.correlation import pair_columns, pearson_pairs
-from quarrylens.operators.stats_tests import anova_from_moments, chi_square_from_cells, group_moments, welch_from_moments
+from quarrylens.operators.correlation import pair_columns, pearson_pairs, vif
+from quarrylens.operators.stats_tests import (
+    anova_from_moments, chi_square_from_cells, group_moments, shapiro_wilk, welch_from_moments)
 
 
 def test_battery(df: DataFrame, target: str | None = None, numerics: Sequence[str] | None = None,
                  categories: Sequence[str] | None = None) -> DataFrame:
-    """t-tests per two-valued column, ANOVA by target, chi-square pairs and correlations.
+    """t-tests per two-valued column, ANOVA by target, chi-square pairs, correlations, inflation factors and normality.
 
     All group comparisons share one (column, group) aggregation and all chi-square
     pairs share one pass over unpivoted pairs.
@@ -54,6 +55,13 @@ def test_battery(df: DataFrame, target: str | None = None, numerics: Sequence[st
         tt = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-300), 1 - F.col("r") * F.col("r")))
         add(r.select(F.lit("pearson").alias("test"), F.col("col1").alias("a"), F.col("col2").alias("b"), F.col("r").alias("statistic"),
                      dist.t_p(tt, F.col("n") - 2).alias("p_value"), F.col("r").alias("effect_size")))
+        v = vif(df, nums)
+        add(v.select(F.lit("vif").alias("test"), F.col("column").alias("a"), F.lit(None).cast("string").alias("b"), F.col("vif").alias("statistic"),
+                     F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("double").alias("effect_size")))
+    if nums:
+        s = shapiro_wilk(df, nums)
+        add(s.select(F.col("method").alias("test"), F.col("column").alias("a"), F.lit(None).cast("string").alias("b"), "statistic", "p_value",
+                     F.lit(None).cast("double").alias("effect_size")))
     if out is None:
         raise ValueError("the table has no columns to test")
     return out.withColumn("significant", F.col("p_value") < 0.05)
