@@ -101,3 +101,17 @@ def suggest_join_keys(left: DataFrame, right: DataFrame, name_threshold: float =
             [], "left_col string, right_col string, name_similarity double, dtype_match boolean, "
                 "value_overlap double, score double")
     return out
+
+
+def prefix_join(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, how: str = "inner") -> DataFrame:
+    """Rows of ``df`` with every row of ``prefixes`` whose ``prefix`` begins the value of ``column``.
+
+    A value is cut to each length that occurs among the prefixes (one row per length reaches the driver), so the join is
+    one on equal keys.
+    """
+    lengths = sorted(r[0] for r in prefixes.where(F.col(prefix).isNotNull()).select(F.length(prefix)).distinct().collect())
+    cuts = F.array_distinct(F.filter(F.array(*[F.when(F.length(column) >= n, F.substring(F.col(column), 1, n)) for n in lengths]),
+                                     lambda x: x.isNotNull())) if lengths else F.array().cast("array<string>")
+    keyed = df.withColumn("_prefix", F.explode_outer(cuts) if how == "left" else F.explode(cuts))
+    right = prefixes.withColumn("_right", F.col(prefix))
+    return keyed.join(right, keyed["_prefix"] == right["_right"], how).drop("_prefix", "_right")

@@ -71,12 +71,14 @@ def _(t):
     return files.file_manifest(t.spark, t.path("orders")).drop("modificationTime", "path")
 
 
-@query("html_tables")
+@query("html_tables", """WITH l AS (SELECT page_id, regexp_extract_all(split_part(split_part(html, '<ul>', 2), '</ul>', 1), '<li><a [^>]*>([^<]*)</a></li>', 1) AS t FROM pages)
+    SELECT page_id, 0::INTEGER AS table_no, (unnest(range(len(t))))::INTEGER AS row_no, [replace(unnest(t), '&amp;', '&')] AS cells FROM l""")
 def _(t):
-    """Every page with its list of links rewritten as a one-column table, then parsed back."""
-    as_table = F.concat(F.lit("<table><tr><th>page</th></tr><tr><td>"), F.col("page_id").cast("string"),
-                        F.lit("</td></tr></table>"))
-    return html_tables.html_tables(t.pages.withColumn("html", F.concat("html", as_table)), "page_id")
+    """Every page with its list of links rewritten as a one-column table, which is then parsed."""
+    html = F.col("html")
+    for old, new in (("<ul>", "<table>"), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td></tr>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return html_tables.html_tables(t.pages.withColumn("html", html), "page_id").where("table_no = 0")
 
 
 # ---- scalar cleaning -------------------------------------------------------------------
@@ -325,3 +327,10 @@ def _(t):
 @query("data_query", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 20")
 def _(t):
     return S.data_query(t.events, ["event_id", "event_type", "nope"], ["event_id"])
+
+
+@query("prefix_equi_join", """SELECT o_orderkey, n_nationkey FROM orders JOIN nation ON starts_with(o_orderkey::VARCHAR, n_nationkey::VARCHAR)""")
+def _(t):
+    codes = t.orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("code"))
+    starts = t.nation.select("n_nationkey", F.col("n_nationkey").cast("string").alias("start"))
+    return J.prefix_join(codes, "code", starts, "start").select("o_orderkey", "n_nationkey")

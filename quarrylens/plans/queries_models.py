@@ -10,6 +10,7 @@ from quarrylens.operators import compare as C
 from quarrylens.operators import explain as X
 from quarrylens.operators import metrics as M
 from quarrylens.operators import neighbors as N
+from quarrylens.operators.sampling import train_test_split
 from quarrylens.plans import models as L
 from quarrylens.plans.auto import auto_pipeline
 from quarrylens.plans.queries_domain import _RANKED, _SCORED, scored
@@ -93,9 +94,12 @@ def _(t):
 
 @query("prediction_stability", "SELECT 0.0::DOUBLE AS max_variance, TRUE AS is_stable FROM lineitem LIMIT 1")
 def _(t):
-    runs = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (2 * F.col("l_quantity")).alias("prediction"))
-    runs = runs.withColumn("row", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).select(
-        "row", "prediction", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("run"))
+    """A fitted model scores the table three times."""
+    rows = _rows(t)
+    model = L.train(rows, _F, "l_extendedprice", "decision_tree", problem="regression")
+    runs = L.score(rows, model, _F, ["row"])
+    for _ in range(2):
+        runs = runs.unionByName(L.score(rows, model, _F, ["row"]))
     return M.prediction_stability(runs, "row", "prediction")
 
 
@@ -191,18 +195,39 @@ def _rows(t):
     return t.lineitem.select(key, *_F, "l_extendedprice", big)
 
 
+def _held_out(t, label, algorithm, problem):
+    """Metrics on a fifth of the rows that the fit has not seen."""
+    cut = train_test_split(_rows(t), "row", stratify=label if problem == "classification" else None)
+    model = L.train(cut.where("split = 'train'"), _F, label, algorithm, problem=problem)
+    return tidy(L.evaluate(L.score(cut.where("split = 'test'"), model, _F), label, problem), 3)
+
+
+def _register_training():
+    for problem, table, label in (("classification", L.CLASSIFIERS, "size"), ("regression", L.REGRESSORS, "l_extendedprice")):
+        for algorithm in table:
+            query(f"train_{problem}_{algorithm}")(
+                lambda t, a=algorithm, p=problem, y=label: _held_out(t, y, a, p))
+
+
+_register_training()
+
+
 @query("train_classification")
 def _(t):
-    rows = _rows(t)
-    model = L.train(rows, _F, "size", "logistic_regression", problem="classification")
-    return tidy(L.evaluate(L.score(rows, model, _F), "size", "classification"), 3)
+    return _held_out(t, "size", "logistic_regression", "classification")
 
 
 @query("train_regression")
 def _(t):
-    rows = _rows(t)
-    model = L.train(rows, _F, "l_extendedprice", "linear_regression", problem="regression")
-    return tidy(L.evaluate(L.score(rows, model, _F), "l_extendedprice", "regression"), 3)
+    return _held_out(t, "l_extendedprice", "linear_regression", "regression")
+
+
+@query("linear_fit", f"""SELECT 'l_quantity' AS feature, {r('regr_slope(l_extendedprice, l_quantity)', 3)} AS coefficient, {r('regr_intercept(l_extendedprice, l_quantity)', 3)} AS intercept FROM lineitem""")
+def _(t):
+    """The fit of one feature in closed form."""
+    last = L.train(_rows(t), ["l_quantity"], "l_extendedprice", "linear_regression", problem="regression").stages[-1]
+    out = t.spark.createDataFrame([("l_quantity", float(last.coefficients[0]), float(last.intercept))], "feature string, coefficient double, intercept double")
+    return tidy(out, 3)
 
 
 @query("train_clustering")
