@@ -67,7 +67,7 @@ def add_column(docs: DataFrame, inputs: dict, name: str, kind: str, make, keep=N
     def run(stream):
         work = make()
         for batch in stream:
-            for part in _slices(batch, width, len(keys)):
+            for part in slices(batch, width, len(keys)):
                 made = work(*[part.column(width + i).to_pylist() for i in range(len(keys))])
                 kept = [part.column(i).cast(out.field(i).type) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(made, out.field(width).type)], schema=out)
@@ -76,7 +76,7 @@ def add_column(docs: DataFrame, inputs: dict, name: str, kind: str, make, keep=N
     return docs.select(*keep, *asked).mapInArrow(run, target)
 
 
-def _slices(batch: pa.RecordBatch, first: int, n: int, most: int = 4_000_000):
+def slices(batch: pa.RecordBatch, first: int, n: int, most: int = 4_000_000):
     """The batch in pieces of about ``most`` bytes of input columns."""
     import numpy as np
 

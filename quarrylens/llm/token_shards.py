@@ -18,14 +18,16 @@ import base64
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import open_store, shared_folder, write_bytes
+from quarrylens.llm.common import open_store, shared_folder, slices, write_bytes
 
 #: Folder with the vocabulary files, and the file used: byte pairs as ranks, ids below 65 536.
 TOKENIZERS = "/opt/tokenizers"
@@ -35,16 +37,33 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Tokens of a sequence, sequences of a shard, key of the permutation, rounds of the network.
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 42, 6
 #: Words whose tokens a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
-_RUN = re.compile(r"\s\s")
+#: Two white-space characters in a row, for Arrow; and a character that marks cuts.
+_RUN, _MARK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}", "\uffff"
+#: Letters, perhaps after a blank, and then only signs: no letters, digits, white space or apostrophes (endings such as 's).
+_LETTERS = re.compile(r"( ?[^\W\d_]+)((?:[^\w\s']|_)*)\Z")
+
+
+class _Known(dict):
+    """Tokens of words seen before."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        made = self[word] = self._make(word)
+        return made
 
 
 class Tokenizer:
     """Texts to little-endian 16-bit token ids, closed by the end token.
 
-    A single blank between two other characters always begins a piece, so texts without a run of white space are cut there
-    and the tokens of repeated words are looked up.  The result is that of the vocabulary's own tokenizer.
+    A single blank between two other characters always begins a piece, and a single line feed is one, so texts without a
+    run of white space are cut there and the tokens of repeated words are looked up.  The result is that of the vocabulary's own tokenizer.
     """
 
     def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
@@ -55,24 +74,45 @@ class Tokenizer:
         self.end = max(ranks.values()) + 1
         self._bpe = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._closing = np.array([self.end], "<u2").tobytes()
-        encode = self._bpe.encode_ordinary
+        self._known = _Known(self._piece).__getitem__
 
-        class Known(dict):
-            def __missing__(self, word):
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                made = self[word] = np.array(encode(word), "<u2").tobytes()
-                return made
+    def _packed(self, text: str) -> bytes:
+        tokens = self._bpe.encode_ordinary(text)
+        return struct.pack(f"<{len(tokens)}H", *tokens)
 
-        self._known = Known().__getitem__
+    def _piece(self, word: str) -> bytes:
+        """Tokens of a word (perhaps after a blank): its letters are one piece for the vocabulary, signs after them another."""
+        m = _LETTERS.match(word)
+        if not m:
+            return self._packed(word)
+        tokens = self._bpe._core_bpe.encode_single_piece(m[1].encode())
+        own = struct.pack(f"<{len(tokens)}H", *tokens)
+        return own + self._known(m[2]) if m[2] else own
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if _RUN.search(text):
-            return np.array(self._bpe.encode_ordinary(text), "<u2").tobytes() + self._closing
-        first, *words = text.split(" ")
-        own = b"".join(map(self._known, [" " + w for w in words]))
-        return (self._known(first) if first else b"") + own + self._closing
+        """One text, as the vocabulary's own tokenizer does it."""
+        return self._packed(text or "") + self._closing
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts behind each other, and the number of each."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if pc.any(pc.match_substring(texts, _MARK)).as_py():
+            made = [self.encode(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(made), "<u2"), np.fromiter(map(len, made), np.int64, len(made)) // 2
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", _MARK + "\n" + _MARK)
+        parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _RUN), texts, cut), _MARK)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        made = [self._known(w) if len(w) < 100 else self._piece(w) for w in words]
+        made.append(self._closing)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 2
+        flat, start = np.frombuffer(b"".join(made), "<u2"), np.cumsum(size) - size
+        edges = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        chunk = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(made) - 1)
+        many = size[chunk]
+        begin = np.cumsum(many) - many
+        tokens = flat[np.repeat(start[chunk] - begin, many) + np.arange(int(many.sum()))]
+        return tokens, np.add.reduceat(many, edges[:-1] + np.arange(len(texts))) if len(texts) else np.zeros(0, np.int64)
 
     def decode(self, tokens) -> str:
         return self._bpe.decode([int(t) for t in tokens if t != self.end])
@@ -113,10 +153,11 @@ def slots_of(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS)
 
 
 def _encoded(stream, make):
-    """(ids, tokens) of each batch; the second list holds bytes."""
+    """(ids, tokens, number of tokens of each document) of pieces of the batches."""
     work = make()
     for batch in stream:
-        yield batch.column(0), [work.encode(t) for t in batch.column(1).to_pylist()]
+        for part in slices(batch, 1, 1, 8_000_000):
+            yield part.column(0), *work.encode_batch(part.column(1))
 
 
 def _sum(seen: int, ids: pa.Array) -> int:
@@ -145,8 +186,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
 
     def count(stream):
         n = seen = 0
-        for ids, tokens in _encoded(stream, make):
-            n += sum(map(len, tokens)) // 2
+        for ids, tokens, _ in _encoded(stream, make):
+            n += len(tokens)
             seen = _sum(seen, ids)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()]), pa.array([n], pa.int64()), pa.array([seen], pa.int64())],
@@ -167,25 +208,25 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
         """Pieces of sequences, with the partition that their shard belongs to."""
         start, n, seen = sent.value.get(TaskContext.get().partitionId(), (0, 0, 0))
         at, mine = start, 0
-        for ids, tokens in _encoded(stream, make):
+        for ids, tokens, sizes in _encoded(stream, make):
             mine = _sum(mine, ids)
-            for a in range(0, len(tokens), 500):
-                part = tokens[a:a + 500]
-                sizes = np.array([len(t) // 2 for t in part], np.int64)
-                begin = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                first, last = begin // length, (begin + sizes - 1) // length
-                many = last - first + 1
-                doc = np.repeat(np.arange(len(part)), many)
-                number = np.repeat(first, many) + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-                lo = np.maximum(number * length, begin[doc])
-                hi = np.minimum((number + 1) * length, begin[doc] + sizes[doc])
-                slot = slots_of(number, n_sequences, key)
-                cuts = zip(doc.tolist(), (2 * (lo - begin[doc])).tolist(), (2 * (hi - begin[doc])).tolist())
+            begin = np.cumsum(sizes) - sizes
+            first, last = (at + begin) // length, (at + begin + sizes - 1) // length
+            many = last - first + 1
+            doc = np.repeat(np.arange(len(sizes)), many)
+            number = np.repeat(first, many) + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            lo = np.maximum(number * length, at + begin[doc])
+            slot = slots_of(number, n_sequences, key)
+            whole = pa.py_buffer(tokens.tobytes())
+            bounds = np.append(2 * (lo - at), 2 * len(tokens)).astype(np.int32)
+            at += len(tokens)
+            cuts = pa.BinaryArray.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(bounds.tobytes()), whole])
+            for a in range(0, len(lo), 2000):
+                part = slice(a, a + 2000)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array((slot // per_shard * spread // n_shards).astype(np.int32)), pa.array(slot), pa.array(number),
-                    pa.array(lo - number * length), ids.slice(a, 500).take(pa.array(doc)),
-                    pa.array([part[d][x:y] for d, x, y in cuts], pa.binary())], names=names)
+                    pa.array((slot[part] // per_shard * spread // n_shards).astype(np.int32)), pa.array(slot[part]),
+                    pa.array(number[part]), pa.array((lo - number * length)[part]), ids.take(pa.array(doc[part])),
+                    cuts.slice(a, 2000)], names=names)
         if (at - start, mine) != (n, seen):
             raise RuntimeError("the partitions of the two passes differ; write the documents to a table first")
 
@@ -198,13 +239,15 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
         shard, buffer, done = None, bytearray(), []
 
         def close():
-            write_bytes(f"{folder}/shard-{shard:08d}.bin", bytes(buffer))
+            data = bytes(buffer)
+            write_bytes(f"{folder}/shard-{shard:08d}.bin", data)
+            digest = lambda at: hashlib.sha256(data[at:at + stride]).hexdigest()
             out = pa.RecordBatch.from_arrays([
                 pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
                 pa.array([d[0] // per_shard for d in done], pa.int64()),
                 pa.array([d[0] % per_shard * stride for d in done], pa.int64()),
                 pa.array([d[2] for d in done], pa.int64()), pa.array([list(d[3]) for d in done], pa.list_(pa.int64())),
-                pa.array([hashlib.sha256(buffer[d[0] % per_shard * stride:][:stride]).hexdigest() for d in done])],
+                pa.array([digest(d[0] % per_shard * stride) for d in done])],
                 names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "doc_ids", "sha256"])
             buffer.clear()
             done.clear()
