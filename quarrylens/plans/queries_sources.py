@@ -70,7 +70,7 @@ def _(t):
     path = _folder(t, "orc")
     tax = F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_tax"))
     t.lineitem.select("l_orderkey", "l_linenumber", tax.alias("l_tax")).write.orc(path)
-    return files.read_orc(t.spark, path)
+    return files.read_orc(t.spark, path, nan_as_null=True)
 
 
 @query("export_table", _ORDERS_SQL)

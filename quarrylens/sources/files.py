@@ -77,15 +77,21 @@ def detect_delimiter(spark: SparkSession, path) -> str:
     return DELIMITERS[min(scored)[2]] if scored else ","
 
 
-def read_parquet(spark: SparkSession, path, columns: Sequence[str] | None = None, nrows: int | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path, columns: Sequence[str] | None = None, nrows: int | None = None,
+                 nan_as_null: bool = False) -> DataFrame:
+    """``nan_as_null`` turns NaN into NULL; filters on those columns then no longer reach the scan."""
     df = spark.read.parquet(path)
-    df = nan_to_null(df.select(*columns) if columns else df)
+    df = df.select(*columns) if columns else df
+    df = nan_to_null(df) if nan_as_null else df
     return df.limit(nrows) if nrows else df
 
 
-def read_orc(spark: SparkSession, path, columns: Sequence[str] | None = None, nrows: int | None = None) -> DataFrame:
+def read_orc(spark: SparkSession, path, columns: Sequence[str] | None = None, nrows: int | None = None,
+                 nan_as_null: bool = False) -> DataFrame:
+    """``nan_as_null`` turns NaN into NULL; filters on those columns then no longer reach the scan."""
     df = spark.read.orc(path)
-    df = nan_to_null(df.select(*columns) if columns else df)
+    df = df.select(*columns) if columns else df
+    df = nan_to_null(df) if nan_as_null else df
     return df.limit(nrows) if nrows else df
 
 
