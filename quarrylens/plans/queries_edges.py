@@ -55,7 +55,7 @@ def _(t):
 
 
 @query("sample_counts", """WITH n AS (SELECT c_mktsegment AS segment, count(*) AS n, (SELECT count(*) FROM customer) AS total FROM customer GROUP BY 1)
-    SELECT segment, greatest(round(300 * n / total::DOUBLE), 1)::BIGINT AS stratified, 400::BIGINT AS drawn FROM n""")
+    SELECT segment, least(n, greatest(round(300 * n / total::DOUBLE), 1))::BIGINT AS stratified, least(total, 400)::BIGINT AS drawn FROM n""")
 def _(t):
     """Class quotas of the stratified sample, beside the size of a random one; all rows come from the table, none twice."""
     keys = t.customer.select("c_custkey", "c_mktsegment")

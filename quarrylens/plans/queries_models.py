@@ -190,7 +190,7 @@ _F = ["l_quantity", "l_discount", "l_tax"]
 
 def _rows(t):
     """Line items with a unique row key and a two-class label tied to the features."""
-    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row")
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_F, "l_extendedprice").alias("row")
     big = F.when(F.col("l_extendedprice") > 50000, "high").otherwise("low").alias("size")
     return t.lineitem.select(key, *_F, "l_extendedprice", big)
 
