@@ -93,8 +93,8 @@ class Tokenizer:
         """One text, as the vocabulary's own tokenizer does it."""
         return self._packed(text or "") + self._closing
 
-    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts behind each other, and the number of each."""
+    def encode_batch(self, texts: pa.Array, count_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
+        """Token ids of all texts behind each other (none with ``count_only``), and the number of each."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if pc.any(pc.match_substring(texts, _MARK)).as_py():
             made = [self.encode(t) for t in texts.to_pylist()]
@@ -103,16 +103,21 @@ class Tokenizer:
         parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _RUN), texts, cut), _MARK)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        made = [self._known(w) if len(w) < 100 else self._piece(w) for w in words]
-        made.append(self._closing)
+        if max(map(len, words), default=0) < 100:
+            made = [*map(self._known, words), self._closing]
+        else:
+            made = [*(self._known(w) if len(w) < 100 else self._piece(w) for w in words), self._closing]
         size = np.fromiter(map(len, made), np.int64, len(made)) // 2
-        flat, start = np.frombuffer(b"".join(made), "<u2"), np.cumsum(size) - size
         edges = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         chunk = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(made) - 1)
         many = size[chunk]
-        begin = np.cumsum(many) - many
-        tokens = flat[np.repeat(start[chunk] - begin, many) + np.arange(int(many.sum()))]
-        return tokens, np.add.reduceat(many, edges[:-1] + np.arange(len(texts))) if len(texts) else np.zeros(0, np.int64)
+        sizes = np.add.reduceat(many, edges[:-1] + np.arange(len(texts))) if len(texts) else np.zeros(0, np.int64)
+        if count_only:
+            return None, sizes
+        flat, start = np.frombuffer(b"".join(made), "<u2"), np.cumsum(size) - size
+        place = np.repeat((start[chunk] - np.cumsum(many) + many).astype(np.int32), many)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat.take(place), sizes
 
     def decode(self, tokens) -> str:
         return self._bpe.decode([int(t) for t in tokens if t != self.end])
@@ -152,12 +157,12 @@ def slots_of(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS)
     return out.astype(np.int64)
 
 
-def _encoded(stream, make):
+def _encoded(stream, make, count_only: bool = False):
     """(ids, tokens, number of tokens of each document) of pieces of the batches."""
     work = make()
     for batch in stream:
         for part in slices(batch, 1, 1, 8_000_000):
-            yield part.column(0), *work.encode_batch(part.column(1))
+            yield part.column(0), *work.encode_batch(part.column(1), count_only)
 
 
 def _sum(seen: int, ids: pa.Array) -> int:
@@ -186,8 +191,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
 
     def count(stream):
         n = seen = 0
-        for ids, tokens, _ in _encoded(stream, make):
-            n += len(tokens)
+        for ids, _, sizes in _encoded(stream, make, count_only=True):
+            n += int(sizes.sum())
             seen = _sum(seen, ids)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()]), pa.array([n], pa.int64()), pa.array([seen], pa.int64())],
