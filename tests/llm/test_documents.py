@@ -358,8 +358,9 @@ def test_license_cosine(spark):
 
 # language-model scores ------------------------------------------------------------------------------------------
 
-def test_scores(spark, docs, rows, none):
+def test_scores(spark, docs, rows, none, monkeypatch):
     got = context_mixing.text_scores(docs).collect()
+    monkeypatch.setattr(context_mixing, "FAN_BITS", 1)  # more levels of sums
     assert len(got) == len(rows)
     words = {(r[0], r[1]): (r[1] or "").encode().lower().split() + [b"\n"] for r in rows}
     counts = Counter()
