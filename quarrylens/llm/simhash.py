@@ -18,9 +18,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm import shingles
 from quarrylens.llm.common import add_column, fresh_name, stash
 
 #: Words of a shingle, seed of its hash, bits that two linked fingerprints may differ in.
@@ -39,10 +40,10 @@ def fingerprints(texts: list[bytes | None]) -> list[int]:
     for text in texts:
         words = (text or b"").lower().split()
         if len(words) >= SHINGLE:
-            shingles = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)]))
+            joined = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)]))
         else:
-            shingles = iter([b" ".join(words)] if words else [])
-        own = list(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)))
+            joined = iter([b" ".join(words)] if words else [])
+        own = list(map(xxhash.xxh64_intdigest, joined, repeat(SEED)))
         hashes.append(np.array(own, np.uint64))
         counts.append(len(own))
     counts = np.array(counts)
@@ -244,14 +245,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document per component, with the columns of ``docs``: the row with the smallest id.
+    """One document of each connected set of near copies, with the columns of ``docs``.
 
-    Among rows that share this id the one with the smallest hash of its text stays, and one of equal rows.
+    Near copies have a Jaccard similarity of 0.8 or more of their five-word shingles, compared exactly; the fingerprints and
+    the 4 bits of ``near_duplicates`` have no part in it.  The row with the smallest id stays (null last), then the smallest hash
+    of the text, then one of equal rows.  Sets with equal or null ids stay apart.
     """
-    groups = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id")
-    firsts = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    kept = firsts.select(F.col("doc_id").alias("_first")).distinct()
-    found = docs.join(kept, docs[id_col].eqNullSafe(kept["_first"]), "left_semi")
-    name = fresh_name(docs.columns, "_number")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
-    return found.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).drop(name)
+    made, number = fresh_name(docs.columns, "_shingles"), fresh_name(docs.columns, "_number")
+    marked = stash(shingles.with_prefix(docs, made, text_col).withColumn(number, F.monotonically_increasing_id()), "marked")
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
+                    F.col(number).alias("number"))
+    firsts = stash(marked.groupBy(F.col(f"{made}.node").alias("node")).agg(F.min(rank).alias("first")), "firsts")
+    single = firsts.select(F.col("first.number").alias(number))
+    prefixes = marked.select(number, f"{made}.*").join(single, number, "left_semi")
+
+    def texts(nodes):
+        asked = firsts.join(nodes, "node", "left_semi").select("node", F.col("first.number").alias(number))
+        return marked.select(number, F.col(text_col).cast("binary").alias("text")).join(asked, number).select("node", "text")
+
+    roots = shingles.shingle_links(prefixes, texts, components)
+    kept = firsts.select("first")
+    if roots is not None:
+        old = roots.select(F.col("node").alias("_node"), "root")
+        kept = firsts.join(old, firsts["node"] == old["_node"], "left").groupBy(F.coalesce("root", "node")).agg(
+            F.min("first").alias("first"))
+    return marked.join(kept.select(F.col("first.number").alias(number)), number, "left_semi").select(*docs.columns)

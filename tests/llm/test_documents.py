@@ -119,6 +119,44 @@ def test_near_duplicates_keeps_columns(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def slow_sets(texts):
+    """Root of each text by exact five-word Jaccard similarity of all pairs."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 9 * both >= 4 * (len(a) + len(sets[j])):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_one_of_each_finds_all_similar_texts(spark):
+    """Every pair of five-word Jaccard similarity 0.8 counts, however far apart the fingerprints are, and no other pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    for k in range(60):  # a group of near copies, of which not all are similar to each other
+        own = list(base)
+        for at in rng.choice(200, k % 7, replace=False):
+            own[at] = f"new{k}x{at}"
+        rows.append((100_000 + k, " ".join(own)))
+    roots = slow_sets([t for _, t in rows])
+    want = {rows[r][0] for r in roots}
+    got = [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_golay_indices_meet_within_two_bits():
     rng = np.random.default_rng(0)
     flips = [0] + [1 << i for i in range(23)] + [1 << i | 1 << j for i in range(23) for j in range(i)]
