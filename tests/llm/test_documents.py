@@ -157,6 +157,15 @@ def test_one_of_each_finds_all_similar_texts(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_one_of_each_keeps_sets_with_equal_ids_apart(spark):
+    """Rows are chosen by set, not by id: different texts with null or equal ids all stay."""
+    rows = [(None, long_text(11, 50)), (None, long_text(12, 50)), (7, long_text(13, 50)), (7, long_text(14, 50)), (None, None),
+            (7, long_text(13, 50)), (3, long_text(12, 50)), (None, "")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted([(r.doc_id, (r.text or "")[-5:]) for r in got], key=str) == [
+        (3, "end12"), (7, "end13"), (7, "end14"), (None, ""), (None, "end11")]
+
+
 def test_golay_indices_meet_within_two_bits():
     rng = np.random.default_rng(0)
     flips = [0] + [1 << i for i in range(23)] + [1 << i | 1 << j for i in range(23) for j in range(i)]
