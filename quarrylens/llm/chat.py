@@ -32,6 +32,8 @@ TEMPLATE = (
     "{% if turn.role == 'assistant' %}{% generation %}{{ turn.text | escape }}{% endgeneration %}"
     "{% else %}{{ turn.text | escape }}{% endif %}</turn>\n{% endfor %}")
 
+#: Characters from which a conversation goes on in another piece.
+PIECE = 4_000_000
 #: Every control string of the template holds one of these characters; the escaped texts hold neither.
 _ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g"}
 _UNESCAPES = {v: k for k, v in _ESCAPES.items()}
@@ -273,6 +275,27 @@ def compiled(template: str):
     return render
 
 
+def _loops(node) -> int:
+    """Loops of a tree."""
+    return (node[:1] == ("for",)) + sum(_loops(x) for x in node if isinstance(x, (tuple, list))) if node else 0
+
+
+@lru_cache(maxsize=8)
+def compiled_turn(template: str):
+    """``(role, text, first, last) -> (text, spans)`` of one turn, for templates that are one loop over the turns."""
+    tree = fold(parse(template))
+    if len(tree[1]) != 1 or tree[1][0][0] != "for" or _loops(tree) != 1:
+        raise TemplateError("pieces need a template that is one loop over the turns")
+    write = _writer(tree[1][0][1])
+
+    def render(role: str, text: str, first: bool, last: bool) -> tuple[str, list[tuple[int, int]]]:
+        out = _Output()
+        write({"turn.role": role, "turn.text": text, "loop.first": first, "loop.last": last}, [], out)
+        return "".join(out.parts), out.marked
+
+    return render
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """The turns of a text made with :data:`TEMPLATE`."""
     turns, at = [], 0
@@ -285,18 +308,79 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _ordered(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """The turns of each conversation one after the other, in order."""
+    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"),
+                        F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def formatted_pieces(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn",
+                     role_col: str = "role", text_col: str = "text", most: int = PIECE) -> DataFrame:
+    """Conversations as pieces of whole turns: ``conv_id, piece, start, formatted, spans``.
+
+    Pieces are numbered from 0 and come in order; a new one begins at ``most`` characters.  ``start`` and the spans count
+    code points of the whole conversation.  A task holds one piece and one turn, however long the conversation is.
+    Order, nulls and repeated rows are those of :func:`formatted_conversations`.
+    """
+    compiled_turn(template)
+    ordered = _ordered(turns, id_col, turn_col, role_col, text_col)
+
+    def work(stream):
+        render, kind = compiled_turn(template), None
+        mark = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        rows, waiting = [], 0  # finished pieces, their characters
+        number, start, at, parts, spans = 0, 0, 0, [], []  # of the current piece
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()),
+                pa.array([[{"start": a, "end": b} for a, b in r[4]] for r in rows], mark)],
+                names=["conv_id", "piece", "start", "formatted", "spans"])
+
+        held = None  # the turn before, which may be the last of its conversation
+        first = True
+        for source in (stream, [None]):
+            for part in source:
+                turns_ = [None] if part is None else zip(*(part.column(i).to_pylist() for i in (0, 2, 3)))
+                kind = kind if part is None else part.column(0).type
+                for turn in turns_:
+                    if held is not None:
+                        last = turn is None or turn[0] != held[0]
+                        made, own = render(held[1], held[2], first, last)
+                        parts.append(made)
+                        spans += [(at + a, at + b) for a, b in own]
+                        at += len(made)
+                        first = last
+                        if last or at - start >= most:
+                            rows.append((held[0], number, start, "".join(parts), spans))
+                            waiting += at - start
+                            number, start, parts, spans = number + 1, at, [], []
+                            if last:
+                                number = start = at = 0
+                        if waiting >= most or len(rows) >= 10_000:
+                            yield batch_of()
+                            rows, waiting = [], 0
+                    held = turn
+        if rows:
+            yield batch_of()
+
+    kind = dict(ordered.dtypes)["conv_id"]
+    return ordered.mapInArrow(work, f"conv_id {kind}, piece bigint, start bigint, formatted string, "
+                                    "spans array<struct<start: bigint, end: bigint>>")
+
+
 def formatted_conversations(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn",
                             role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: ``conv_id, formatted, spans`` (start and end of what is trained on, in code points).
 
     Turns are ordered by number (null first), then role and text; repeated rows stay.  A null role or text counts as empty;
-    rows with a null id are one conversation.  Each task streams its sorted turns and holds one conversation at a time,
-    whose formatted text is one string of the result.  An empty table gives no rows; other columns are ignored.
+    rows with a null id are one conversation.  The formatted text is one string of the result, so a conversation must fit
+    one; :func:`formatted_pieces` has no such bound.  An empty table gives no rows; other columns are ignored.
     """
     compiled(template)
-    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"),
-                        F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = _ordered(turns, id_col, turn_col, role_col, text_col)
 
     def work(stream):
         render, kind = compiled(template), None
@@ -324,30 +408,53 @@ def formatted_conversations(turns: DataFrame, template: str = TEMPLATE, id_col:
         if done:
             yield batch_of(done)
 
-    kind = dict(rows.dtypes)["conv_id"]
+    kind = dict(ordered.dtypes)["conv_id"]
     return ordered.mapInArrow(work, f"conv_id {kind}, formatted string, spans array<struct<start: bigint, end: bigint>>")
 
 
-def chat_report(turns: DataFrame, **columns) -> DataFrame:
+def chat_report(turns: DataFrame, most: int = PIECE, **columns) -> DataFrame:
     """Per conversation, read back from the formatted text: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars``."""
-    made = formatted_conversations(turns, **columns)
+    formatted_chars``.
+
+    The digests are fed piece by piece, so no conversation is ever in memory as a whole.
+    """
+    made = formatted_pieces(turns, most=most, **columns)
 
     def work(stream):
-        for batch in stream:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                back = read_back(text)
-                loss = "".join(unescape(text[s["start"]:s["end"]]) for s in spans)
-                whole = "".join(f"{role}\n{said}\n" for role, said in back)
-                out.append((len(back), hashlib.sha256(whole.encode()).hexdigest(), len(loss),
-                            hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            columns_ = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns_, kinds)]],
+        done, kind, conv, state = [], None, None, None
+
+        def close():
+            n, said, loss, n_loss, chars = state
+            done.append((conv, n, said.hexdigest(), n_loss, loss.hexdigest(), chars))
+
+        def batch_of():
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)],
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+        for batch in stream:
+            kind = batch.column(0).type
+            for own, number, start, text, spans in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if number == 0:
+                    if state is not None:
+                        close()
+                    conv, state = own, [0, hashlib.sha256(), hashlib.sha256(), 0, 0]
+                for role, said in read_back(text):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+                for s in spans:
+                    part = unescape(text[s["start"] - start:s["end"] - start])
+                    state[2].update(part.encode())
+                    state[3] += len(part)
+                state[4] += len(text)
+            if len(done) >= 10_000:
+                yield batch_of()
+                done = []
+        if state is not None:
+            close()
+            yield batch_of()
+
     kind = dict(made.dtypes)["conv_id"]
     return made.mapInArrow(work, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, "
                                  "loss_sha256 string, formatted_chars bigint")

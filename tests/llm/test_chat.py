@@ -50,3 +50,20 @@ def test_report(spark):
         assert tuple(got[conv])[1:] == (
             len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(made))
     assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_long_conversations_go_in_pieces(spark):
+    """No piece is longer than the bound and one turn; joined, pieces and spans are those of the whole conversation."""
+    rows = [(None if i % 3 == 0 else i % 2, i, ("user", "assistant")[i % 5 % 2], f"<t{i}> é" * (i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3)
+    whole = {r.conv_id: (r.formatted, r.spans) for r in chat.formatted_conversations(df).collect()}
+    pieces = sorted(chat.formatted_pieces(df, most=500).collect(), key=lambda r: (str(r.conv_id), r.piece))
+    assert max(len(r.formatted) for r in pieces) < 600
+    for conv, (text, spans) in whole.items():
+        own = [r for r in pieces if r.conv_id == conv]
+        assert [r.piece for r in own] == list(range(len(own))) and len(own) > 10
+        assert "".join(r.formatted for r in own) == text and [s for r in own for s in r.spans] == spans
+        assert all(text[r.start:r.start + len(r.formatted)] == r.formatted for r in own)
+    assert sorted(chat.chat_report(df, most=500).collect(), key=str) == sorted(chat.chat_report(df).collect(), key=str)
+    with pytest.raises(chat.TemplateError):
+        chat.formatted_pieces(df, "head {% for turn in turns %}{{ turn.text }}{% endfor %}")
