@@ -1,7 +1,9 @@
 """License scans: TF-IDF cosine of headers and license files to templates, and inheritance from the nearest directory.
 
-Templates are short statements of licenses.  Where a text holds a cue word of a template, the words around it are laid
-beside the template, cue on cue, and their sparse TF-IDF vectors are compared by cosine.  Document frequencies of all
+Templates are short statements of licenses.  Where a text holds a cue word, the words around it are laid beside every
+template by its first cue, cue on cue, and their sparse TF-IDF vectors are compared by cosine.  Statements are also tried from
+their later cues on ("under the MIT License").  The words that tell licenses apart (names, versions) must stand there too, and
+no name of another one.  Document frequencies of all
 template words are counted over all texts first.  The best template at or above ``LEAST`` is the license of the file.
 
 A file without a statement of its own inherits from the nearest directory above it that holds a license file.  Directories,
@@ -38,18 +40,33 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License"],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "ISC": [
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted"],
-    "CC0-1.0": ["Released under CC0 1.0, dedicated to the public domain."],
+    "CC0-1.0": ["Released under CC0 1.0, dedicated to the public domain.",
+                "has waived all copyright and related or neighboring rights to"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.",
                   "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
@@ -57,8 +74,21 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
     "LicenseRef-Proprietary": ["Copyright. All rights reserved."],
 }
+#: Tags of further versions, which the statements above do not tell apart.
+TAGS = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
+for _name in list(TEMPLATES):
+    if not _name.startswith("LicenseRef"):
+        TEMPLATES[_name].append(f"SPDX-License-Identifier: {_name}")
+for _name in TAGS:
+    TEMPLATES[_name.removesuffix("-only").removesuffix("-or-later")].append(f"SPDX-License-Identifier: {_name}")
+#: Names of licenses: those of a template must stand beside it, and none of the others that make it another license.
+NAMES = frozenset(b"mit apache gpl lgpl agpl general lesser affero mozilla mpl bsd isc cc cc0 by nc sa nd commons unlicense spdx "
+                  b"unencumbered waived".split())
+OTHERS = frozenset(b"lesser affero library nc sa nd noncommercial sharealike noderivatives".split())
 #: A statement is looked for where one of these words stands; each template holds at least one.
-CUES = (b"license", b"licensed", b"released", b"permission", b"redistribution", b"redistribute", b"reserved")
+CUES = (b"license", b"licensed", b"released", b"permission", b"redistribution", b"redistribute", b"reserved",
+        b"waived")
 LEAST = 0.75
 #: File names that speak for their directory.
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([.-].*)?$"
@@ -73,21 +103,48 @@ def words(text: bytes | None) -> list[bytes]:
     return [w for w in (x.strip(b".") for x in (text or b"").translate(_TABLE).split()) if w]
 
 
+def _version(word: bytes) -> bytes | None:
+    """A version number without v and .0, or null."""
+    number = word.removeprefix(b"v").removesuffix(b".0")
+    return number if number.replace(b".", b"").isdigit() else None
+
+
+def told_apart(template: list[bytes], beside: list[bytes]) -> bool:
+    """Whether the names and versions of a template stand in the words beside it, and no other license's name."""
+    here = set(beside)
+    return {w for w in template if w in NAMES} <= here and not (here & OTHERS) - set(template) and \
+        {v for v in map(_version, template) if v} <= {v for v in map(_version, beside) if v}
+
+
+def bsd_license(own: list[bytes]) -> str:
+    """Which BSD license the words after the common opening make."""
+    joined = b" ".join(own)
+    if b"neither the name" in joined or b"names of its contributors" in joined:
+        return "BSD-3-Clause"
+    return "BSD-2-Clause" if b"this software is provided by" in joined else "LicenseRef-BSD"
+
+
 class Templates:
-    """Word counts of the templates, and where their cues stand."""
+    """Word counts of the templates, and where their cues stand.
+
+    A template with several cues gives a row from after each cue on, as long as the rest names the license.
+    """
 
     def __init__(self, templates: dict[str, list[str]]):
         self.rows, self.by_cue = [], {}
         for name, texts in templates.items():
             for text in texts:
-                own = words(text.encode())
-                number = len(self.rows)
-                self.rows.append((name, own))
-                held = [(i, w) for i, w in enumerate(own) if w in CUES]
+                whole = words(text.encode())
+                held = [i for i, w in enumerate(whole) if w in CUES]
                 if not held:
                     raise ValueError(f"no cue in a template of {name}")
-                at, cue = held[0]
-                self.by_cue.setdefault(cue, []).append((number, at))
+                names = {w for w in whole if w in NAMES or _version(w)}
+                for before, at in zip([-1, *held], held):
+                    own = whole[before + 1:]
+                    if before >= 0 and not (names and names <= set(own)):
+                        continue
+                    self.by_cue.setdefault(whole[at], []).append((len(self.rows), at - before - 1))
+                    self.rows.append((name, own))
         self.vocabulary = sorted({w for _, own in self.rows for w in own})
 
 
@@ -128,8 +185,8 @@ class Matcher:
         return math.sqrt(sum(x * x for x in vector.values()))
 
     def match(self, text: bytes | None) -> dict:
-        """The best license, its cosine, and how many places of the text state a license."""
-        best, name, places = 0.0, None, 0
+        """The best license, its cosine, and how many places of the text state a license; without one, the best cosine at all."""
+        best, name, places, most = 0.0, None, 0, 0.0
         lowered = (text or b"").translate(_TABLE)
         if not any(c in lowered for c in CUES):
             return {"license": None, "score": 0.0, "statements": 0}
@@ -138,14 +195,21 @@ class Matcher:
             here = 0.0
             for number, at in self.templates.by_cue.get(word, ()):
                 vector, norm = self.vectors[number]
-                beside = self._vector(own[max(0, i - at):max(0, i - at) + len(self.templates.rows[number][1])])
+                stated, template = self.templates.rows[number]
+                window = own[max(0, i - at):max(0, i - at) + len(template)]
+                beside = self._vector(window)
                 dot = sum(x * beside.get(w, 0.0) for w, x in vector.items())
                 cosine = min(1.0, dot / (norm * self._norm(beside)))
+                most = max(most, cosine)
+                if cosine < LEAST or not told_apart(template, window):
+                    continue
                 here = max(here, cosine)
                 if cosine > best + 1e-12:
-                    best, name = cosine, self.templates.rows[number][0]
+                    best, name = cosine, stated
+                    if stated == "BSD-3-Clause" and word == b"redistribution":
+                        name = bsd_license(own[i:])
             places += here >= LEAST
-        return {"license": name if best >= LEAST else None, "score": best, "statements": places}
+        return {"license": name, "score": best if name else most, "statements": places}
 
 
 def with_license(docs: DataFrame, name: str, text_col: str = "text", templates: dict = TEMPLATES, keep=None) -> DataFrame:

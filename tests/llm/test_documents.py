@@ -403,6 +403,30 @@ def test_license_cosine(spark):
     assert math.isclose(matcher.match(text)["score"], best, abs_tol=1e-9)
 
 
+def test_license_wordings():
+    """Statements that are not templates word by word, and licenses that share their words."""
+    n, seen = 500, {w: 3 for w in licenses.Templates(licenses.TEMPLATES).vocabulary}
+    matcher = licenses.Matcher(licenses.TEMPLATES, n, seen)
+    gnu = ("This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+           "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    bsd = ("Copyright (c) 2020, Someone. All rights reserved. Redistribution and use in source and binary forms, with or without "
+           "modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+           "retain the notice. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AS IS")
+    for text, want in [
+            ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0"),
+            ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"), ("SPDX-License-Identifier: Zlib", None),
+            ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"), ("SPDX-License-Identifier: CC-BY-4.0", "CC-BY-4.0"),
+            ("Distributed under the MIT License, see the file", "MIT"), ("Distributed under the Foo License, see the file", None),
+            (gnu.format("program", "", 3), "GPL-3.0"), (gnu.format("program", "Affero ", 3), "AGPL-3.0"),
+            (gnu.format("program", "Lesser ", 3), "LGPL-3.0"), (gnu.format("library", "Lesser ", 2.1), "LGPL-2.1"),
+            (gnu.format("program", "", 2), "GPL-2.0"), (bsd.format(""), "BSD-2-Clause"),
+            (bsd.format("Neither the name of the holder nor the names of its contributors may be used. "), "BSD-3-Clause"),
+            ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+            ("The person has waived all copyright and related or neighboring rights to the work", "CC0-1.0"),
+            ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("the license of a driver", None)]:
+        assert matcher.match(text.encode())["license"] == want, (text, matcher.match(text.encode()))
+
+
 # language-model scores ------------------------------------------------------------------------------------------
 
 def test_scores(spark, docs, rows, none, monkeypatch):
