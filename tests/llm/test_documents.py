@@ -476,6 +476,22 @@ def test_code_is_a_probability():
     assert 0.9 < total <= 1.0 + 1e-4
 
 
+def test_class_of_a_text_is_paid_for():
+    """Over all short texts of some classes the probabilities add up to at most one, and each class costs its share."""
+    code = context_mixing.Code(np.eye(1, 256, 97, dtype=np.int64)[0] * 1000)
+    model = context_mixing.Model(code, [np.zeros(1 << b, np.int8) for b in context_mixing.TABLES])
+    kinds = context_mixing.class_bits(np.arange(context_mixing.CLASSES) * 10)
+    assert math.isclose(np.exp2(-kinds).sum(), 1.0)
+    common = {b"a": 1, b"b": 2, b"c": 3}
+    texts = [b"", *(bytes([c]) for c in range(256) if c not in b" \n"), b"a b", b"b b a"]
+    numbers = context_mixing.Numbers()
+    entries = context_mixing.Entries(numbers, common, [numbers.of(t) for t in texts])
+    assert entries.text_class[[0, 1 + 95, 1 + 96]].tolist() == [0, 1, 2] and entries.text_class[-1] == 2
+    bits = context_mixing.text_bits(model, entries, kinds)
+    assert np.exp2(-bits).sum() <= 1
+    assert np.allclose(bits - entries.per_text(model.bits(entries)), kinds[entries.text_class])
+
+
 def test_scores_beat_word_frequencies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = context_mixing.text_scores(docs).collect()
