@@ -13,8 +13,8 @@ card      digits                   14 to 19 digits, blanks or hyphens between, L
 phone     ``+``                    plus sign and 10 to 15 digits
 url       ``://``                  user data before the host of a URL, ``user:password@host``
 account   ``iban``, ``account`` …  after the cue: an IBAN whose remainder is 1, or 6 to 17 digits
-secret    ``token``, ``key`` …     after the cue and ``=`` or ``:``: 16 or more letters, digits and ``+/_-`` with a digit
-handle    ``@``                    at-sign after a blank and 2 to 30 word characters, where no email is
+secret    ``token``, ``key`` …     after the cue and ``=`` or ``:``: 16 or more letters, digits and ``+/_-.``, ``=`` at the end, with a digit
+handle    ``@``                    at-sign after a blank and 2 or more word characters, where no email is
 ========  =======================  ==============================================================================
 
 The first four are the base kinds: leftmost, non-overlapping per kind, as a regular expression search finds them.  A
@@ -47,10 +47,14 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_USER = re.compile(r"://([^\s/@]{1,256}@[^\s/?#]{1,256})")
+_USER = re.compile(r"://([^\s/@]+@[^\s/?#]+)")
 _ACCOUNT = re.compile(r"[\x20:#=.]{0,3}(?:no|nr|number)?[\x20:#=.]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}|[0-9][0-9-]{4,20}[0-9])")
-_SECRET = re.compile(r"[\x20\"']{0,2}[=:][\x20\"']{0,2}([A-Za-z0-9+/_-]{16,512})")
-_HANDLE = re.compile(r"@\w{2,30}")
+_SECRET = re.compile(r"[\x20\"']{0,2}[=:][\x20\"']{0,2}([A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-]=*)")
+_HANDLE = re.compile(r"@\w{2,}")
+
+
+#: Cues are found in a copy with A-Z in lower case, which keeps all positions.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @lru_cache(maxsize=1)
@@ -63,8 +67,7 @@ def _anchors():
     found.add_word("://", ("url", 3))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -107,7 +110,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         out.append((kind, a, b))
         end[kind] = b
 
-    for last, (what, length) in _anchors().iter(text):
+    for last, (what, length) in _anchors().iter(text.translate(_LOWER)):
         at = last + 1 - length
         if what == "digit":
             inside = at > 0 and "0" <= text[at - 1] <= "9"  # where a run of digits fails, so does every part of it

@@ -309,6 +309,17 @@ def test_extra_spans():
     assert pii.redact("mail a@b.co now") == "mail [email] now" and pii.redact(None) is None
 
 
+def test_extra_spans_reach_their_end():
+    """Long values are found whole, with dots and padding, after cues in any case."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for cue in ("apiKey", "ApiKey", "API_Key", "token"):
+        for value in (jwt, "a1" * 2000, "c2VjcmV0c2VjcmV0MTIzNA=="):
+            assert pii.redact(f"é {cue}: {value}, x") == f"é {cue}: [secret], x"
+    assert pii.redact("my token = abcdef0123456789ff. Next") == "my token = [secret]. Next"
+    assert pii.redact("hi @" + "n" * 100 + " x") == "hi [handle] x"
+    assert pii.redact("at https://" + "u" * 400 + ":p@" + "h" * 300 + "/x") == "at https://[url]/x"
+
+
 def test_pii_report(spark, docs, none, rows):
     got = by_id(pii.pii_report(docs))
     assert sum(map(len, got.values())) == len(rows) and got[5][0].spans == ""
