@@ -25,14 +25,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, nothing is computed twice."""
-    path = shared_folder(df.sparkSession, name)
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, nothing is computed twice.
+
+    The shuffle files of the write go when it has ended; until then lost ones are made again.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stash_path = path
+    return back
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more, since what was made of them is stashed itself."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id, folds: int):

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (
-    chat, context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, pii, simhash, token_shards)
+    chat, context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, pii, repeats, simhash, token_shards,
+    whitening)
 
 QUERIES, ORACLES = {}, {}
 
@@ -136,3 +137,27 @@ def op10(spark, folder):
         F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.chat_report(turns.unionByName(probe))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, folder):
+    found = whitening.whiten(_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op13_substring_dedup", r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS g
+    FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+repeated AS (
+    SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM windows) WHERE doc_id > low),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM repeated),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+kept AS (
+    SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)""")
+def op13(spark, folder):
+    return repeats.repeat_report(_table(spark, folder, "documents")).drop("repeats")
