@@ -135,22 +135,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     keyed = _keyed(docs, id_col, text_col)
     runs = stash(keyed.mapInArrow(_runs, "anchor bigint, run bigint, id bigint, key bigint, at int, n int"), "runs")
-    shared = runs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    seeded = stash(runs.join(shared.select("anchor"), "anchor"), "seeded")
-    discard(runs)
+    # What is grouped is written before it is joined on the same key, so that Spark can split a hot key in the join.
+    shared = stash(runs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(
+        "anchor"), "shared")
+    seeded = stash(runs.join(shared, "anchor"), "seeded")
+    discard(runs, shared)
     place = F.struct("id", "key", "at", "n")
     first = stash(seeded.groupBy("anchor", "run").agg(F.min(place).alias("first")), "first")
-    several = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    several = stash(first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
     asked = first.join(several, "anchor").groupBy(F.col("first.id").alias("id"), F.col("first.key").alias("key")).agg(
         F.collect_list(F.struct("first.at", "first.n", "run", "anchor")).cast(_RUN).alias("asked"))
     windows = stash(keyed.join(asked, ["id", "key"]).select("id", "text", "asked").mapInArrow(
         _extended, "anchor bigint, run bigint, off int, words bigint, id bigint"), "windows")
-    lows = windows.groupBy("anchor", "words").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
-        "low < high").select("anchor", "words", "low")
+    lows = stash(windows.groupBy("anchor", "words").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
+        "low < high").select("anchor", "words", "low"), "lows")
     masks = windows.join(lows, ["anchor", "words"]).where("id > low").groupBy("anchor", "run").agg(
         F.expr("bit_or(shiftleft(1L, off))").alias("mask"))
     told = stash(first.select("anchor", "run", F.col("first.id").alias("low")).join(masks, ["anchor", "run"], "left"), "told")
-    discard(windows, first)
+    discard(windows, first, several, lows)
     whole = F.expr("shiftleft(1L, n) - 1")
     mask = F.when(F.col("id") > F.col("low"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("bigint")))
     marked = seeded.join(told, ["anchor", "run"]).select("id", "key", "at", mask.alias("mask")).where("mask != 0")
