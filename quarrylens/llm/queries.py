@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (
-    chat, context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, pii, repeats, simhash, token_shards,
-    whitening)
+    chat, context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, phrases, pii, repeats, simhash,
+    token_shards, whitening)
 
 QUERIES, ORACLES = {}, {}
 
@@ -139,6 +139,38 @@ def op10(spark, folder):
     return chat.chat_report(turns.unionByName(probe))
 
 
+@query("op11_phrase_collocations", r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+              """ + _LOWER.format("coalesce(text, '')") + r""", '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+found AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+longer AS (
+    SELECT lang, g, max(a) AS most
+    FROM (SELECT lang, w[1] || ' ' || w[2] AS g, a FROM found WHERE k = 3
+          UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM found WHERE k = 3) GROUP BY ALL),
+kept AS (
+    SELECT found.* FROM found LEFT JOIN longer ON found.lang = longer.lang AND found.g = longer.g AND found.k = 2
+    WHERE most IS NULL OR 100 * most < 50 * a),
+cuts AS (
+    SELECT lang, g, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+    FROM kept, (VALUES (1), (2)) AS cs(c) WHERE c < k),
+scored AS (
+    SELECT cuts.*, h.f AS l, t.f AS r, (1000000 * a::HUGEINT * a // (h.f::HUGEINT * t.f))::BIGINT AS score
+    FROM cuts JOIN f AS h ON h.lang = cuts.lang AND h.g = head AND h.k = c
+    JOIN f AS t ON t.lang = cuts.lang AND t.g = tail AND t.k = len(string_split(cuts.g, ' ')) - c),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM best)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op11(spark, folder):
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 @query("op12_embedding_whitening")
 def op12(spark, folder):
     found = whitening.whiten(_table(spark, folder, "embeddings"))
