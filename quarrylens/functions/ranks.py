@@ -79,7 +79,7 @@ def _by(keys: Sequence[str]) -> list:
     return list(keys) if keys else [F.lit(0)]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating NULL keys as equal; keeps the left columns."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = None
@@ -113,7 +113,7 @@ def running_totals(
         *[F.sum(f"_t_{s}").over(whole).alias(f"{s}_total") for s in sums],
     )
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = _same(rows, offsets, [*by, "_bucket"])
+    out = same_keys(rows, offsets, [*by, "_bucket"])
     return out.select(
         *counts.columns,
         *[
@@ -179,7 +179,7 @@ def sequence_index(
         F.sum("_rows").over(whole).alias("_group_rows"),
     )
     inside = W.partitionBy(*by, "_bucket").orderBy("_order")
-    out = _same(rows, offsets, [*by, "_bucket"]).withColumn(
+    out = same_keys(rows, offsets, [*by, "_bucket"]).withColumn(
         name, (F.col("_offset") + F.row_number().over(inside) - 1).cast("long")
     )
     extra = [F.col("_group_rows").alias(total)] if total else []

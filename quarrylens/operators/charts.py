@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
 from quarrylens.functions.quantiles import quantiles, quantiles_of_counts, widen
-from quarrylens.functions.ranks import _same, sequence_index, value_counts
+from quarrylens.functions.ranks import same_keys, sequence_index, value_counts
 from quarrylens.functions.scalars import one_row, safe_div, sample_skew
 from quarrylens.operators.correlation import correlation_matrix, pearson_pairs
 from quarrylens.operators.sampling import sample_random
@@ -49,7 +49,7 @@ def box(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * iqr, "upper_fence": F.col("q3") + 1.5 * iqr})
     lim = ["q1", "median", "q3", "lower_fence", "upper_fence"]
-    both = _same(counts, q, by) if by else counts.withColumn("_q", one_row(q)).select("v", "n", "_q.*")
+    both = same_keys(counts, q, by) if by else counts.withColumn("_q", one_row(q)).select("v", "n", "_q.*")
     inside = F.col("v").between(F.col("lower_fence"), F.col("upper_fence"))
     return both.groupBy(*by).agg(
         *[F.first(c).alias(c) for c in lim], F.min(F.when(inside, F.col("v"))).alias("whisker_low"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -105,7 +106,10 @@ def friedman(scores: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) ->
 
 
 def nemenyi(scores: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Pairs of models with their rank difference against the critical difference."""
+    """Pairs of models with their rank difference against the critical difference.
+
+    Critical values are tabulated up to 10 models and integrated from the studentised range for more.
+    """
     by = list(by)
     m = mean_ranks(scores, by)
     w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -114,8 +118,7 @@ def nemenyi(scores: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> D
     known = None
     for k, q in table.items():
         known = F.when(F.col("k") == k, q) if known is None else known.when(F.col("k") == k, q)
-    pairs_count = F.col("k") * (F.col("k") - 1) / 2
-    wide = dist.normal_quantile(1 - F.lit(alpha) / (2 * pairs_count))
+    wide = dist.studentized_range_q(F.col("k").cast("double"), F.lit(alpha)) / math.sqrt(2)
     q = F.coalesce(known, wide) if known is not None else wide
     m = m.withColumn("critical_difference", q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("folds"))))
     listed = m.groupBy(*by, "critical_difference").agg(
@@ -133,12 +136,12 @@ def nemenyi(scores: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> D
 
 def compare_models(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Paired t-test for two models, Friedman for more: one row with the test chosen."""
-    models = sorted(r[0] for r in scores.select("model").distinct().limit(1001).collect())
-    if len(models) < 2:
+    found = scores.agg(F.count_distinct("model").alias("k"), F.min("model").alias("first"), F.max("model").alias("last")).first()
+    if found["k"] < 2:
         raise ValueError("two or more models are needed")
-    if len(models) == 2:
-        t = paired_ttest(scores, models[0], models[1], (), alpha)
-        better = F.when(F.col("mean_diff") >= 0, models[0]).otherwise(models[1])
+    if found["k"] == 2:
+        t = paired_ttest(scores, found["first"], found["last"], (), alpha)
+        better = F.when(F.col("mean_diff") >= 0, found["first"]).otherwise(found["last"])
         return t.select(F.lit("paired_ttest").alias("test"), "statistic", "p_value", "significant",
                         better.alias("best_model"))
     return friedman(scores, (), alpha).select(F.lit("friedman").alias("test"), "statistic", "p_value",

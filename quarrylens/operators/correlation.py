@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions import dist
 from quarrylens.functions.ranks import running_totals
 from quarrylens.functions.scalars import no_nan, numeric_columns, one_row
+from quarrylens.session import cut_lineage
 
 
 def pair_columns(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -99,8 +100,38 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     ).select(F.lit(a).alias("col1"), F.lit(b).alias("col2"), "r", "n")
 
 
-def dominance_counts(rows: DataFrame, time: str, score: str, left: str, right: str) -> DataFrame:
-    """Pairs (i, j) with ``time_i < time_j`` split by how their scores compare.
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(col1, col2, r, n)`` of all pairs of columns, pairwise complete, from one ranking of the unpivoted table.
+
+    A column is ranked once over all its values, and once more for each other column with gaps, over the rows where both
+    are known.  All these rankings are one running total; the ranks go back to their rows as one array, and the products
+    of all pairs are one pass over these.
+    """
+    columns = list(columns)
+    known = lambda c: no_nan(F.col(f"`{c}`").cast("double"))
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), *[known(c).alias(f"c{i}") for i, c in enumerate(columns)]))
+    missing = rows.agg(*[F.count(F.when(F.col(f"c{i}").isNull(), 1)).alias(f"c{i}") for i in range(len(columns))]).first()
+    gaps = [i for i in range(len(columns)) if missing[f"c{i}"]]
+    slots = {s: at for at, s in enumerate((i, g) for i in range(len(columns)) for g in (-1, *gaps) if g != i)}
+    cells = F.array(*[
+        F.struct(F.lit(at).alias("slot"), (F.col(f"c{i}") if g < 0 else F.when(F.col(f"c{g}").isNotNull(), F.col(f"c{i}"))).alias("v"))
+        for (i, g), at in slots.items()])
+    long = rows.select("_row", F.inline(F.filter(cells, lambda c: c["v"].isNotNull())))
+    counted = running_totals(long.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n")), "v", ["n"], ["slot"])
+    ranks = cut_lineage(counted.select("slot", "v", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")))
+    back = long.join(ranks, ["slot", "v"]).groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", "rank"))).alias("m"))
+    wide = cut_lineage(back.select(*[F.col("m")[at].alias(f"s{at}") for at in slots.values()]))
+    with_gaps = set(gaps)
+    name = lambda i, j: f"s{slots[i, j if j in with_gaps else -1]}"
+    asked = [(name(i, j), name(j, i), columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    names = df.sparkSession.createDataFrame(asked, "s1 string, s2 string, a string, b string")
+    found = pearson_pairs(wide, [a[:2] for a in asked]).withColumnsRenamed({"col1": "s1", "col2": "s2"})
+    return names.join(found, ["s1", "s2"]).select(F.col("a").alias("col1"), F.col("b").alias("col2"), "r", "n")
+
+
+def dominance_counts(rows: DataFrame, time: str, score: str, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (i, j) with ``time_i < time_j`` split by how their scores compare, exactly (``decimal``), per ``by``.
 
     ``rows`` holds weighted distinct points; ``left`` / ``right`` are the weights a
     point carries as the earlier / later member.  Each unordered pair of times first
@@ -108,64 +139,65 @@ def dominance_counts(rows: DataFrame, time: str, score: str, left: str, right: s
     that bit, inside the shared prefix.  Per prefix only running totals over the
     score are needed - no pair is ever materialised.
     """
-    times = rows.select(time).distinct().withColumn("_one", F.lit(1))
-    index = running_totals(times, time, ["_one"]).select(
-        time, F.col("_one_before").cast("long").alias("_t"), F.col("_one_total").alias("_nt"))
-    coded = rows.join(index, time)
+    by = list(by)
+    times = rows.select(*by, time).distinct().withColumn("_one", F.lit(1))
+    index = running_totals(times, time, ["_one"], by).select(
+        *by, time, F.col("_one_before").cast("long").alias("_t"), F.col("_one_total").alias("_nt"))
+    coded = rows.join(index, [*by, time])
     levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("_nt").cast("double"))).cast("int") - 1, F.lit(0)))
-    spread = coded.select(score, left, right, "_t", F.explode(levels).alias("_level"))
+    spread = coded.select(*by, score, left, right, "_t", F.explode(levels).alias("_level"))
     prefix = F.expr("shiftright(_t, _level + 1)")
     late = F.expr("shiftright(_t, _level) & 1") == 1
-    cells = spread.groupBy("_level", prefix.alias("_prefix"), score).agg(
-        F.sum(F.when(late, F.lit(0)).otherwise(F.col(left))).cast("double").alias("_l"),
-        F.sum(F.when(late, F.col(right)).otherwise(F.lit(0))).cast("double").alias("_r"),
-    )
-    ranked = running_totals(cells, score, ["_r"], ["_level", "_prefix"])
-    return ranked.agg(
-        F.coalesce(F.sum(F.col("_l") * F.col("_r_before")), F.lit(0.0)).alias("later_lower"),
-        F.coalesce(F.sum(F.col("_l") * (F.col("_r_total") - F.col("_r_before") - F.col("_r"))),
-                   F.lit(0.0)).alias("later_higher"),
-        F.coalesce(F.sum(F.col("_l") * F.col("_r")), F.lit(0.0)).alias("later_tied"),
+    cells = spread.groupBy(*by, "_level", prefix.alias("_prefix"), score).agg(
+        F.sum(F.when(late, F.lit(0)).otherwise(F.col(left))).cast("bigint").alias("_l"),
+        F.sum(F.when(late, F.col(right)).otherwise(F.lit(0))).cast("bigint").alias("_r"),
     )
+    ranked = running_totals(cells, score, ["_r"], [*by, "_level", "_prefix"])
+    whole = lambda c: c.cast("decimal(19,0)")
+    pairs = lambda c: F.coalesce(F.sum((whole(F.col("_l")) * whole(c)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return ranked.groupBy(*by).agg(
+        pairs(F.col("_r_before")).alias("later_lower"),
+        pairs(F.col("_r_total") - F.col("_r_before") - F.col("_r")).alias("later_higher"),
+        pairs(F.col("_r")).alias("later_tied"))
+
+
+def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(col1, col2, r, n)``: Kendall tau-b of all ``pairs`` over all pairs of rows, in one plan."""
+    value = lambda c: no_nan(F.col(f"`{c}`").cast("double"))
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), value(a).alias("x"), value(b).alias("y")) for i, (a, b) in enumerate(pairs)])
+    counted = cut_lineage(df.select(F.inline(cells)).where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(
+        F.count(F.lit(1)).alias("n")))
+    dom = dominance_counts(counted.withColumn("n2", F.col("n")), "x", "y", "n", "n2", ["pair"])
+
+    def ties(side: str, name: str) -> DataFrame:
+        return counted.groupBy("pair", side).agg(F.sum("n").cast("double").alias("c")).groupBy("pair").agg(
+            F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name))
+
+    total = counted.groupBy("pair").agg(F.sum("n").alias("n"))
+    facts = total.join(dom, "pair").join(ties("x", "tx"), "pair").join(ties("y", "ty"), "pair")
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    denom = F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, col1 string, col2 string")
+    tau = F.when(denom > 0, (F.col("later_higher") - F.col("later_lower")).cast("double") / denom)
+    return names.join(facts, "pair", "left").select("col1", "col2", tau.alias("r"), "n")
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     """Kendall tau-b of two columns over all pairs of rows."""
-    pairs = _pair_counts(df, a, b)
-    weighted = pairs.withColumn("n2", F.col("n"))
-    dom = dominance_counts(weighted, "x", "y", "n", "n2")
-
-    def ties(keys):
-        return pairs.groupBy(*keys).agg(F.sum("n").cast("double").alias("c")).agg(
-            F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"))
-
-    facts = (
-        dom.withColumn("total", pairs.agg(F.sum("n").cast("double")).scalar())
-        .withColumn("tx", ties(["x"]).scalar()).withColumn("ty", ties(["y"]).scalar())
-    )
-    n0 = F.col("total") * (F.col("total") - 1) / 2
-    denom = F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
-    return facts.select(
-        F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-        F.when(denom > 0, (F.col("later_higher") - F.col("later_lower")) / denom).alias("r"),
-        F.col("total").cast("bigint").alias("n"),
-    )
+    return kendall_pairs(df, [(a, b)])
 
 
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
-    """Full matrix as rows ``(col1, col2, r)``; pearson, spearman or kendall."""
+    """Full matrix as rows ``(col1, col2, r)``; pearson, spearman or kendall, each from one plan for all pairs."""
     columns = list(columns or numeric_columns(df))
     pairs = pair_columns(columns)
-    if method == "pearson":
-        return _both_ways(pearson_pairs(df, pairs), columns)
-    fn = {"spearman": spearman, "kendall": kendall}[method]
-    out = None
-    for a, b in pairs:
-        one = fn(df, a, b)
-        out = one if out is None else out.unionByName(one)
-    return _both_ways(out, columns)
+    if not pairs:
+        return df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "col1 string, col2 string, r double")
+    found = {"pearson": lambda: pearson_pairs(df, pairs), "spearman": lambda: spearman_matrix(df, columns),
+             "kendall": lambda: kendall_pairs(df, pairs)}[method]()
+    return _both_ways(found, columns)
 
 
 def high_pairs(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions.quantiles import bin_right_closed, edge_array
+from quarrylens.functions.ranks import running_totals, same_keys, sequence_index
 from quarrylens.functions.scalars import safe_div
 
 
@@ -103,7 +103,6 @@ def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def interpolate_linear(df: DataFrame, column: str, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Fill gaps on a straight line over row positions; edges take the nearest known value."""
-    from quarrylens.functions.ranks import sequence_index
     from quarrylens.operators.sequence import fill
 
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_index").alias("i"), F.col(column).cast("double").alias("v")))
@@ -119,17 +118,33 @@ def interpolate_linear(df: DataFrame, column: str, order_by: Sequence[str], by:
 def velocity(df: DataFrame, entity: str, ts: str, amount: str, windows_hours: Sequence[int] = (1, 24)) -> DataFrame:
     """Events and amount of the same entity in the preceding hours (current row included).
 
-    Time is cut into windows of the frame length; a row also visits the next slice, so a
-    range frame inside (entity, slice) is complete without gathering the whole entity.
+    Time is cut into slices of the length of the window, so a window is the end of one slice and the beginning of the next.
+    Both come from running totals per entity and slice; the moments where windows begin are merged into the stream as
+    rows of no weight.  Running totals are carried over range buckets, so one entity may hold the whole table.  Rows without a
+    time count the rows of their entity without one; the sum of missing amounts is missing.
     """
-    out = df.withColumn("_us", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts)))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    out = df.withColumn("_us", F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
+    zero = F.lit(0)
+    moments = out.groupBy(entity, "_us").agg(
+        F.count(F.lit(1)).alias("n"), F.count(amount).alias("m"), F.coalesce(F.sum(amount), zero).alias("s"))
     names = []
     for h in windows_hours:
         span = h * 3_600_000_000
         own = F.floor(F.col("_us") / F.lit(span))
-        spread = out.withColumn("_slice", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_slice") == own)
-        w = W.partitionBy(entity, "_slice").orderBy("_us").rangeBetween(-span, 0)
+        starts = moments.select(entity, (F.col("_us") - span).alias("_us"), *[
+            zero.cast(kind).alias(c) for c, kind in moments.dtypes[2:]], (own - 1).alias("_slice"))
+        stream = moments.withColumn("_slice", own).unionByName(starts.where("_us IS NOT NULL")).groupBy(entity, "_us", "_slice").agg(
+            *[F.sum(c).alias(c) for c in ("n", "m", "s")])
+        told = running_totals(stream, "_us", ["n", "m", "s"], [entity, "_slice"])
+        begun = told.select(entity, "_us", *[(F.col(f"{c}_before") + F.col(c)).alias(f"_{c}") for c in ("n", "m", "s")])
+        ended = told.select(entity, F.col("_us").alias("_start"), *[
+            (F.col(f"{c}_total") - F.col(f"{c}_before")).alias(f"_p{c}") for c in ("n", "m", "s")])
+        both = same_keys(same_keys(out, begun, [entity, "_us"]).withColumn("_start", F.col("_us") - span), ended.where(
+            "_start IS NOT NULL"), [entity, "_start"], "left")
+        parts = {c: F.col(f"_{c}") + F.coalesce(f"_p{c}", zero) for c in ("n", "m", "s")}
         n, s = f"{amount}_count_{h}h", f"{amount}_sum_{h}h"
-        out = spread.withColumns({n: F.count(F.lit(1)).over(w), s: F.sum(amount).over(w)}).where("_own").drop("_slice", "_own")
+        out = both.withColumns({n: parts["n"], s: F.when(parts["m"] > 0, parts["s"])}).drop(
+            "_start", *[f"{p}{c}" for p in ("_", "_p") for c in ("n", "m", "s")])
         names += [n, s]
     return out.select(*df.columns, *names)

@@ -1,4 +1,10 @@
-"""Exact nearest rows: items lie in cells around pivots, and queries visit the cells that can hold a neighbour."""
+"""Exact nearest rows from small signatures of the vectors (a vector approximation file).
+
+One aggregation over the items gives their leading axes.  A signature is a vector in these axes, each coordinate cut to the few
+bits that its spread deserves, with the exact distance between the vector and its cut form.  So the distance of a query to a
+signature bounds that to the vector from both sides.  A scan over blocks of signatures keeps the pairs that can be among the
+nearest, and only these are measured on the vectors themselves.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +19,10 @@ from pyspark.sql import types as T
 
 from quarrylens.session import cut_lineage
 
-#: Pivots drawn from the items (all that reaches the driver, with one radius per cell), rows of a block of a cell.
-CELLS = 256
-QUERY_BLOCK, ITEM_BLOCK = 2_000, 50_000
+#: Bits per coordinate on average and at most; half the width of a grid in standard deviations.
+BITS, MOST_BITS, WIDTH = 4, 8, 3.5
+#: Rows of a block of queries and of signatures; bounds held at once in a task.
+QUERY_BLOCK, ITEM_BLOCK, BOUNDS = 2_000, 100_000, 4_000_000
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -25,122 +32,196 @@ def _matrix(series: pd.Series) -> np.ndarray:
         return np.array([[np.nan if x is None else x for x in v] for v in series], dtype="float64")
 
 
-def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of every query row to every item row of one batch."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def pair_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of ``q`` to the same row of ``x``; infinite where they share no coordinate."""
     if metric == "cosine":
-        qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        xn = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return 1.0 - qn @ xn.T
+        return 1.0 - (_unit(q) * _unit(x)).sum(axis=1)
+    gap = (q - x) ** 2
     if metric == "nan_euclidean":
-        qm, xm = ~np.isnan(q), ~np.isnan(x)
-        q0, x0 = np.where(qm, q, 0.0), np.where(xm, x, 0.0)
-        both = qm.astype(float) @ xm.T.astype(float)
-        sq = (q0**2) @ xm.T + qm @ (x0**2).T - 2.0 * q0 @ x0.T
+        both = (~np.isnan(gap)).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.sqrt(np.maximum(sq, 0.0) * q.shape[1] / both)
-        return np.where(both > 0, d, np.inf)
-    out = np.empty((len(q), len(x)))
-    for i, row in enumerate(q):
-        out[i] = np.sqrt(((x - row) ** 2).sum(axis=1))
-    return out
-
-
-def _best(queries: pd.DataFrame, items: pd.DataFrame, qk: str, ik: str, vector: str, k: int,
-          metric: str, payload: Sequence[str], group: str | None,
-          apart: tuple[str, str] | None = None) -> pd.DataFrame:
-    """The k best items per query within one batch (ties by item key)."""
-    if not len(queries) or not len(items):
-        return pd.DataFrame(columns=[qk, ik, "distance", *payload])
-    d = _distances(_matrix(queries[vector]), _matrix(items[vector]), metric)
-    if group:
-        same = queries[group].to_numpy()[:, None] == items[group].to_numpy()[None, :]
-        d = np.where(same, np.inf, d)
-    if apart:
-        column, margin = apart
-        gap = np.abs(queries[column].to_numpy()[:, None] - items[column].to_numpy()[None, :])
-        d = np.where(gap <= queries[margin].to_numpy()[:, None], np.inf, d)
-    keys = items[ik].to_numpy()
-    picked, owners = [], []
-    for i in range(len(queries)):
-        row = d[i]
-        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-        near = near[np.isfinite(row[near])]
-        best = near[np.lexsort((keys[near], row[near]))[:k]]
-        picked.append(best)
-        owners.append(np.full(len(best), i))
-    at, who = np.concatenate(picked), np.concatenate(owners)
-    out = items.iloc[at][[ik, *payload]].reset_index(drop=True)
-    out.insert(0, qk, queries[qk].to_numpy()[who])
-    out["distance"] = d[who, at]
-    return out[[qk, ik, "distance", *payload]]
-
-
-class _Cells:
-    """Pivots and the cells around them: items of one gap pattern whose nearest pivot is the same."""
-
-    def __init__(self, pivots: np.ndarray, metric: str):
-        self.pivots, self.metric = pivots, metric
+            return np.where(both > 0, np.sqrt(np.nansum(gap, axis=1) * q.shape[1] / both), np.inf)
+    return np.sqrt(gap.sum(axis=1))
+
+
+class Signatures:
+    """Axes and grid of a table of vectors; cuts vectors to signatures and bounds distances to them."""
+
+    def __init__(self, metric: str, mean: np.ndarray, axes: np.ndarray, spread: np.ndarray):
+        """``axes``: columns of length one at right angles; ``spread``: standard deviation along each."""
+        self.metric, self.mean, self.axes = metric, mean, axes
+        bits = self._deserved_bits(spread)
+        self.kept = np.flatnonzero(bits)
+        self.levels = 2.0 ** bits[self.kept]
+        self.low = -WIDTH * spread[self.kept]
+        self.step = np.where(spread[self.kept] > 0, -2 * self.low / self.levels, 1.0)
+        self.with_gaps = metric == "nan_euclidean"
+
+    @staticmethod
+    def _deserved_bits(spread: np.ndarray) -> np.ndarray:
+        """Whole bits per axis, in proportion to the logarithm of its spread; ``BITS`` on average."""
+        live = np.log2(np.maximum(spread, 1e-300))
+        floor, top = live.min() - MOST_BITS - 1, live.max() + 1
+        for _ in range(60):
+            level = (floor + top) / 2
+            bits = np.clip(np.round(live - level), 0, MOST_BITS)
+            floor, top = (level, top) if bits.sum() > BITS * len(spread) else (floor, level)
+        bits = np.clip(np.round(live - top), 0, MOST_BITS)
+        return np.where(spread > 0, bits, 0)
 
     def prepared(self, x: np.ndarray) -> np.ndarray:
-        """Vectors as they are measured: unit length for the cosine."""
-        if self.metric == "cosine":
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return x
-
-    def to_pivots(self, x: np.ndarray) -> np.ndarray:
-        """Distance to every pivot over the coordinates that a vector has."""
-        known = ~np.isnan(x)
-        x0, p = np.where(known, x, 0.0), self.pivots
-        sq = (x0**2).sum(1)[:, None] + known.astype(float) @ (p**2).T - 2.0 * x0 @ p.T
-        return np.sqrt(np.maximum(sq, 0.0))
+        return _unit(x) if self.metric == "cosine" else x
 
-    def assign(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Name of the cell of each vector and its distance from the pivot."""
+    def cut(self, x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Signature of each vector, and how far the vector is from it."""
         x = self.prepared(x)
-        d = self.to_pivots(x)
-        near = d.argmin(1)
         known = ~np.isnan(x)
+        y = (np.where(known, x, self.mean) - self.mean) @ self.axes
+        code = np.clip(np.floor((y[:, self.kept] - self.low) / self.step), 0, self.levels - 1)
+        y[:, self.kept] -= self.low + (code + 0.5) * self.step
+        if self.with_gaps:
+            y = np.where(known, y, 0.0)  # the axes are the coordinates themselves
+        body = code.astype(np.uint8)
+        if self.with_gaps:
+            body = np.concatenate([body, np.packbits(known, axis=1)], axis=1)
+        return [row.tobytes() for row in body], np.sqrt((y * y).sum(1))
+
+    def restored(self, signatures: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Cut vectors in the axes, and which coordinates are known (with gaps only)."""
+        body = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+        y = np.zeros((len(body), self.axes.shape[1]))
+        y[:, self.kept] = self.low + (body[:, :len(self.kept)] + 0.5) * self.step
+        known = None
+        if self.with_gaps:
+            known = np.unpackbits(body[:, len(self.kept):], axis=1)[:, :len(self.mean)].astype(bool)
+        return y, known
+
+    def bounds(self, q: np.ndarray, y: np.ndarray, known, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest possible distance of each query to each cut vector."""
         if self.metric == "cosine":
-            known = known & (np.abs(x).sum(1) > 0)[:, None]  # a zero vector is in a pattern of its own
-        patterns = ["".join(r) for r in np.where(known, "1", "0")] if not known.all() else ["1" * x.shape[1]] * len(x)
-        return [f"{n}:{pattern}" for n, pattern in zip(near, patterns)], d[np.arange(len(x)), near]
-
-    def bounds(self, x: np.ndarray, cells: list[tuple[str, float]]) -> np.ndarray:
-        """Smallest possible distance of each vector to the items of each cell (name, radius)."""
-        x = self.prepared(x)
-        known = ~np.isnan(x)
-        out = np.empty((len(x), len(cells)))
-        by_pattern: dict[str, list[int]] = {}
-        for i, (name, _) in enumerate(cells):
-            by_pattern.setdefault(name.split(":")[1], []).append(i)
-        for pattern, at in by_pattern.items():
-            mask = np.array([c == "1" for c in pattern])
-            both = known & mask
-            shared = both.sum(1)
-            inside = np.where(both, x, np.nan)
-            d = self.to_pivots(inside)[:, [int(cells[i][0].split(":")[0]) for i in at]]
-            low = np.maximum(0.0, d - np.array([cells[i][1] for i in at]) - 1e-9 * (1.0 + d))
-            if self.metric == "cosine":
-                low = low**2 / 2 if mask.any() else np.zeros_like(low)
-            elif self.metric == "nan_euclidean":
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    low = np.where(shared[:, None] > 0, low * np.sqrt(x.shape[1] / shared)[:, None], np.inf)
-            out[:, at] = low * (1 - 1e-9) - 1e-12
-        return out
-
-
-def _pivots(items: DataFrame, item_key: str, vector: str, metric: str) -> _Cells:
-    """At most ``CELLS`` vectors with the smallest key hashes; gaps are filled with the mean of the others."""
-    drawn = items.where(F.col(vector).isNotNull()).select(F.xxhash64(F.col(item_key)).alias("h"), vector).orderBy("h").limit(CELLS)
-    rows = drawn.toPandas()
-    if not len(rows):
-        return _Cells(np.zeros((1, 1)), metric)
-    found = _Cells(np.zeros((0, 0)), metric)
-    x = found.prepared(_matrix(rows[vector]))
-    with np.errstate(invalid="ignore"):
-        middle = np.nan_to_num(np.nanmean(x, axis=0)) if len(x) else 0.0
-    found.pivots = np.unique(np.where(np.isnan(x), middle, x), axis=0)
-    return found
+            q = _unit(q)
+            near = 1.0 - (q @ self.mean)[:, None] - (q @ self.axes) @ y.T
+            error = error + 1e-12
+            return near - error, near + error
+        if self.with_gaps:
+            mine = ~np.isnan(q)
+            x = np.where(known, y @ self.axes.T + self.mean, 0.0)
+            q0 = np.where(mine, q, 0.0)
+            size = (q0**2) @ known.T.astype(float) + mine.astype(float) @ (x**2).T
+            square = size - 2.0 * q0 @ x.T
+            both = mine.astype(float) @ known.T.astype(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scale = np.where(both > 0, np.sqrt(q.shape[1] / both), np.inf)
+        else:
+            z = (q - self.mean) @ self.axes
+            size = (z * z).sum(1)[:, None] + (y * y).sum(1)
+            square, scale = size - 2.0 * z @ y.T, 1.0
+        slack = 1e-12 * size
+        low = np.sqrt(np.maximum(square - slack, 0.0)) * (1 - 1e-12) - error * (1 + 1e-12)
+        high = np.sqrt(np.maximum(square, 0.0) + slack) * (1 + 1e-12) + error * (1 + 1e-12)
+        if self.with_gaps:
+            apart = np.isinf(scale)
+            return np.where(apart, np.inf, np.maximum(low, 0.0) * np.where(apart, 1.0, scale)), np.where(
+                apart, np.inf, high * np.where(apart, 1.0, scale))
+        return low, high
+
+
+def signatures_of(items: DataFrame, vector: str, metric: str) -> tuple[Signatures | None, int]:
+    """Axes and grid from one pass over ``items``, and their number; each task sends one matrix."""
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch[vector])
+            x = _unit(x) if metric == "cosine" else x
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            part = [np.full(x.shape[1], len(x)), known.sum(0), x.sum(0), (x * x).sum(0), x.T @ x]
+            total = part if total is None else [a + b for a, b in zip(total, part)]
+        if total is not None:
+            rows, known, s, ss, cross = total
+            yield pd.DataFrame({"i": np.arange(len(s)), "rows": rows, "known": known, "s": s, "ss": ss, "cross": list(cross)})
+
+    parts = items.select(vector).mapInPandas(sums, "i int, rows bigint, known bigint, s double, ss double, cross array<double>")
+    cells = parts.select("*", F.posexplode("cross").alias("j", "v")).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "known", "s", "ss", "v")])
+    found = cells.groupBy("i").agg(*[F.max(c).alias(c) for c in ("rows", "known", "s", "ss")], F.sort_array(
+        F.collect_list(F.struct("j", "v"))).alias("cross")).orderBy("i").toPandas()
+    if not len(found):
+        return None, 0
+    n, known = int(found["rows"].iloc[0]), np.maximum(found["known"].to_numpy(dtype=float), 1.0)
+    mean = found["s"].to_numpy(dtype=float) / known
+    if metric == "nan_euclidean":
+        spread = np.sqrt(np.maximum(found["ss"].to_numpy(dtype=float) / known - mean**2, 0.0))
+        return Signatures(metric, mean, np.eye(len(mean)), spread), n
+    cross = np.array([[c["v"] for c in row] for row in found["cross"]]) / n - np.outer(mean, mean)
+    spread, axes = np.linalg.eigh((cross + cross.T) / 2)
+    return Signatures(metric, mean, axes, np.sqrt(np.maximum(spread, 0.0))), n
+
+
+def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, k: int, metric: str, differ_on: str | None = None,
+               apart: tuple[str, str] | None = None) -> DataFrame | None:
+    """``_q, _i``: the pairs that the signatures leave open; null where there are no items."""
+    cut, n_items = signatures_of(i_side, vector, metric)
+    if cut is None:
+        return None
+    extra = list(dict.fromkeys(([differ_on] if differ_on else []) + ([apart[0]] if apart else [])))
+    q_extra = list(dict.fromkeys(extra + ([apart[1]] if apart else [])))
+    n_queries = q_side.count()
+    q_blocks, i_blocks = -(-n_queries // QUERY_BLOCK) or 1, -(-n_items // ITEM_BLOCK) or 1
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            body, error = cut.cut(_matrix(batch[vector])) if len(batch) else ([], [])
+            yield batch.drop(columns=[vector]).assign(_body=np.array(body, dtype=object), _error=np.array(error, dtype="float64"))
+
+    kinds = {f.name: f for f in i_side.schema.fields}
+    signed = i_side.select("_i", *extra, vector).mapInPandas(sign, T.StructType([
+        kinds["_i"], *[kinds[c] for c in extra], T.StructField("_body", T.BinaryType()), T.StructField("_error", T.DoubleType())]))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q_side.select("_q", *q_extra, vector).withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(q_blocks)).cast("int")).withColumn(
+        "_ib", each(i_blocks))
+    right = signed.withColumn("_ib", F.pmod(F.xxhash64("_i"), F.lit(i_blocks)).cast("int")).withColumn("_qb", each(q_blocks))
+
+    def scan(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(items):
+            return pd.DataFrame({"_q": [], "_i": [], "_low": [], "_reach": []})
+        y, known = cut.restored(items["_body"].tolist())
+        error, names, out = items["_error"].to_numpy(), items["_i"].to_numpy(), []
+        at_once = max(1, BOUNDS // len(items))
+        for first in range(0, len(queries), at_once):
+            some = queries.iloc[first:first + at_once]
+            low, high = cut.bounds(_matrix(some[vector]), y, known, error)
+            if differ_on:
+                same = some[differ_on].to_numpy()[:, None] == items[differ_on].to_numpy()[None, :]
+                low, high = np.where(same, np.inf, low), np.where(same, np.inf, high)
+            if apart:
+                gap = np.abs(some[apart[0]].to_numpy()[:, None] - items[apart[0]].to_numpy()[None, :])
+                near = gap <= some[apart[1]].to_numpy()[:, None]
+                low, high = np.where(near, np.inf, low), np.where(near, np.inf, high)
+            reach = np.partition(high, k - 1, axis=1)[:, k - 1] if len(items) >= k else np.full(len(some), np.inf)
+            who, what = np.nonzero((low <= reach[:, None]) & np.isfinite(low))
+            out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who], "_i": names[what], "_low": low[who, what],
+                                     "_reach": reach[who]}))
+        return pd.concat(out, ignore_index=True)
+
+    keys = ["_qb", "_ib"]
+    open_ = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "_q bigint, _i bigint, _low double, _reach double")
+    within = F.min("_reach").over(W.partitionBy("_q"))
+    return open_.withColumn("_reach", within).where("_low <= _reach").select("_q", "_i")
+
+
+def _sides(queries: DataFrame, items: DataFrame, vector: str, q_cols: Sequence[str], i_cols: Sequence[str], metric: str):
+    """Rows that can have a distance, each with a number of its own."""
+    whole = F.lit(True) if metric == "nan_euclidean" else F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c))
+    side = lambda df, cols, name: cut_lineage(df.select(*cols).where(F.col(vector).isNotNull() & whole).withColumn(
+        name, F.monotonically_increasing_id()))
+    return side(queries, q_cols, "_q"), side(items, i_cols, "_i")
 
 
 def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: str, vector: str,
@@ -150,69 +231,40 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
 
     ``differ_on`` names a column present on both sides that must not be equal;
     ``apart`` = (column, margin) asks for a difference above the query row's margin.
-
-    Items lie in cells around pivots.  A query first searches the cells nearest to it that hold ``k`` items, and then
-    every other cell that may hold something nearer than the k-th found (by the triangle inequality, so the result is
-    exact).  Cells with many items or many queries are searched in blocks.
+    Vectors with gaps have a distance under ``nan_euclidean`` only.  Ties are broken by the item key.
     """
     payload = list(payload)
     extra = ([differ_on] if differ_on else []) + ([apart[0]] if apart else [])
     q_cols = list(dict.fromkeys([query_key, vector, *extra, *([apart[1]] if apart else [])]))
     i_cols = list(dict.fromkeys([item_key, vector, *extra, *payload]))
-    q_side = queries.select(*q_cols).where(F.col(vector).isNotNull())
-    i_side = items.select(*i_cols).where(F.col(vector).isNotNull())
+    q_side, i_side = _sides(queries, items, vector, q_cols, i_cols, metric)
     types = dict(items.dtypes)
     schema = ", ".join([
         f"{query_key} {dict(queries.dtypes)[query_key]}", f"{item_key} {types[item_key]}",
-        "distance double", *[f"{p} {types[p]}" for p in payload]])
-    cells = _pivots(i_side, item_key, vector, metric)
+        *[f"{p} {types[p]}" for p in payload], "distance double"])
+    open_ = candidates(q_side, i_side, vector, k, metric, differ_on, apart)
+    if open_ is None:
+        return _ranked(queries.sparkSession.createDataFrame([], schema), query_key, item_key, k)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, far = cells.assign(_matrix(batch[vector])) if len(batch) else ([], [])
-            yield batch.assign(_cell=np.array(names, dtype=object), _far=np.array(far, dtype="float64"))
-
-    placed = cut_lineage(i_side.mapInPandas(assign, T.StructType([
-        *i_side.schema.fields, T.StructField("_cell", T.StringType()), T.StructField("_far", T.DoubleType())])))
-    stats = placed.groupBy("_cell").agg(F.max("_far").alias("r"), F.count(F.lit(1)).alias("n")).orderBy("_cell").collect()
-    table = [(r["_cell"], r["r"]) for r in stats]
-    sizes = np.array([r["n"] for r in stats], dtype="int64")
-    if not table:
-        return _ranked(queries.sparkSession.createDataFrame([], schema), query_key, item_key, k)
+            d = pair_distances(_matrix(batch["_qv"]), _matrix(batch["_iv"]), metric) if len(batch) else np.zeros(0)
+            yield batch.drop(columns=["_qv", "_iv"]).assign(distance=d)[np.isfinite(d)]
+
+    both = open_.join(q_side.select("_q", query_key, F.col(vector).alias("_qv")), "_q").join(
+        i_side.select("_i", item_key, F.col(vector).alias("_iv"), *payload), "_i")
+    found = both.select(query_key, item_key, *payload, "_qv", "_iv").mapInPandas(measure, schema)
+    return _ranked(found.select(query_key, item_key, "distance", *payload), query_key, item_key, k)
 
-    def first_cells(low: np.ndarray) -> np.ndarray:
-        """Cells in order of their bound until they hold ``k`` items (one more, for rows that must differ)."""
-        order = np.argsort(low, axis=1, kind="stable")
-        before = np.cumsum(sizes[order], axis=1) - sizes[order]
-        chosen = np.zeros(low.shape, bool)
-        np.put_along_axis(chosen, order, before < k + len(extra), axis=1)
-        return chosen
-
-    def visit(second: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                low = cells.bounds(_matrix(batch[vector]), table)
-                chosen = first_cells(low)
-                if second:
-                    chosen = ~chosen & (low <= batch["_reach"].to_numpy()[:, None])
-                who, where = np.nonzero(chosen & np.isfinite(low))
-                out = batch.iloc[who].drop(columns=["_reach"]) if second else batch.iloc[who]
-                yield out.assign(_cell=np.array([table[i][0] for i in where], dtype=object))
-        return run
-
-    visits = T.StructType([*q_side.schema.fields, T.StructField("_cell", T.StringType())])
-    first = _search(q_side.mapInPandas(visit(False), visits), placed, query_key, item_key, vector, k, metric, payload,
-                    differ_on, apart, schema)
-    first = cut_lineage(_ranked(first, query_key, item_key, k).drop("rank"))
-    reach = first.groupBy(query_key).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_reach")).withColumnRenamed(
-        query_key, "_q")
-    open_ = q_side.join(reach, q_side[query_key].eqNullSafe(reach["_q"]), "left").drop("_q").withColumn(
-        "_reach", F.coalesce("_reach", F.lit(float("inf"))))
-    second = _search(open_.mapInPandas(visit(True), visits), placed, query_key, item_key, vector, k, metric, payload,
-                     differ_on, apart, schema)
-    return _ranked(first.unionByName(second), query_key, item_key, k)
+
+def refined_share(queries: DataFrame, items: DataFrame, *, vector: str, k: int, metric: str = "euclidean") -> DataFrame:
+    """One row ``pairs, refined, share``: how many of all pairs are measured on the vectors themselves."""
+    q_side, i_side = _sides(queries, items, vector, [vector], [vector], metric)
+    open_ = candidates(q_side, i_side, vector, k, metric)
+    pairs = q_side.agg(F.count(F.lit(1)).alias("q")).withColumn("i", i_side.agg(F.count(F.lit(1))).scalar())
+    refined = F.lit(0).cast("bigint") if open_ is None else open_.agg(F.count(F.lit(1))).scalar()
+    return pairs.select((F.col("q") * F.col("i")).alias("pairs"), refined.alias("refined")).withColumn(
+        "share", F.col("refined") / F.nullif(F.col("pairs"), F.lit(0)))
 
 
 def _ranked(found: DataFrame, query_key: str, item_key: str, k: int) -> DataFrame:
@@ -220,25 +272,6 @@ def _ranked(found: DataFrame, query_key: str, item_key: str, k: int) -> DataFram
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _search(visits: DataFrame, placed: DataFrame, query_key: str, item_key: str, vector: str, k: int, metric: str,
-            payload: Sequence[str], differ_on: str | None, apart, schema: str) -> DataFrame:
-    """The best ``k`` per query, cell and block; only cells that are visited are read."""
-    visits = cut_lineage(visits)
-    blocks = lambda rows, size, name: rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
-    plan = blocks(visits, QUERY_BLOCK, "_nq").join(blocks(placed, ITEM_BLOCK, "_ni"), "_cell")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    left = visits.join(plan, "_cell").withColumn("_qb", F.pmod(F.xxhash64(query_key), F.col("_nq"))).withColumn(
-        "_ib", each("_ni")).drop("_nq", "_ni")
-    right = placed.drop("_far").join(plan, "_cell").withColumn("_ib", F.pmod(F.xxhash64(item_key), F.col("_ni"))).withColumn(
-        "_qb", each("_nq")).drop("_nq", "_ni")
-
-    def cell(lq: pd.DataFrame, ri: pd.DataFrame) -> pd.DataFrame:
-        return _best(lq, ri, query_key, item_key, vector, k, metric, payload, differ_on, apart)
-
-    keys = ["_cell", "_qb", "_ib"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
-
-
 def knn_predict(train: DataFrame, queries: DataFrame, *, query_key: str, item_key: str,
                 vector: str, label: str, k: int = 5, differ_on: str | None = None) -> DataFrame:
     """Majority label of the k nearest training rows (smallest label on ties).

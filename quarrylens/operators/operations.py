@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
-from quarrylens.functions.ranks import _same
+from quarrylens.functions.ranks import same_keys
 from quarrylens.functions.quantiles import melt, quantiles, quantiles_wide
 from quarrylens.functions.scalars import one_row, safe_div
 from quarrylens.operators.create import days_between
@@ -65,7 +65,7 @@ def mtbf_mttr(df: DataFrame, failure: str, repair: str, by: Sequence[str] = ())
     stats = long.groupBy(*by, "column").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    stats = _same(stats, med.select(*by, "column", F.col("quantile").alias("median")), [*by, "column"])
+    stats = same_keys(stats, med.select(*by, "column", F.col("quantile").alias("median")), [*by, "column"])
     at = lambda c, f: F.max(F.when(F.col("column") == c, F.col(f)))
     out = stats.groupBy(*by).agg(
         at(failure, "mean").alias("mtbf"), at(repair, "mean").alias("mttr"), at(failure, "n").alias("total_failures"),

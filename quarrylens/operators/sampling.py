@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.functions.ranks import _same, sequence_index
+from quarrylens.functions.ranks import same_keys, sequence_index
 
 
 def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -32,7 +32,7 @@ def _cuts(df: DataFrame, key: str, seed: int, quota, by: Sequence[str] = ()) ->
 def _within(df: DataFrame, cuts: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``_in``: whether a row lies at or before the cut of its stratum."""
     rows = _shuffled(df, key, seed)
-    rows = _same(rows, cuts, by, "left") if by else rows.withColumn("_cut", cuts.select("_cut").scalar())
+    rows = same_keys(rows, cuts, by, "left") if by else rows.withColumn("_cut", cuts.select("_cut").scalar())
     return rows.withColumn("_in", F.coalesce(F.struct("_h", F.col(key).alias("_k")) <= F.col("_cut"), F.lit(False)))
 
 

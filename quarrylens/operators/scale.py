@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -79,47 +80,83 @@ def power_transform(df: DataFrame, columns: Sequence[str], power: float = 2) ->
     return df.withColumns({c: F.pow(c, F.lit(float(power))) for c in columns})
 
 
-def _best_lambda(rows: DataFrame, curve, low: float, high: float, points: int = 21,
-                 passes: int = 6) -> float:
-    """Maximise a log-likelihood by nested grids; one aggregation of ``points`` values per pass."""
-    for _ in range(passes):
-        grid = np.linspace(low, high, points)
-        scores = rows.agg(*[curve(float(g)).alias(f"l{i}") for i, g in enumerate(grid)]).first()
-        values = [-np.inf if v is None or v != v else v for v in scores]
-        best = int(np.argmax(values))
-        low, high = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
-    return float((low + high) / 2)
+#: Range of lambda, points of a grid; the second grid lies between the neighbours of the best point of the first.
+LAMBDAS, GRID = (-5.0, 5.0), 41
+
+
+def _known_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(c, x)``: number of the column and value, NULL and NaN left out."""
+    cells = [F.struct(F.lit(i).alias("c"), no_nan(F.col(f"`{c}`").cast("double")).alias("x")) for i, c in enumerate(columns)]
+    return df.select(F.inline(F.array(*cells))).where("x IS NOT NULL")
+
+
+def _best_lambdas(values: DataFrame, k: int, likelihood) -> list[float | None]:
+    """Lambda of greatest likelihood for each of ``k`` columns, from two aggregations over (column, grid point).
+
+    ``likelihood`` makes the aggregate of ``x`` and ``lam``.  The top of the second grid is where the polynomial through the five
+    points around its best one has its own; NULL for columns without values.
+    """
+    grids = [np.linspace(*LAMBDAS, GRID)] * k
+    for turn in range(2):
+        table = F.array(*[F.array(*[F.lit(float(g)) for g in grid]) for grid in grids])
+        spread = values.select("*", F.posexplode(F.get(table, F.col("c"))).alias("at", "lam"))
+        scores = [np.full(GRID, -np.inf) for _ in range(k)]
+        found = [False] * k
+        for row in spread.groupBy("c", "at").agg(likelihood.alias("l")).collect():
+            found[row["c"]] = True
+            if row["l"] is not None and np.isfinite(row["l"]):
+                scores[row["c"]][row["at"]] = row["l"]
+        best = [int(np.argmax(s)) for s in scores]
+        if turn == 0:
+            grids = [np.linspace(g[max(0, b - 1)], g[min(GRID - 1, b + 1)], GRID) for g, b in zip(grids, best)]
+    out: list[float | None] = []
+    for grid, score, b, seen in zip(grids, scores, best, found):
+        near = slice(min(max(0, b - 2), GRID - 5), min(max(0, b - 2), GRID - 5) + 5)
+        top = float(grid[b])
+        if np.isfinite(score[near]).all():
+            step = grid[1] - grid[0]
+            curve = np.polynomial.Polynomial(np.polynomial.polynomial.polyfit((grid[near] - grid[b]) / step, score[near] - score[b], 4))
+            tops = [float(z.real) for z in curve.deriv().roots() if abs(z.imag) < 1e-9 and abs(z.real) <= 1]
+            if tops:
+                top += step * max(tops, key=curve)
+        out.append(float(top) if seen else None)
+    return out
 
 
 def _box_cox(x: Column, lam: float) -> Column:
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
 
 
-def box_cox_lambda(df: DataFrame, column: str) -> tuple[float, float] | None:
-    """Maximum-likelihood lambda and the shift that makes the column positive; None for a column without values."""
-    x = no_nan(F.col(column).cast("double"))
-    row = df.agg(F.min(x).alias("lo")).first()
-    if row["lo"] is None:
-        return None
-    shift = 0.0 if row["lo"] > 0 else abs(float(row["lo"])) + 1.0
-    centre = df.agg(F.avg(F.log(x + shift)).alias("g")).first()["g"]
-    rows = df.select((F.log(x + shift) - centre).alias("u")).where(F.col("u").isNotNull())
+def box_cox_lambdas(df: DataFrame, columns: Sequence[str]) -> list[tuple[float, float] | None]:
+    """Maximum-likelihood lambda of each column and the shift that makes it positive; None for columns without values.
+
+    Three jobs for any number of columns: the ends of their ranges, and two grids.
+    """
+    columns = list(columns)
+    ends = {r["c"]: (r["lo"], r["hi"]) for r in _known_values(df, columns).groupBy("c").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    shifts, middles = [], []
+    for i in range(len(columns)):
+        low, high = ends.get(i, (1.0, 1.0))
+        shifts.append(0.0 if low > 0 else abs(float(low)) + 1.0)
+        middles.append((math.log(low + shifts[-1]) + math.log(high + shifts[-1])) / 2)  # keeps the powers in range
+    each = lambda numbers: F.get(F.array(*[F.lit(s) for s in numbers]), F.col("c"))
+    moved = F.log(F.col("x") + each(shifts)) - each(middles)
+    # The logarithm of the variance of x^lam / lam, less the part 2 (lam - 1) mean(log x), which belongs to the likelihood.
+    power = F.when(F.abs("lam") < 1e-12, F.col("u")).otherwise(F.exp(F.col("u") * F.col("lam")) / F.col("lam"))
+    likelihood = -F.log(F.var_pop(power)) / 2 + F.first("lam") * F.avg("u")
+    lambdas = _best_lambdas(_known_values(df, columns).select("c", moved.alias("u")), len(columns), likelihood)
+    return [None if lam is None else (lam, shift) for lam, shift in zip(lambdas, shifts)]
 
-    def curve(lam: float) -> Column:
-        z = F.col("u") if abs(lam) < 1e-12 else F.exp(F.col("u") * lam) / lam
-        return -F.log(F.var_pop(z))
 
-    return _best_lambda(rows, curve, -5.0, 5.0), shift
+def box_cox_lambda(df: DataFrame, column: str) -> tuple[float, float] | None:
+    return box_cox_lambdas(df, [column])[0]
 
 
 def box_cox(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns without any value stay as they are."""
-    new = {}
-    for c in columns:
-        found = box_cox_lambda(df, c)
-        if found:
-            new[c] = _box_cox(F.col(c) + found[1], found[0])
-    return df.withColumns(new)
+    found = zip(columns, box_cox_lambdas(df, columns))
+    return df.withColumns({c: _box_cox(F.col(c) + f[1], f[0]) for c, f in found if f})
 
 
 def _yeo_johnson(x: Column, lam: float) -> Column:
@@ -128,15 +165,42 @@ def _yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(F.when(x < 0, down))
 
 
-def yeo_johnson_lambda(df: DataFrame, column: str) -> float:
-    rows = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    bend = F.avg(F.signum("x") * F.log1p(F.abs("x")))
+def yeo_johnson_lambdas(df: DataFrame, columns: Sequence[str]) -> list[float | None]:
+    """Maximum-likelihood lambda of each column, NaN missing; None for columns without values.  Two jobs for all columns."""
+    x, lam = F.col("x"), F.col("lam")
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+    bent = F.when(x >= 0, up).otherwise(down)
+    likelihood = -F.log(F.var_pop(bent)) / 2 + (F.first("lam") - 1) * F.avg(F.signum(x) * F.log1p(F.abs(x)))
+    return _best_lambdas(_known_values(df, columns), len(columns), likelihood)
 
-    def curve(lam: float) -> Column:
-        return -F.log(F.var_pop(_yeo_johnson(F.col("x"), lam))) / 2 + (lam - 1) * bend
 
-    return _best_lambda(rows, curve, -5.0, 5.0)
+def yeo_johnson_lambda(df: DataFrame, column: str) -> float | None:
+    return yeo_johnson_lambdas(df, [column])[0]
 
 
 def yeo_johnson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: _yeo_johnson(F.col(c).cast("double"), yeo_johnson_lambda(df, c)) for c in columns})
+    """Columns without any value stay as they are."""
+    found = zip(columns, yeo_johnson_lambdas(df, columns))
+    return df.withColumns({c: _yeo_johnson(F.col(c).cast("double"), f) for c, f in found if f is not None})
+
+
+def power_transform_lambdas(df: DataFrame, columns: Sequence[str], method: str = "yeo_johnson") -> DataFrame:
+    """``(column, n, lambda, shift, log_likelihood)`` of the chosen transforms; the likelihood is that of the chosen lambda."""
+    columns = list(columns)
+    if method == "box_cox":
+        chosen = [f or (None, 0.0) for f in box_cox_lambdas(df, columns)]
+    else:
+        chosen = [(f, 0.0) for f in yeo_johnson_lambdas(df, columns)]
+    rows = df.sparkSession.createDataFrame([(i, c, *f) for i, (c, f) in enumerate(zip(columns, chosen))],
+                                           "c int, column string, lambda double, shift double")
+    cells = []
+    for i, (c, (lam, shift)) in enumerate(zip(columns, chosen)):
+        x = no_nan(F.col(f"`{c}`").cast("double")) + shift
+        if lam is not None:
+            y = _box_cox(x, lam) if method == "box_cox" else _yeo_johnson(x, lam)
+            bend = F.log(x) if method == "box_cox" else F.signum(x) * F.log1p(F.abs(x))
+            cells.append(F.struct(F.lit(i).alias("c"), y.alias("y"), ((lam - 1) * bend).alias("b")))
+    facts = df.select(F.inline(F.array(*cells))).groupBy("c").agg(
+        F.count("y").alias("n"), (-F.count("y") / 2 * F.log(F.var_pop("y")) + F.sum("b")).alias("log_likelihood"))
+    return rows.join(facts, "c", "left").select("column", "n", "lambda", "shift", "log_likelihood")

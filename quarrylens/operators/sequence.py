@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylens.functions.ranks import _by, _same, sequence_index, with_bucket
+from quarrylens.functions.ranks import _by, same_keys, sequence_index, with_bucket
 
 BLOCK_ROWS = 1 << 16
 
@@ -86,7 +86,7 @@ def fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], forward
     inside = W.partitionBy(*by, "_bucket").orderBy("_order")
     reach = inside.rowsBetween(W.unboundedPreceding, 0) if forward else inside.rowsBetween(
         0, W.unboundedFollowing)
-    joined = _same(rows, carried, [*by, "_bucket"])
+    joined = same_keys(rows, carried, [*by, "_bucket"])
     filled = {c: F.coalesce(take(c, ignorenulls=True).over(reach), F.col(f"_c_{c}.v"))
               for c in columns}
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
@@ -103,7 +103,7 @@ def running(df: DataFrame, sums: dict[str, Column], order_by: Sequence[str],
     offsets = totals.select(*by, "_bucket", *[
         F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_o_{k}") for k in sums])
     inside = W.partitionBy(*by, "_bucket").orderBy("_order").rowsBetween(W.unboundedPreceding, 0)
-    out = _same(rows, offsets, [*by, "_bucket"])
+    out = same_keys(rows, offsets, [*by, "_bucket"])
     return out.select(*df.columns, *[
         (F.col(f"_o_{k}") + F.coalesce(F.sum(f"_x_{k}").over(inside), F.lit(0))).alias(k)
         for k in sums])

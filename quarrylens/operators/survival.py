@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions import dist
@@ -15,7 +17,8 @@ from quarrylens.functions.scalars import rnd, safe_div
 from quarrylens.operators.correlation import dominance_counts
 from quarrylens.session import cut_lineage
 
-MAX_GROUPS = 50
+#: Cells (time x group) of a block of the log-rank test.
+RISK_CELLS = 1 << 20
 
 
 def _times(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
@@ -56,36 +59,58 @@ def median_survival(curve: DataFrame) -> DataFrame:
         F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median_survival"))
 
 
-def log_rank(df: DataFrame, duration: str, event: str, group: str, alpha: float = 0.05,
-             max_groups: int = MAX_GROUPS) -> DataFrame:
-    """Log-rank test for two or more groups.
+def log_rank(df: DataFrame, duration: str, event: str, group: str, alpha: float = 0.05) -> DataFrame:
+    """Log-rank test for two or more groups, however many.
 
-    Risk sets come from running totals over distinct times, one column per group
-    (more than ``max_groups`` are an error); only the k x k covariance reaches the driver.
+    Deaths and departures are counted per (time, group); distinct times are cut into blocks.  A block starts with
+    the members of each group still at risk (carried totals, one row per block and group) and adds up its part of the
+    expected deaths and of the covariance.  One row per label and the k x k covariance reach the driver.
     """
-    labels = [r[0] for r in df.where(F.col(group).isNotNull()).select(
-        F.col(group).cast("string")).distinct().limit(max_groups + 1).collect()]
-    labels.sort()
-    if not 2 <= len(labels) <= max_groups:
-        raise ValueError(f"log_rank needs 2 to {max_groups} groups")
     rows = df.select(F.col(group).cast("string").alias("g"), F.col(duration).cast("double").alias("time"),
                      F.col(event).cast("int").alias("e")).dropna()
+    cells = cut_lineage(rows.groupBy("time", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("d")))
+    observed = {r["g"]: r["d"] for r in cells.groupBy("g").agg(F.sum("d").alias("d")).collect()}
+    labels = sorted(observed)
     k = len(labels)
-    per_time = rows.groupBy("time").agg(
-        *[F.count(F.when(F.col("g") == g, 1)).alias(f"n{i}") for i, g in enumerate(labels)],
-        *[F.sum(F.when(F.col("g") == g, F.col("e")).otherwise(0)).alias(f"d{i}")
-          for i, g in enumerate(labels)])
-    ranked = running_totals(per_time, "time", [f"n{i}" for i in range(k)])
-    risk = [(F.col(f"n{i}_total") - F.col(f"n{i}_before")).cast("double") for i in range(k)]
-    n, d = sum(risk[1:], risk[0]), sum([F.col(f"d{i}") for i in range(1, k)], F.col("d0")).cast("double")
-    spread = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
-    row = ranked.agg(
-        *[F.sum(f"d{i}").cast("double").alias(f"o{i}") for i in range(k)],
-        *[F.sum(d * risk[i] / n).alias(f"e{i}") for i in range(k)],
-        *[F.sum(spread * (risk[i] / n) * ((1.0 if i == j else 0.0) - risk[j] / n)).alias(f"v{i}_{j}")
-          for i in range(k - 1) for j in range(i, k - 1)]).first()
-    gap = np.array([row[f"o{i}"] - row[f"e{i}"] for i in range(k - 1)])
-    cov = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(k - 1)] for i in range(k - 1)])
+    if k < 2:
+        raise ValueError("log_rank needs at least 2 groups")
+    size = max(64, RISK_CELLS // k)
+    times = running_totals(cells.groupBy("time").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).withColumn(
+        "_one", F.lit(1)), "time", ["n", "_one"]).select(
+        F.col("time").alias("_time"), (F.col("n_total") - F.col("n_before")).alias("at_risk"), F.col("d").alias("deaths"),
+        F.floor(F.col("_one_before") / size).alias("block"), F.pmod(F.col("_one_before"), F.lit(size)).cast("int").alias("at"))
+    index = F.create_map(*[x for i, g in enumerate(labels) for x in (F.lit(g), F.lit(i))])
+    placed = cut_lineage(cells.join(times, cells["time"] == times["_time"]).select(
+        "block", "at", "at_risk", "deaths", "n", F.element_at(index, F.col("g")).alias("i")))
+    later = W.partitionBy("i").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, 0)
+    blocks = placed.select("block").distinct()
+    grid = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    totals = placed.groupBy("block", "i").agg(F.sum("n").alias("n"))
+    carried = grid.join(totals, ["block", "i"], "left").select(F.col("block").alias("_block"), "i", F.sum(F.coalesce("n", F.lit(0))).over(later).alias("start"))
+
+    def parts(inside: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        at, i = inside["at"].to_numpy(), inside["i"].to_numpy()
+        length = int(at.max()) + 1
+        left, risk, deaths = np.zeros((length, k)), np.ones(length), np.zeros(length)
+        left[at, i] = inside["n"]
+        risk[at], deaths[at] = inside["at_risk"], inside["deaths"]
+        start = np.zeros(k)
+        start[starts["i"]] = starts["start"]
+        share = (start - (np.cumsum(left, axis=0) - left)) / risk[:, None]
+        spread = np.where(risk > 1, deaths * (risk - deaths) / np.maximum(risk - 1, 1), 0.0)
+        weighted = share * spread[:, None]
+        cov = np.diag(weighted.sum(0)) - weighted.T @ share
+        return pd.DataFrame({"i": np.arange(k), "expected": deaths @ share, "cov": list(cov)})
+
+    found = placed.groupBy("block").cogroup(carried.groupBy("_block")).applyInPandas(parts, "i int, expected double, cov array<double>")
+    total = found.select("i", "expected", F.posexplode("cov").alias("j", "v")).groupBy("i", "j").agg(
+        F.sum("expected").alias("expected"), F.sum("v").alias("v")).groupBy("i").agg(
+        F.max("expected").alias("expected"), F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cov")).collect()
+    gap, cov = np.zeros(k), np.zeros((k, k))
+    for row in total:
+        gap[row["i"]] = observed[labels[row["i"]]] - row["expected"]
+        cov[row["i"]] = [c["v"] for c in row["cov"]]
+    gap, cov = gap[:-1], cov[:-1, :-1]
     stat = float(gap @ np.linalg.pinv(cov) @ gap)
     p = dist.chi2_sf(stat, k - 1)
     return df.sparkSession.createDataFrame(
@@ -99,8 +124,9 @@ def concordance_index(df: DataFrame, time: str, risk: str, event: str) -> DataFr
         F.col(event).cast("int").alias("e")).dropna().groupBy("t", "r").agg(
         F.sum((F.col("e") != 0).cast("bigint")).alias("first"), F.count(F.lit(1)).alias("second"))
     dom = dominance_counts(points, "t", "r", "first", "second")
-    total = F.col("later_lower") + F.col("later_higher") + F.col("later_tied")
-    c = safe_div(F.col("later_lower") + 0.5 * F.col("later_tied"), total, 0.5)
+    lower, higher, tied = (F.col(f"later_{c}").cast("double") for c in ("lower", "higher", "tied"))
+    total = lower + higher + tied
+    c = safe_div(lower + 0.5 * tied, total, 0.5)
     s = dom.select(
         c.alias("c_index"), total.alias("_total"), F.col("later_lower").cast("bigint").alias("n_concordant"),
         F.col("later_higher").cast("bigint").alias("n_discordant"),

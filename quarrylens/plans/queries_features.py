@@ -10,6 +10,7 @@ from quarrylens.operators import impute as I
 from quarrylens.operators import scale as X
 from quarrylens.operators import select as L
 from quarrylens.operators import sequence as Q
+from quarrylens.operators import text as B
 from quarrylens.operators.operations import attrition_features
 from quarrylens.operators.health import readmission_features
 from quarrylens.plans.queries_profile import _GAPPY_SQL, gappy
@@ -124,6 +125,29 @@ def _(t):
     return tidy(X.yeo_johnson(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]), 3)
 
 
+def _peak(table, column, curve, bend):
+    """Greatest log-likelihood per row, from a coarse grid of lambda and a fine one around its best point."""
+    score = f"-ln(var_pop({curve})) / 2 + (any_value(lam) - 1) * avg({bend})"
+    return f"""SELECT max(l) AS l FROM (
+        WITH v AS MATERIALIZED (SELECT {column}::DOUBLE AS x FROM {table} WHERE {column} IS NOT NULL),
+        c AS (SELECT lam, {score} AS l FROM v, (SELECT unnest(range(-20, 21)) / 4.0 + 1e-9 AS lam) GROUP BY lam),
+        b AS (SELECT arg_max(lam, l) AS top FROM c),
+        f AS (SELECT top + unnest(range(-200, 201)) / 800.0 AS lam FROM b)
+        SELECT {score} AS l FROM v, f GROUP BY lam)"""
+
+
+_YJ = "CASE WHEN x >= 0 THEN ((x + 1) ** lam - 1) / lam ELSE -((1 - x) ** (2 - lam) - 1) / (2 - lam) END"
+
+
+@query("power_transform_likelihood", f"""SELECT 'c_acctbal' AS "column", 'yeo_johnson' AS method, {r('l', 4)} AS log_likelihood
+      FROM ({_peak('customer', 'c_acctbal', _YJ, 'sign(x) * ln(1 + abs(x))')})
+    UNION ALL SELECT 'p_retailprice', 'box_cox', {r('l', 4)} FROM ({_peak('part', 'p_retailprice', '(x ** lam - 1) / lam', 'ln(x)')})""")
+def _(t):
+    each = [X.power_transform_lambdas(df, [c], m).select("column", F.lit(m).alias("method"), (F.col("log_likelihood") / F.col("n")).alias(
+        "log_likelihood")) for df, c, m in ((t.customer, "c_acctbal", "yeo_johnson"), (t.part, "p_retailprice", "box_cox"))]
+    return tidy(each[0].unionByName(each[1]), 4)
+
+
 @query("sqrt_transform", f"SELECT c_custkey, {r('sqrt(greatest(c_acctbal, 0))')} AS c_acctbal FROM customer")
 def _(t):
     return tidy(X.sqrt_transform(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]))
@@ -241,6 +265,37 @@ def _(t):
     return tidy(N.velocity(t.events.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", [24]).drop("user_id", "ts", "value"), 4)
 
 
+_HOT = "CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END"
+
+
+@query("velocity_hot", f"""SELECT event_id, count(*) OVER a AS value_count_1h, {r('sum(value) OVER a', 4)} AS value_sum_1h,
+      count(*) OVER b AS value_count_24h, {r('sum(value) OVER b', 4)} AS value_sum_24h FROM (SELECT *, {_HOT} AS entity FROM events)
+    WINDOW a AS (PARTITION BY entity ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW),
+      b AS (PARTITION BY entity ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)""")
+def _(t):
+    entity = F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id"))
+    rows = t.events.select("event_id", entity.alias("entity"), "ts", "value")
+    return tidy(N.velocity(rows, "entity", "ts", "value").drop("entity", "ts", "value"), 4)
+
+
+# ---- texts ----------------------------------------------------------------------------------
+
+_TERMS = r"""terms AS (SELECT doc_id, term, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1, 2)"""
+
+
+@query("tfidf_terms", f"""WITH {_TERMS}, f AS (SELECT term, count(*) AS df FROM terms GROUP BY 1), d AS (SELECT count(*) AS d FROM documents),
+    w AS (SELECT doc_id, term, n, df, ln((1 + d) / (1.0 + df)) + 1 AS idf FROM terms JOIN f USING (term), d WHERE df >= 2 AND df <= d * 0.5)
+    SELECT doc_id, term, n, df, {r('idf')} AS idf, {r('n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id))')} AS weight FROM w""")
+def _(t):
+    return tidy(B.tfidf_terms(t.documents, "doc_id", "text", min_df=2, max_share=0.5))
+
+
+@query("term_statistics", f"WITH {_TERMS} SELECT term, count(*) AS df, sum(n)::BIGINT AS n FROM terms GROUP BY 1")
+def _(t):
+    return B.term_statistics(t.documents, "doc_id", "text")
+
+
 # ---- imputation and selection ----------------------------------------------------------
 
 

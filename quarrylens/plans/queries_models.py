@@ -415,3 +415,9 @@ def _(t):
 @query("vector_search_filtered", _SEARCH.format(cond="i.label < 8", d=r("d")))
 def _(t):
     return tidy(search(t, "label < 8"))
+
+
+@query("vector_search_share", "SELECT count(*) * count(*) AS pairs, TRUE AS below_a_tenth FROM embeddings")
+def _(t):
+    found = N.refined_share(t.embeddings, t.embeddings, vector="embedding", k=5, metric="cosine")
+    return found.select("pairs", (F.col("share") < 0.1).alias("below_a_tenth"))

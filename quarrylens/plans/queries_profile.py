@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quarrylens.operators import edge_cases as E
 from quarrylens.operators import profile as P
 from quarrylens.operators import schema as S
+from quarrylens.operators import sketches as K
 from quarrylens.plans.registry import query, r, tidy
+from quarrylens.session import cut_lineage
 
 # A column with gaps, written the same way on both sides.
 _GAPPY_SQL = ("gappy AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, "
@@ -303,3 +305,15 @@ def _(t):
 def _(t):
     old, new = _old_new(t)
     return tidy(S.adapt_to_schema(new, S.training_schema(old), S.training_categories(old)), 4)
+
+
+_SKETCHED = ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+
+
+@query("profile_approx", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS missing, TRUE AS distinct_within,
+        {'NULL' if c == 'l_returnflag' else 'TRUE'}::BOOLEAN AS ranks_within, TRUE AS top_within FROM lineitem""" for c in _SKETCHED))
+def _(t):
+    rows = t.lineitem.select(*_SKETCHED).withColumn("part", F.pmod(F.xxhash64("l_orderkey"), F.lit(4)))
+    parts = K.column_sketches(rows, _SKETCHED, ["part"])
+    return K.sketch_errors(rows, cut_lineage(K.profile_approx(parts)))

@@ -136,9 +136,33 @@ def _(t):
     return tidy(K.correlation_matrix(t.lineitem, _COLS))
 
 
-@query("correlation_matrix_spearman")
+_RANKED = [*_COLS, "l_linenumber"]
+
+
+@query("correlation_matrix_spearman", "WITH k AS MATERIALIZED (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _RANKED) + " FROM lineitem) " + " UNION ALL ".join(
+    (f"SELECT '{a}' AS col1, '{b}' AS col2, {r(f'corr({a}, {b})')} AS r FROM k" if a != b
+     else f"SELECT '{a}' AS col1, '{b}' AS col2, 1.0::DOUBLE AS r") for a in _RANKED for b in _RANKED))
+def _(t):
+    return tidy(K.correlation_matrix(t.lineitem, _RANKED, "spearman"))
+
+
+def _tau(a, b):
+    """Tau-b of two columns of few values, through their counted pairs."""
+    return f"""SELECT '{a}' AS col1, '{b}' AS col2, {r('s / sqrt((n0 - tx) * (n0 - ty))')} AS r FROM (
+        WITH g AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2)
+        SELECT (SELECT sum(a.n * b.n * sign(b.y - a.y)) FROM g a JOIN g b ON a.x < b.x) AS s, sum(n) * (sum(n) - 1) / 2 AS n0,
+          (SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(n) AS c FROM g GROUP BY x)) AS tx,
+          (SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(n) AS c FROM g GROUP BY y)) AS ty FROM g)"""
+
+
+_FEW = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("correlation_matrix_kendall", " UNION ALL ".join(
+    _tau(a, b) if a != b else f"SELECT '{a}' AS col1, '{b}' AS col2, 1.0::DOUBLE AS r" for a in _FEW for b in _FEW))
 def _(t):
-    return tidy(K.correlation_matrix(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "spearman"))
+    return tidy(K.correlation_matrix(t.lineitem, _FEW, "kendall"))
 
 
 @query("kendall", f"""WITH g AS (SELECT l_quantity AS x, l_discount AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
@@ -231,9 +255,21 @@ def _(t):
     return tidy(V.log_rank(surv(t), "days", "event", "grp").select("statistic", "dof"), 4)
 
 
-@query("log_rank_groups")
+@query("log_rank_groups", f"""WITH {_SURV}, d AS (SELECT days AS time, count(*)::DOUBLE AS n, count(*) FILTER (WHERE grp3 = 'A')::DOUBLE AS a,
+      count(*) FILTER (WHERE grp3 = 'N')::DOUBLE AS b FROM surv GROUP BY 1),
+    k AS (SELECT n AS d, a AS da, b AS db, sum(n) OVER w AS n, sum(a) OVER w AS a, sum(b) OVER w AS b FROM d WINDOW w AS (ORDER BY time DESC)),
+    u AS (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS s FROM k),
+    m AS (SELECT sum(da - d * a / n) AS g, sum(db - d * b / n) AS h, sum(s * a / n * (1 - a / n)) AS x, sum(s * b / n * (1 - b / n)) AS z,
+      -sum(s * a * b / n / n) AS y FROM u)
+    SELECT {r('(g * g * z - 2 * g * h * y + h * h * x) / (x * z - y * y)', 4)} AS statistic, 2 AS dof FROM m""")
+def _(t):
+    return tidy(V.log_rank(surv(t).withColumn("event", F.lit(1)), "days", "event", "grp3").select("statistic", "dof"), 4)
+
+
+@query("log_rank_many", f"""WITH {_SURV} SELECT count(DISTINCT l_quantity::VARCHAR)::INTEGER - 1 AS dof, TRUE AS fine FROM surv""")
 def _(t):
-    return tidy(V.log_rank(surv(t).withColumn("event", F.lit(1)), "days", "event", "grp3"))
+    found = V.log_rank(surv(t), "days", "event", "l_quantity")
+    return found.select("dof", ((F.col("statistic") > 0) & F.col("p_value").between(0, 1)).alias("fine"))
 
 
 @query("cox_ph")

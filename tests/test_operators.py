@@ -1,12 +1,15 @@
 """Operators on small literal tables."""
 
+import math
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import bootstrap as B
-from quarrylens.operators import clean, create, ecommerce, edge_cases, encode, finance, health, impute, joins, neighbors, sampling, scale
+from quarrylens.operators import clean, create, ecommerce, edge_cases, encode, finance, health, impute, joins, neighbors, sampling, scale, sketches, text
 from quarrylens.operators import explain as X
 from quarrylens.operators import operations as O
 from quarrylens.operators import profile as P
@@ -107,7 +110,7 @@ def test_impute_knn_small(spark):
 
 @pytest.mark.parametrize("metric", ["euclidean", "cosine", "nan_euclidean"])
 def test_nearest_equals_all_pairs(spark, monkeypatch, metric):
-    """Cells, bounds and blocks lose no neighbour: clusters, repeated vectors, a zero vector and gaps."""
+    """Signatures, bounds and blocks lose no neighbour: clusters, repeated vectors, a zero vector and gaps."""
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 4)) * 0.3 + rng.integers(-3, 4, (300, 1))
     x[7], x[8:12] = 0.0, x[20]
@@ -116,14 +119,13 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, metric):
     rows = [(i, [None if np.isnan(v) else float(v) for v in r], i % 3) for i, r in enumerate(x)]
     items = spark.createDataFrame(rows, "id int, v array<double>, g int")
     queries = spark.createDataFrame(rows[:40], "q int, v array<double>, g int")
-    d = neighbors._distances(x[:40], x, metric)
+    d = np.stack([neighbors.pair_distances(np.repeat(x[i:i + 1], 300, 0), x, metric) for i in range(40)])
     for differ in (None, "g"):
         want = []
         for i in range(40):
             order = sorted((float(d[i, j]), j) for j in range(300) if np.isfinite(d[i, j]) and not (differ and j % 3 == i % 3))
             want += [(i, rank + 1, round(far, 9)) for rank, (far, _) in enumerate(order[:3])]
-        for cells, block in ((256, 50_000), (8, 20)):
-            monkeypatch.setattr(neighbors, "CELLS", cells)
+        for block in (50_000, 20):
             monkeypatch.setattr(neighbors, "ITEM_BLOCK", block)
             monkeypatch.setattr(neighbors, "QUERY_BLOCK", 7 if block == 20 else 2000)
             found = neighbors.nearest(queries, items, query_key="q", item_key="id", vector="v", k=3, metric=metric, differ_on=differ)
@@ -132,6 +134,35 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, metric):
             assert np.allclose([c for _, _, c in sorted(got)], [c for _, _, c in want], atol=1e-7)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "nan_euclidean"])
+def test_signatures_bound_distances(metric):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(200, 12)) @ rng.normal(size=(12, 12)))[:, :10] * np.logspace(0, 2, 10)
+    x[5], x[6, :], x[:, 3] = 0.0, 1e4, 2.5
+    if metric == "nan_euclidean":
+        x[rng.random(x.shape) < 0.3] = np.nan
+        axes, mean, spread = np.eye(10), np.nanmean(x, 0), np.nanstd(x, 0)
+    else:
+        unit = neighbors._unit(x) if metric == "cosine" else x
+        spread, axes = np.linalg.eigh(np.cov(unit.T, bias=True))
+        mean, spread = unit.mean(0), np.sqrt(np.maximum(spread, 0))
+    cut = neighbors.Signatures(metric, mean, axes, spread)
+    bodies, error = cut.cut(x)
+    low, high = cut.bounds(x[:50], *cut.restored(bodies), error)
+    d = np.stack([neighbors.pair_distances(np.repeat(x[i:i + 1], 200, 0), x, metric) for i in range(50)])
+    assert (low <= d + 1e-9).all() and ((high >= d - 1e-9) | np.isinf(high)).all()
+    assert len(bodies[0]) <= 12 and np.median(high[np.isfinite(high)] - low[np.isfinite(high)]) < np.median(d[np.isfinite(d)])
+
+
+def test_counterfactual_neighbours_in_one_class_cells(spark):
+    """Rows that must differ in a column find their neighbours although all close ones are of their own class."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=6) + (40 if i % 2 else 0)], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, g int")
+    got = neighbors.nearest(df.withColumnRenamed("id", "q"), df, query_key="q", item_key="id", vector="v", k=2, differ_on="g").collect()
+    assert len(got) == 400 and all(r["q"] % 2 != r["id"] % 2 for r in got)
+
+
 def test_rfm_falls_back_when_quintiles_coincide(spark):
     rows = [(c, f"2024-01-{d:02d} 00:00:00", 5.0) for c in range(10) for d in (1, 2)]
     df = spark.createDataFrame(rows, "c int, d string, a double").withColumn("d", F.col("d").cast("timestamp"))
@@ -195,3 +226,69 @@ def test_shapley_adds_up_for_a_product_model(spark):
     base = predict(df.agg(*[F.avg(c).alias(c) for c in "abc"])).first()["prediction"]
     got = phi.join(predict(df), "id").select("s", (F.col("prediction") - base).alias("w")).collect()
     assert all(r["s"] == pytest.approx(r["w"]) for r in got)
+
+
+def test_yeo_johnson_ignores_nan(spark):
+    rng = np.random.default_rng(11)
+    x = rng.gamma(2.0, size=401)
+    clean = spark.createDataFrame(pd.DataFrame({"x": x, "y": x * 3}))
+    dirty = clean.union(spark.createDataFrame([(float("nan"), 1.0)], "x double, y double"))
+    a, b = scale.yeo_johnson_lambda(clean, "x"), scale.yeo_johnson_lambda(dirty, "x")
+    assert abs(a - b) < 1e-9 and -5 < a < 1
+
+    def likelihood(lam):
+        y = (np.power(x + 1, lam) - 1) / lam
+        return -np.log(y.var()) / 2 + (lam - 1) * np.log1p(x).mean()
+
+    grid = np.linspace(a - 0.05, a + 0.05, 2001)
+    assert abs(grid[np.argmax([likelihood(g) for g in grid])] - a) < 2e-4
+    told = {r["column"]: r for r in scale.power_transform_lambdas(dirty, ["x", "y"]).collect()}
+    assert told["x"]["n"] == 401 and told["x"]["log_likelihood"] == pytest.approx(401 * likelihood(a), rel=1e-9)
+    assert told["y"]["lambda"] != told["x"]["lambda"]
+
+
+def test_box_cox_without_values_and_with_zeros(spark):
+    df = spark.createDataFrame([(None, 0.0, 1e120), (None, 1.0, 1e90), (None, 5.0, 1e60), (None, 2.0, 1e75)], "a double, b double, c double")
+    found = scale.box_cox_lambdas(df, ["a", "b", "c"])
+    assert found[0] is None and found[1][1] == 1.0 and abs(found[2][0]) < 0.2
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_velocity(spark, hot):
+    rng = np.random.default_rng(12)
+    rows = [(i, None if i % 37 == 0 else 0 if hot else int(rng.integers(4)), None if i % 41 == 0 else int(rng.integers(0, 200)) * 1800,
+             None if i % 11 == 0 else float(i)) for i in range(400)]
+    df = spark.createDataFrame([(i, e, None if s is None else datetime(2024, 1, 1) + timedelta(seconds=s), v) for i, e, s, v in rows],
+                               "id int, e int, ts timestamp_ntz, v double")
+    got = {r["id"]: r for r in create.velocity(df, "e", "ts", "v", [1, 24]).collect()}
+    assert len(got) == 400
+    for i, e, s, v in rows:
+        for h in (1, 24):
+            own = [w for _, f, u, w in rows if f == e and (u is None if s is None else u is not None and s - 3600 * h <= u <= s)]
+            total = [w for w in own if w is not None]
+            assert got[i][f"v_count_{h}h"] == len(own)
+            assert got[i][f"v_sum_{h}h"] == (pytest.approx(sum(total)) if total else None)
+
+
+def test_tfidf(spark):
+    df = spark.createDataFrame([(1, "The cat the CAT ünï"), (2, "the dog"), (3, None), (4, "a b")], "id int, t string")
+    got = {(r["id"], r["term"]): r for r in text.tfidf_terms(df, "id", "t").collect()}
+    assert set(got) == {(1, "the"), (1, "cat"), (1, "ünï"), (2, "the"), (2, "dog")}
+    idf = {"the": math.log(5 / 3) + 1, "cat": math.log(5 / 2) + 1}
+    assert got[1, "the"]["n"] == 2 and got[1, "the"]["df"] == 2 and got[1, "cat"]["idf"] == pytest.approx(idf["cat"])
+    assert sum(r["weight"] ** 2 for k, r in got.items() if k[0] == 1) == pytest.approx(1)
+    assert {k[1] for k in [(r["id"], r["term"]) for r in text.tfidf_terms(df, "id", "t", min_df=2).collect()]} == {"the"}
+
+
+def test_sketches_of_parts_are_sketches_of_all(spark):
+    rows = [(i % 4, float(i % 500), None if i % 3 == 0 else f"g{i % 7}", float("nan") if i % 10 == 0 else float(i), None) for i in range(8000)]
+    df = spark.createDataFrame(rows, "p int, a double, b string, c double, d double")
+    parts = sketches.column_sketches(df, by=["p"])
+    assert parts.count() == 16
+    told = sketches.profile_approx(parts)
+    got = {r["column"]: r for r in told.collect()}
+    assert got["a"]["missing"] == 0 and got["c"]["missing"] == 800 and got["d"]["n"] == 0 and got["d"]["distinct"] == 0
+    assert got["b"]["quantiles"] is None and got["d"]["quantiles"] is None and {x["item"] for x in got["b"]["top"]} == {f"g{i}" for i in range(7)}
+    assert got["a"]["quantiles"][0] == 0.0 and got["a"]["quantiles"][-1] == 499.0
+    for r in sketches.sketch_errors(df, told).collect():
+        assert r["distinct_within"] and r["top_within"] and r["ranks_within"] in (True, None)

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quarrylens.functions import dist
 from quarrylens.operators import compare as C
 from quarrylens.operators import correlation as K
 from quarrylens.operators import stats_tests as T
@@ -154,3 +155,83 @@ def test_mcnemar_exact_branch(spark):
     rows = [(1, 1, 0)] * 5 + [(1, 0, 1)] * 1 + [(1, 1, 1)] * 10
     r = C.mcnemar(spark.createDataFrame(rows, "y int, a int, b int"), "y", "a", "b").first()
     assert (r["n10"], r["n01"]) == (5, 1) and r["p_value"] == pytest.approx(0.21875)
+
+
+def test_spearman_matrix_is_pairwise_complete(spark):
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame(rng.integers(0, 12, (300, 4)).astype(float), columns=list("abcd"))
+    x["b"] += x["a"]
+    x.loc[rng.random(300) < 0.2, "b"] = np.nan
+    x.loc[rng.random(300) < 0.1, "d"] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x.to_numpy()], "a double, b double, c double, d double")
+    for method in ("spearman", "kendall"):
+        want = x.corr(method=method) if method == "spearman" else None
+        for r in K.correlation_matrix(df, method=method).collect():
+            if want is not None:
+                assert r["r"] == pytest.approx(want.loc[r["col1"], r["col2"]], abs=1e-9)
+    one = {(r["col1"], r["col2"]): r["r"] for r in K.correlation_matrix(df, method="kendall").collect()}
+    for a, b in (("a", "b"), ("b", "d")):
+        both = x[[a, b]].dropna().to_numpy()
+        s = sum(np.sign(p[0] - q[0]) * np.sign(p[1] - q[1]) for i, p in enumerate(both) for q in both[:i])
+        n0 = len(both) * (len(both) - 1) / 2
+        ties = [sum(c * (c - 1) / 2 for c in np.unique(both[:, k], return_counts=True)[1]) for k in (0, 1)]
+        assert one[a, b] == pytest.approx(s / np.sqrt((n0 - ties[0]) * (n0 - ties[1])), abs=1e-9)
+
+
+def test_pair_counts_are_exact_beyond_doubles(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 3_000_000_001, 3_000_000_001), (2.0, 2.0, 3_000_000_007, 3_000_000_007)],
+                               "t double, s double, l bigint, r bigint")
+    got = K.dominance_counts(df, "t", "s", "l", "r").first()
+    assert int(got["later_higher"]) == 3_000_000_001 * 3_000_000_007
+
+
+def slow_log_rank(t, e, g):
+    labels = sorted(set(g))
+    k = len(labels)
+    gap, cov = np.zeros(k), np.zeros((k, k))
+    for time in np.unique(t[e == 1]):
+        risk = np.array([np.sum((t >= time) & (g == x)) for x in labels], float)
+        dead = np.array([np.sum((t == time) & (g == x) & (e == 1)) for x in labels], float)
+        n, d = risk.sum(), dead.sum()
+        gap += dead - d * risk / n
+        if n > 1:
+            p = risk / n
+            cov += d * (n - d) / (n - 1) * (np.diag(p) - np.outer(p, p))
+    return gap[:-1] @ np.linalg.pinv(cov[:-1, :-1]) @ gap[:-1]
+
+
+@pytest.mark.parametrize("k, cells", [(200, 1 << 20), (7, 64)])
+def test_log_rank_of_many_groups(spark, monkeypatch, k, cells):
+    rng = np.random.default_rng(k)
+    n = 1500
+    g = np.array([f"g{x}" for x in np.concatenate([np.arange(k), rng.integers(0, k, n - k)])])
+    t, e = np.ceil(rng.exponential(200, n)), rng.integers(0, 2, n)
+    monkeypatch.setattr(V, "RISK_CELLS", cells)
+    got = V.log_rank(spark.createDataFrame(pd.DataFrame({"t": t, "e": e, "g": g})), "t", "e", "g").first()
+    assert got["dof"] == k - 1 and got["statistic"] == pytest.approx(slow_log_rank(t, e, g), rel=1e-6)
+
+
+def test_fisher_equals_enumeration_and_is_fast():
+    import math
+    import time
+
+    def slow(a, b, c, d):
+        n, row, col = a + b + c + d, a + b, a + c
+        p = {k: math.comb(row, k) * math.comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        return sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)) / math.comb(n, col)
+
+    rng = np.random.default_rng(5)
+    tables = [tuple(int(v) for v in rng.integers(0, 30, 4)) for _ in range(300)] + [(0, 0, 0, 0), (5, 0, 0, 5), (0, 7, 0, 9), (3, 3, 3, 3), (1, 0, 0, 0)]
+    for t in tables:
+        assert dist.hypergeom_two_sided(*t) == pytest.approx(slow(*t), rel=1e-6), t
+    start = time.perf_counter()
+    p = dist.hypergeom_two_sided(500_600, 499_400, 499_500, 500_500)
+    assert time.perf_counter() - start < 0.05 and 0 < p < 1
+    assert dist.hypergeom_two_sided(1_000_000, 0, 0, 1_000_000) < 1e-300
+
+
+def test_studentized_range_agrees_with_the_table():
+    for alpha, table in C.NEMENYI_Q.items():
+        for k, q in table.items():
+            assert dist.studentized_range_quantile(k, alpha) / np.sqrt(2) == pytest.approx(q, abs=1e-3)
+    assert dist.studentized_range_quantile(12, 0.05) / np.sqrt(2) == pytest.approx(3.268, abs=2e-3)
