@@ -464,6 +464,14 @@ def test_scores(spark, docs, rows, none, monkeypatch):
     assert context_mixing.text_scores(none).count() == 0
 
 
+def test_corpora_in_turn_have_models_of_their_own(spark):
+    """Python workers live on between runs; the model of the corpus before must not score this one."""
+    one = spark.createDataFrame([(i, long_text(i, 40)) for i in range(30)], "doc_id bigint, text string").coalesce(1)
+    two = spark.createDataFrame([(i, " ".join(["zq", "xj"] * 20) + f" {i}") for i in range(30)], "doc_id bigint, text string").coalesce(1)
+    sums = [[context_mixing.text_scores(d).agg(F.sum("score")).first()[0] for d in (one, two)] for _ in range(3)]
+    assert np.allclose(sums, sums[0])
+
+
 def test_code_is_a_probability():
     """One decision costs the bits of its probability: over all bytes the chances of a next byte add up to one."""
     code = context_mixing.Code(np.arange(256))
