@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm import shingles
-from quarrylens.llm.common import add_column, fresh_name, stash
+from quarrylens.llm.common import add_column, discard, fresh_name, stash
 
 #: Words of a shingle, seed of its hash, bits that two linked fingerprints may differ in.
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -202,13 +202,18 @@ def components(links: DataFrame) -> DataFrame:
     both = stash(links.union(links.select("b", "a")).distinct().toDF("a", "b"), "links")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    lower = None
     while True:
         labels = stash(labels, "labels")
+        if lower is not None:
+            discard(lower)
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select(
             "node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         lower = stash(lower, "lower")
+        discard(labels)
         if lower.where("root < old").isEmpty():
+            discard(both)
             return lower.select("node", "root")
         ahead = lower.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         labels = lower.join(ahead, lower["root"] == ahead["_n"]).select("node", F.least("root", "_r").alias("root"))
