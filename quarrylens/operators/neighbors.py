@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from quarrylens.session import cut_lineage
 
 #: Bits per coordinate on average and at most; half the width of a grid in standard deviations.
-BITS, MOST_BITS, WIDTH = 4, 8, 3.5
+BITS, MOST_BITS, WIDTH = 6, 8, 3.5
 #: Rows of a block of queries and of signatures; bounds held at once in a task.
 QUERY_BLOCK, ITEM_BLOCK, BOUNDS = 2_000, 100_000, 4_000_000
 
