@@ -1,7 +1,7 @@
 """Benchmark decontamination: windows of test words are looked up in the words of training documents.
 
-The benchmark's windows become one sorted array of 64-bit hashes per window length, sent to all tasks.  Documents are
-scanned once, without a shuffle: words become numbers of the benchmark's vocabulary, a window holding any other word
+The benchmark's windows become one sorted array of 64-bit hashes per window length, made once and sent to all tasks.  Documents
+are scanned once, without a shuffle: words become numbers of the benchmark's vocabulary, a window holding any other word
 cannot match, the remaining windows are hashed and looked up, and every hit is verified word by word.
 
 What is sent is bounded: benchmarks above ``BLOCK_BYTES`` of text are sent in blocks, one scan of the documents each.
@@ -36,27 +36,46 @@ def normal_words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """All windows of some items, by length: sorted hashes, their words and the items they come from."""
+    """All windows of some items, by length: sorted hashes, where their words stand and the items they come from.
+
+    Everything but the vocabulary is an array over the words of the items, about 24 bytes a word.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple, set]] = {}
+        number = self.vocabulary.setdefault
+        parts, owners, starts = [], [], {}
+        names: dict[str | None, int] = {}
+        at = 0
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in normal_words(text)]
-            if ids:
-                n = min(width, len(ids))
-                for i in range(len(ids) - n + 1):
-                    by_length.setdefault(n, {}).setdefault(tuple(ids[i:i + n]), set()).add(name)
-        self.lengths = {}
-        for n, found in by_length.items():
-            words = np.array(list(found), np.uint64)
-            factor = np.uint64(0x9E3779B97F4A7C15)
-            while len(np.unique(self._hash(words.T, factor))) < len(words):
-                factor += np.uint64(2)
-            keys = self._hash(words.T, factor)
-            order = np.argsort(keys)
-            names = list(found.values())
-            self.lengths[n] = factor, keys[order], words[order], [names[i] for i in order]
+            words = normal_words(text)
+            if words:
+                parts.append(np.fromiter((number(w, len(self.vocabulary) + 1) for w in words), np.uint32, len(words)))
+                owners.append(np.full(len(words), names.setdefault(name, len(names)), np.int32))
+                n = min(width, len(words))
+                starts.setdefault(n, []).append(np.arange(at, at + len(words) - n + 1, dtype=np.int64))
+                at += len(words)
+        self.names = list(names)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+        self.lengths = {n: self._table(n, np.concatenate(found), owner) for n, found in starts.items()}
+
+    def _table(self, n: int, starts: np.ndarray, owner: np.ndarray):
+        """Factor of the hash, distinct hashes, a place of each, and the items of each as (first, numbers)."""
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        while True:
+            keys = self._hash((self.words[starts + j] for j in range(n)), factor)
+            order = np.argsort(keys, kind="stable")
+            keys, place = keys[order], starts[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            again = np.flatnonzero(~fresh)
+            if all((self.words[place[again] + j] == self.words[place[again - 1] + j]).all() for j in range(n)):
+                break
+            factor += np.uint64(2)  # two windows with one hash: take another one
+        pairs = np.unique((np.cumsum(fresh) - 1) << 32 | owner[place])
+        first = np.searchsorted(pairs >> 32, np.arange(int(fresh.sum()) + 1))
+        return factor, keys[fresh], place[fresh], first, (pairs & 0xFFFFFFFF).astype(np.int32)
 
     @staticmethod
     def _hash(columns, factor: np.uint64) -> np.ndarray:
@@ -69,7 +88,7 @@ class Windows:
     def hits(self, ids: np.ndarray):
         """(length, starts, positions in the window table) of all verified windows in ``ids``; 0 is no known word."""
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, (factor, keys, words, _) in self.lengths.items():
+        for n, (factor, keys, place, _, _) in self.lengths.items():
             if len(ids) < n:
                 continue
             starts = np.flatnonzero(unknown[n:] == unknown[:-n])
@@ -79,9 +98,14 @@ class Windows:
             starts, at = starts[same], at[same]
             same = np.ones(len(starts), bool)
             for j in range(n):
-                same &= ids[starts + j] == words[at, j]
+                same &= ids[starts + j] == self.words[place[at] + j]
             yield n, starts[same], at[same]
 
+    def items(self, n: int, at: int) -> list[str | None]:
+        """The items with the window number ``at`` of length ``n``."""
+        _, _, _, first, members = self.lengths[n]
+        return [self.names[k] for k in members[first[at]:first[at + 1]]]
+
 
 def _scanner(windows: Windows):
     known = windows.vocabulary.get
@@ -100,9 +124,9 @@ def _scanner(windows: Windows):
         for n, starts, at in windows.hits(np.concatenate(parts)):
             np.add.at(change, starts, 1)
             np.add.at(change, starts + n, -1)
-            names = windows.lengths[n][3]
-            for doc, k in zip(np.searchsorted(edges, starts, "right") - 1, at):
-                out[doc]["items"] |= names[k]
+            owner = np.searchsorted(edges, starts, "right") - 1
+            for doc, k in np.unique(np.stack([owner, at]), axis=1).T.tolist():
+                out[doc]["items"].update(windows.items(n, k))
         hit = np.cumsum(change) > 0
         turn = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
         for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)):
@@ -136,10 +160,10 @@ def overlaps(docs: DataFrame, items: DataFrame, name: str, text_col: str = "text
     """
     spark, out, before = docs.sparkSession, docs, None
     for n, block in _blocks(items, item_col, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast((block, width))
+        sent = spark.sparkContext.broadcast(Windows(block, width))
 
         def make(sent=sent):
-            return _scanner(Windows(*sent.value))
+            return _scanner(sent.value)
 
         if n == 1:
             return add_column(docs, {"text": F.col(text_col).cast("binary")}, name, KIND, make, keep)
@@ -179,14 +203,22 @@ def overlap_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """The documents without any hit, with the columns of ``docs``."""
+    """The documents without any hit, with the columns of ``docs``.
+
+    Null and empty texts have no hit and stay; texts of any length are scanned whole; repeated rows and ties stay or go alike;
+    without items all documents stay, an empty table stays empty.  No column of ``docs`` clashes with the ones made here.
+    """
     name = fresh_name(docs.columns, "_found")
     found = overlaps(docs, items, name, text_col, **kw)
     return found.where(F.size(f"{name}.spans") == 0).drop(name)
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """All documents, with hit words (and what stands between them) cut out of the text."""
+    """All documents, with hit words (and what stands between them) cut out of the text.
+
+    Null and empty texts and those without hits stay as they are, to the last space; repeated rows are cut alike; without items
+    nothing is cut, an empty table stays empty.  All columns of ``docs`` stay.
+    """
     name = fresh_name(docs.columns, "_found")
     found = overlaps(docs, items, name, text_col, **kw)
     spans = F.transform(f"{name}.spans", lambda s: F.array(s["start"], s["end"]))
