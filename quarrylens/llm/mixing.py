@@ -23,6 +23,8 @@ from quarrylens.llm.common import WORD, fresh_name, stash
 
 #: Expected number of items that one group of the tree folds.
 GROUP = 32
+#: Rows that one repeated row is dealt out in at once.
+REPEATS = 1 << 16
 
 
 def text_size(text_col: str) -> Column:
@@ -138,6 +140,16 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
                              text_size(text_col).alias("size")), "sizes")
 
 
+def _each_row(rows: DataFrame, most: int = REPEATS) -> DataFrame:
+    """``rows`` with the numbers 1 to ``n`` as ``_i``, a row each; a row repeated very often is dealt out in pieces of ``most``."""
+    few = rows.where(F.col("n") <= most).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    pieces = rows.where(F.col("n") > most).withColumn("_at", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / most)))).repartition(F.col("_at"), F.col("doc_id"))
+    end = F.least(F.col("n"), (F.col("_at") + 1) * most)
+    many = pieces.withColumn("_i", F.explode(F.sequence(F.col("_at") * most + 1, end))).drop("_at")
+    return few.unionByName(many)
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 42,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken, source, copies``.
@@ -147,17 +159,37 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float =
     each.  An empty table gives no rows; other columns are ignored.
     """
     rows = rounded_copies(_sizes(docs, id_col, text_col, source_col), weights, cap, seed)
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = _each_row(rows)
     copies = F.col("low") + (F.col("_i") <= F.col("more")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
                        "source", copies.alias("copies"))
 
 
+def _numbered(rows: DataFrame, name: str, text_col: str) -> DataFrame:
+    """Numbers from 1 on within ``_p_id, _p_source, _p_size``, by text; no task sees more than its own rows of a text.
+
+    Rows are counted per text and partition, the counts are added up, and a row's place in its partition is added to that.
+    """
+    group = ["_p_id", "_p_source", "_p_size"]
+    placed = stash(rows.withColumns({"_h": F.xxhash64(text_col), "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}),
+                   "several")
+    before = Window.partitionBy(*group).orderBy("_h", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stash(placed.groupBy(*group, "_h", "_part").agg(F.count("*").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").toDF("_s_id", "_s_source", "_s_size", "_s_h", "_s_part", "_start"),
+        "starts")
+    own = Window.partitionBy(*group, "_h", "_part").orderBy("_row")
+    joined = placed.withColumn(name, F.row_number().over(own)).join(starts, F.col("_p_id").eqNullSafe(F.col("_s_id")) & F.col(
+        "_p_source").eqNullSafe(F.col("_s_source")) & (F.col("_p_size") == F.col("_s_size")) & (F.col("_h") == F.col("_s_h")) & (
+        F.col("_part") == F.col("_s_part")))
+    return joined.withColumn(name, F.col(name) + F.col("_start")).select(*rows.columns, name)
+
+
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    Rows that share id, source and size are numbered by text to hand out their extra copies.
+    Rows that share id, source and size are numbered by text to hand out their extra copies; equal texts among them in any
+    order.  Texts without words are not taken; null texts, sources and ids, repeated rows and empty tables as in ``mix_plan``.
     """
     plan = rounded_copies(_sizes(docs, id_col, text_col, source_col), weights, cap, seed)
     size, number = fresh_name(docs.columns, "_size"), fresh_name(docs.columns, "_number")
@@ -167,9 +199,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     sized = docs.withColumn(size, text_size(text_col))
     found = sized.join(plan, sized[id_col].eqNullSafe(F.col("_p_id")) & sized[source_col].eqNullSafe(F.col("_p_source"))
                        & (sized[size] == F.col("_p_size")))
-    same = Window.partitionBy("_p_id", "_p_source", "_p_size").orderBy(F.col(text_col), F.monotonically_increasing_id())
-    one = found.where("_p_n = 1").withColumn(number, F.lit(1))
-    several = found.where("_p_n > 1").withColumn(number, F.row_number().over(same))
+    one = found.where("_p_n = 1").withColumn(number, F.lit(1).cast("bigint"))
+    several = _numbered(found.where("_p_n > 1"), number, text_col)
     copies = F.col("_p_low") + (F.col(number) <= F.col("_p_more")).cast("long")
     every = one.unionByName(several).withColumn(number, copies).where(F.col(number) > 0)
     return every.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*docs.columns)

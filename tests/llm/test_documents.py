@@ -268,6 +268,17 @@ def test_overlaps(spark, docs, rows):
     assert not any(slow_overlaps(r.text, items[:1])[1] for r in cut.collect())
 
 
+def test_windows_share_hashes_and_items():
+    """Windows of several lengths and items; the items of a window, and no item without words."""
+    items = [("a", b"one two three"), ("b", b"one two three"), (None, b"one two three four"), ("c", b" ."), ("d", None), ("a", b"four five")]
+    windows = decontaminate.Windows(items, 3)
+    assert set(windows.lengths) == {2, 3} and len(windows.lengths[3][1]) == 2
+    ids = np.array([windows.vocabulary.get(w, 0) for w in b"zero one two three four five".split()], np.uint32)
+    found = {(n, int(s)): set(windows.items(n, k)) for n, starts, at in windows.hits(ids) for s, k in zip(starts, at)}
+    assert found == {(3, 1): {"a", "b", None}, (3, 2): {None}, (2, 4): {"a"}}
+    assert decontaminate.Windows([], 3).lengths == {} and list(decontaminate.Windows([], 3).hits(ids)) == []
+
+
 def test_overlaps_empty(spark, docs, none):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.overlap_report(docs, bench).where("contaminated").count() == 0
@@ -378,6 +389,23 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 for s in target)
 
 
+def test_mix_of_one_row_repeated_very_often(spark, monkeypatch):
+    """A repeated row is dealt out in pieces, and its copies are numbered without gathering it in one task."""
+    rows = spark.range(200_000).repartition(7).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"),
+                                                      F.lit("x").alias("source"), F.col("id").alias("extra"))
+    docs = rows.unionByName(spark.createDataFrame([(i, "w " * 500, "y", i) for i in range(30)], rows.schema))
+    plan = mixing.mix_plan(docs)
+    counted = plan.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("copies").alias("c"), F.max("taken").alias("t")).collect()
+    hot = next(r for r in counted if r.doc_id == 5 and r.n > 1000)
+    assert hot.n >= 200_000 and plan.count() == 200_030
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    told = {r.doc_id: r.c for r in counted}
+    assert {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {k: v for k, v in told.items() if v}
+    most = mixed.groupBy("source", "extra").count().agg(F.max("count")).first()[0]
+    assert most <= 3
+
+
 # licenses -------------------------------------------------------------------------------------------------------
 
 def test_licenses(spark):
