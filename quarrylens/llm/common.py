@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -57,6 +58,22 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What ``make()`` gives, kept in this Python worker until something else is asked for.
+
+    Workers outlive their tasks and serve all operators of a session; so only one large object stays in each.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def held_out(doc_id, folds: int):
     """Whether the crc32 of the id as text leaves 1; a null id counts as the empty text (crc32 0), so it is learnt from."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 1

@@ -13,13 +13,12 @@ at the end of a block, the same for all languages.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import add_column, fresh_name, held_out
+from quarrylens.llm.common import add_column, fresh_name, held, held_out
 
 #: Bytes of labelled text per language, and the largest number of documents they are drawn from.
 REFERENCE, PIECES = 65_536, 256
@@ -165,10 +164,9 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return out
 
 
-@lru_cache(maxsize=1)
 def _parser(learned: tuple) -> Parser:
     """Built once per Python worker, which runs many tasks."""
-    return Parser(dict(learned))
+    return held(("parser", learned), lambda: Parser(dict(learned)))
 
 
 def with_language(docs: DataFrame, learned: dict[str, bytes], name: str, text_col: str = "text",

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import open_store, shared_folder, slices, write_bytes
+from quarrylens.llm.common import held, open_store, shared_folder, slices, write_bytes
 
 #: Folder with the vocabulary files, and the file used: byte pairs as ranks, ids below 65 536.
 TOKENIZERS = "/opt/tokenizers"
@@ -123,14 +123,9 @@ class Tokenizer:
         return self._bpe.decode([int(t) for t in tokens if t != self.end])
 
 
-_TOKENIZERS: dict = {}
-
-
 def tokenizer(folder: str, vocabulary: str) -> Tokenizer:
     """One per Python worker."""
-    if (folder, vocabulary) not in _TOKENIZERS:
-        _TOKENIZERS[folder, vocabulary] = Tokenizer(folder, vocabulary)
-    return _TOKENIZERS[folder, vocabulary]
+    return held(("tokenizer", folder, vocabulary), lambda: Tokenizer(folder, vocabulary))
 
 
 def _mix(values: np.ndarray, key: int) -> np.ndarray:
