@@ -205,18 +205,18 @@ def basket_pairs(df: DataFrame, transaction: str, item: str, top: int = 30) -> D
 
 
 def funnel(df: DataFrame, stage: str, count: str | None = None) -> DataFrame:
-    """Stages by falling count with conversion, drop-off and overall conversion."""
+    """Stages by falling count with conversion, drop-off and overall conversion; the window is over one row per stage."""
     n = F.sum(count) if count else F.count(F.lit(1))
     t = df.where(F.col(stage).isNotNull()).groupBy(F.col(stage).cast("string").alias("stage")).agg(n.alias("count"))
-    ends = t.agg(F.max("count").alias("top"), F.min("count").alias("low"))
-    t = sequence_index(t, ["count", "stage"], descending=["count"])
-    before = t.select((F.col("_index") + 1).alias("_index"), F.col("count").alias("_prev"))
-    t = t.join(before, "_index", "left").withColumn("_e", one_row(ends))
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("count"), "stage")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    t = t.withColumns({"position": F.row_number().over(order), "_prev": F.lag("count").over(order),
+                       "_top": F.max("count").over(whole), "_low": F.min("count").over(whole)})
     prev = F.col("_prev")
     rate = safe_div(F.col("count"), prev)
     return t.select(
-        (F.col("_index") + 1).cast("int").alias("position"), "stage", "count",
+        "position", "stage", "count",
         F.coalesce(rate, F.lit(1.0)).alias("conversion_rate"),
         F.when(prev > 0, prev - F.col("count")).otherwise(0).cast("bigint").alias("dropoff"),
         F.coalesce(1 - rate, F.lit(0.0)).alias("dropoff_rate"),
-        safe_div(F.col("_e.low"), F.col("_e.top")).alias("overall_conversion"))
+        safe_div(F.col("_low"), F.col("_top")).alias("overall_conversion"))

@@ -94,8 +94,11 @@ _LIMIT_METRIC = {"min_accuracy": "accuracy", "min_auc": "auc", "min_sensitivity"
 
 def validation_checks(df: DataFrame, label: str, prediction: str, score: str | None, problem: str,
                       domain: str = "generic", limits: Mapping[str, float] | None = None,
-                      by: Sequence[str] = ()) -> DataFrame:
-    """One row per check: constant predictions and every applicable performance limit."""
+                      by: Sequence[str] = (), features: tuple[int, int] | None = None) -> DataFrame:
+    """One row per check: constant predictions, number of features, every applicable performance limit.
+
+    ``features`` = (expected by the model, given); another number is a warning, so its check is NULL rather than failed.
+    """
     by = list(by)
     bounds = {**DEFAULT_LIMITS[problem], **DOMAIN_LIMITS.get(domain, {}), **(limits or {})}
     if problem == "classification":
@@ -106,6 +109,10 @@ def validation_checks(df: DataFrame, label: str, prediction: str, score: str | N
     m = m.join(vary, by) if by else m.withColumn("_vary", vary.scalar())
     rows = [F.struct(F.lit("non_constant").alias("check"), F.lit(None).cast("double").alias("value"),
                      F.lit(None).cast("double").alias("limit"), F.col("_vary").alias("passed"))]
+    if features is not None:
+        rows.append(F.struct(F.lit("feature_count").alias("check"), F.lit(float(features[1])).alias("value"),
+                             F.lit(float(features[0])).alias("limit"), F.lit(True if features[0] == features[1] else None).cast(
+                                 "boolean").alias("passed")))
     for name, bound in bounds.items():
         metric = _LIMIT_METRIC[name]
         v = F.col(metric) if metric in m.columns else F.lit(None).cast("double")

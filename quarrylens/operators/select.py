@@ -29,12 +29,16 @@ def drop_low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     return df.drop(*low)
 
 
-def importances(df: DataFrame, target: str, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Random-forest importance per numeric feature."""
+def importances(df: DataFrame, target: str, trees: int = 100, depth: int = 5, seed: int = 42, classes: int = 20,
+                problem: str | None = None) -> DataFrame:
+    """Random-forest importance per numeric feature.
+
+    ``problem`` is classification or regression; where it is not named, a target of at most ``classes`` values is a class.
+    """
     features = [c for c in numeric_columns(df) if c != target]
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(
         df.fillna(0, subset=features).where(F.col(target).isNotNull()))
-    few = df.select(target).distinct().limit(21).count() <= 20
+    few = problem == "classification" if problem else df.agg(F.count_distinct(target)).first()[0] <= classes
     if few:
         rows = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(
             rows.withColumn(target, F.col(target).cast("string"))).transform(

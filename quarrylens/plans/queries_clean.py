@@ -12,6 +12,7 @@ from quarrylens.operators.health import clinical_flags
 from quarrylens.plans.queries_profile import _GAPPY_SQL, gappy
 from quarrylens.plans.registry import query, r, tidy
 from quarrylens.sources import catalog, files, html_tables
+from quarrylens.sources.manifest import file_manifest
 
 # ---- sources and the SQL entry ---------------------------------------------------------
 
@@ -68,7 +69,7 @@ def _(t):
 
 @query("file_manifest")
 def _(t):
-    return files.file_manifest(t.spark, t.path("orders")).drop("modificationTime", "path")
+    return file_manifest(t.spark, t.path("orders")).drop("modificationTime", "path")
 
 
 @query("html_tables", """WITH l AS (SELECT page_id, regexp_extract_all(split_part(split_part(html, '<ul>', 2), '</ul>', 1), '<li><a [^>]*>([^<]*)</a></li>', 1) AS t FROM pages)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylens.operators import domain_metrics as X
 from quarrylens.operators import ecommerce as C
 from quarrylens.operators import finance as B
 from quarrylens.operators import health as H
@@ -110,7 +111,10 @@ def _(t):
     return tidy(B.gini(scored(t), "label", "score"))
 
 
-@query("gini_by_group")
+@query("gini_by_group", f"""WITH {_SCORED}, p AS (SELECT a.lang, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS auc
+      FROM scored a JOIN scored b ON a.lang = b.lang AND a.label = 1 AND b.label = 0 GROUP BY 1)
+    SELECT lang, {r('2 * auc - 1')} AS gini, {r('auc')} AS auc, CASE WHEN 2 * auc - 1 >= 0.6 THEN 'excellent' WHEN 2 * auc - 1 >= 0.4 THEN 'good'
+      WHEN 2 * auc - 1 >= 0.2 THEN 'moderate' ELSE 'poor' END AS band FROM p""")
 def _(t):
     return tidy(B.gini(scored(t), "label", "score", ["lang"]))
 
@@ -422,3 +426,37 @@ def _(t):
 @query("cost_threshold", f"""WITH {_SCORED}, {_RANKED} SELECT {r('score')} AS threshold, {r('10 * (np - tp) + fp')} AS cost FROM k ORDER BY 10 * (np - tp) + fp, score DESC LIMIT 1""")
 def _(t):
     return tidy(O.cost_threshold(scored(t), "label", "score", 10, 1))
+
+
+# ---- dispatcher and matrices -------------------------------------------------------------
+
+_KS_GINI = f"""{_RANKED}, best AS (SELECT abs(tp / np - fp / nq) AS ks, score FROM k ORDER BY round(abs(tp / np - fp / nq), 12) DESC, score DESC LIMIT 1),
+    g AS (SELECT {_AUC} AS auc FROM k)"""
+
+
+@query("domain_metrics", f"""WITH {_SCORED}, {_KS_GINI}
+    SELECT 'ks_statistic' AS metric, 'ks_statistic' AS measure, {r('ks')} AS value, NULL::VARCHAR AS note FROM best
+    UNION ALL SELECT 'ks_statistic', 'ks_threshold', {r('score')}, NULL FROM best
+    UNION ALL SELECT 'gini_coefficient', 'gini', {r('2 * auc - 1')}, NULL FROM g UNION ALL SELECT 'gini_coefficient', 'auc', {r('auc')}, NULL FROM g
+    UNION ALL SELECT 'gini_coefficient', 'band', NULL, CASE WHEN 2 * auc - 1 >= 0.6 THEN 'excellent' WHEN 2 * auc - 1 >= 0.4 THEN 'good'
+      WHEN 2 * auc - 1 >= 0.2 THEN 'moderate' ELSE 'poor' END FROM g""")
+def _(t):
+    return tidy(X.domain_metrics(scored(t), "finance", "label", "prediction", "score").where("metric <> 'psi'"))
+
+
+@query("cohort_matrix", """WITH m AS (SELECT DISTINCT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS m FROM orders),
+    f AS (SELECT o_custkey, m, min(m) OVER (PARTITION BY o_custkey) AS c FROM m), g AS (SELECT c, m - c AS period, count(*) AS n FROM f GROUP BY 1, 2)
+    SELECT printf('%04d-%02d', c // 12, c % 12 + 1) AS cohort, """ + ", ".join(
+    r(f"sum(n) FILTER (WHERE period = {i}) * 1.0 / sum(n) FILTER (WHERE period = 0)") + f' AS "{i}"' for i in range(6)) + """
+    FROM g GROUP BY c""")
+def _(t):
+    """The first six periods as columns."""
+    return tidy(X.as_matrix(C.cohort_retention(t.orders, "o_custkey", "o_orderdate"), "cohort", "period", "retention", range(6)))
+
+
+@query("vintage_matrix", """WITH v AS (SELECT strftime(o_orderdate, '%Y-%m') AS cohort, o_orderstatus AS s, l_quantity AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    SELECT cohort, """ + ", ".join(r(f"avg(y) FILTER (WHERE s = '{x}')") + f' AS "{x}"' for x in "FOP") + " FROM v GROUP BY 1")
+def _(t):
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
+        F.date_format("o_orderdate", "yyyy-MM").alias("cohort"), "o_orderstatus").agg(F.avg("l_quantity").alias("y"))
+    return tidy(X.as_matrix(rows, "cohort", "o_orderstatus", "y"))

@@ -79,10 +79,11 @@ def _(t):
 
 
 @query("validation_checks", f"""{_CLS}, a AS (SELECT sum(p * ((nq - fp) + q / 2)) / any_value(np * nq) AS auc FROM k), m AS (SELECT (tp + tn) / (tp + tn + fp + fn) AS acc, auc FROM x, a)
-    SELECT 'non_constant' AS "check", NULL::DOUBLE AS value, NULL::DOUBLE AS "limit", TRUE AS passed UNION ALL SELECT 'min_accuracy', {r('acc')}, 0.5, acc >= 0.5 FROM m
+    SELECT 'non_constant' AS "check", NULL::DOUBLE AS value, NULL::DOUBLE AS "limit", TRUE AS passed
+    UNION ALL SELECT 'feature_count', 3.0, 3.0, TRUE UNION ALL SELECT 'min_accuracy', {r('acc')}, 0.5, acc >= 0.5 FROM m
     UNION ALL SELECT 'min_auc', {r('auc')}, 0.65, auc >= 0.65 FROM m""")
 def _(t):
-    return tidy(M.validation_checks(scored(t), "label", "prediction", "score", "classification", "finance"))
+    return tidy(M.validation_checks(scored(t), "label", "prediction", "score", "classification", "finance", features=(3, 3)))
 
 
 @query("validate_model", f"""{_CLS}, a AS (SELECT sum(p * ((nq - fp) + q / 2)) / any_value(np * nq) AS auc FROM k),
@@ -271,6 +272,13 @@ def _(t):
     return tidy(L.tune(_rows(t), _F, "l_extendedprice", "ridge", {"regParam": [0.1, 1.0, 10.0, 100.0]}, "row", problem="regression"), 3)
 
 
+@query("tune_random")
+def _(t):
+    """Four of nine settings, drawn at random."""
+    grid = {"regParam": [0.1, 1.0, 10.0], "elasticNetParam": [0.0, 0.5, 1.0]}
+    return tidy(L.tune(_rows(t), _F, "l_extendedprice", "ridge", grid, "row", n_random=4, problem="regression"), 3)
+
+
 @query("automl")
 def _(t):
     return tidy(L.automl(t.customer.select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"), ["c_nationkey", "c_custkey"], "c_acctbal",
@@ -298,6 +306,15 @@ def _(t):
     return tidy(auto_pipeline(rows, "o_totalprice", "o_orderkey").results, 3)
 
 
+@query("auto_pipeline_classes")
+def _(t):
+    """Three classes; brands are target encoded for each class but the first."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax").alias("row"), "l_returnflag", "p_brand",
+        "p_type", "l_quantity", "l_discount", "p_retailprice")
+    return tidy(auto_pipeline(rows, "l_returnflag", "row", ["logistic_regression", "decision_tree"]).results, 3)
+
+
 # ---- explanation: a fixed linear scorer stands for the model where SQL checks the result ----
 
 _W = {"l_quantity": 1500.0, "l_discount": -2000.0, "l_tax": 300.0}

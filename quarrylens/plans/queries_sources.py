@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylens.plans.registry import query
 from quarrylens.session import checkpoint_dir
 from quarrylens.sources import catalog, files
+from quarrylens.sources.manifest import file_manifest
 
 
 def _folder(t, name: str) -> str:
@@ -16,7 +17,7 @@ def _folder(t, name: str) -> str:
     return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
 _ORDERS_SQL = f"SELECT {', '.join(_ORDERS)} FROM orders"
 
 
@@ -24,7 +25,8 @@ def _bare(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-@query("scan_csv", _ORDERS_SQL.replace("o_orderkey, o_custkey", "o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey"))
+@query("scan_csv", _ORDERS_SQL.replace("o_orderkey, o_custkey", "o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey").replace(
+    "o_orderdate", "o_orderdate::TIMESTAMP AS o_orderdate"))
 def _(t):
     path = _folder(t, "csv")
     t.orders.select(*_ORDERS).write.option("header", True).option("sep", ";").csv(path)
@@ -45,7 +47,8 @@ def _(t):
 def _(t):
     path = _folder(t, "jsonl")
     t.orders.select(*_ORDERS).write.json(path)
-    return files.read_jsonl(t.spark, path).select(*_ORDERS)
+    schema = ", ".join(f"{c} {kind}" for c, kind in t.orders.select(*_ORDERS).dtypes)
+    return files.read_jsonl(t.spark, path, schema).select(*_ORDERS)
 
 
 @query("scan_json_nested", """SELECT c_custkey AS key, c_acctbal AS "money.balance", c_mktsegment AS "money.segment" FROM customer""")
@@ -78,3 +81,17 @@ def _(t):
     root = _bare(_folder(t, "export"))
     catalog.export_table(t.orders.select(*_ORDERS), f"{root}/orders", "parquet", allowed=(root,))
     return files.read_parquet(t.spark, f"{root}/orders")
+
+
+@query("file_manifest_formats", """SELECT format, (SELECT count(*) FROM orders) AS rows, 3::BIGINT AS columns, TRUE AS hashed
+    FROM (VALUES ('csv'), ('json'), ('orc'), ('parquet')) AS v(format)""")
+def _(t):
+    """The orders in several files of four formats; a column has line breaks inside quotes."""
+    root = _folder(t, "manifest")
+    rows = t.orders.select("o_orderkey", F.concat_ws("\n", "o_orderstatus", "o_orderpriority").alias("o_note"), "o_totalprice").repartition(3)
+    rows.write.option("header", True).option("quoteAll", True).csv(f"{root}/csv")
+    rows.write.orc(f"{root}/orc")
+    rows.write.parquet(f"{root}/parquet")
+    rows.write.json(f"{root}/json")
+    return file_manifest(t.spark, root).where("format <> ''").groupBy("format").agg(
+        F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.bool_and(F.length("sha256") == 64).alias("hashed"))

@@ -60,5 +60,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
 
-    for part in ("profile", "clean", "stats", "features", "domain", "charts", "models", "sources", "edges"):
+    for part in ("profile", "clean", "stats", "features", "domain", "charts", "models", "sources", "edges", "streaming"):
         importlib.import_module(f"quarrylens.plans.queries_{part}")

@@ -171,13 +171,6 @@ def encoding_report(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(scan, "path string, encoding string")
 
 
-def file_manifest(spark: SparkSession, path) -> DataFrame:
-    """SHA-256, size, format and modification time per file."""
-    f = spark.read.format("binaryFile").load(path)
-    return f.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("format"),
-                    F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime")
-
-
 def sql_on_file(spark: SparkSession, path: str, fmt: str = "parquet", select: str = "*", where: str | None = None) -> DataFrame:
     """Columns and filter applied to a file in place (both reach the scan)."""
     if "`" in path:

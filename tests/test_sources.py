@@ -1,6 +1,7 @@
 """Readers, writers and guards on temporary files."""
 
 import gzip
+import hashlib
 import io
 import tarfile
 import zipfile
@@ -9,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from quarrylens.sources import archives, catalog, files, html_tables, jdbc
+from quarrylens.sources import archives, catalog, files, html_tables, jdbc, manifest
 from quarrylens.streaming.rowwise import run_rowwise
 
 CSV = "id; name ;empty\n1;ann;\n2;bob;\n;;\n3;eve;\n"
@@ -32,7 +33,7 @@ def test_latin1_csv_and_encoding_report(spark, tmp_path):
     assert got == {"a": "latin-1", "b": "utf-16", "c": "utf-8"}
     assert files.read_csv(spark, str(tmp_path / "a.csv"), encoding="latin-1").first()["n"] == "é"
     assert files.read_csv(spark, str(tmp_path / "a.csv"), encoding="auto").first()["n"] == "é"
-    m = files.file_manifest(spark, str(tmp_path / "c.csv")).first()
+    m = manifest.file_manifest(spark, str(tmp_path / "c.csv")).first()
     assert m["format"] == "csv" and len(m["sha256"]) == 64
 
 
@@ -129,3 +130,33 @@ def test_rowwise_stream(spark, tmp_path):
     q = run_rowwise(stream, lambda d: clinical_flags(d, {"v": {"high": 10}}), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert sorted(r["v_abnormal"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [False, True]
+
+
+def test_manifest_counts_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "CHUNK", 7)
+    texts = {"a.csv": 'x;y\n1;"two\nlines"\r\n\n2;z', "b.jsonl": '{"a": 1, "b": 2}\n{"a": 3}\n', "c.json": '[{"a": 1},\n{"a": 2}]',
+             "d.txt": "one\ntwo", "e.csv": "", "f.tsv": "h1\th2\th3\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = {name: manifest.file_facts(str(tmp_path / name), name[2:]) for name in texts}
+    assert {n: g[1:] for n, g in got.items()} == {
+        "a.csv": (2, 2), "b.jsonl": (2, 2), "c.json": (None, None), "d.txt": (None, None), "e.csv": (0, None), "f.tsv": (0, 3)}
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in manifest.file_manifest(spark, str(tmp_path)).collect()}
+    assert set(rows) == set(texts) - {"e.csv"}  # Spark lists no empty files
+    for name, text in texts.items():
+        if not text:
+            continue
+        assert rows[name]["sha256"] == hashlib.sha256(text.encode()).hexdigest() and rows[name]["bytes"] == len(text.encode())
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Two runs over one checkpoint write every row once; a third one without news writes nothing."""
+    from quarrylens.operators.classify import classify_intent
+
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for part in (0, 1, None):
+        if part is not None:
+            spark.range(part * 50, part * 50 + 50).selectExpr("id", "concat('show me ', id) AS text").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("id bigint, text string").parquet(path)
+        run_rowwise(stream, lambda s: classify_intent(s, "text"), out, mark).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).select("id").collect()) == list(range(100))
