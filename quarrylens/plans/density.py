@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quarrylens.session import cut_lineage
 
 MAX_ROUNDS = 100
+#: Parts of a box along each axis in one step of the branch and bound.
+SPLIT = 4
 
 
 def _cell(features: Sequence[str], side: float) -> Column:
@@ -89,13 +91,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float, min_poi
     linked = around(cells.select("cell", "node", "lo", "hi")).join(
         cells.select(F.col("cell").alias("near"), F.col("node").alias("node2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")),
         "near").where(F.col("node") < F.col("node2"))
-    at = lambda c, i: F.get(c, F.lit(i))
-    gap = F.sqrt(sum((F.pow(F.greatest(at("lo2", i) - at("hi", i), at("lo", i) - at("hi2", i), F.lit(0.0)), F.lit(2))
-                      for i in range(1, dims)),
-                     F.pow(F.greatest(at("lo2", 0) - at("hi", 0), at("lo", 0) - at("hi2", 0), F.lit(0.0)), F.lit(2))))
-    span = F.sqrt(sum((F.pow(F.greatest(at("hi2", i), at("hi", i)) - F.least(at("lo2", i), at("lo", i)), F.lit(2))
-                       for i in range(1, dims)),
-                      F.pow(F.greatest(at("hi2", 0), at("hi", 0)) - F.least(at("lo2", 0), at("lo", 0)), F.lit(2))))
+    gap, span = _box_bounds("lo", "hi", "lo2", "hi2", dims)
     pairs = cut_lineage(linked.select("cell", "near", "node", "node2", "lo", "hi", "lo2", "hi2", gap.alias("gap"),
                                       span.alias("span")).where(F.col("gap") <= eps))
     sure = pairs.where(F.col("span") <= eps)
@@ -112,43 +108,48 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float, min_poi
     return df.join(found.withColumnRenamed("k", key), key, "left").select(*df.columns, "cluster")
 
 
+def _box_bounds(lo: str, hi: str, lo2: str, hi2: str, dims: int) -> tuple[Column, Column]:
+    """Least and greatest possible distance of a point of one box to a point of another."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    near = [F.greatest(at(lo2, i) - at(hi, i), at(lo, i) - at(hi2, i), F.lit(0.0)) for i in range(dims)]
+    far = [F.greatest(at(hi2, i), at(hi, i)) - F.least(at(lo2, i), at(lo, i)) for i in range(dims)]
+    length = lambda parts: F.sqrt(sum((F.pow(v, F.lit(2)) for v in parts[1:]), F.pow(parts[0], F.lit(2))))
+    return length(near), length(far)
+
+
 def _touching(core: DataFrame, pairs: DataFrame, eps: float, dims: int) -> DataFrame:
-    """Cell pairs holding two core points within ``eps``.
+    """Cell pairs holding two core points within ``eps``, by branch and bound.
 
-    Only points that lie within ``eps`` of the other cell's bounding box can decide a
-    pair; both sides are cut into blocks, and a block pair answers with one row at most.
+    The points of both cells fall into the parts of a grid over their box, and of each part only its own box is kept.
+    Two parts whose farthest corners are within ``eps`` decide their pair, which is dropped with all its other parts; parts
+    whose nearest corners are farther apart are dropped.  What is left is cut again.  A part of a
+    single point has one distance, so this ends; no two sets of points are ever multiplied.
     """
-    import numpy as np
-    import pandas as pd
-
-    block = 4096
-    sides = core.select("k", "p", "cell").withColumn("block", F.pmod(F.xxhash64("k"), F.lit(1 << 20)))
-    size = core.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    sided = pairs.select("cell", "near", "node", "node2", "lo", "hi", "lo2", "hi2").join(size.withColumnRenamed("blocks", "ba"), "cell").join(
-        size.select(F.col("cell").alias("near"), F.col("blocks").alias("bb")), "near")
-    sided = sided.withColumn("pair", F.xxhash64("node", "node2"))
-
-    def near_box(lo: str, hi: str) -> Column:
-        off = lambda i: F.pow(F.greatest(F.get(lo, F.lit(i)) - F.get("p", F.lit(i)), F.get("p", F.lit(i)) - F.get(hi, F.lit(i)),
-                                         F.lit(0.0)), F.lit(2))
-        return sum((off(i) for i in range(1, dims)), off(0)) <= eps * eps
-
-    left = sided.join(sides, "cell").where(near_box("lo2", "hi2")).select(
-        "pair", "node", "node2", F.pmod("block", F.col("ba")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("bb") - 1)).alias("j"), "p")
-    right = sided.join(sides.withColumnRenamed("cell", "near"), "near").where(near_box("lo", "hi")).select(
-        F.col("pair").alias("pair_r"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("i_r"),
-        F.pmod("block", F.col("bb")).cast("int").alias("j_r"), F.col("p").alias("p_r"))
-
-    def touch(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"a": [], "b": []})
-        if len(a) and len(b):
-            x, y = np.stack(a["p"].to_numpy()), np.stack(b["p_r"].to_numpy())
-            for row in x:
-                if (((y - row) ** 2).sum(axis=1) <= eps * eps).any():
-                    return pd.DataFrame({"a": [a["node"].iloc[0]], "b": [a["node2"].iloc[0]]})
-        return out
-
-    kind = dict(core.dtypes)["k"]
-    hit = left.groupBy("pair", "i", "j").cogroup(right.groupBy("pair_r", "i_r", "j_r")).applyInPandas(touch, f"a {kind}, b {kind}")
-    return hit.distinct()
+    open_ = pairs.select("node", "node2", F.col("cell").alias("ca"), F.col("near").alias("cb"), F.lit(0).cast("bigint").alias("pa"),
+                         F.lit(0).cast("bigint").alias("pb"))
+    boxes = pairs.select("cell", "lo", "hi").unionAll(pairs.select("near", "lo2", "hi2")).distinct().withColumn("part", F.lit(0).cast("bigint"))
+    asked = boxes.select("cell", "part")
+    points = core.select("cell", "p").distinct().withColumn("part", F.lit(0).cast("bigint"))
+    edges = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).limit(0)
+    at = lambda c, i: F.get(c, F.lit(i))
+    for _ in range(MAX_ROUNDS):
+        if open_.isEmpty():
+            return edges
+        placed = points.join(asked, ["cell", "part"], "left_semi").join(boxes, ["cell", "part"])
+        code = F.array(*[F.when(at("hi", i) > at("lo", i), F.least(F.lit(SPLIT - 1), F.floor(
+            (at("p", i) - at("lo", i)) / (at("hi", i) - at("lo", i)) * SPLIT))).otherwise(0) for i in range(dims)])
+        points = cut_lineage(placed.select("cell", F.col("part").alias("up"), F.xxhash64("part", code).alias("part"), "p"))
+        kids = cut_lineage(points.groupBy("cell", "up", "part").agg(
+            F.array(*[F.min(at("p", i)) for i in range(dims)]).alias("lo"), F.array(*[F.max(at("p", i)) for i in range(dims)]).alias("hi")))
+        gap, span = _box_bounds("lo", "hi", "lo2", "hi2", dims)
+        met = open_.join(kids.toDF("ca", "pa", "ka", "lo", "hi"), ["ca", "pa"]).join(
+            kids.toDF("cb", "pb", "kb", "lo2", "hi2"), ["cb", "pb"]).select("node", "node2", "ca", "cb", "ka", "kb", gap.alias("gap"), span.alias("span"))
+        met = cut_lineage(met.where(F.col("gap") <= eps))
+        sure = cut_lineage(met.where(F.col("span") <= eps).select("node", "node2").distinct())
+        edges = edges.unionAll(sure)
+        open_ = cut_lineage(met.join(sure, ["node", "node2"], "left_anti").select(
+            "node", "node2", "ca", "cb", F.col("ka").alias("pa"), F.col("kb").alias("pb")))
+        boxes = kids.select("cell", "part", "lo", "hi")
+        asked = open_.select(F.col("ca").alias("cell"), F.col("pa").alias("part")).unionAll(open_.select("cb", "pb")).distinct()
+        points = points.drop("up")
+    raise RuntimeError("cell pairs did not settle")

@@ -237,6 +237,18 @@ def _(t):
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("train_gaussian_mixture")
+def _(t):
+    out = L.cluster(_rows(t), ["l_quantity", "l_discount"], "gaussian_mixture", 3)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("train_bisecting_kmeans")
+def _(t):
+    out = L.cluster(_rows(t), ["l_quantity", "l_discount"], "agglomerative", 4)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("clustering_metrics")
 def _(t):
     out = L.cluster(t.customer, ["c_acctbal", "c_nationkey"], "kmeans", 3)
