@@ -47,3 +47,28 @@ def term_statistics(df: DataFrame, key: str, text: str, pattern: str = TERM) ->
     """``(term, df, n)`` of the whole table: documents and occurrences of each term."""
     counted, _ = document_frequencies(df, key, text, pattern)
     return counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
+
+
+# Words of praise and of complaint, and words that turn the next one round.
+POSITIVE = ("amazing", "awesome", "beautiful", "best", "better", "brilliant", "clean", "clear", "easy", "enjoy", "excellent", "fast", "fine",
+            "free", "good", "great", "happy", "helpful", "love", "nice", "perfect", "pleasant", "safe", "simple", "strong", "useful", "well",
+            "win", "wonderful", "worth")
+NEGATIVE = ("angry", "awful", "bad", "boring", "broken", "bug", "cheap", "dirty", "error", "fail", "fake", "hate", "hard", "horrible", "lost",
+            "poor", "problem", "sad", "scam", "sick", "slow", "spam", "stupid", "terrible", "ugly", "useless", "weak", "worse", "worst", "wrong")
+NEGATIONS = ("no", "not", "never", "without")
+
+
+def sentiment(df: DataFrame, text: str, positive=POSITIVE, negative=NEGATIVE, negations=NEGATIONS) -> DataFrame:
+    """Add ``{text}_positive``, ``{text}_negative`` (counts of words of the lists) and ``{text}_sentiment`` in -1 to 1.
+
+    A word right after a negation counts for the other side.  Texts without a word of the lists, and NULL, have 0.
+    """
+    words = terms(text)
+    listed = lambda names: F.array(*[F.lit(w) for w in names])
+    turned = lambda i: (i > 0) & F.array_contains(listed(negations), F.get("_words", i - 1))
+    signs = F.transform("_words", lambda w, i: F.when(F.array_contains(listed(positive), w), F.when(turned(i), -1).otherwise(1)).when(
+        F.array_contains(listed(negative), w), F.when(turned(i), 1).otherwise(-1)).otherwise(0))
+    rows = df.withColumn("_words", words).withColumn("_signs", signs)
+    up, down = F.size(F.filter("_signs", lambda s: s > 0)), F.size(F.filter("_signs", lambda s: s < 0))
+    score = F.when(up + down > 0, (up - down) / (up + down)).otherwise(0.0)
+    return rows.withColumns({f"{text}_positive": up, f"{text}_negative": down, f"{text}_sentiment": score}).drop("_words", "_signs")

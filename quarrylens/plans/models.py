@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.scalars import one_row
 from quarrylens.operators.metrics import classification_metrics, regression_metrics
 from quarrylens.operators.profile import infer_problem_type
 from quarrylens.operators.sampling import fold_ids
@@ -74,12 +75,29 @@ def pipeline(df: DataFrame, features: Sequence[str], label: str, algorithm: str,
     return Pipeline(stages=[*stages, est.setLabelCol(target).setFeaturesCol("features")])
 
 
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """``(label, n, weight)``: rows of each class and the weight that makes all classes count alike; the mean weight is one."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    facts = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))
+    return counts.withColumn("_f", one_row(facts)).select(
+        label, "n", (F.col("_f.rows") / (F.col("_f.classes") * F.col("n"))).alias("weight"))
+
+
 def train(df: DataFrame, features: Sequence[str], label: str, algorithm: str, params: Mapping | None = None,
-          problem: str | None = None) -> PipelineModel:
-    """Fit one algorithm on the rows with a label and complete features."""
+          problem: str | None = None, balanced: bool = False) -> PipelineModel:
+    """Fit one algorithm on the rows with a label and complete features.
+
+    ``balanced`` weighs the rows of each class so that all classes count alike (estimators with a weight column).
+    """
     problem = problem or problem_type(df, label)
     rows = df.select(*features, F.col(label).cast("double" if problem == "regression" else "string").alias(label)).dropna()
-    return pipeline(rows, features, label, algorithm, problem, params).fit(rows)
+    plan = pipeline(rows, features, label, algorithm, problem, params)
+    if balanced:
+        weight = "_weight"
+        plan.getStages()[-1].setWeightCol(weight)
+        weights = class_weights(rows, label).select(F.col(label).alias("_class"), F.col("weight").alias(weight))
+        rows = rows.join(weights, rows[label] == F.col("_class")).drop("_class")
+    return plan.fit(rows)
 
 
 def _labels(model: PipelineModel) -> list[str] | None:

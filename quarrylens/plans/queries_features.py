@@ -291,6 +291,22 @@ def _(t):
     return tidy(B.tfidf_terms(t.documents, "doc_id", "text", min_df=2, max_share=0.5))
 
 
+def _sentiment_sql():
+    listed = lambda names: "[" + ", ".join(f"'{w}'" for w in names) + "]"
+    turned = f"i > 1 AND list_contains({listed(B.NEGATIONS)}, w[i - 1])"
+    sign = f"""CASE WHEN list_contains({listed(B.POSITIVE)}, w[i]) THEN CASE WHEN {turned} THEN -1 ELSE 1 END
+        WHEN list_contains({listed(B.NEGATIVE)}, w[i]) THEN CASE WHEN {turned} THEN 1 ELSE -1 END ELSE 0 END"""
+    return rf"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM conversations),
+      s AS (SELECT conv_id, turn, list_transform(range(1, len(w) + 1), lambda i: {sign}) AS s FROM t),
+      c AS (SELECT conv_id, turn, len(list_filter(s, lambda x: x > 0))::INTEGER AS p, len(list_filter(s, lambda x: x < 0))::INTEGER AS n FROM s)
+    SELECT conv_id, turn, p AS text_positive, n AS text_negative, {r('CASE WHEN p + n > 0 THEN (p - n) * 1.0 / (p + n) ELSE 0 END')} AS text_sentiment FROM c"""
+
+
+@query("sentiment", _sentiment_sql())
+def _(t):
+    return tidy(B.sentiment(t.conversations, "text").select("conv_id", "turn", "text_positive", "text_negative", "text_sentiment"))
+
+
 @query("term_statistics", f"WITH {_TERMS} SELECT term, count(*) AS df, sum(n)::BIGINT AS n FROM terms GROUP BY 1")
 def _(t):
     return B.term_statistics(t.documents, "doc_id", "text")

@@ -237,6 +237,12 @@ def _(t):
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("class_weights", f"""SELECT l_returnflag, count(*) AS n, {r('(SELECT count(*) FROM lineitem) * 1.0 / ((SELECT count(DISTINCT l_returnflag) FROM lineitem) * count(*))')} AS weight
+    FROM lineitem GROUP BY 1""")
+def _(t):
+    return tidy(L.class_weights(t.lineitem, "l_returnflag"))
+
+
 @query("train_gaussian_mixture")
 def _(t):
     out = L.cluster(_rows(t), ["l_quantity", "l_discount"], "gaussian_mixture", 3)

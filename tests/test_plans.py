@@ -89,6 +89,21 @@ def test_cross_validation_and_tuning(table):
     assert best["params"] == '{"regParam": 0.01}'
 
 
+def test_balanced_training_finds_the_rare_class(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    rare = np.arange(n) % 20 == 0
+    x = rng.normal(size=n) + 1.2 * rare
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": rng.normal(size=n), "c": np.where(rare, "rare", "usual")}))
+    found = []
+    for balanced in (False, True):
+        model = L.train(df, ["x", "z"], "c", "logistic_regression", None, "classification", balanced)
+        found.append(L.score(df, model, ["x", "z"], ["c"]).where("c = 'rare' AND prediction = 'rare'").count())
+    assert found[0] < found[1] and found[1] > 15
+    weights = {r["c"]: r["weight"] for r in L.class_weights(df, "c").collect()}
+    assert weights["rare"] == pytest.approx(10) and weights["usual"] == pytest.approx(600 / (2 * 570))
+
+
 def brute_dbscan(p, eps, m):
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) <= eps
     core = d.sum(axis=1) >= m
