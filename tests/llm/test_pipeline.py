@@ -57,3 +57,29 @@ def test_oracle(spark, name):
 
 def test_registered():
     assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def run_on(spark, folder, rows):
+    """The pipeline on some rows of documents and the benchmark of the smallest tables."""
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_unusual_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, null ids: what is kept comes out once or as often as it is taken."""
+    known = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(25).collect()]
+    rows = [tuple(r) for r in known] + [tuple(known[0])] * 3 + [
+        (None, known[1].text + " other words at the end of it", None, None, None), (None, None, None, None, None), (900, "", "en", "x", 0),
+        (901, "12345 !!", "en", "x", 8), (902, known[2].text * 40, "en", None, None)]
+    found = run_on(spark, tmp_path, rows)
+    ids = {i for r in found for i in r.doc_ids}
+    assert ids <= {r[0] for r in rows} and not {900, 901} & ids and len(ids) > 5
+    assert sorted(r.slot for r in found) == list(range(len(found)))
+
+
+def test_no_rows(spark, tmp_path):
+    assert run_on(spark, tmp_path, []) == []
