@@ -130,7 +130,7 @@ def _peak(table, column, curve, bend):
     score = f"-ln(var_pop({curve})) / 2 + (any_value(lam) - 1) * avg({bend})"
     return f"""SELECT max(l) AS l FROM (
         WITH v AS MATERIALIZED (SELECT {column}::DOUBLE AS x FROM {table} WHERE {column} IS NOT NULL),
-        c AS (SELECT lam, {score} AS l FROM v, (SELECT unnest(range(-20, 21)) / 4.0 + 1e-9 AS lam) GROUP BY lam),
+        c AS (SELECT lam, {score} AS l FROM v, (SELECT unnest(range(-8, 9)) / 4.0 + 1e-9 AS lam) GROUP BY lam),
         b AS (SELECT arg_max(lam, l) AS top FROM c),
         f AS (SELECT top + unnest(range(-200, 201)) / 800.0 AS lam FROM b)
         SELECT {score} AS l FROM v, f GROUP BY lam)"""
