@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quarrylens.operators import bootstrap as S
@@ -15,6 +16,7 @@ from quarrylens.plans import models as L
 from quarrylens.plans.auto import auto_pipeline
 from quarrylens.plans.queries_domain import _RANKED, _SCORED, scored
 from quarrylens.plans.registry import query, r, tidy
+from quarrylens.session import cut_lineage
 
 # ---- metrics ---------------------------------------------------------------------------
 
@@ -197,10 +199,14 @@ def _rows(t):
 
 
 def _held_out(t, label, algorithm, problem):
-    """Metrics on a fifth of the rows that the fit has not seen."""
-    cut = train_test_split(_rows(t), "row", stratify=label if problem == "classification" else None)
-    model = L.train(cut.where("split = 'train'"), _F, label, algorithm, problem=problem)
-    return tidy(L.evaluate(L.score(cut.where("split = 'test'"), model, _F), label, problem), 3)
+    """Metrics on a fifth of the rows that the fit has not seen; split rows wait on disk, memory is left to the fit."""
+    cut = train_test_split(_rows(t), "row", stratify=label if problem == "classification" else None).select(
+        *_F, label, "split").persist(StorageLevel.DISK_ONLY)
+    try:
+        model = L.train(cut.where("split = 'train'"), _F, label, algorithm, problem=problem)
+        return tidy(cut_lineage(L.evaluate(L.score(cut.where("split = 'test'"), model, _F), label, problem)), 3)
+    finally:
+        cut.unpersist()
 
 
 def _register_training():

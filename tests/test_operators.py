@@ -102,6 +102,23 @@ def test_box_cox_and_yeo_johnson_lambda(spark):
     assert abs(scale.yeo_johnson_lambda(y, "x") - 1) < 0.1
 
 
+def test_splits_are_cut_by_hash_order_without_a_shuffle_by_class(spark):
+    """Quotas end at the right row, with null and repeated keys and classes; reading the split moves no rows."""
+    rows = [(i if i % 11 else None, "abc"[i % 3] if i % 7 else None) for i in range(1000)] + [(5, "c")] * 30
+    df = spark.createDataFrame(rows, "id int, c string")
+    split = sampling.train_test_split(df, "id", 0.3, "c")
+    assert "Exchange hashpartitioning" not in split._jdf.queryExecution().executedPlan().toString()
+    hashed = [(r["c"], r["h"], r["id"] if r["id"] is not None else -1) for r in df.select("c", "id", F.xxhash64(F.lit(42), "id").alias("h")).collect()]
+    want = 0
+    for c in (None, "a", "b", "c"):
+        mine = sorted((h, i) for k, h, i in hashed if k == c)
+        want += sum(x <= mine[int(len(mine) * 0.3 + 0.5) - 1] for x in mine)
+    assert split.where("split = 'test'").count() == want and split.count() == len(rows)
+    plain = spark.range(500).select(F.col("id").cast("int").alias("id"))
+    ranks = {i: n for n, (_, i) in enumerate(sorted((r["h"], r["id"]) for r in plain.select("id", F.xxhash64(F.lit(42), "id").alias("h")).collect()))}
+    assert all(r["fold"] == ranks[r["id"]] % 3 for r in sampling.fold_ids(plain, "id", 3).collect())
+
+
 def test_impute_knn_small(spark):
     df = spark.createDataFrame([(1, 1.0, 10.0), (2, 2.0, 20.0), (3, 2.1, None), (4, 9.0, 90.0)], "id int, a double, b double")
     got = {r["id"]: r["b"] for r in impute.impute_knn(df, ["a", "b"], ["b"], key="id", k=2).collect()}
