@@ -191,3 +191,11 @@ COMPARED = sorted({*SAMPLE, *sorted(n for n in entry.oracle_sql() if not re.matc
 def test_query_equals_sql(spark, name):
     ok, note = compare(spark, connect(SMALL), name, SMALL)
     assert ok, note
+
+
+def test_tune_cuts_the_folds_once(spark, monkeypatch):
+    calls, cut = [], L.fold_ids
+    monkeypatch.setattr(L, "fold_ids", lambda *a, **k: calls.append(1) or cut(*a, **k))
+    df = spark.range(90).selectExpr("id", "id * 1.0 AS x", "id * 2.0 + id % 3 AS y")
+    out = L.tune(df, ["x"], "y", "ridge", {"regParam": [0.1, 1.0]}, "id", problem="regression").collect()
+    assert len(calls) == 1 and len(out) == 2 and all(r["score"] > 0.99 for r in out)
