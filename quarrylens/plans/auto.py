@@ -102,6 +102,7 @@ def learn_preparation(train: DataFrame, target: str, key: str, problem: str, one
     def prepare(df: DataFrame) -> DataFrame:
         out = df
         for c, table in tables.items():
+            table = F.broadcast(table) if sizes[c]["k"] <= target_limit else table  # few categories: a shuffle by them is lopsided
             out = out.join(table, out[c] == table["_k"], "left").withColumns({
                 name: F.coalesce(F.col("_v")[i], F.lit(unseen[c][i])) for i, name in enumerate(encoded[c])}).drop("_k", "_v")
         cols = [F.col(key), F.col(target)]
