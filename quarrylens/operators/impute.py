@@ -62,8 +62,9 @@ def impute_knn(df: DataFrame, columns: Sequence[str], targets: Sequence[str] | N
     for c in targets or columns:
         at = columns.index(c)
         gaps = points.where(F.get("_v", F.lit(at)).isNull())
-        donors = points.where(F.get("_v", F.lit(at)).isNotNull()).select(
-            F.col(key).alias("_donor"), "_v", F.get("_v", F.lit(at)).alias("_known"))
+        others = F.array(*[F.lit(None).cast("double") if i == at else F.get("_v", F.lit(i)) for i in range(len(columns))])
+        donors = points.where(F.get("_v", F.lit(at)).isNotNull()).select(  # no gap knows the coordinate that is filled
+            F.col(key).alias("_donor"), others.alias("_v"), F.get("_v", F.lit(at)).alias("_known"))
         found = nearest(gaps, donors, query_key=key, item_key="_donor", vector="_v", k=k,
                         metric="nan_euclidean", payload=["_known"])
         guess = found.groupBy(key).agg(F.avg("_known").alias("_guess"))

@@ -4,6 +4,8 @@ One aggregation over the items gives their leading axes.  A signature is a vecto
 bits that its spread deserves, with the exact distance between the vector and its cut form.  So the distance of a query to a
 signature bounds that to the vector from both sides.  A scan over blocks of signatures keeps the pairs that can be among the
 nearest, and only these are measured on the vectors themselves.
+
+Vectors of few coordinates lie in cells of space instead: a query meets only the cells whose box can hold one of its nearest.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ BITS, MOST_BITS, WIDTH = 6, 8, 3.5
 #: Rows of a block of queries and of signatures; bounds held at once in a task.
 QUERY_BLOCK, ITEM_BLOCK, BOUNDS = 2_000, 100_000, 4_000_000
 
+#: Vectors of at most so many coordinates are searched by cells; items of a cell, most cells, sampled items that place one.
+LOW_DIMENSIONS, CELL_ITEMS, MOST_CELLS, CELL_SAMPLE = 4, 2_000, 2_048, 32
+
 
 def _matrix(series: pd.Series) -> np.ndarray:
     try:
@@ -216,6 +221,152 @@ def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, k: int, metric
     return open_.withColumn("_reach", within).where("_low <= _reach").select("_q", "_i")
 
 
+class Cells:
+    """Parts of space, from halving a sample of the items at the median of its widest coordinate.
+
+    Items that lack different coordinates lie in different cells, so that a box bounds the distances to all its items.
+    """
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        known = ~np.isnan(sample)
+        self.centre = np.array([np.median(c[m]) if m.any() else 0.0 for c, m in zip(sample.T, known.T)])
+        self.axis, self.cut, todo = np.full(4 * cells, -1), np.zeros(4 * cells), [(0, self._filled(sample), cells)]
+        while todo:
+            node, x, n = todo.pop()
+            if n < 2 or len(x) < 2:
+                continue
+            axis = int(np.argmax(x.max(0) - x.min(0)))
+            c = x[:, axis]
+            below = c[c < c.max()]
+            if not len(below):
+                continue
+            self.axis[node], self.cut[node] = axis, min(np.median(c), below.max())
+            left = c <= self.cut[node]
+            todo += [(2 * node + 1, x[left], n // 2), (2 * node + 2, x[~left], n // 2)]
+
+    def _filled(self, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), self.centre, x)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each item."""
+        known, x, node = ~np.isnan(x), self._filled(x), np.zeros(len(x), dtype=np.int64)
+        while True:
+            inner = np.flatnonzero(self.axis[node] >= 0)
+            if not len(inner):
+                break
+            at = node[inner]
+            node[inner] = 2 * at + 2 - (x[inner, self.axis[at]] <= self.cut[at])
+        return node * 2 ** known.shape[1] + known @ (1 << np.arange(known.shape[1]))
+
+
+def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance of each query to the items in each box (NaN: no item has the coordinate)."""
+    near, far, both = (np.zeros((len(q), len(low))) for _ in range(3))
+    for i in range(q.shape[1]):
+        under, over = low[:, i] - q[:, i, None], q[:, i, None] - high[:, i]
+        shared = ~np.isnan(under)
+        both += shared
+        near += np.where(shared, np.maximum(np.maximum(under, over), 0.0) ** 2, 0.0)
+        far += np.where(shared, np.maximum(np.abs(under), np.abs(over)) ** 2, 0.0)
+    if metric == "nan_euclidean":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near, far = (np.where(both > 0, b * q.shape[1] / both, np.inf) for b in (near, far))
+    return np.sqrt(near) * (1 - 1e-9), np.sqrt(far) * (1 + 1e-9)
+
+
+def _block_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """As ``pair_distances``, of each query to each item."""
+    total, both = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
+    for i in range(q.shape[1]):
+        gap = (q[:, i, None] - x[:, i]) ** 2
+        shared = ~np.isnan(gap)
+        total += np.where(shared, gap, 0.0)
+        both += shared
+    if metric == "nan_euclidean":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = np.where(both > 0, total * q.shape[1] / both, np.inf)
+    return np.sqrt(total)
+
+
+def _nearest_by_cells(q_side: DataFrame, i_side: DataFrame, item_key: str, vector: str, width: int, k: int, metric: str,
+                      differ_on: str | None, apart: tuple[str, str] | None) -> DataFrame | None:
+    """``_q, _i, distance``: the ``k`` nearest items of each query in each cell that can hold one of its nearest."""
+    extra = list(dict.fromkeys(([differ_on] if differ_on else []) + ([apart[0]] if apart else [])))
+    first = W.partitionBy(vector, *extra).orderBy(item_key)  # of equal items only the k smallest keys can be among the nearest
+    items = cut_lineage(i_side.select("_i", item_key, vector, *extra).withColumn("_r", F.row_number().over(first)).where(
+        F.col("_r") <= k).drop("_r"))
+    n = items.count()
+    if not n:
+        return None
+    wanted = max(1, min(MOST_CELLS, n // CELL_ITEMS))
+    share = max(1, n // (wanted * CELL_SAMPLE))
+    sample = items.where(F.pmod(F.xxhash64("_i"), F.lit(share)) == 0).select(vector).toPandas()[vector]
+    cells = Cells(_matrix(sample) if len(sample) else np.zeros((0, width)), wanted)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(_cell=cells.of(_matrix(batch[vector])) if len(batch) else np.zeros(0, dtype=np.int64))
+
+    placed = items.mapInPandas(place, T.StructType([*items.schema.fields, T.StructField("_cell", T.LongType())]))
+
+    def describe(rows: pd.DataFrame) -> pd.DataFrame:
+        x, least, most, same = _matrix(rows[vector]), np.nan, np.nan, 0
+        if differ_on:
+            same = int(rows[differ_on].value_counts(dropna=False).iloc[0])
+        if apart:
+            p = np.sort(rows[apart[0]].dropna().to_numpy(dtype=float))
+            least, most = (p[k - 1], p[-k]) if len(p) >= k else (np.nan, np.nan)
+        return pd.DataFrame({"_cell": rows["_cell"].iloc[:1], "low": [x.min(0).tolist()], "high": [x.max(0).tolist()],
+                             "others": [len(x) - same], "least": [least], "most": [most]})
+
+    boxes = placed.groupBy("_cell").applyInPandas(
+        describe, "_cell bigint, low array<double>, high array<double>, others bigint, least double, most double").toPandas()
+    low, high, names = _matrix(boxes["low"]), _matrix(boxes["high"]), boxes["_cell"].to_numpy()
+    others, least, most = (boxes[c].to_numpy(dtype=float) for c in ("others", "least", "most"))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), max(1, BOUNDS // len(names))):
+                some = batch.iloc[at:at + max(1, BOUNDS // len(names))]
+                near, far = box_bounds(_matrix(some[vector]), low, high, metric)
+                enough = np.broadcast_to(others >= k, near.shape)
+                if apart:
+                    p, margin = (some[c].to_numpy(dtype=float)[:, None] for c in apart)
+                    slack = 1e-9 * (np.abs(p) + np.abs(margin) + 1)
+                    enough = np.where(np.isnan(p + margin), enough, (least < p - margin - slack) | (most > p + margin + slack))
+                limit = np.where(enough, far, np.inf).min(axis=1, keepdims=True)
+                meets = (near <= limit) & np.isfinite(near)
+                yield some.assign(_cells=[names[m].tolist() for m in meets])
+
+    asked = q_side.mapInPandas(reach, T.StructType([*q_side.schema.fields, T.StructField("_cells", T.ArrayType(T.LongType()))]))
+
+    def scan(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_q": np.zeros(0, np.int64), "_i": np.zeros(0, np.int64), "distance": np.zeros(0)})]
+        if not len(queries) or not len(items):
+            return out[0]
+        items = items.iloc[np.argsort(pd.factorize(items[item_key], sort=True)[0], kind="stable")]
+        x, ids, at_once = _matrix(items[vector]), items["_i"].to_numpy(), max(1, BOUNDS // len(items))
+        for at in range(0, len(queries), at_once):
+            some = queries.iloc[at:at + at_once]
+            d = _block_distances(_matrix(some[vector]), x, metric)
+            if differ_on:
+                d = np.where(some[differ_on].to_numpy()[:, None] == items[differ_on].to_numpy()[None, :], np.inf, d)
+            if apart:
+                gap = np.abs(some[apart[0]].to_numpy()[:, None] - items[apart[0]].to_numpy()[None, :])
+                d = np.where(gap <= some[apart[1]].to_numpy()[:, None], np.inf, d)
+            within = np.partition(d, k - 1, axis=1)[:, k - 1] if len(items) >= k else np.full(len(some), np.inf)
+            who, what = np.nonzero((d <= within[:, None]) & np.isfinite(d))
+            order = np.lexsort((what, d[who, what], who))  # ties by the item key
+            who, what = who[order], what[order]
+            kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+            who, what = who[kept], what[kept]
+            out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who], "_i": ids[what], "distance": d[who, what]}))
+        return pd.concat(out, ignore_index=True)
+
+    left = asked.withColumn("_cell", F.explode("_cells")).drop("_cells")
+    return left.groupBy("_cell").cogroup(placed.groupBy("_cell")).applyInPandas(scan, "_q bigint, _i bigint, distance double")
+
+
 def _sides(queries: DataFrame, items: DataFrame, vector: str, q_cols: Sequence[str], i_cols: Sequence[str], metric: str):
     """Rows that can have a distance, each with a number of its own."""
     whole = F.lit(True) if metric == "nan_euclidean" else F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c))
@@ -242,9 +393,16 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
     schema = ", ".join([
         f"{query_key} {dict(queries.dtypes)[query_key]}", f"{item_key} {types[item_key]}",
         *[f"{p} {types[p]}" for p in payload], "distance double"])
+    none = _ranked(queries.sparkSession.createDataFrame([], schema), query_key, item_key, k)
+    width = i_side.agg(F.max(F.size(vector)).alias("n")).first()["n"]
+    if width is not None and 0 < width <= LOW_DIMENSIONS and metric != "cosine":
+        met = _nearest_by_cells(q_side, i_side, item_key, vector, width, k, metric, differ_on, apart)
+        return none if met is None else _ranked(met.join(q_side.select("_q", query_key), "_q").join(
+            i_side.select("_i", item_key, *payload), "_i").select("_q", query_key, item_key, "distance", *payload),
+            query_key, item_key, k).drop("_q")
     open_ = candidates(q_side, i_side, vector, k, metric, differ_on, apart)
     if open_ is None:
-        return _ranked(queries.sparkSession.createDataFrame([], schema), query_key, item_key, k)
+        return none
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

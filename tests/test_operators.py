@@ -151,6 +151,32 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, metric):
             assert np.allclose([c for _, _, c in sorted(got)], [c for _, _, c in want], atol=1e-7)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "nan_euclidean"])
+def test_few_coordinates_are_searched_by_cells(spark, monkeypatch, metric):
+    """A query meets few cells and loses no neighbour: repeated vectors, null classes, margins and gaps."""
+    monkeypatch.setattr(neighbors, "CELL_ITEMS", 10)
+    monkeypatch.setattr(neighbors, "CELL_SAMPLE", 4)
+    monkeypatch.setattr(neighbors, "candidates", None)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 2)), 2)
+    x[50:90] = x[3]
+    if metric == "nan_euclidean":
+        x[rng.random(x.shape) < 0.2] = np.nan
+    g = [None if i % 17 == 0 else float(i // 100) for i in range(400)]
+    rows = [(399 - i, [None if np.isnan(v) else float(v) for v in r], g[i], 0.5) for i, r in enumerate(x)]
+    items = spark.createDataFrame(rows, "id int, v array<double>, g double, m double")
+    queries = items.withColumnRenamed("id", "q")
+    d = np.stack([neighbors.pair_distances(np.repeat(x[i:i + 1], 400, 0), x, metric) for i in range(400)])
+    alike = lambda a, b: a is not None and b is not None and a == b
+    for how in ({}, {"differ_on": "g"}, {"apart": ("g", "m")}):
+        found = neighbors.nearest(queries, items, query_key="q", item_key="id", vector="v", k=3, metric=metric, **how).collect()
+        want = [(399 - i, rank + 1, round(far, 9), key) for i in range(400) for rank, (far, key) in enumerate(sorted(
+            (float(d[i, j]), 399 - j) for j in range(400) if np.isfinite(d[i, j]) and not (how and alike(g[i], g[j])))[:3])]
+        assert sorted((r["q"], r["rank"], round(r["distance"], 9), r["id"]) for r in found) == sorted(want)
+    cells = neighbors.Cells(x, 32)
+    assert len(set(cells.of(x))) > 12 and np.bincount(cells.of(x)).max() < 60
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine", "nan_euclidean"])
 def test_signatures_bound_distances(metric):
     rng = np.random.default_rng(8)
