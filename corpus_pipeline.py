@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm import decontaminate, language_id, mixing, simhash, token_shards
-from quarrylens.llm.common import stash
+from quarrylens.llm.common import discard, stash
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: near fingerprints first, then shingles, each link checked on the texts."""
     return simhash.one_of_each(docs)
 
 
@@ -44,5 +44,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        docs = stash(made, name)
+        discard(*getattr(made, "stashes", []))
     return STAGES[-1][1](spark, docs, sf_dir)

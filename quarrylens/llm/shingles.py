@@ -1,7 +1,7 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact.  All shingles have one global order, the common ones last.  Sets with similarity 0.8 share a shingle
-among the first fifth of each (prefix filter), and from where the first shared one stands the rest must still be long enough
+The join is exact.  All shingles have one global order, the common ones last; all texts tell how common a shingle is, in a
+table of counts by hash.  Sets with similarity 0.8 share a shingle among the first fifth of each (prefix filter), and from where the first shared one stands the rest must still be long enough
 (position filter).  Rows of one shingle stand next to each other in a sorted stream and carry the counts of their sets in
 ``BUCKETS`` buckets, which bound what two sets share; only pairs that pass all three leave the task.  They are
 compared shingle by shingle, on their texts.
@@ -18,15 +18,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import add_column, discard, stash
+from quarrylens.llm.common import add_column, discard, slices, stash
 
 #: Words of a shingle, seed of the hash of a word.
 WIDTH, SEED = 5, 42
-#: About so many texts tell which shingles are common, from so many of them on.  This decides the order, not the result.
-ORDER_TEXTS, COMMON = 2048, 4
+#: Bits of the slot in which a shingle is counted, slots of a block.  This decides the order, not the result.
+SLOT_BITS, BLOCK = 22, 1 << 16
 #: Rounds of stars before the pairs left are compared.
 STARS = 3
 #: Buckets in which the shingles of a set are counted (in a byte each, 255 is any number from there on).
@@ -61,41 +62,72 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * both >= 4 * (len(a) + len(b))
 
 
-def _common(docs: DataFrame, text) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of the sampled texts hold, and how many do; texts are drawn by hash."""
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
-    drawn = min(1.0, ORDER_TEXTS / max(1, docs.count()))
-    few = rows.where(F.shiftrightunsigned("h", 11) * F.lit(2.0 ** -53) < F.lit(float(drawn))).groupBy("h").agg(
-        F.min("text").alias("text"))
+def _slots(own: np.ndarray) -> np.ndarray:
+    """The slot of each shingle, from its leading bits."""
+    return (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def split(stream):
-        for batch in stream:
-            for part in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(part).view(np.int64))], names=["key"])
 
-    found = few.select("text").mapInArrow(split, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON).collect()
-    keys = np.array([k for k, _ in found], np.int64).view(np.uint64)
-    counts = np.array([n for _, n in found], np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+def _slot_counts(stream):
+    """How many texts of a task hold a shingle of each slot, in packed blocks."""
+    counts, seen = np.zeros(1 << SLOT_BITS, np.uint32), False
+    for batch in stream:
+        for part in slices(batch, 0, 1):
+            found = [_slots(shingles(text)) for text in part.column(0).to_pylist()]
+            np.add.at(counts, np.concatenate(found), np.uint32(1))
+            seen = True
+    if seen:
+        packer = zstandard.ZstdCompressor(level=1)
+        for at in range(0, len(counts), BLOCK):
+            part = counts[at:at + BLOCK]
+            if part.any():  # all low bytes come first, the next ones are mostly zero
+                body = packer.compress(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([body], pa.binary())],
+                                                 names=["block", "body"])
+
+
+def _levels(stream):
+    """From the sorted counts of all tasks, a byte for each slot of a block that grows with the logarithm of their sum."""
+    at, total = None, None
+
+    def done():
+        level = np.minimum(np.rint(8 * np.log2(total + 1.0)), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()], pa.binary())],
+                                          names=["block", "body"])
+
+    for batch in stream:
+        for block, body in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1)
+            if block != at:
+                if at is not None:
+                    yield done()
+                at, total = block, np.zeros(BLOCK, np.int64)
+            total += np.ascontiguousarray(counts.T).view("<u4").ravel()
+    if at is not None:
+        yield done()
+
+
+def _commonness(docs: DataFrame, text) -> np.ndarray:
+    """For each slot, a byte that tells in how many of all texts its shingles are."""
+    counted = docs.select(text.alias("text")).mapInArrow(_slot_counts, "block int, body binary")
+    found = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_levels, "block int, body binary")
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    for block, body in found.toLocalIterator():
+        out[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(bytes(body), np.uint8)
+    return out
 
 
 def with_prefix(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``struct<node, n, keys>``: name and size of the set of shingles, and the first fifth of it."""
     text = F.col(text_col).cast("binary")
-    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text))
+    sent = docs.sparkSession.sparkContext.broadcast(_commonness(docs, text))
 
     def make():
-        common, counts = sent.value
+        common = sent.value
 
         def one(part):
             own = shingles(part)
             n = len(own)
-            rank = np.zeros(n, np.int64)
-            if len(common) and n:
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                rank = np.where(common[at] == own, counts[at], 0)
-            first = own[np.argsort(rank, kind="stable")[:n - (4 * n + 4) // 5 + 1]]
+            first = own[np.argsort(common.take(_slots(own)), kind="stable")[:n - (4 * n + 4) // 5 + 1]]
             node = np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0]
             sizes = np.minimum(np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
             return {"node": int(node), "n": n, "keys": first.tobytes(), "sizes": sizes.tobytes()}
@@ -232,20 +264,45 @@ def _compared(stream):
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
-def shingle_links(prefixes: DataFrame, texts, components) -> DataFrame | None:
-    """``node, root`` of all nodes with a similar other one; null where no shingle of a prefix is shared.
+def similar_pairs(pairs: DataFrame, sets: int, texts) -> list[DataFrame]:
+    """The pairs ``a, b`` of nodes whose texts are similar, in parts.
+
+    A pair moves two texts; so many pairs are compared at once that no more than a part of the texts of all ``sets`` is on the move.
+    """
+    said = stash(texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
+    n = -(-pairs.count() * PART // max(1, sets)) or 1
+    similar = []
+    for part in range(n):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == part)
+        similar.append(stash(some.join(said.toDF("b", "text_b"), "b").join(said.toDF("a", "text_a"), "a").select(
+            "a", "b", "text_a", "text_b").mapInArrow(_compared, "a bigint, b bigint"), "similar"))
+    discard(said)
+    return similar
+
+
+def shingle_links(prefixes: DataFrame, texts, components, linked: list[DataFrame]) -> DataFrame | None:
+    """``node, root`` of all nodes with a similar other one; null where there are none.
 
     ``prefixes``: one row ``node, n, keys, sizes`` per set; ``texts(nodes)`` gives ``node, text`` of some nodes; ``components``
-    turns links ``a, b`` into ``node, root``.
+    turns links ``a, b`` into ``node, root``; ``linked``: stashed links between similar sets that are known already.
     """
+    found = list(linked)
+
+    def connected() -> DataFrame:
+        links = found[0]
+        for more in found[1:]:
+            links = links.union(more)
+        return components(links)
+
+    roots = None if all(f.isEmpty() for f in found) else connected()
     posted = prefixes.select("node", "n", "keys").mapInArrow(_postings, "key bigint, node bigint, n int, pos int")
     shared = stash(posted.repartition("key").sortWithinPartitions("key").mapInArrow(
         _shared, "key bigint, node bigint, n int, pos int"), "shared")
     if shared.isEmpty():
-        return None
+        discard(shared, *found)
+        return roots
     sets = prefixes.count()
     sizes = stash(prefixes.select("node", "sizes").join(shared.select("node").distinct(), "node", "left_semi"), "sizes")
-    roots, found = None, []
     for turn in range(STARS + 1):
         known = sizes.withColumn("root", F.col("node"))
         if roots is not None:
@@ -254,20 +311,10 @@ def shingle_links(prefixes: DataFrame, texts, components) -> DataFrame | None:
         rows = shared.join(known, "node").select("key", "node", "n", "pos", "root", "sizes")
         pairs = stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(
             _candidates(turn), "a bigint, b bigint").distinct(), "pairs")
-        said = stash(texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
-        # A pair moves two texts; so many pairs at once that no more than a part of the corpus is on the move.
-        n = -(-pairs.count() * PART // sets) or 1
-        similar = []
-        for part in range(n):
-            some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == part)
-            similar.append(stash(some.join(said.toDF("b", "text_b"), "b").join(said.toDF("a", "text_a"), "a").select(
-                "a", "b", "text_a", "text_b").mapInArrow(_compared, "a bigint, b bigint"), "similar"))
+        similar = similar_pairs(pairs, sets, texts)
         found += similar
-        discard(pairs, said)
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
+        discard(pairs)
         if not all(f.isEmpty() for f in similar):
-            roots = components(links)
+            roots = connected()
     discard(shared, sizes, *found)
     return roots

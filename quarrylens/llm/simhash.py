@@ -249,18 +249,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _verified_links(prints: DataFrame, texts) -> list[DataFrame]:
+    """Stashed links between the nodes of ``prints`` (``node, fp``) with near fingerprints whose texts are similar.
+
+    One node stands for its fingerprint; the others with the same one are compared with it.
+    """
+    named = stash(prints.groupBy("fp").agg(F.min("node").alias("node")), "named")
+    side = lambda end: named.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}"))
+    near = fingerprint_links(named).join(side("a"), "a").join(side("b"), "b").select("node_a", "node_b")
+    same = prints.join(named.withColumnRenamed("node", "first"), "fp").where("node <> first").select("first", "node")
+    pairs = stash(near.union(same).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "near")
+    similar = shingles.similar_pairs(pairs, prints.count(), texts)
+    discard(named, pairs)
+    return similar
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each connected set of near copies, with the columns of ``docs``.
 
-    Near copies have a Jaccard similarity of 0.8 or more of their five-word shingles, compared exactly; the fingerprints and
-    the 4 bits of ``near_duplicates`` have no part in it.  The row with the smallest id stays (null last), then the smallest hash
-    of the text, then one of equal rows.  Sets with equal or null ids stay apart.
+    Near copies have a Jaccard similarity of 0.8 or more of their five-word shingles, compared exactly.  The links of near
+    fingerprints, as in ``near_duplicates``, come first; each is checked on its texts.  Similar texts whose fingerprints are
+    further apart than its bits meet by their shingles then.  The row with the smallest id stays (null last), then the smallest
+    hash of the text, then one of equal rows.  Sets with equal or null ids stay apart.
+
+    The attribute ``stashes`` of the result lists the tables that it reads and that can go when it is written.
     """
-    made, number = fresh_name(docs.columns, "_shingles"), fresh_name(docs.columns, "_number")
-    marked = stash(shingles.with_prefix(docs, made, text_col).withColumn(number, F.monotonically_increasing_id()), "marked")
+    made, number, fp = (fresh_name(docs.columns, name) for name in ("_shingles", "_number", "_print"))
+    printed = with_fingerprint(shingles.with_prefix(docs, made, text_col), fp, text_col)
+    marked = stash(printed.withColumn(number, F.monotonically_increasing_id()), "marked")
     rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
                     F.col(number).alias("number"))
-    firsts = stash(marked.groupBy(F.col(f"{made}.node").alias("node")).agg(F.min(rank).alias("first")), "firsts")
+    firsts = stash(marked.groupBy(F.col(f"{made}.node").alias("node")).agg(
+        F.min(rank).alias("first"), F.min_by(F.col(fp), rank).alias("fp")), "firsts")
     single = firsts.select(F.col("first.number").alias(number))
     prefixes = marked.select(number, f"{made}.*").join(single, number, "left_semi")
 
@@ -268,10 +288,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         asked = firsts.join(nodes, "node", "left_semi").select("node", F.col("first.number").alias(number))
         return marked.select(number, F.col(text_col).cast("binary").alias("text")).join(asked, number).select("node", "text")
 
-    roots = shingles.shingle_links(prefixes, texts, components)
+    roots = shingles.shingle_links(prefixes, texts, components, _verified_links(firsts.select("node", "fp"), texts))
     kept = firsts.select("first")
     if roots is not None:
         old = roots.select(F.col("node").alias("_node"), "root")
         kept = firsts.join(old, firsts["node"] == old["_node"], "left").groupBy(F.coalesce("root", "node")).agg(
             F.min("first").alias("first"))
-    return marked.join(kept.select(F.col("first.number").alias(number)), number, "left_semi").select(*docs.columns)
+    out = marked.join(kept.select(F.col("first.number").alias(number)), number, "left_semi").select(*docs.columns)
+    out.stashes = [marked, firsts]
+    return out

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (
-    context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, pii, simhash, token_shards)
+    context_mixing, decontaminate, exact_dedup, language_id, licenses, mixing, pii, shingles, simhash, token_shards)
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, _found string, kept int, fp string, "
           "size int, bucket string")
@@ -166,6 +166,32 @@ def test_one_of_each_keeps_sets_with_equal_ids_apart(spark):
         (3, "end12"), (7, "end13"), (7, "end14"), (None, ""), (None, "end11")]
 
 
+def test_one_of_each_takes_its_links_from_fingerprints_first(spark, monkeypatch):
+    """Near fingerprints give links that are checked on the texts; the shingle join gets them and finds the others."""
+    words = [f"w{i}" for i in range(400)]
+    other = list(words)
+    other[200] = "new"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, long_text(15, 60)), (4, "one two three"), (5, "one  two three")]
+    given, join = [], shingles.shingle_links
+
+    def spied(prefixes, texts, components, linked):
+        given.extend(tuple(r) for part in linked for r in part.collect())
+        return join(prefixes, texts, components, linked)
+
+    monkeypatch.setattr(shingles, "shingle_links", spied)
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints: spark.createDataFrame(  # all pairs, near or not
+        [(a, b) for a in sorted(r.fp for r in prints.collect()) for b in sorted(r.fp for r in prints.collect()) if a < b], "a bigint, b bigint"))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 4] and len(given) == 1
+
+
+def test_all_texts_tell_how_common_a_shingle_is(spark):
+    rows = [(f"a{i} b c d e",) for i in range(3000)] + [("one common line here now",)] * 7
+    table = shingles._commonness(spark.createDataFrame(rows, "text string").repartition(3), F.col("text").cast("binary"))
+    own = shingles.shingles(b"one common line here now")
+    assert table[shingles._slots(own)[0]] == round(8 * np.log2(8)) and (table > 0).sum() > 2990
+
+
 def test_golay_indices_meet_within_two_bits():
     rng = np.random.default_rng(0)
     flips = [0] + [1 << i for i in range(23)] + [1 << i | 1 << j for i in range(23) for j in range(i)]
