@@ -8,10 +8,12 @@ last table, indexed by decision and predicted probability, refines the outcome.
 those of the class of the text, add up to the log probability of the text; it is a proper code, so the sum over all texts is
 at most one.
 
-Training is distributed: each task counts its documents into its own tables, tables are summed slot by slot in blocks, and
-only the log odds, one byte per slot, are sent back; their size is fixed by ``TABLES``.  The weights and the last table are
-refined online over a bounded sample of training documents (``SAMPLE``) that the tables have not counted.  Scoring changes
-nothing, so a score depends on no order, partitioning or retry.
+Training is distributed and takes every training document: each task counts its documents into its own tables, tables are
+summed slot by slot in blocks, and only two bytes per slot, the coded counts of 0 and 1, are sent back; their size is fixed by
+``TABLES``.  A second pass over all training documents sums the slopes and curvatures of the weights and fills the last table;
+a decision there is predicted by counts that leave out the word in its own document.  The weights take one Newton step on
+these sums.  Where the step starts is found online on a few documents (``SAMPLE``).  Scoring changes nothing, so a score depends
+on no order, partitioning or retry.
 
 The plain score next to it is a smoothed word frequency.  Each chunk of documents asks for the frequencies of its distinct
 words, buckets of words answer all chunks, so neither the vocabulary nor the corpus is ever in one place.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarrylens.llm.common import held, held_out, slices, stash
+from quarrylens.llm.common import discard, held, held_out, slices, stash
 
 #: Bits of the slot number of each context: two bytes before and the class of the text, three bytes and the class, four
 #: bytes, the word so far and the class of the text, the word so far and the class of the word before.
@@ -44,7 +46,7 @@ TABLES = (18, 20, 20, 22, 22)
 CLASSES = 16
 #: Slots that are summed together; the tables of ``2**FAN_BITS`` tasks meet in one sum.
 BLOCK, FAN_BITS = 1 << 15, 6
-#: Documents that fit weights: about so many of the training rows, at most a tenth of them.
+#: About so many training rows give the weights from which the step on all rows starts.
 SAMPLE = 600
 #: Bytes of a chunk of documents; bytes that go through the model at once.
 CHUNK, PIECE = 16_000_000, 40_000
@@ -54,6 +56,10 @@ SCALE = 16.0
 #: table counts for.
 STEP, PASSES, RATE, PRIOR = 4096, 4, 0.05, 100.0
 _END, _PAD = 10, 4
+#: How often a word stands in its document, rounded up, is what its counts are lowered by.
+LEVELS = np.array([1, 2, *[1 + (1 << k) for k in range(1, 17)], 1 << 20, 1 << 40])
+#: Counts below ``EXACT`` are their own code, larger ones are coded in steps of a tenth.
+EXACT, _OCTAVE = 64, 191 / 26
 _LOG10_2 = math.log10(2.0)
 
 
@@ -140,6 +146,10 @@ class Decisions:
                 (three | four << np.uint32(24)) * np.uint32(0xC2B2AE35), word ^ group * np.uint32(0x27D4EB2F),
                 word * np.uint32(0x165667B1) ^ before.astype(np.uint32) * np.uint32(0x2C1B3C6D)]
 
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the words for all their decisions."""
+        return np.repeat(values, np.diff(np.append(self.word_start, len(self.bit))))
+
     def slots(self):
         """The slot numbers of one context after the other."""
         key = self.node * np.uint32(0x9E3779B1)
@@ -166,7 +176,7 @@ def count_tables(code: Code, entries: Entries, times: np.ndarray, tables: list[n
     group, before, times = entries.group[used], entries.before[used], times[used]
     for a, b in pieces(words):
         found = Decisions(code, words[a:b], group[a:b], before[a:b])
-        each = np.repeat(times[a:b], np.diff(np.append(found.word_start, len(found.bit)))).astype(np.uint32)
+        each = found.spread(times[a:b]).astype(np.uint32)
         for table, slot in zip(tables, found.slots()):
             slot <<= 1
             slot |= found.bit
@@ -212,6 +222,45 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(SCALE * np.log(pairs[:, 1] / pairs[:, 0]), -127, 127)).astype(np.int8)
 
 
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each."""
+    more = EXACT + np.rint(np.log2(np.maximum(counts, EXACT) / EXACT) * _OCTAVE)
+    return np.where(counts < EXACT, counts, np.minimum(more, 255)).astype(np.uint8)
+
+
+def _pairs() -> np.ndarray:
+    """The counts of 0 and 1 that each pair of codes (the second in the high byte) stands for."""
+    code = np.arange(256)
+    value = np.where(code < EXACT, code, np.rint(EXACT * 2.0 ** ((code - EXACT) / _OCTAVE)))
+    return np.stack([np.tile(value, 256), np.repeat(value, 256)], 1)
+
+
+@lru_cache(maxsize=1)
+def coded_odds() -> np.ndarray:
+    """Log odds of each pair of codes."""
+    return log_odds(_pairs())
+
+
+@lru_cache(maxsize=1)
+def left_out_odds() -> np.ndarray:
+    """Log odds of each pair of codes without a document, by level of the repeats in it and by the bit that followed."""
+    out = []
+    for many in LEVELS:
+        for bit in (0, 1):
+            pairs = _pairs()
+            pairs[:, bit] = np.maximum(pairs[:, bit] - many, 0)
+            out.append(log_odds(pairs))
+    return np.concatenate(out)
+
+
+def own_levels(ids: list[np.ndarray]) -> np.ndarray:
+    """For each word of the texts, the level of its repeats in its text."""
+    flat = np.concatenate(ids).astype(np.int64)
+    owner = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+    place, _ = pd.factorize(flat * len(ids) + owner)
+    return np.searchsorted(LEVELS, np.bincount(place))[place]
+
+
 _BUCKETS = 33
 
 
@@ -219,17 +268,39 @@ def _chance(mixed: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(mixed, -15, 15)))
 
 
+class Sums:
+    """What all training documents say about a model: slopes and curvatures of its weights, and its last table."""
+
+    def __init__(self, inputs: int):
+        self.slope, self.curve = np.zeros((32, inputs)), np.zeros((32, inputs, inputs))
+        self.seen, self.ones = np.zeros(256 * _BUCKETS), np.zeros(256 * _BUCKETS)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.slope, self.curve, self.seen, self.ones)])
+
+    def fill(self, values: np.ndarray) -> None:
+        at = 0
+        for x in (self.slope, self.curve, self.seen, self.ones):
+            x.ravel()[:] = values[at:at + x.size]
+            at += x.size
+
+
 class Model:
-    """Log odds per context, gated weights, and the last table."""
+    """Log odds per context, gated weights, and the last table; ``codes``: the coded counts behind the log odds."""
 
-    def __init__(self, code: Code, odds: list[np.ndarray]):
-        self.code, self.odds = code, odds
-        self.weights = np.full((32, len(odds) + 1), 0.3, np.float32)
+    def __init__(self, code: Code, odds: list[np.ndarray], codes: list[np.ndarray] | None = None):
+        self.code, self.odds, self.codes = code, odds, codes
+        self.weights = np.full((32, len(TABLES) + 1), 0.3, np.float32)
         self.weights[:, -1] = 0.0
         self.refined = np.repeat(1 / (1 + np.exp(-np.linspace(-8, 8, _BUCKETS, dtype=np.float32)))[None], 256, 0)
 
-    def _inputs(self, found: Decisions):
-        odds = [table.take(slot) for table, slot in zip(self.odds, found.slots())]
+    def _inputs(self, found: Decisions, level: np.ndarray | None = None):
+        """Log odds and gate of each decision; with a ``level`` they leave out the document that the decision is of."""
+        if level is None:
+            odds = [table.take(slot) for table, slot in zip(self.odds, found.slots())]
+        else:
+            known, at = left_out_odds(), level.astype(np.int32) << 17 | found.bit.astype(np.int32) << 16
+            odds = [known.take(codes.take(slot) | at) for codes, slot in zip(self.codes, found.slots())]
         gate = (odds[2] != 0).view(np.uint8) | (odds[3] != 0).view(np.uint8) << 1 | (odds[4] != 0).view(np.uint8) << 2
         gate |= found.depth << 3
         return [o.astype(np.float32) for o in odds], gate.astype(np.int64)
@@ -259,8 +330,8 @@ class Model:
         one *= np.float32(0.5)
         return one
 
-    def learn(self, entries: Entries) -> None:
-        """Refine weights and last table online over the words of the texts, in steps of blocks in a fixed random order.
+    def start(self, entries: Entries, levels: np.ndarray) -> None:
+        """Weights from some texts, online, in steps of blocks in a fixed random order.
 
         Steps shrink with the squares of the gradients so far, and the weights are averaged over all steps.
         """
@@ -271,16 +342,17 @@ class Model:
         steps = []
         for a, b in pieces(words, 20_000):
             found = Decisions(self.code, words[a:b], group[a:b], before[a:b])
-            odds, gate = self._inputs(found)
-            inputs = np.stack([o / np.float32(SCALE) for o in odds] + [np.ones(len(gate), np.float32)])
+            odds, gate = self._inputs(found, found.spread(levels[a:b]))
+            kept = np.stack(odds).astype(np.int8)
             for at in range(0, len(gate), STEP):
                 part = slice(at, at + STEP)
-                steps.append((inputs[:, part], gate[part], found.bit[part], found.node[part]))
+                steps.append((kept[:, part], gate[part].astype(np.uint8), found.bit[part]))
         order = np.random.default_rng(0)
         squares, mean, n = np.full(self.weights.shape, 1e-3), np.zeros(self.weights.shape), 0
         for turn in range(PASSES):
             for i in order.permutation(len(steps)):
-                inputs, gate, bit, _ = steps[i]
+                odds, gate, bit = steps[i]
+                inputs = np.concatenate([odds / np.float32(SCALE), np.ones((1, len(gate)), np.float32)])
                 error = bit - _chance((self.weights[gate].T * inputs).sum(0))
                 many = np.maximum(1, np.bincount(gate, minlength=32))
                 slope = np.stack([np.bincount(gate, error * x, 32) for x in inputs], 1) / many[:, None]
@@ -291,14 +363,37 @@ class Model:
                     n += 1
         if n:
             self.weights = (mean / n).astype(np.float32)
-        flat, weight = self.refined.reshape(-1), np.full(self.refined.size, PRIOR)
-        for i in order.permutation(len(steps)):
-            inputs, gate, bit, node = steps[i]
-            mixed = (self.weights[gate].T * inputs).sum(0)
-            cell = node * np.int64(_BUCKETS) + np.rint(np.clip(mixed, -8, 8) * 2 + 16).astype(np.int64)
-            seen = np.bincount(cell, minlength=len(flat))
-            weight += seen
-            flat += (np.bincount(cell, bit, len(flat)) - seen * flat) / weight
+
+    def add(self, sums: Sums, entries: Entries, levels: np.ndarray) -> None:
+        """Add what the words of some training texts say; equal words of equal context and level count as one, so many times."""
+        place, key = pd.factorize(entries.place.astype(np.int64) * len(LEVELS) + levels)
+        times, entry, level = np.bincount(place, minlength=len(key)), key // len(LEVELS), key % len(LEVELS)
+        words = [entries.words[i] for i in entries.word[entry]]
+        group, before = entries.group[entry], entries.before[entry]
+        for a, b in pieces(words):
+            found = Decisions(self.code, words[a:b], group[a:b], before[a:b])
+            odds, gate = self._inputs(found, found.spread(level[a:b]))
+            many = found.spread(times[a:b]).astype(np.float64)
+            mixed = self._mixed(odds, gate)
+            cell = found.node * np.int64(_BUCKETS) + np.rint(np.clip(mixed, -8, 8) * 2 + 16).astype(np.int64)
+            sums.seen += np.bincount(cell, many, len(sums.seen))
+            sums.ones += np.bincount(cell, many * found.bit, len(sums.ones))
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            chance, many = _chance(mixed.take(order)).astype(np.float64), many.take(order)
+            error, curve = (found.bit.take(order) - chance) * many, chance * (1 - chance) * many
+            inputs = np.stack([o.take(order) / SCALE for o in odds] + [np.ones(len(order))])
+            ends = np.searchsorted(gate.take(order), np.arange(33))
+            for g in np.flatnonzero(np.diff(ends)):
+                part = slice(ends[g], ends[g + 1])
+                x = inputs[:, part]
+                sums.slope[g] += x @ error[part]
+                sums.curve[g] += (x * curve[part]) @ x.T
+
+    def step(self, sums: Sums) -> None:
+        """One Newton step of the weights, and the last table, from the sums over all training texts."""
+        curve = sums.curve + PRIOR * np.eye(sums.curve.shape[-1])
+        self.weights = (self.weights + np.linalg.solve(curve, sums.slope[..., None])[..., 0]).astype(np.float32)
+        self.refined = ((PRIOR * self.refined.ravel() + sums.ones) / (PRIOR + sums.seen)).astype(np.float32).reshape(256, _BUCKETS)
 
     def bits(self, entries: Entries) -> np.ndarray:
         """Bits of each entry."""
@@ -314,13 +409,36 @@ class Model:
         return out
 
 
-def _byte_counts(stream):
-    total = np.zeros(256, np.int64)
+#: Distinct words that a task counts before it passes them on.
+_HELD_WORDS = 200_000
+
+
+def _symbol_counts(stream):
+    """Words and how often they occur; bytes, as the texts are coded, without a word."""
+    seen, total = Counter(), np.zeros(256, np.int64)
+
+    def batch_of(words, symbols, n):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(symbols, pa.int32()), pa.array(n, pa.int64())],
+                                          names=["word", "byte", "n"])
+
+    def done():
+        words, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+        each = np.repeat(n, np.fromiter(map(len, words), np.int64, len(words)))
+        if words:
+            total[:] += np.bincount(np.frombuffer(b"".join(words), np.uint8), each, 256).astype(np.int64)
+        total[32] += n.sum()
+        seen.clear()
+        return batch_of(words, [None] * len(words), n)
+
     for batch in stream:
-        for text in batch.column(0).to_pylist():
-            coded = b" ".join([*_words(normalised(text))])
-            total += np.bincount(np.frombuffer(coded, np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+        for part in slices(batch, 0, 1):
+            for text in part.column(0).to_pylist():
+                seen.update(normalised(text).split())
+            total[_END] += part.num_rows
+            if len(seen) > _HELD_WORDS:
+                yield done()
+    yield done()
+    yield batch_of([None] * 256, list(range(256)), total)
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -339,28 +457,6 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def common_words(texts: list[bytes]) -> dict[bytes, int]:
-    """Classes of the most frequent words; ties go to the smaller word."""
-    seen = Counter()
-    for text in texts:
-        seen.update(text.split())
-    ranked = sorted(seen, key=lambda w: (-seen[w], w))[:CLASSES - 2]
-    return {w: i + 1 for i, w in enumerate(ranked)}
-
-
-def _class_counts(common: dict[bytes, int]):
-    """Training texts by class, as :class:`Entries` finds it."""
-    def run(stream):
-        total = np.zeros(CLASSES, np.int64)
-        for batch in stream:
-            for text in batch.column(0).to_pylist():
-                own = [common[w] for w in normalised(text).split(b" ") if w in common]
-                total[np.bincount(own, minlength=CLASSES).argmax() if own else 0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], names=["kind", "n"])
-
-    return run
-
-
 def class_bits(counts: np.ndarray) -> np.ndarray:
     """Bits that name the class of a text, from smoothed training frequencies."""
     return -np.log2((counts + 1) / (counts.sum() + CLASSES))
@@ -410,20 +506,19 @@ def _rows(id_type: pa.DataType, kind: int, chunk: int, bucket, body, more, ids=N
 
 
 def _gather(code: Code, common: dict, buckets: int, id_type: pa.DataType):
-    """Per task: its documents in chunks (kind 0), what each chunk asks (1), and the task's tables (2).
+    """Per task: its documents in chunks (kind 0), what each chunk asks (1), the task's tables (2) and its texts by class (3).
 
     Documents travel as compressed pieces of about 4 MB of text: ids, flags, joined texts and their sizes.
     """
-    def close(chunk, ids, learns, samples, numbers, tables):
-        """The asks of a chunk; its training documents are added to the tables."""
+    def close(chunk, ids, learns, numbers, tables, classes):
+        """The asks of a chunk; its training documents are added to the tables and to the classes of texts."""
         learns = np.array(learns)
-        counted = learns & ~np.array(samples)
         entries = Entries(numbers, common, ids)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        times = np.bincount(entries.place[np.repeat(counted, sizes)], minlength=len(entries.word))
-        count_tables(code, entries, times, tables)
-        flat = entries.word[entries.place[np.repeat(learns, sizes)]]
-        learnt = np.bincount(flat, minlength=len(numbers))
+        known = entries.place[np.repeat(learns, sizes)]
+        count_tables(code, entries, np.bincount(known, minlength=len(entries.word)), tables)
+        classes += np.bincount(entries.text_class[learns], minlength=CLASSES)
+        learnt = np.bincount(entries.word[known], minlength=len(numbers))
         hashes, order, first = _by_bucket(numbers, buckets)
         learnt = learnt[order]
         full = np.flatnonzero(np.diff(first))
@@ -432,23 +527,24 @@ def _gather(code: Code, common: dict, buckets: int, id_type: pa.DataType):
 
     def run(stream):
         tables = [np.zeros(2 << bits, np.uint32) for bits in TABLES]
-        chunk, size, state, any_row = TaskContext.get().partitionId() << 24, 0, ([], [], [], Numbers()), False
-        for batch in (part for whole in stream for part in slices(whole, 3, 1)):
-            docs, held, sampled = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            made = [normalised(t) for t in batch.column(3).to_pylist()]
-            ids, learns, samples, numbers = state
+        classes = np.zeros(CLASSES, np.int64)
+        chunk, size, state, any_row = TaskContext.get().partitionId() << 24, 0, ([], [], Numbers()), False
+        for batch in (part for whole in stream for part in slices(whole, 2, 1)):
+            docs, held = (batch.column(i).to_pylist() for i in (0, 1))
+            made = [normalised(t) for t in batch.column(2).to_pylist()]
+            ids, learns, numbers = state
             ids += [numbers.of(t) for t in made]
             learns += [not h for h in held]
-            samples += sampled
             lengths = np.array([len(t) for t in made], np.int64)
             yield _rows(id_type, 0, chunk, [0], [_pack(b"".join(made))], [_planes(lengths)], [docs], [held])
             any_row, size = True, size + int(lengths.sum()) + 8 * len(made)
             if size > CHUNK:
-                yield close(chunk, *state, tables)
-                chunk, size, state = chunk + 1, 0, ([], [], [], Numbers())
+                yield close(chunk, *state, tables, classes)
+                chunk, size, state = chunk + 1, 0, ([], [], Numbers())
         if size:
-            yield close(chunk, *state, tables)
+            yield close(chunk, *state, tables, classes)
         if any_row:
+            yield _rows(id_type, 3, chunk, [0], [classes.tobytes()], [None])
             number, blobs = 0, []
             for table in tables:
                 for at in range(0, len(table), 2 * BLOCK):
@@ -462,12 +558,12 @@ def _gather(code: Code, common: dict, buckets: int, id_type: pa.DataType):
 
 
 def _summed(last: bool):
-    """Sums of counts per (block of slots, group of tasks), at the last level their log odds; one sum is held at a time."""
+    """Sums of counts per (block of slots, group of tasks), at the last level coded; one sum is held at a time."""
     def run(stream):
         current, total = None, None
 
         def done():
-            body = log_odds(total).tobytes() if last else _planes(total)
+            body = coded(total).tobytes() if last else _planes(total)
             return pa.RecordBatch.from_arrays([pa.array([current[1]], pa.int64()), pa.array([current[0]], pa.int32()),
                                                pa.array([body], pa.binary())], names=["chunk", "bucket", "body"])
 
@@ -486,7 +582,7 @@ def _summed(last: bool):
 
 
 def _table_sums(tables: DataFrame) -> DataFrame:
-    """Log odds per block of slots from the tables of all tasks, summed by ``2**FAN_BITS`` tasks at a time, level by level."""
+    """Coded counts per block of slots from the tables of all tasks, summed by ``2**FAN_BITS`` tasks at a time, level by level."""
     last = tables.agg(F.max("chunk")).first()[0] or 0
     while True:
         tables = tables.withColumn("chunk", F.shiftright("chunk", FAN_BITS))
@@ -519,10 +615,7 @@ def _score(sent, common: dict, classes: np.ndarray, buckets: int, tokens: int, k
     norm = math.log10(tokens + 0.5 * (kinds + 1))
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, numbers = [], Numbers()
-        for body, sizes in zip(docs["body"].to_pylist(), docs["more"].to_pylist()):
-            joined, ends = _unpack(body), np.cumsum(_from_planes(sizes)).tolist()
-            texts += [joined[x:y] for x, y in zip([0, *ends], ends)]
+        texts, numbers = [t for part in _texts(docs["body"].to_pylist(), docs["more"].to_pylist()) for t in part], Numbers()
         ids = [numbers.of(t) for t in texts]
         counts = np.zeros(len(numbers), np.int64)
         if len(counts):
@@ -542,12 +635,49 @@ def _score(sent, common: dict, classes: np.ndarray, buckets: int, tokens: int, k
     return run
 
 
+def _texts(bodies, sizes):
+    """The texts of some rows of kind 0, row by row."""
+    for body, size in zip(bodies, sizes):
+        joined, ends = _unpack(body), np.cumsum(_from_planes(size)).tolist()
+        yield [joined[x:y] for x, y in zip([0, *ends], ends)]
+
+
+def _whole_sums(sent, common: dict):
+    """Task: the sums of its training documents, one row per number."""
+    def run(stream):
+        model, sums = _model(sent), Sums(len(TABLES) + 1)
+        ids, numbers, size = [], Numbers(), 0
+
+        def close():
+            model.add(sums, Entries(numbers, common, ids), own_levels(ids))
+
+        for batch in stream:
+            held, bodies, sizes = (batch.column(i).to_pylist() for i in range(3))
+            for out, texts in zip(held, _texts(bodies, sizes)):
+                learnt = [t for h, t in zip(out, texts) if not h]
+                ids += [numbers.of(t) for t in learnt]
+                size += sum(map(len, learnt))
+                if size > CHUNK:
+                    close()
+                    ids, numbers, size = [], Numbers(), 0
+        if ids:
+            close()
+        flat = sums.flat()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
+
+    return run
+
+
 def _model(sent) -> Model:
     """The broadcast model, unpacked once per Python worker."""
-    name, counts, odds, weights, refined = sent.value
+    name, counts, tables, weights, refined = sent.value
 
     def make() -> Model:
-        model = Model(Code(counts), [np.frombuffer(o, np.int8) for o in odds])
+        if refined is None:  # coded counts, to learn
+            model = Model(Code(counts), [], [np.frombuffer(t, "<u2") for t in tables])
+            model.weights = weights
+            return model
+        model = Model(Code(counts), [np.frombuffer(t, np.int8) for t in tables])
         model.weights, model.refined = weights, refined
         return model
 
@@ -567,40 +697,53 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.withColumn("held_out", held_out("doc_id", folds))
     learnt = rows.where(~F.col("held_out"))
+    symbols = stash(learnt.select("text").mapInArrow(_symbol_counts, "word binary, byte int, n bigint").groupBy("word", "byte").agg(
+        F.sum("n").alias("n")), "symbols")
     counts = np.zeros(256, np.int64)
-    for byte, n in learnt.select("text").mapInArrow(_byte_counts, "byte bigint, n bigint").groupBy("byte").agg(
-            F.sum("n")).collect():
+    for byte, n in symbols.where("word is null").select("byte", "n").collect():
         counts[byte] = n
-    drawn = min(0.1, sample / max(1, counts[_END]))
-    sampled = ~F.col("held_out") & (share < F.lit(float(drawn)))
-    chosen = rows.where(sampled).select(share.alias("h"), "text").distinct().orderBy("h").collect()
+    top = symbols.where("word is not null").orderBy(F.desc("n"), "word").limit(CLASSES - 2).collect()
+    common, code = {bytes(r["word"]): i + 1 for i, r in enumerate(top)}, Code(counts)
+    discard(symbols)
+    drawn = sample / max(1, counts[_END])
+    chosen = rows.where(~F.col("held_out") & (share < F.lit(float(drawn)))).select(share.alias("h"), "text").distinct().orderBy("h").collect()
     chosen = [normalised(bytes(t) if t is not None else None) for _, t in chosen]
-    common, code = common_words(chosen), Code(counts)
-    classes = np.zeros(CLASSES, np.int64)
-    for kind, n in learnt.select("text").mapInArrow(_class_counts(common), "kind bigint, n bigint").groupBy("kind").agg(
-            F.sum("n")).collect():
-        classes[kind] = n
     width = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_kind = rows.schema["doc_id"].dataType
     id_type = id_kind.simpleString()
-    gathered = stash(rows.select("doc_id", "held_out", sampled.alias("sampled"), "text").mapInArrow(
+    gathered = stash(rows.select("doc_id", "held_out", "text").mapInArrow(
         _gather(code, common, width, to_arrow_type(id_kind)), _ROW.format(id_type)), "gathered", "kind")
-    tables = [np.zeros(1 << bits, np.int8) for bits in TABLES]
+    classes = np.zeros(CLASSES, np.int64)
+    for (body,) in gathered.where("kind = 3").select("body").collect():
+        classes += np.frombuffer(bytes(body), np.int64)
+    codes = [np.zeros(1 << bits, np.uint16) for bits in TABLES]
     first = np.cumsum([0, *[max(1, (1 << bits) // BLOCK) for bits in TABLES]])
     for _, bucket, body in _table_sums(gathered.where("kind = 2").select("chunk", "bucket", "body")).collect():
         table = int(np.searchsorted(first, bucket, "right")) - 1
         at = (bucket - first[table]) * BLOCK
-        tables[table][at:at + BLOCK] = np.frombuffer(bytes(body), np.int8)
-    model, numbers = Model(code, tables), Numbers()
+        codes[table][at:at + BLOCK] = np.frombuffer(bytes(body), "<u2")
+    model, numbers = Model(code, [], codes), Numbers()
     ids = [numbers.of(t) for t in chosen]
-    model.learn(Entries(numbers, common, ids))
+    if ids:
+        model.start(Entries(numbers, common, ids), own_levels(ids))
+    texts = gathered.where("kind = 0")
+    # workers keep a model by its name; an address may be used again
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, counts, [t.tobytes() for t in codes], model.weights, None))
+    sums = Sums(len(TABLES) + 1)
+    whole = texts.select("held_out", "body", "more").mapInArrow(_whole_sums(sent, common), "i bigint, v double")
+    found = whole.groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sent.destroy()
+    values = np.zeros(len(sums.flat()))
+    for i, v in found:
+        values[i] = v
+    sums.fill(values)
+    model.step(sums)
     answers = stash(gathered.where("kind = 1").select("chunk", "bucket", "body", "more").groupBy("bucket").applyInArrow(
         _answers, "chunk bigint, bucket int, body binary, tokens bigint, kinds bigint"), "answers")
     tokens, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    name = uuid.uuid4().hex  # workers keep a model by its name; an address may be used again
-    sent = spark.sparkContext.broadcast((name, counts, [t.tobytes() for t in tables], model.weights, model.refined))
-    texts = gathered.where("kind = 0").select("chunk", "doc_ids", "held_out", "body", "more")
-    return texts.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "body").groupBy("chunk")).applyInArrow(
+    odds = [coded_odds().take(t).tobytes() for t in codes]
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, counts, odds, model.weights, model.refined))
+    return texts.select("chunk", "doc_ids", "held_out", "body", "more").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "body").groupBy("chunk")).applyInArrow(
         _score(sent, common, class_bits(classes), width, tokens, kinds),
         f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
         "score double, bits_per_byte double")

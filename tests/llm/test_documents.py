@@ -572,6 +572,37 @@ def test_scores_beat_word_frequencies(spark):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
+def test_all_training_texts_make_the_model(spark, monkeypatch):
+    """Where the weights start matters little: classes, counts, weights and last table come from every training row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen, step = [], context_mixing.Model.step
+
+    def spied(self, sums):
+        start = self.weights.copy()
+        step(self, sums)
+        seen.append((start, self.weights, sums.seen.sum()))
+
+    monkeypatch.setattr(context_mixing.Model, "step", spied)
+    totals = [context_mixing.text_scores(docs, sample=n).agg(F.sum("score")).first()[0] for n in (100, 600)]
+    assert abs(totals[0] - totals[1]) < 0.02 * abs(totals[1])
+    learnt = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    words = sum(len((t or "").encode().lower().split()) for t in learnt)
+    assert seen[0][2] == seen[1][2] > 8 * words
+    assert not np.allclose(seen[1][0], seen[1][1])
+
+
+def test_counts_without_the_own_document():
+    codes = context_mixing.coded(np.arange(100))
+    assert (codes[:64] == np.arange(64)).all() and (np.diff(codes.astype(int)) >= 0).all()
+    table = context_mixing.left_out_odds().reshape(len(context_mixing.LEVELS), 2, 256, 256)
+    for level, many in enumerate((1, 2, 3, 5)):
+        want = context_mixing.log_odds(np.array([[7 - many, 3], [7, max(0, 3 - many)]], float))
+        assert table[level, 0, 3, 7] == want[0] and table[level, 1, 3, 7] == want[1]
+    assert table[0, 1, 1, 0] == 0  # seen in this document alone
+    ids = [np.array([0, 1, 0, 2, 0, 0]), np.array([0, 2])]
+    assert context_mixing.own_levels(ids).tolist() == [3, 0, 3, 0, 3, 3, 0, 0]
+
+
 # token shards ---------------------------------------------------------------------------------------------------
 
 def test_permutation():
