@@ -199,3 +199,20 @@ def test_tune_cuts_the_folds_once(spark, monkeypatch):
     df = spark.range(90).selectExpr("id", "id * 1.0 AS x", "id * 2.0 + id % 3 AS y")
     out = L.tune(df, ["x"], "y", "ridge", {"regParam": [0.1, 1.0]}, "id", problem="regression").collect()
     assert len(calls) == 1 and len(out) == 2 and all(r["score"] > 0.99 for r in out)
+
+
+def test_fits_that_keep_blocks_get_no_second_copy(spark, monkeypatch):
+    """Nothing is stored beside the blocks of the fit; trees still read split rows from disk."""
+    from quarrylens.plans import models, queries_models, registry
+
+    seen, train = [], models.train
+
+    def spied(df, *args, **kwargs):
+        seen.append(spark._jsparkSession.sharedState().cacheManager().isEmpty())
+        return train(df, *args, **kwargs)
+
+    monkeypatch.setattr(queries_models.L, "train", spied)
+    spark.catalog.clearCache()
+    for name in ("logistic_regression", "decision_tree"):
+        assert registry.QUERIES[f"train_classification_{name}"](spark, "/root/testdata/sf0.001").count() == 1
+    assert seen == [True, False]
