@@ -13,6 +13,7 @@ sets meet, so the connected sets are those of all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -286,20 +287,20 @@ def shingle_links(prefixes: DataFrame, texts, components, linked: list[DataFrame
     ``prefixes``: one row ``node, n, keys, sizes`` per set; ``texts(nodes)`` gives ``node, text`` of some nodes; ``components``
     turns links ``a, b`` into ``node, root``; ``linked``: stashed links between similar sets that are known already.
     """
-    found = list(linked)
-
-    def connected() -> DataFrame:
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
-        return components(links)
-
-    roots = None if all(f.isEmpty() for f in found) else connected()
+    def connected(roots: DataFrame | None, links: list[DataFrame]) -> DataFrame | None:
+        """The sets that the new links make of those so far, which count as one link from each node to its root."""
+        if all(some.isEmpty() for some in links):
+            return roots
+        stars = [] if roots is None else [roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))]
+        return components(reduce(DataFrame.union, [*stars, *links]))
+
+    roots = connected(None, linked)
+    discard(*linked)
     posted = prefixes.select("node", "n", "keys").mapInArrow(_postings, "key bigint, node bigint, n int, pos int")
     shared = stash(posted.repartition("key").sortWithinPartitions("key").mapInArrow(
         _shared, "key bigint, node bigint, n int, pos int"), "shared")
     if shared.isEmpty():
-        discard(shared, *found)
+        discard(shared)
         return roots
     sets = prefixes.count()
     sizes = stash(prefixes.select("node", "sizes").join(shared.select("node").distinct(), "node", "left_semi"), "sizes")
@@ -312,9 +313,7 @@ def shingle_links(prefixes: DataFrame, texts, components, linked: list[DataFrame
         pairs = stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(
             _candidates(turn), "a bigint, b bigint").distinct(), "pairs")
         similar = similar_pairs(pairs, sets, texts)
-        found += similar
-        discard(pairs)
-        if not all(f.isEmpty() for f in similar):
-            roots = connected()
-    discard(shared, sizes, *found)
+        roots = connected(roots, similar)
+        discard(pairs, *similar)
+    discard(shared, sizes)
     return roots

@@ -12,7 +12,7 @@ star of links per connected set, not its pairs.  Labels then spread over the lin
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -32,6 +32,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Up to so many rows under a key are compared by shifted arrays; more are searched from one row to the next.
 SMALL = 8
+#: Rounds in which a node is compared with one of the nodes near it, before the pairs that are left.
+TURNS = 2
 
 
 def fingerprints(texts: list[bytes | None]) -> list[int]:
@@ -252,15 +254,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _verified_links(prints: DataFrame, texts) -> list[DataFrame]:
     """Stashed links between the nodes of ``prints`` (``node, fp``) with near fingerprints whose texts are similar.
 
-    One node stands for its fingerprint; the others with the same one are compared with it.
+    One node stands for its fingerprint; the others with the same one are compared with it.  For ``TURNS`` rounds each node
+    is compared with one near it, and pairs that are connected by then are not compared; all pairs left are.
     """
     named = stash(prints.groupBy("fp").agg(F.min("node").alias("node")), "named")
     side = lambda end: named.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}"))
     near = fingerprint_links(named).join(side("a"), "a").join(side("b"), "b").select("node_a", "node_b")
     same = prints.join(named.withColumnRenamed("node", "first"), "fp").where("node <> first").select("first", "node")
     pairs = stash(near.union(same).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "near")
-    similar = shingles.similar_pairs(pairs, prints.count(), texts)
-    discard(named, pairs)
+    discard(named)
+    sets, similar = prints.count(), []
+    for turn in range(TURNS):
+        one = stash(pairs.groupBy("b").agg(F.min_by("a", F.xxhash64(F.lit(turn), "a", "b")).alias("a")).select("a", "b"), "near")
+        similar += shingles.similar_pairs(one, sets, texts)
+        rest = pairs.join(one, ["a", "b"], "left_anti")
+        if not all(some.isEmpty() for some in similar):
+            roots = components(reduce(DataFrame.union, similar))
+            root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
+                F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        rest = stash(rest, "near")
+        discard(pairs, one)
+        pairs = rest
+    similar += shingles.similar_pairs(pairs, sets, texts)
+    discard(pairs)
     return similar
 
 

@@ -185,6 +185,31 @@ def test_one_of_each_takes_its_links_from_fingerprints_first(spark, monkeypatch)
     assert sorted(r.doc_id for r in got) == [1, 3, 4] and len(given) == 1
 
 
+def test_one_of_each_spreads_labels_over_one_link_per_node(spark, monkeypatch):
+    """A group of near copies has many links; those found count as one per node in the next round, and few are looked for."""
+    words, rows, spread, compared = [f"w{i}" for i in range(400)], [], [], []
+    for k in range(60):
+        own = list(words)
+        own[5 * k] = f"new{k}"
+        rows.append((k, " ".join(own)))
+    spread_labels, compare = simhash.components, shingles.similar_pairs
+
+    def spied(links):
+        spread.append(links.count())
+        return spread_labels(links)
+
+    def counted(pairs, sets, texts):
+        compared.append(pairs.count())
+        return compare(pairs, sets, texts)
+
+    monkeypatch.setattr(simhash, "components", spied)
+    monkeypatch.setattr(shingles, "similar_pairs", counted)
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints: spark.createDataFrame(  # all pairs are near
+        [(a, b) for a in sorted(r.fp for r in prints.collect()) for b in sorted(r.fp for r in prints.collect()) if a < b], "a bigint, b bigint"))
+    assert [r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
+    assert max(spread) <= 3 * 59 and sum(compared) <= 3 * 59
+
+
 def test_all_texts_tell_how_common_a_shingle_is(spark):
     rows = [(f"a{i} b c d e",) for i in range(3000)] + [("one common line here now",)] * 7
     table = shingles._commonness(spark.createDataFrame(rows, "text string").repartition(3), F.col("text").cast("binary"))
