@@ -3,13 +3,15 @@
 One aggregation over the items gives their leading axes.  A signature is a vector in these axes, each coordinate cut to the few
 bits that its spread deserves, with the exact distance between the vector and its cut form.  So the distance of a query to a
 signature bounds that to the vector from both sides.  A scan over blocks of signatures keeps the pairs that can be among the
-nearest, and only these are measured on the vectors themselves.
+nearest, and only these are measured on the vectors themselves, in the same task; a block passes on ``k`` rows per query.
 
-Vectors of few coordinates lie in cells of space instead: a query meets only the cells whose box can hold one of its nearest.
+Vectors of few coordinates lie in cells of space instead: a query meets only the cells whose box can hold one of its nearest, and
+in a cell only such blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,10 +26,12 @@ from quarrylens.session import cut_lineage
 #: Bits per coordinate on average and at most; half the width of a grid in standard deviations.
 BITS, MOST_BITS, WIDTH = 6, 8, 3.5
 #: Rows of a block of queries and of signatures; bounds held at once in a task.
-QUERY_BLOCK, ITEM_BLOCK, BOUNDS = 2_000, 100_000, 4_000_000
+QUERY_BLOCK, ITEM_BLOCK, BOUNDS = 10_000, 50_000, 4_000_000
 
 #: Vectors of at most so many coordinates are searched by cells; items of a cell, most cells, sampled items that place one.
 LOW_DIMENSIONS, CELL_ITEMS, MOST_CELLS, CELL_SAMPLE = 4, 2_000, 2_048, 32
+#: Queries of a cell, if it keeps as many items as a block; items of a block, a part of a cell with a box of its own.
+CELL_QUERIES, BLOCK_ITEMS = 10_000, 64
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -169,39 +173,58 @@ def signatures_of(items: DataFrame, vector: str, metric: str) -> tuple[Signature
     return Signatures(metric, mean, axes, np.sqrt(np.maximum(spread, 0.0))), n
 
 
-def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, k: int, metric: str, differ_on: str | None = None,
-               apart: tuple[str, str] | None = None) -> DataFrame | None:
-    """``_q, _i``: the pairs that the signatures leave open; null where there are no items."""
+def _kept(queries: np.ndarray, items: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least distances of each query; of equal ones the first items."""
+    order = np.lexsort((items, distance, queries))
+    who = queries[order]
+    return order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+
+
+def _by_key(items: pd.DataFrame, item_key: str) -> pd.DataFrame:
+    return items.iloc[np.argsort(pd.factorize(items[item_key], sort=True)[0], kind="stable")]
+
+
+def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, metric: str, differ_on: str | None, apart: tuple[str, str] | None,
+             k: int, item_key: str | None) -> DataFrame | None:
+    """Every block of queries with every block of items; null where there are no items.
+
+    ``_q, _i, distance``: the ``k`` nearest items of each query in each block, measured on the vectors where the signatures leave
+    a pair open.  Without an ``item_key`` one row ``refined`` per block: how many pairs were left open.
+    """
     cut, n_items = signatures_of(i_side, vector, metric)
     if cut is None:
         return None
     extra = list(dict.fromkeys(([differ_on] if differ_on else []) + ([apart[0]] if apart else [])))
     q_extra = list(dict.fromkeys(extra + ([apart[1]] if apart else [])))
-    n_queries = q_side.count()
-    q_blocks, i_blocks = -(-n_queries // QUERY_BLOCK) or 1, -(-n_items // ITEM_BLOCK) or 1
+    q_blocks, i_blocks = -(-q_side.count() // QUERY_BLOCK) or 1, -(-n_items // ITEM_BLOCK) or 1
+    i_cols = list(dict.fromkeys(["_i", *extra, *([item_key] if item_key else []), vector]))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             body, error = cut.cut(_matrix(batch[vector])) if len(batch) else ([], [])
-            yield batch.drop(columns=[vector]).assign(_body=np.array(body, dtype=object), _error=np.array(error, dtype="float64"))
+            yield batch.assign(_body=np.array(body, dtype=object), _error=np.array(error, dtype="float64"))
 
-    kinds = {f.name: f for f in i_side.schema.fields}
-    signed = i_side.select("_i", *extra, vector).mapInPandas(sign, T.StructType([
-        kinds["_i"], *[kinds[c] for c in extra], T.StructField("_body", T.BinaryType()), T.StructField("_error", T.DoubleType())]))
+    signed = i_side.select(*i_cols).mapInPandas(sign, T.StructType([
+        *i_side.select(*i_cols).schema.fields, T.StructField("_body", T.BinaryType()), T.StructField("_error", T.DoubleType())]))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q_side.select("_q", *q_extra, vector).withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(q_blocks)).cast("int")).withColumn(
         "_ib", each(i_blocks))
     right = signed.withColumn("_ib", F.pmod(F.xxhash64("_i"), F.lit(i_blocks)).cast("int")).withColumn("_qb", each(q_blocks))
+    none = {"_q": np.zeros(0, np.int64), "_i": np.zeros(0, np.int64), "distance": np.zeros(0)} if item_key else {
+        "refined": np.zeros(0, np.int64)}
 
     def scan(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(items):
-            return pd.DataFrame({"_q": [], "_i": [], "_low": [], "_reach": []})
+            return pd.DataFrame(none)
+        if item_key:
+            items = _by_key(items, item_key)
         y, known = cut.restored(items["_body"].tolist())
-        error, names, out = items["_error"].to_numpy(), items["_i"].to_numpy(), []
+        x, error, names, out, refined = _matrix(items[vector]), items["_error"].to_numpy(), items["_i"].to_numpy(), [], 0
         at_once = max(1, BOUNDS // len(items))
         for first in range(0, len(queries), at_once):
             some = queries.iloc[first:first + at_once]
-            low, high = cut.bounds(_matrix(some[vector]), y, known, error)
+            q = _matrix(some[vector])
+            low, high = cut.bounds(q, y, known, error)
             if differ_on:
                 same = some[differ_on].to_numpy()[:, None] == items[differ_on].to_numpy()[None, :]
                 low, high = np.where(same, np.inf, low), np.where(same, np.inf, high)
@@ -211,14 +234,20 @@ def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, k: int, metric
                 low, high = np.where(near, np.inf, low), np.where(near, np.inf, high)
             reach = np.partition(high, k - 1, axis=1)[:, k - 1] if len(items) >= k else np.full(len(some), np.inf)
             who, what = np.nonzero((low <= reach[:, None]) & np.isfinite(low))
-            out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who], "_i": names[what], "_low": low[who, what],
-                                     "_reach": reach[who]}))
-        return pd.concat(out, ignore_index=True)
+            refined += len(who)
+            if not item_key:
+                continue
+            step = max(1, BOUNDS // q.shape[1])
+            d = np.concatenate([np.zeros(0), *[pair_distances(q[who[at:at + step]], x[what[at:at + step]], metric)
+                                               for at in range(0, len(who), step)]])
+            best = _kept(who, what, d, k)
+            best = best[np.isfinite(d[best])]
+            out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who[best]], "_i": names[what[best]], "distance": d[best]}))
+        return pd.concat(out, ignore_index=True) if item_key else pd.DataFrame({"refined": [refined]})
 
     keys = ["_qb", "_ib"]
-    open_ = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "_q bigint, _i bigint, _low double, _reach double")
-    within = F.min("_reach").over(W.partitionBy("_q"))
-    return open_.withColumn("_reach", within).where("_low <= _reach").select("_q", "_i")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        scan, "_q bigint, _i bigint, distance double" if item_key else "refined bigint")
 
 
 class Cells:
@@ -274,6 +303,72 @@ def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) ->
     return np.sqrt(near) * (1 - 1e-9), np.sqrt(far) * (1 + 1e-9)
 
 
+def halves(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """The places of ``x`` in blocks of at most ``most``, from halving at the median of the widest coordinate."""
+    x, todo, done = np.nan_to_num(x), [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            done.append(at)
+            continue
+        c = x[at]
+        order = np.argpartition(c[:, np.argmax(c.max(0) - c.min(0))], len(at) // 2)
+        todo += [at[order[:len(at) // 2]], at[order[len(at) // 2:]]]
+    return done
+
+
+class Boxes:
+    """Sets of items: their boxes, and what tells how many of them a query may take.
+
+    ``often``: the most frequent value to differ from, ``has`` it so many of ``n``; ``least`` and ``most``: the ``k``-th smallest and
+    largest number to be apart from, ``lowest`` and ``highest`` the first and the last.
+    """
+
+    FACTS = "n bigint, has bigint, least double, most double, lowest double, highest double"
+
+    def __init__(self, metric: str, k: int, differ_on: str | None, apart: tuple[str, str] | None, facts: pd.DataFrame):
+        self.metric, self.k, self.differ_on, self.apart = metric, k, differ_on, apart
+        self.low, self.high = _matrix(facts["low"]), _matrix(facts["high"])
+        self.often = facts["often"].to_numpy() if differ_on else None
+        self.n, self.has, self.least, self.most, self.lowest, self.highest = (
+            facts[c].to_numpy(dtype=float) for c in ("n", "has", "least", "most", "lowest", "highest"))
+
+    @staticmethod
+    def facts(items: pd.DataFrame, x: np.ndarray, sets: list[np.ndarray], k: int, differ_on, apart) -> pd.DataFrame:
+        """One row per set of places in ``items``, whose vectors are ``x``."""
+        if differ_on:
+            codes, values = pd.factorize(items[differ_on], use_na_sentinel=False)
+        p = items[apart[0]].to_numpy(dtype=float) if apart else None
+        rows = []
+        for at in sets:
+            often, has, least, most, lowest, highest = None, 0, np.nan, np.nan, np.nan, np.nan
+            if differ_on:
+                many = np.bincount(codes[at])
+                often, has = values[many.argmax()], int(many.max())
+            if apart:
+                own = np.sort(p[at])  # missing ones, which are apart from all, come last
+                real = own[:len(own) - np.isnan(own).sum()]
+                least, most = (real[k - 1], real[-k]) if len(real) >= k else (np.nan, np.nan)
+                lowest, highest = (own[0], own[-1]) if len(real) == len(own) else (-np.inf, np.inf)
+            rows.append((x[at].min(0).tolist(), x[at].max(0).tolist(), often, len(at), has, least, most, lowest, highest))
+        return pd.DataFrame(rows, columns=["low", "high", "often", "n", "has", "least", "most", "lowest", "highest"])
+
+    def reach(self, q: np.ndarray, queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Least distance of each query to an item of each set that it may take, and one that its nearest are within."""
+        near, far = box_bounds(q, self.low, self.high, self.metric)
+        some, enough = np.ones(near.shape, bool), np.broadcast_to(self.n >= self.k, near.shape)
+        if self.differ_on:
+            same = queries[self.differ_on].to_numpy()[:, None] == self.often[None, :]
+            others = self.n - self.has
+            some, enough = ~same | (others > 0), np.where(same, others, np.maximum(others, self.has)) >= self.k
+        if self.apart:
+            p, margin = (queries[c].to_numpy(dtype=float)[:, None] for c in self.apart)
+            slack, free = 1e-9 * (np.abs(p) + np.abs(margin) + 1), np.isnan(p + margin)
+            some = some & (free | (self.lowest < p - margin + slack) | (self.highest > p + margin - slack))
+            enough = enough & (free | (self.least < p - margin - slack) | (self.most > p + margin + slack))
+        return np.where(some, near, np.inf), np.where(enough, far, np.inf).min(axis=1)
+
+
 def _block_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """As ``pair_distances``, of each query to each item."""
     total, both = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
@@ -298,7 +393,7 @@ def _nearest_by_cells(q_side: DataFrame, i_side: DataFrame, item_key: str, vecto
     n = items.count()
     if not n:
         return None
-    wanted = max(1, min(MOST_CELLS, n // CELL_ITEMS))
+    wanted = max(1, min(MOST_CELLS, max(n // CELL_ITEMS, min(n // BLOCK_ITEMS, q_side.count() // CELL_QUERIES))))
     share = max(1, n // (wanted * CELL_SAMPLE))
     sample = items.where(F.pmod(F.xxhash64("_i"), F.lit(share)) == 0).select(vector).toPandas()[vector]
     cells = Cells(_matrix(sample) if len(sample) else np.zeros((0, width)), wanted)
@@ -308,59 +403,64 @@ def _nearest_by_cells(q_side: DataFrame, i_side: DataFrame, item_key: str, vecto
             yield batch.assign(_cell=cells.of(_matrix(batch[vector])) if len(batch) else np.zeros(0, dtype=np.int64))
 
     placed = items.mapInPandas(place, T.StructType([*items.schema.fields, T.StructField("_cell", T.LongType())]))
+    value = items.schema[differ_on].dataType if differ_on else T.LongType()
 
     def describe(rows: pd.DataFrame) -> pd.DataFrame:
-        x, least, most, same = _matrix(rows[vector]), np.nan, np.nan, 0
-        if differ_on:
-            same = int(rows[differ_on].value_counts(dropna=False).iloc[0])
-        if apart:
-            p = np.sort(rows[apart[0]].dropna().to_numpy(dtype=float))
-            least, most = (p[k - 1], p[-k]) if len(p) >= k else (np.nan, np.nan)
-        return pd.DataFrame({"_cell": rows["_cell"].iloc[:1], "low": [x.min(0).tolist()], "high": [x.max(0).tolist()],
-                             "others": [len(x) - same], "least": [least], "most": [most]})
+        facts = Boxes.facts(rows, _matrix(rows[vector]), [np.arange(len(rows))], k, differ_on, apart)
+        return facts.assign(_cell=rows["_cell"].iloc[0])
 
-    boxes = placed.groupBy("_cell").applyInPandas(
-        describe, "_cell bigint, low array<double>, high array<double>, others bigint, least double, most double").toPandas()
-    low, high, names = _matrix(boxes["low"]), _matrix(boxes["high"]), boxes["_cell"].to_numpy()
-    others, least, most = (boxes[c].to_numpy(dtype=float) for c in ("others", "least", "most"))
+    known = placed.groupBy("_cell").applyInPandas(describe, T.StructType([
+        T.StructField("_cell", T.LongType()), T.StructField("often", value),
+        *T._parse_datatype_string(f"low array<double>, high array<double>, {Boxes.FACTS}").fields])).toPandas()
+    boxes, names = Boxes(metric, k, differ_on, apart, known), known["_cell"].to_numpy()
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), max(1, BOUNDS // len(names))):
                 some = batch.iloc[at:at + max(1, BOUNDS // len(names))]
-                near, far = box_bounds(_matrix(some[vector]), low, high, metric)
-                enough = np.broadcast_to(others >= k, near.shape)
-                if apart:
-                    p, margin = (some[c].to_numpy(dtype=float)[:, None] for c in apart)
-                    slack = 1e-9 * (np.abs(p) + np.abs(margin) + 1)
-                    enough = np.where(np.isnan(p + margin), enough, (least < p - margin - slack) | (most > p + margin + slack))
-                limit = np.where(enough, far, np.inf).min(axis=1, keepdims=True)
-                meets = (near <= limit) & np.isfinite(near)
-                yield some.assign(_cells=[names[m].tolist() for m in meets])
-
-    asked = q_side.mapInPandas(reach, T.StructType([*q_side.schema.fields, T.StructField("_cells", T.ArrayType(T.LongType()))]))
+                near, limit = boxes.reach(_matrix(some[vector]), some)
+                meets = (near <= limit[:, None]) & np.isfinite(near)
+                yield some.assign(_limit=limit, _cells=[names[m].tolist() for m in meets])
+
+    asked = q_side.mapInPandas(reach, T.StructType([*q_side.schema.fields, T.StructField("_limit", T.DoubleType()),
+                                                    T.StructField("_cells", T.ArrayType(T.LongType()))]))
+
+    def measured(some: pd.DataFrame, q: np.ndarray, items: pd.DataFrame, x: np.ndarray, at: np.ndarray):
+        """Queries, places and distances of the items at ``at`` that can be among the nearest of each query."""
+        d, own = _block_distances(q, x[at], metric), items.iloc[at]
+        if differ_on:
+            d = np.where(some[differ_on].to_numpy()[:, None] == own[differ_on].to_numpy()[None, :], np.inf, d)
+        if apart:
+            gap = np.abs(some[apart[0]].to_numpy()[:, None] - own[apart[0]].to_numpy()[None, :])
+            d = np.where(gap <= some[apart[1]].to_numpy()[:, None], np.inf, d)
+        within = np.partition(d, k - 1, axis=1)[:, k - 1] if len(at) >= k else np.full(len(some), np.inf)
+        who, what = np.nonzero((d <= within[:, None]) & np.isfinite(d))
+        return who, at[what], d[who, what]
 
     def scan(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"_q": np.zeros(0, np.int64), "_i": np.zeros(0, np.int64), "distance": np.zeros(0)})]
         if not len(queries) or not len(items):
             return out[0]
-        items = items.iloc[np.argsort(pd.factorize(items[item_key], sort=True)[0], kind="stable")]
-        x, ids, at_once = _matrix(items[vector]), items["_i"].to_numpy(), max(1, BOUNDS // len(items))
-        for at in range(0, len(queries), at_once):
-            some = queries.iloc[at:at + at_once]
-            d = _block_distances(_matrix(some[vector]), x, metric)
-            if differ_on:
-                d = np.where(some[differ_on].to_numpy()[:, None] == items[differ_on].to_numpy()[None, :], np.inf, d)
-            if apart:
-                gap = np.abs(some[apart[0]].to_numpy()[:, None] - items[apart[0]].to_numpy()[None, :])
-                d = np.where(gap <= some[apart[1]].to_numpy()[:, None], np.inf, d)
-            within = np.partition(d, k - 1, axis=1)[:, k - 1] if len(items) >= k else np.full(len(some), np.inf)
-            who, what = np.nonzero((d <= within[:, None]) & np.isfinite(d))
-            order = np.lexsort((what, d[who, what], who))  # ties by the item key
-            who, what = who[order], what[order]
-            kept = np.arange(len(who)) - np.searchsorted(who, who) < k
-            who, what = who[kept], what[kept]
-            out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who], "_i": ids[what], "distance": d[who, what]}))
+        items = _by_key(items, item_key)
+        x, ids = _matrix(items[vector]), items["_i"].to_numpy()
+        blocks = halves(x, max(BLOCK_ITEMS, math.isqrt(len(x))))
+        inside = Boxes(metric, k, differ_on, apart, Boxes.facts(items, x, blocks, k, differ_on, apart))
+        at_once = max(1, BOUNDS // max(len(blocks), *map(len, blocks)))
+        for first in range(0, len(queries), at_once):
+            some = queries.iloc[first:first + at_once]
+            q = _matrix(some[vector])
+            near, limit = inside.reach(q, some)
+            meets = (near <= np.minimum(limit, some["_limit"].to_numpy())[:, None]) & np.isfinite(near)
+            found = []
+            for block, at in enumerate(blocks):
+                asks = np.flatnonzero(meets[:, block])
+                if len(asks):
+                    who, what, d = measured(some.iloc[asks], q[asks], items, x, at)
+                    found.append((asks[who], what, d))
+            if found:
+                who, what, d = (np.concatenate(c) for c in zip(*found))
+                best = _kept(who, what, d, k)
+                out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who[best]], "_i": ids[what[best]], "distance": d[best]}))
         return pd.concat(out, ignore_index=True)
 
     left = asked.withColumn("_cell", F.explode("_cells")).drop("_cells")
@@ -397,30 +497,19 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
     width = i_side.agg(F.max(F.size(vector)).alias("n")).first()["n"]
     if width is not None and 0 < width <= LOW_DIMENSIONS and metric != "cosine":
         met = _nearest_by_cells(q_side, i_side, item_key, vector, width, k, metric, differ_on, apart)
-        return none if met is None else _ranked(met.join(q_side.select("_q", query_key), "_q").join(
-            i_side.select("_i", item_key, *payload), "_i").select("_q", query_key, item_key, "distance", *payload),
-            query_key, item_key, k).drop("_q")
-    open_ = candidates(q_side, i_side, vector, k, metric, differ_on, apart)
-    if open_ is None:
-        return none
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            d = pair_distances(_matrix(batch["_qv"]), _matrix(batch["_iv"]), metric) if len(batch) else np.zeros(0)
-            yield batch.drop(columns=["_qv", "_iv"]).assign(distance=d)[np.isfinite(d)]
-
-    both = open_.join(q_side.select("_q", query_key, F.col(vector).alias("_qv")), "_q").join(
-        i_side.select("_i", item_key, F.col(vector).alias("_iv"), *payload), "_i")
-    found = both.select(query_key, item_key, *payload, "_qv", "_iv").mapInPandas(measure, schema)
-    return _ranked(found.select(query_key, item_key, "distance", *payload), query_key, item_key, k)
+    else:
+        met = candidates(q_side, i_side, vector, metric, differ_on, apart, k, item_key)
+    return none if met is None else _ranked(met.join(q_side.select("_q", query_key), "_q").join(
+        i_side.select("_i", item_key, *payload), "_i").select("_q", query_key, item_key, "distance", *payload),
+        query_key, item_key, k).drop("_q")
 
 
 def refined_share(queries: DataFrame, items: DataFrame, *, vector: str, k: int, metric: str = "euclidean") -> DataFrame:
     """One row ``pairs, refined, share``: how many of all pairs are measured on the vectors themselves."""
     q_side, i_side = _sides(queries, items, vector, [vector], [vector], metric)
-    open_ = candidates(q_side, i_side, vector, k, metric)
+    open_ = candidates(q_side, i_side, vector, metric, None, None, k, None)
     pairs = q_side.agg(F.count(F.lit(1)).alias("q")).withColumn("i", i_side.agg(F.count(F.lit(1))).scalar())
-    refined = F.lit(0).cast("bigint") if open_ is None else open_.agg(F.count(F.lit(1))).scalar()
+    refined = F.lit(0).cast("bigint") if open_ is None else open_.agg(F.coalesce(F.sum("refined"), F.lit(0))).scalar()
     return pairs.select((F.col("q") * F.col("i")).alias("pairs"), refined.alias("refined")).withColumn(
         "share", F.col("refined") / F.nullif(F.col("pairs"), F.lit(0)))
 

@@ -125,6 +125,38 @@ def test_impute_knn_small(spark):
     assert got[3] == pytest.approx(15.0)
 
 
+def test_boxes_of_one_value_bound_the_others():
+    """Where all items near a query are like it, they are not met, and the next ones that differ bound the search."""
+    x = np.arange(40.0)[:, None]
+    items = pd.DataFrame({"g": ["a"] * 20 + ["b"] * 20, "p": np.arange(40.0)})
+    sets = [np.arange(i, i + 10) for i in range(0, 40, 10)]
+    ask = pd.DataFrame({"g": ["a", "b"], "p": [2.0, 38.0], "margin": [12.0, 12.0]})
+    for how in ({"differ_on": "g", "apart": None}, {"differ_on": None, "apart": ("p", "margin")}):
+        boxes = neighbors.Boxes("euclidean", 3, facts=neighbors.Boxes.facts(items, x, sets, 3, **how), **how)
+        near, limit = boxes.reach(np.array([[2.0], [38.0]]), ask)
+        met = (near <= limit[:, None]) & np.isfinite(near)
+        first = [False, False, True, False] if how["differ_on"] else [False, True, False, False]
+        assert met[0].tolist()[:3] == first[:3] and np.isfinite(limit).all() and met.sum() <= 4
+
+
+def test_blocks_hold_every_place_once():
+    x = np.concatenate([np.random.default_rng(3).normal(size=(500, 2)), np.zeros((300, 2))])
+    blocks = neighbors.halves(np.where(np.arange(800)[:, None] % 2 == 1, np.nan, x), 64)
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(800)) and max(map(len, blocks)) <= 64
+
+
+def test_a_block_passes_on_k_rows_per_query(spark, monkeypatch):
+    """Pairs left open are measured where they are found; they are not shuffled."""
+    rows = [(i, [float(i % 7), 1.0, 2.0, 3.0, float(i % 3)]) for i in range(120)]  # many equal distances
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    monkeypatch.setattr(neighbors, "ITEM_BLOCK", 60)
+    q, i = neighbors._sides(df.withColumnRenamed("id", "q"), df, "v", ["q", "v"], ["id", "v"], "euclidean")
+    found = neighbors.candidates(q, i, "v", "euclidean", None, None, 3, "id")
+    assert found.columns == ["_q", "_i", "distance"] and found.groupBy("_q").count().agg(F.max("count")).first()[0] <= 6
+    got = neighbors.nearest(df.withColumnRenamed("id", "q"), df, query_key="q", item_key="id", vector="v", k=3).where("q = 119").orderBy("rank")
+    assert [r["id"] for r in got.collect()] == [14, 35, 56]
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine", "nan_euclidean"])
 def test_nearest_equals_all_pairs(spark, monkeypatch, metric):
     """Signatures, bounds and blocks lose no neighbour: clusters, repeated vectors, a zero vector and gaps."""
