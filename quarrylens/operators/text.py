@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylens.session import cut_lineage
+from quarrylens.session import stored
 
 #: A term: two or more letters, digits or underscores.
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -18,10 +18,16 @@ def terms(text: str | Column, pattern: str = TERM) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+def term_counts(df: DataFrame, key: str, text: str, pattern: str = TERM) -> DataFrame:
+    """``(key, term, n)`` per document; the texts are shuffled by their key, so that their terms need not be."""
+    together = df.select(F.col(key), F.col(text).alias("_text")).repartition(key)
+    return together.select(key, F.explode(terms("_text", pattern)).alias("term")).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def document_frequencies(df: DataFrame, key: str, text: str, pattern: str = TERM) -> tuple[DataFrame, DataFrame]:
     """``(key, term, n)`` per document and ``(term, df)`` over the whole table."""
-    counted = cut_lineage(df.select(key, F.explode(terms(text, pattern)).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("n")))
+    counted = stored(term_counts(df, key, text, pattern), "terms")
     return counted, counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -37,7 +43,7 @@ def tfidf_terms(df: DataFrame, key: str, text: str, min_df: int = 1, max_share:
     known = frequencies.withColumn("_d", documents.scalar()).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.col("_d") * F.lit(float(max_share))))
     # Written before it is joined on the term, so that Spark can split the terms of very many documents.
-    known = cut_lineage(known.select("term", "df", (F.log((1 + F.col("_d")) / (1 + F.col("df"))) + 1).alias("idf")))
+    known = stored(known.select("term", "df", (F.log((1 + F.col("_d")) / (1 + F.col("df"))) + 1).alias("idf")), "known")
     raw = F.col("n") * F.col("idf")
     length = F.sqrt(F.sum(raw * raw).over(W.partitionBy(key)))
     return counted.join(known, "term").select(key, "term", "n", "df", "idf", (raw / length).alias("weight"))

@@ -355,6 +355,15 @@ def test_tfidf(spark):
     assert {k[1] for k in [(r["id"], r["term"]) for r in text.tfidf_terms(df, "id", "t", min_df=2).collect()]} == {"the"}
 
 
+def test_terms_are_counted_where_their_texts_are(spark):
+    rows = [(1, "the cat the"), (1, "cat"), (None, "the dog"), (None, "dog"), (2, "")]
+    counted = text.term_counts(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    executed = counted._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") == 1 and executed.index("Generate") < executed.index("Exchange")
+    assert {(r["id"], r["term"], r["n"]) for r in counted.collect()} == {
+        (1, "the", 2), (1, "cat", 2), (None, "the", 1), (None, "dog", 2)}
+
+
 def test_sketches_of_parts_are_sketches_of_all(spark):
     rows = [(i % 4, float(i % 500), None if i % 3 == 0 else f"g{i % 7}", float("nan") if i % 10 == 0 else float(i), None) for i in range(8000)]
     df = spark.createDataFrame(rows, "p int, a double, b string, c double, d double")
