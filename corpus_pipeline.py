@@ -40,11 +40,20 @@ STAGES = [("language_id", keep_languages), ("near_dedup", near_dedup), ("deconta
 ORACLE_SQL = None
 
 
+#: Bytes of rows that a task hands to Python at once: they are held by the JVM and by the worker, in every task.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
-        docs = stash(made, name)
-        discard(*getattr(made, "stashes", []))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            made = stage(spark, docs, sf_dir)
+            docs = stash(made, name)
+            discard(*getattr(made, "stashes", []))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(_BATCH, before)

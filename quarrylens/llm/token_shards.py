@@ -36,8 +36,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a sequence, sequences of a shard, key of the permutation, rounds of the network.
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 42, 6
-#: Words whose tokens a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose tokens a Python worker remembers, and the bytes of text it encodes at once; both set its memory.
+REMEMBERED, PIECE = 400_000, 2_000_000
 
 #: Two white-space characters in a row, for Arrow; and a character that marks cuts.
 _RUN, _MARK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}", "\uffff"
@@ -46,16 +46,20 @@ _LETTERS = re.compile(r"( ?[^\W\d_]+)((?:[^\w\s']|_)*)\Z")
 
 
 class _Known(dict):
-    """Tokens of words seen before."""
+    """Tokens of words seen before; when half of them are new, those not asked for since the last time are forgotten."""
 
     def __init__(self, make):
         super().__init__()
-        self._make = make
+        self._make, self._older = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
+            self._older = dict(self)
             self.clear()
-        made = self[word] = self._make(word)
+        made = self._older.get(word)
+        if made is None:
+            made = self._make(word)
+        self[word] = made
         return made
 
 
@@ -109,7 +113,7 @@ class Tokenizer:
             made = [*(self._known(w) if len(w) < 100 else self._piece(w) for w in words), self._closing]
         size = np.fromiter(map(len, made), np.int64, len(made)) // 2
         edges = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
-        chunk = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(made) - 1)
+        chunk = np.insert(coded.indices.to_numpy(), edges[1:], len(made) - 1)
         many = size[chunk]
         sizes = np.add.reduceat(many, edges[:-1] + np.arange(len(texts))) if len(texts) else np.zeros(0, np.int64)
         if count_only:
@@ -156,7 +160,7 @@ def _encoded(stream, make, count_only: bool = False):
     """(ids, tokens, number of tokens of each document) of pieces of the batches."""
     work = make()
     for batch in stream:
-        for part in slices(batch, 1, 1, 8_000_000):
+        for part in slices(batch, 1, 1, PIECE):
             yield part.column(0), *work.encode_batch(part.column(1), count_only)
 
 

@@ -1,10 +1,11 @@
 """The corpus pipeline stage by stage, and the registered queries against their SQL."""
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quarrylens.llm import decontaminate, queries
+from quarrylens.llm import decontaminate, queries, token_shards
 from tests.llm.test_documents import slow_sets
 from tests.oracle import compare, connect
 
@@ -55,6 +56,21 @@ def test_oracle(spark, name):
     assert ok, note
 
 
+def test_memory_of_workers(spark, monkeypatch):
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(batch), []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda spark, docs, _: seen.append(spark.conf.get(batch)) or docs)])
+    corpus_pipeline.run(spark, SF)
+    assert seen == [str(corpus_pipeline.BATCH_BYTES)] and spark.conf.get(batch) == before
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["word " * 20_000] * 60)], names=["doc_id", "text"])
+    assert max(len(ids) for ids, _, _ in token_shards._encoded([rows], token_shards.Tokenizer)) <= 21
+    monkeypatch.setattr(token_shards, "REMEMBERED", 4)
+    made = []
+    known = token_shards._Known(lambda w: made.append(w) or w.encode())
+    assert [known[w] for w in "abacadaeafa"] == [w.encode() for w in "abacadaeafa"]
+    assert made.count("a") == 1 and len(known) + len(known._older) <= 4
+
+
 def test_registered():
     assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
 
