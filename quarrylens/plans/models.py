@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -12,15 +14,17 @@ from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import MinMaxScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylens.functions.scalars import one_row
 from quarrylens.operators.metrics import classification_metrics, regression_metrics
 from quarrylens.operators.profile import infer_problem_type
 from quarrylens.operators.sampling import fold_ids
+from quarrylens.session import cut_lineage
 
 CLASSIFIERS: Mapping[str, Callable] = {
     "logistic_regression": lambda **p: C.LogisticRegression(**p),
@@ -83,6 +87,87 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         label, "n", (F.col("_f.rows") / (F.col("_f.classes") * F.col("n"))).alias("weight"))
 
 
+def tree_thresholds(rows: DataFrame, features: Sequence[str], n: int, bins: int, seed: int) -> list[list[float]]:
+    """Where Spark's trees may split each feature: it draws these rows of the ``n`` and cuts their values at these places."""
+    bins = min(bins, n)
+    share = min(1.0, max(bins * bins, 10000) / n)
+    spark, values = rows.sparkSession, rows.select([F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    draw = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    drawn = DataFrame(spark._jsparkSession.createDataFrame(
+        values._jdf.javaRDD().sample(False, share, draw), values._jdf.schema()), spark).collect()
+    return [_thresholds([r[i] for r in drawn], share * n, bins - 1) for i in range(len(features))]
+
+
+def _thresholds(drawn: Sequence[float], expected: float, most: int) -> list[float]:
+    """Cuts between the values drawn: all if there are at most ``most``, else about equally many rows apart.
+
+    Of ``expected`` rows, those that are not among the ones drawn with another value count as zeros.
+    """
+    counts = Counter(v for v in drawn if v != 0.0)
+    others = sum(counts.values())
+    if not others:
+        return []
+    if expected - others > 2.0 ** -52 * others * 100:
+        counts[0.0] = expected - others
+    values = sorted(counts)
+    middle = [(a + b) / 2 for a, b in itertools.pairwise(values)]
+    if len(middle) <= most:
+        return middle
+    step = expected / (most + 1)
+    out, seen, goal = [], counts[values[0]], step
+    for cut, value in zip(middle, values[1:]):
+        before, seen = seen, seen + counts[value]
+        if abs(before - goal) < abs(seen - goal):
+            out.append(cut)
+            goal += step
+    return out
+
+
+def _fits_cells(rows: DataFrame, features: Sequence[str], problem: str, params: Mapping | None) -> bool:
+    """Whether rows of equal bins may be one weighted row: single rows are neither drawn, counted nor marked, the loss is smooth."""
+    est = estimator("gradient_boosting", problem, params)
+    smooth = problem == "classification" or est.getLossType() == "squared"
+    plain = not any(est.isSet(c) for c in ("weightCol", "validationIndicatorCol"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return smooth and plain and est.getSubsamplingRate() == 1.0 and est.getMinInstancesPerNode() == 1 and all(
+        isinstance(kinds.get(c), (T.NumericType, T.BooleanType)) for c in features)
+
+
+def _boosted(rows: DataFrame, features: Sequence[str], label: str, problem: str, params: Mapping | None) -> PipelineModel | None:
+    """Boosted trees from one weighted row per cell, the rows that no tree can tell apart; null without rows.
+
+    A tree sees only the bin of a feature, and all rows of a bin of each feature get the same prediction.  So the counts of a
+    cell's classes, or the number, mean and variance of its labels (kept by two labels, one to each side of the mean), give the
+    sums that all rows would give to each split and leaf, while the rounds pass over cells.
+    """
+    est, n = estimator("gradient_boosting", problem, params), rows.count()
+    if not n:
+        return None
+    cuts = tree_thresholds(rows, features, n, est.getMaxBins(), est.getSeed())
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    bin_of = lambda c, at: "CASE " + " ".join(
+        f"WHEN CAST({name(c)} AS DOUBLE) <= CAST('{t!r}' AS DOUBLE) THEN {i}.0D" for i, t in enumerate(at, 1)) + f" ELSE {len(at) + 1}.0D END"
+    bins = [f"_bin_{i}" for i in range(len(features))]
+    to_bins = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"{bin_of(c, at) if at else '1.0D'} AS {b}" for c, at, b in zip(features, cuts, bins)) + " FROM __THIS__")
+    binned, weight = to_bins.transform(rows), "_weight"
+    if problem == "classification":
+        cells = binned.groupBy(*bins, label).agg(F.count(F.lit(1)).cast("double").alias(weight))
+    else:
+        facts = binned.groupBy(*bins).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(label).alias("_m"),
+                                          F.stddev_pop(label).alias("_s"))
+        sides = F.array(*[F.struct((F.col("_m") + side * F.col("_s")).alias(label), (F.col("_n") / 2).alias(weight))
+                          for side in (-1, 1)])
+        whole = F.array(F.struct(F.col("_m").alias(label), F.col("_n").alias(weight)))
+        cells = facts.select(*bins, F.inline(F.when(F.col("_s") > 0, sides).otherwise(whole)))
+    cells = cut_lineage(cells)
+    plan = pipeline(cells, bins, label, "gradient_boosting", problem, params)
+    last = plan.getStages()[-1].setWeightCol(weight)
+    trees = last.getClassifier() if isinstance(last, C.OneVsRest) else last
+    trees.setMaxBins(max(est.getMaxBins(), math.isqrt(cells.count()) + 1))  # so that all cells are drawn, and all bins are found
+    return PipelineModel([to_bins, *plan.fit(cells).stages])
+
+
 def train(df: DataFrame, features: Sequence[str], label: str, algorithm: str, params: Mapping | None = None,
           problem: str | None = None, balanced: bool = False) -> PipelineModel:
     """Fit one algorithm on the rows with a label and complete features.
@@ -91,6 +176,10 @@ def train(df: DataFrame, features: Sequence[str], label: str, algorithm: str, pa
     """
     problem = problem or problem_type(df, label)
     rows = df.select(*features, F.col(label).cast("double" if problem == "regression" else "string").alias(label)).dropna()
+    if algorithm == "gradient_boosting" and not balanced and _fits_cells(rows, features, problem, params):
+        model = _boosted(rows, features, label, problem, params)
+        if model is not None:
+            return model
     plan = pipeline(rows, features, label, algorithm, problem, params)
     if balanced:
         weight = "_weight"

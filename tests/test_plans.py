@@ -216,3 +216,39 @@ def test_fits_that_keep_blocks_get_no_second_copy(spark, monkeypatch):
     for name in ("logistic_regression", "decision_tree"):
         assert registry.QUERIES[f"train_classification_{name}"](spark, "/root/testdata/sf0.001").count() == 1
     assert seen == [True, False]
+
+
+@pytest.mark.parametrize("problem, label", [("regression", "y"), ("classification", "two"), ("classification", "three")])
+def test_boosting_passes_over_cells_and_gives_the_trees_of_all_rows(spark, monkeypatch, problem, label):
+    """The fit gets the cells of bins, weighted; the predictions are those of a fit on the rows themselves."""
+    n = 13000  # more than Spark draws for its thresholds
+    rng = np.random.default_rng(8)
+    x, z = rng.integers(-30, 30, n) / 2.0, rng.normal(size=n).round(2)
+    z[:40], x[40:80] = np.nan, np.nan
+    y = np.where(x > 3, 2.0, 0.0) + np.abs(z) + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({
+        "id": np.arange(n), "x": x, "z": z, "flag": rng.integers(0, 2, n), "y": y, "two": np.where(y > 1.2, "high", "low"),
+        "three": np.where(y > 2, "c", np.where(y > 1, "b", "a"))})).repartition(3, "id").persist()
+    features, params = ["x", "z", "flag"], {"maxIter": 3}
+    rows = df.select(*features, F.col(label)).dropna()
+    whole = L.pipeline(rows, features, label, "gradient_boosting", problem, params).fit(rows)
+    seen, fit = [], L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, data, *a: seen.append(data.count()) or fit(self, data, *a))
+    cells = L.train(df, features, label, "gradient_boosting", params, problem)
+    assert len(seen) == 1 and seen[0] <= 32 * 32 * 2 * 3 < rows.count()
+    old, new = (L.score(df, m, features, ["id", label]).orderBy("id").toPandas() for m in (whole, cells))
+    if problem == "regression":
+        assert np.allclose(old.prediction, new.prediction)
+    else:
+        assert (old.prediction == new.prediction).all() and np.allclose(old.get("score", 0), new.get("score", 0))
+    assert [c for c, _ in L.feature_importance(cells, features)][0] == "x" if label == "y" else True
+    df.unpersist()
+
+
+def test_boosting_that_draws_rows_fits_the_rows(spark, monkeypatch):
+    df = spark.range(200).selectExpr("id % 2 * 1.0D AS x", "id % 2 * 2.0D + id % 3 AS y")
+    seen, fit = [], L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, data, *a: seen.append(data.count()) or fit(self, data, *a))
+    for params in ({"subsamplingRate": 0.5}, {"minInstancesPerNode": 2}, {"lossType": "absolute"}, {}):
+        L.train(df, ["x"], "y", "gradient_boosting", {"maxIter": 2, **params}, "regression")
+    assert seen == [200, 200, 200, 4]
