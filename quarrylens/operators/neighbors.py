@@ -1,9 +1,12 @@
-"""Exact nearest rows from small signatures of the vectors (a vector approximation file).
+"""Exact nearest rows: cheap bounds for all pairs, and distances for the few that these leave open.
 
-One aggregation over the items gives their leading axes.  A signature is a vector in these axes, each coordinate cut to the few
-bits that its spread deserves, with the exact distance between the vector and its cut form.  So the distance of a query to a
-signature bounds that to the vector from both sides.  A scan over blocks of signatures keeps the pairs that can be among the
-nearest, and only these are measured on the vectors themselves, in the same task; a block passes on ``k`` rows per query.
+A block of queries meets a block of items as one matrix product in single precision, with two more coordinates that hold the
+greatest error the product can have.  Pairs that can be among the nearest so far are measured in double precision, in the same
+task; a block passes on ``k`` rows per query.
+
+Vectors with gaps are bounded by small signatures instead (a vector approximation file).  One aggregation over the items gives their
+spread.  A signature is a vector, each coordinate cut to the few bits that its spread deserves, with the exact distance between the
+vector and its cut form.  So the distance of a query to a signature bounds that to the vector from both sides.
 
 Vectors of few coordinates lie in cells of space instead: a query meets only the cells whose box can hold one of its nearest, and
 in a cell only such blocks.
@@ -25,8 +28,12 @@ from quarrylens.session import cut_lineage
 
 #: Bits per coordinate on average and at most; half the width of a grid in standard deviations.
 BITS, MOST_BITS, WIDTH = 6, 8, 3.5
-#: Rows of a block of queries and of signatures; bounds held at once in a task.
-QUERY_BLOCK, ITEM_BLOCK, BOUNDS = 10_000, 50_000, 4_000_000
+#: Rows of a block of queries and of items at most, coordinates of a block; bounds held at once in a task.
+QUERY_BLOCK, ITEM_BLOCK, BLOCK_VALUES, BOUNDS = 25_000, 50_000, 3_200_000, 4_000_000
+#: Blocks of queries that smaller tables are cut to, if each gets so many queries.
+LEAST_BLOCKS, LEAST_QUERIES = 16, 2_000
+#: Queries of one matrix product, items of the first and of the largest.
+AT_ONCE, FIRST_ITEMS, MOST_ITEMS = 512, 256, 4_096
 
 #: Vectors of at most so many coordinates are searched by cells; items of a cell, most cells, sampled items that place one.
 LOW_DIMENSIONS, CELL_ITEMS, MOST_CELLS, CELL_SAMPLE = 4, 2_000, 2_048, 32
@@ -180,6 +187,117 @@ def _kept(queries: np.ndarray, items: np.ndarray, distance: np.ndarray, k: int)
     return order[np.arange(len(who)) - np.searchsorted(who, who) < k]
 
 
+class Scores:
+    """Bounds in single precision on how near items are to queries: the greater the score, the nearer.
+
+    Vectors are scaled by a power of two, if they are not of length one, and centred at ``m``.  The score of a pair is ``q x``
+    and what the item adds on its own, ``- x x / 2`` or, for the cosine, ``m x``.  That is one coordinate more, and another holds the
+    error of the product: rounding errors are within ``c`` times the sum of all its terms without their signs, which is at most
+    ``|q| |x|`` and the item's own.  So no score lies above its product.
+    """
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, metric: str):
+        self.cosine, n = metric == "cosine", x.shape[1]
+        if self.cosine:
+            q, x = _unit(q), _unit(x)
+        top = max(np.abs(q).max(initial=0.0), np.abs(x).max(initial=0.0))
+        self.scale = 1.0 if self.cosine and top <= 1 else 2.0 ** -max(int(np.frexp(top)[1]), -1000)
+        q, x = q * self.scale, x * self.scale
+        centre = np.median(x, axis=0) if len(x) else np.zeros(n)
+        q, x = q - centre, x - centre
+        c = 1.1 * (n + 8) * 2.0 ** -24
+        self.size, size = (q * q).sum(1), (x * x).sum(1)
+        self.shift = q @ centre + centre @ centre
+        self.loose = (2.0 ** -50 + self.scale * 2.0 ** -537) * math.sqrt(n)  # by centring, and by squares too small for a number
+        up = lambda v: np.nextafter(v.astype("float32"), np.float32(np.inf))[:, None]
+        own = x @ centre if self.cosine else -size / 2
+        self.q = np.concatenate([q.astype("float32"), up(c * np.sqrt(self.size)), np.ones((len(q), 1), "float32")], axis=1)
+        self.x = np.concatenate([x.astype("float32"), up(np.sqrt(size)), up(own + c * np.abs(own) + 1e-30)], axis=1)
+
+    def least(self, rows, distance: np.ndarray) -> np.ndarray:
+        """What the product of these queries reaches with every item that is not farther than ``distance``."""
+        if self.cosine:
+            score = (1.0 - distance) * self.scale**2
+            score -= self.shift[rows] + 1e-12 * (1 + np.abs(score))
+        else:
+            reach = (distance * self.scale * (1 + 1e-9) + self.loose) ** 2
+            score = (self.size[rows] - reach) / 2 - 1e-9 * (self.size[rows] + reach)
+        return np.nextafter(score.astype("float32"), np.float32(-np.inf))
+
+
+def _open(product: np.ndarray, least: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns where ``product`` reaches the ``least`` of its row; ``flags``: room for words of 64 of them per row."""
+    n, width = product.shape
+    room = -(-width // 64) * 64
+    hit = flags[:n * room].reshape(n, room)
+    hit[:, width:] = False
+    np.greater_equal(product, least[:, None], out=hit[:, :width])
+    words = np.flatnonzero(np.packbits(hit).view(np.uint64))
+    word, bit = np.nonzero(hit.reshape(-1, 64)[words])
+    at = words[word] * 64 + bit
+    return at // room, at % room
+
+
+def nearest_places(q: np.ndarray, x: np.ndarray, k: int, metric: str, barred=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Queries, places and distances of the ``k`` nearest items of each query, of equal ones the first, and how many pairs were
+    measured in double precision.
+
+    ``barred`` tells of pairs (places of queries, of items) which must not be taken.
+    """
+    asks, has = (np.flatnonzero(np.isfinite(v).all(axis=1)) for v in (q, x))  # others have no finite distance
+    scores, out, measured = Scores(q[asks], x[has], metric), [], 0
+    product, flags = np.empty(AT_ONCE * MOST_ITEMS, "float32"), np.empty(AT_ONCE * (MOST_ITEMS + 64), bool)
+    step = max(1, BOUNDS // q.shape[1])
+
+    def distances(who, what):
+        return np.concatenate([np.zeros(0), *[pair_distances(q[asks[who[at:at + step]]], x[has[what[at:at + step]]], metric)
+                                              for at in range(0, len(who), step)]])
+
+    for first in range(0, len(asks), AT_ONCE):
+        mine = np.arange(first, min(first + AT_ONCE, len(asks)))
+        n, at = len(mine), 0
+        near, place, least = np.full((n, k), np.inf), np.full((n, k), -1), np.full(n, -np.inf, "float32")
+        while at < len(has):
+            end = min(len(has), at + min(MOST_ITEMS, max(FIRST_ITEMS, at)))
+            width = end - at
+            found = np.matmul(scores.q[mine], scores.x[at:end].T, out=product[:n * width].reshape(n, width))
+            if not at and width >= k:  # the k that seem nearest tell how far the nearest are at most
+                who, what = np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
+                free = np.where(barred(asks[mine[who]], has[what]).reshape(n, width), -np.inf, found) if barred else found
+                what = np.argpartition(free, width - k, axis=1)[:, width - k:]
+                who = np.repeat(np.arange(n), k)
+                d = distances(mine[who], what.ravel()).reshape(n, k)
+                d = np.where(np.isfinite(np.take_along_axis(free, what, 1)), d, np.inf).max(axis=1)
+                sure = np.flatnonzero(np.isfinite(d))
+                least[sure] = scores.least(mine[sure], d[sure])
+            who, what = _open(found, least, flags)
+            what += at
+            at = end
+            if barred:
+                taken = ~barred(asks[mine[who]], has[what])
+                who, what = who[taken], what[taken]
+            measured += len(who)
+            d = distances(mine[who], what)
+            finite = np.isfinite(d)
+            who, what, d = who[finite], what[finite], d[finite]
+            if not len(who):
+                continue
+            hit = np.unique(who)
+            old = np.repeat(hit, k), place[hit].ravel(), near[hit].ravel()
+            real = old[1] >= 0
+            who, what, d = (np.concatenate([a, b[real]]) for a, b in zip((who, what, d), old))
+            best = _kept(who, what, d, k)
+            who, what, d = who[best], what[best], d[best]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            near[who, rank], place[who, rank] = d, what
+            full = hit[np.isfinite(near[hit, k - 1])]
+            least[full] = np.maximum(least[full], scores.least(mine[full], near[full, k - 1]))
+        who, rank = np.nonzero(place >= 0)
+        out.append((asks[mine[who]], has[place[who, rank]], near[who, rank]))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return (*(np.concatenate(c) for c in zip(none, *out)), measured)
+
+
 def _by_key(items: pd.DataFrame, item_key: str) -> pd.DataFrame:
     return items.iloc[np.argsort(pd.factorize(items[item_key], sort=True)[0], kind="stable")]
 
@@ -188,15 +306,19 @@ def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, metric: str, d
              k: int, item_key: str | None) -> DataFrame | None:
     """Every block of queries with every block of items; null where there are no items.
 
-    ``_q, _i, distance``: the ``k`` nearest items of each query in each block, measured on the vectors where the signatures leave
-    a pair open.  Without an ``item_key`` one row ``refined`` per block: how many pairs were left open.
+    ``_q, _i, distance``: the ``k`` nearest items of each query in each block, measured where the bounds leave a pair open.
+    Without an ``item_key`` one row ``refined`` per block: how many pairs were left open.
     """
-    cut, n_items = signatures_of(i_side, vector, metric)
-    if cut is None:
+    with_gaps = metric == "nan_euclidean"
+    cut, n_items = signatures_of(i_side, vector, metric) if with_gaps else (None, i_side.count())
+    if not n_items:
         return None
     extra = list(dict.fromkeys(([differ_on] if differ_on else []) + ([apart[0]] if apart else [])))
     q_extra = list(dict.fromkeys(extra + ([apart[1]] if apart else [])))
-    q_blocks, i_blocks = -(-q_side.count() // QUERY_BLOCK) or 1, -(-n_items // ITEM_BLOCK) or 1
+    n_queries, width = q_side.count(), i_side.agg(F.max(F.size(vector)).alias("n")).first()["n"]
+    most = max(1, BLOCK_VALUES // max(1, width))
+    i_blocks = -(-n_items // min(ITEM_BLOCK, most))
+    q_blocks = max(1, -(-n_queries // min(QUERY_BLOCK, most)), min(LEAST_BLOCKS, n_queries // LEAST_QUERIES))
     i_cols = list(dict.fromkeys(["_i", *extra, *([item_key] if item_key else []), vector]))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,8 +326,10 @@ def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, metric: str, d
             body, error = cut.cut(_matrix(batch[vector])) if len(batch) else ([], [])
             yield batch.assign(_body=np.array(body, dtype=object), _error=np.array(error, dtype="float64"))
 
-    signed = i_side.select(*i_cols).mapInPandas(sign, T.StructType([
-        *i_side.select(*i_cols).schema.fields, T.StructField("_body", T.BinaryType()), T.StructField("_error", T.DoubleType())]))
+    signed = i_side.select(*[F.col(c).alias(c) for c in i_cols])  # columns of its own, since both sides may come from one table
+    if with_gaps:
+        signed = signed.mapInPandas(sign, T.StructType([
+            *signed.schema.fields, T.StructField("_body", T.BinaryType()), T.StructField("_error", T.DoubleType())]))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q_side.select("_q", *q_extra, vector).withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(q_blocks)).cast("int")).withColumn(
         "_ib", each(i_blocks))
@@ -218,6 +342,26 @@ def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, metric: str, d
             return pd.DataFrame(none)
         if item_key:
             items = _by_key(items, item_key)
+        if with_gaps:
+            return scan_signatures(queries, items)
+        column = {c: (queries[c].to_numpy(), items[c].to_numpy()) for c in extra}
+        margin = queries[apart[1]].to_numpy() if apart else None
+
+        def barred(who: np.ndarray, what: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(who), bool)
+            if differ_on:
+                mine, other = column[differ_on]
+                out |= mine[who] == other[what]
+            if apart:
+                mine, other = column[apart[0]]
+                out |= np.abs(mine[who] - other[what]) <= margin[who]
+            return out
+
+        who, what, d, measured = nearest_places(_matrix(queries[vector]), _matrix(items[vector]), k, metric, barred if extra else None)
+        return pd.DataFrame({"_q": queries["_q"].to_numpy()[who], "_i": items["_i"].to_numpy()[what], "distance": d}) if item_key else (
+            pd.DataFrame({"refined": [measured]}))
+
+    def scan_signatures(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         y, known = cut.restored(items["_body"].tolist())
         x, error, names, out, refined = _matrix(items[vector]), items["_error"].to_numpy(), items["_i"].to_numpy(), [], 0
         at_once = max(1, BOUNDS // len(items))
@@ -245,7 +389,8 @@ def candidates(q_side: DataFrame, i_side: DataFrame, vector: str, metric: str, d
             out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[who[best]], "_i": names[what[best]], "distance": d[best]}))
         return pd.concat(out, ignore_index=True) if item_key else pd.DataFrame({"refined": [refined]})
 
-    keys = ["_qb", "_ib"]
+    keys, parts = ["_qb", "_ib"], 2 * q_blocks * i_blocks  # few tasks get more than one pair of blocks
+    left, right = (side.repartition(parts, *keys) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         scan, "_q bigint, _i bigint, distance double" if item_key else "refined bigint")
 
@@ -499,13 +644,15 @@ def nearest(queries: DataFrame, items: DataFrame, *, query_key: str, item_key: s
         met = _nearest_by_cells(q_side, i_side, item_key, vector, width, k, metric, differ_on, apart)
     else:
         met = candidates(q_side, i_side, vector, metric, differ_on, apart, k, item_key)
+        if met is not None:  # of all blocks, before keys and payload are joined; equal distances are left for the key
+            met = met.withColumn("_r", F.rank().over(W.partitionBy("_q").orderBy("distance"))).where(F.col("_r") <= k).drop("_r")
     return none if met is None else _ranked(met.join(q_side.select("_q", query_key), "_q").join(
         i_side.select("_i", item_key, *payload), "_i").select("_q", query_key, item_key, "distance", *payload),
         query_key, item_key, k).drop("_q")
 
 
 def refined_share(queries: DataFrame, items: DataFrame, *, vector: str, k: int, metric: str = "euclidean") -> DataFrame:
-    """One row ``pairs, refined, share``: how many of all pairs are measured on the vectors themselves."""
+    """One row ``pairs, refined, share``: how many of all pairs the bounds leave open, so that they are measured."""
     q_side, i_side = _sides(queries, items, vector, [vector], [vector], metric)
     open_ = candidates(q_side, i_side, vector, metric, None, None, k, None)
     pairs = q_side.agg(F.count(F.lit(1)).alias("q")).withColumn("i", i_side.agg(F.count(F.lit(1))).scalar())

@@ -376,3 +376,45 @@ def test_sketches_of_parts_are_sketches_of_all(spark):
     assert got["a"]["quantiles"][0] == 0.0 and got["a"]["quantiles"][-1] == 499.0
     for r in sketches.sketch_errors(df, told).collect():
         assert r["distinct_within"] and r["top_within"] and r["ranks_within"] in (True, None)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("case", ["plain", "far", "tiny", "outlier", "repeats", "infinite", "one direction"])
+def test_products_in_single_precision_lose_no_neighbour(monkeypatch, metric, case):
+    """Bounds hold whatever the size and the place of the vectors; ties go to the first item."""
+    for name, n in (("AT_ONCE", 30), ("FIRST_ITEMS", 20), ("MOST_ITEMS", 70)):
+        monkeypatch.setattr(neighbors, name, n)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(333, 9))
+    x = {"plain": x, "far": x + 1e6, "tiny": x * 1e-200, "repeats": x.round(0), "one direction": x * 0.01 + 3}.get(case, x)
+    if case in ("outlier", "infinite"):
+        x[5], x[6, 2] = (1e9, -1e25) if case == "outlier" else (np.inf, np.nan)
+    q, group = x[:70], np.arange(333) % 3
+    d = np.stack([neighbors.pair_distances(np.repeat(q[i:i + 1], 333, 0), x, metric) for i in range(70)])
+    for k, barred in ((1, None), (4, lambda a, b: a == b), (4, lambda a, b: group[a] == group[b]), (4, lambda a, b: a > -1)):
+        with np.errstate(all="ignore"):
+            who, what, far, measured = neighbors.nearest_places(q, x, k, metric, barred)
+        want = []
+        for i in range(70):
+            free = [j for j in range(333) if np.isfinite(d[i, j]) and not (barred and barred(np.array([i]), np.array([j]))[0])]
+            want += [(i, j, d[i, j]) for j in sorted(free, key=lambda j: (d[i, j], j))[:k]]
+        assert sorted(zip(who, what, far)) == sorted(want)
+        if case in ("plain", "one direction") and k == 1:
+            assert measured < 0.1 * d.size
+
+
+def test_whole_vectors_need_no_signatures(spark, monkeypatch):
+    """All pairs are bounded by products; no pass over the items for axes, and vectors of many coordinates come in smaller blocks."""
+    monkeypatch.setattr(neighbors, "signatures_of", None)
+    monkeypatch.setattr(neighbors, "BLOCK_VALUES", 6 * 50)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 4) for i, r in enumerate(x)], "id int, v array<double>, g int")
+    got = neighbors.knn_predict(df, df.withColumnRenamed("id", "q").withColumn("id", F.col("q")), query_key="q", item_key="id", vector="v",
+                                label="g", k=3, differ_on="id").collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for r in got:
+        votes = np.bincount(np.argsort(d[r["q"]], kind="stable")[:3] % 4)
+        assert (r["prediction"], r["votes"]) == (votes.argmax(), votes.max())
+    assert len(got) == 200
