@@ -134,11 +134,12 @@ def _fits_cells(rows: DataFrame, features: Sequence[str], problem: str, params:
 
 
 def _boosted(rows: DataFrame, features: Sequence[str], label: str, problem: str, params: Mapping | None) -> PipelineModel | None:
-    """Boosted trees from one weighted row per cell, the rows that no tree can tell apart; null without rows.
+    """Boosted trees from one weighted row per cell, the rows that no tree can tell apart; null where this saves little.
 
     A tree sees only the bin of a feature, and all rows of a bin of each feature get the same prediction.  So the counts of a
     cell's classes, or the number, mean and variance of its labels (kept by two labels, one to each side of the mean), give the
-    sums that all rows would give to each split and leaf, while the rounds pass over cells.
+    sums that all rows would give to each split and leaf, while the rounds pass over cells.  Few rows to a cell are not worth
+    other last digits of these sums, which settle ties.
     """
     est, n = estimator("gradient_boosting", problem, params), rows.count()
     if not n:
@@ -161,10 +162,13 @@ def _boosted(rows: DataFrame, features: Sequence[str], label: str, problem: str,
         whole = F.array(F.struct(F.col("_m").alias(label), F.col("_n").alias(weight)))
         cells = facts.select(*bins, F.inline(F.when(F.col("_s") > 0, sides).otherwise(whole)))
     cells = cut_lineage(cells)
+    many = cells.count()
+    if 2 * many > n:
+        return None
     plan = pipeline(cells, bins, label, "gradient_boosting", problem, params)
     last = plan.getStages()[-1].setWeightCol(weight)
     trees = last.getClassifier() if isinstance(last, C.OneVsRest) else last
-    trees.setMaxBins(max(est.getMaxBins(), math.isqrt(cells.count()) + 1))  # so that all cells are drawn, and all bins are found
+    trees.setMaxBins(max(est.getMaxBins(), math.isqrt(many) + 1))  # so that all cells are drawn, and all bins are found
     return PipelineModel([to_bins, *plan.fit(cells).stages])
 
 

@@ -252,3 +252,11 @@ def test_boosting_that_draws_rows_fits_the_rows(spark, monkeypatch):
     for params in ({"subsamplingRate": 0.5}, {"minInstancesPerNode": 2}, {"lossType": "absolute"}, {}):
         L.train(df, ["x"], "y", "gradient_boosting", {"maxIter": 2, **params}, "regression")
     assert seen == [200, 200, 200, 4]
+
+
+def test_boosting_over_cells_as_many_as_rows_fits_the_rows(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id * 37 % 300 * 1.0D AS x", "id * 1.0D AS z", "id % 7 * 1.0D AS y")
+    seen, fit = [], L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, data, *a: seen.append(data.columns) or fit(self, data, *a))
+    L.train(df, ["x", "z"], "y", "gradient_boosting", {"maxIter": 2}, "regression")
+    assert seen == [["x", "z", "y"]]
